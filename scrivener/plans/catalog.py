@@ -107,3 +107,146 @@ def q_extract_branches(spark, sf):
     from scrivener.operators.evaluate import extraction_report
 
     return extraction_report(FX.raw_outputs(spark, sf), "raw_output")
+
+
+# ---------------------------------------------------------------- step 3: prompts
+
+from scrivener.functions import prompts as P  # noqa: E402
+from scrivener.sources.fixed import DEFAULT_EXAMPLES, PROMPT_HEADER  # noqa: E402
+
+# Per-language example sets for the grouped-prompt query.
+# 'en' = the default four, 'fr' = the first three, 'es' = one added example,
+# 'de' = none (bare header).
+LANG_EXAMPLES = (
+    [("en", o, t, f) for o, t, f in DEFAULT_EXAMPLES]
+    + [("fr", o, t, f) for o, t, f in DEFAULT_EXAMPLES[:3]]
+    + [("es", 1, "definately wrong", "definitely wrong")]
+)
+
+_NB_LINES_SQL = FX.SQL_LINES + f",\nfx_nb_lines AS (SELECT * FROM fx_lines WHERE {O.utrim('text')} <> '')"
+
+
+def _nb_lines(spark, sf):
+    from scrivener.operators.lines import drop_blank
+
+    return drop_blank(FX.lines(spark, sf))
+
+
+def _sql_prompt(header: str, text: str = "text") -> str:
+    return f"{O.q(header)} || 'Input: ' || {text} || chr(10) || 'Output:'"
+
+
+@register("few_shot_prompt", _w(_NB_LINES_SQL, f"SELECT doc_id, line_no, {_sql_prompt(P.render_header())} AS prompt FROM fx_nb_lines"))
+def q_few_shot_prompt(spark, sf):
+    df = _nb_lines(spark, sf)
+    return df.select("doc_id", "line_no", P.few_shot_prompt(F.col("text")).alias("prompt"))
+
+
+@register(
+    "three_shot_prompt",
+    _w(_NB_LINES_SQL, f"SELECT doc_id, line_no, {_sql_prompt(P.render_header(DEFAULT_EXAMPLES[:3]))} AS prompt FROM fx_nb_lines"),
+)
+def q_three_shot_prompt(spark, sf):
+    df = _nb_lines(spark, sf)
+    header = P.render_header(DEFAULT_EXAMPLES[:3])
+    return df.select("doc_id", "line_no", P.few_shot_prompt(F.col("text"), header).alias("prompt"))
+
+
+@register("zero_shot_prompt", _w(_NB_LINES_SQL, "SELECT doc_id, line_no, 'Fix: ' || text AS prompt FROM fx_nb_lines"))
+def q_zero_shot_prompt(spark, sf):
+    df = _nb_lines(spark, sf)
+    return df.select("doc_id", "line_no", P.zero_shot_prompt(F.col("text")).alias("prompt"))
+
+
+def _sql_lang_examples() -> str:
+    rows = ", ".join(f"({O.q(g)}, {o}, {O.q(t)}, {O.q(f)})" for g, o, t, f in LANG_EXAMPLES)
+    return f"fx_examples(lang, ord, typo, fixed) AS (VALUES {rows})"
+
+
+_SQL_HEADERS = f""",
+{_sql_lang_examples()},
+fx_headers AS (
+  SELECT lang, {O.q(PROMPT_HEADER)} || string_agg('Input: ' || typo || chr(10) || 'Output: ' || fixed || chr(10) || chr(10), '' ORDER BY ord) AS header
+  FROM fx_examples GROUP BY lang)"""
+
+
+@register(
+    "prompt_by_lang",
+    _w(
+        _NB_LINES_SQL + _SQL_HEADERS,
+        f"""SELECT l.doc_id, l.line_no, l.lang,
+       coalesce(h.header, {O.q(PROMPT_HEADER)}) || 'Input: ' || l.text || chr(10) || 'Output:' AS prompt
+FROM fx_nb_lines l LEFT JOIN fx_headers h ON l.lang = h.lang""",
+    ),
+)
+def q_prompt_by_lang(spark, sf):
+    from scrivener.operators.prompts import render_few_shot_by
+    from scrivener.sources.fixed import examples_df
+
+    ex = examples_df(spark, LANG_EXAMPLES, group="lang")
+    out = render_few_shot_by(_nb_lines(spark, sf), ex, "lang")
+    return out.select("doc_id", "line_no", "lang", "prompt")
+
+
+@register(
+    "example_count",
+    _w(
+        _NB_LINES_SQL + _SQL_HEADERS.split("fx_headers AS")[0].rstrip().rstrip(","),
+        """SELECT l.lang, l.n_lines, coalesce(e.n_examples, 0) AS n_examples
+FROM (SELECT lang, count(*) AS n_lines FROM fx_nb_lines GROUP BY lang) l
+LEFT JOIN (SELECT lang, count(*) AS n_examples FROM fx_examples GROUP BY lang) e ON l.lang = e.lang""",
+    ),
+)
+def q_example_count(spark, sf):
+    from scrivener.operators.prompts import example_count
+    from scrivener.sources.fixed import examples_df
+
+    ex = example_count(examples_df(spark, LANG_EXAMPLES, group="lang"), "lang")
+    per_lang = _nb_lines(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"))
+    out = per_lang.join(F.broadcast(ex), "lang", "left")
+    return out.select("lang", "n_lines", F.coalesce("n_examples", F.lit(0).cast("long")).alias("n_examples"))
+
+
+def _sql_normalise(p: str) -> str:
+    r = O.urtrim(p)
+    plain = " OR ".join(f"suffix({r}, '{c}')" for c in [":", ".", "!", "?", " "])
+    return f"CASE WHEN suffix({r}, 'Output:') THEN {r} || ' ' WHEN NOT ({plain}) THEN {r} || ' ' ELSE {p} END"
+
+
+@register(
+    "normalise_prompt",
+    _w(FX.SQL_LINES, f"SELECT doc_id, line_no, {_sql_normalise('text')} AS normalised FROM fx_lines"),
+)
+def q_normalise_prompt(spark, sf):
+    df = FX.lines(spark, sf)
+    return df.select("doc_id", "line_no", P.normalise_prompt(F.col("text")).alias("normalised"))
+
+
+# The echoed generation: the prompt, then (for two rows in three) a leading
+# run of ' ', '\n', '\t' and the raw output; the third row has no echo.
+def _echo_spark(prompt, raw, k):
+    return F.when(k % 3 == 0, raw).otherwise(F.concat(prompt, F.when(k % 3 == 1, F.lit(" \n")).otherwise(F.lit("\t ")), raw))
+
+
+def _echo_sql(prompt: str, raw: str, k: str) -> str:
+    return f"CASE WHEN {k} % 3 = 0 THEN {raw} WHEN {k} % 3 = 1 THEN {prompt} || ' ' || chr(10) || {raw} ELSE {prompt} || chr(9) || ' ' || {raw} END"
+
+
+_SQL_STRIP = _w(
+    FX.SQL_RAW_OUTPUTS
+    + f""",
+fx_echo AS (
+  SELECT doc_id, line_no, p, {_echo_sql('p', 'raw_output', '(doc_id + line_no)')} AS full_text
+  FROM (SELECT *, {_sql_prompt(P.render_header(), 'typo_text')} AS p FROM fx_raw))""",
+    """SELECT doc_id, line_no,
+  ltrim(CASE WHEN starts_with(full_text, p) THEN substr(full_text, length(p) + 1) ELSE full_text END, ' ' || chr(10) || chr(9)) AS response
+FROM fx_echo""",
+)
+
+
+@register("strip_prompt", _SQL_STRIP)
+def q_strip_prompt(spark, sf):
+    df = FX.raw_outputs(spark, sf)
+    df = df.withColumn("p", P.few_shot_prompt(F.col("typo_text")))
+    df = df.withColumn("full_text", _echo_spark(F.col("p"), F.col("raw_output"), F.col("doc_id") + F.col("line_no")))
+    return df.select("doc_id", "line_no", P.strip_prompt(F.col("full_text"), F.col("p")).alias("response"))
