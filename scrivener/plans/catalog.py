@@ -250,3 +250,87 @@ def q_strip_prompt(spark, sf):
     df = df.withColumn("p", P.few_shot_prompt(F.col("typo_text")))
     df = df.withColumn("full_text", _echo_spark(F.col("p"), F.col("raw_output"), F.col("doc_id") + F.col("line_no")))
     return df.select("doc_id", "line_no", P.strip_prompt(F.col("full_text"), F.col("p")).alias("response"))
+
+
+# ---------------------------------------------------------------- step 4: end to end, sinks, counts
+
+RUN_MODEL, RUN_TEMPERATURE, RUN_MAX_TOKENS = "stub/raw-shapes", 0.0, 25
+
+_CC_EX, _CC_EX_T = O.extract_ctes("fx_cc_raw", "raw_output", "extracted", prefix="cx")
+_CC_SZ, _CC_SZ_T = O.sanitize_ctes(_CC_EX_T, "extracted", "corrected", prefix="cs")
+_CC_CTES = (
+    FX.SQL_RAW_OUTPUTS
+    + f",\nfx_cc_raw AS (SELECT * FROM fx_raw WHERE {O.utrim('typo_text')} <> '')," + _CC_EX + "," + _CC_SZ
+    + f""",
+fx_cc AS (SELECT doc_id, line_no, typo_text AS text, extracted, corrected, status, corrected <> typo_text AS changed
+          FROM {_CC_SZ_T})"""
+)
+
+
+def correct_corpus_df(spark, sf):
+    from scrivener.plans.correct import correct_corpus
+
+    df = FX.typo_lines(spark, sf)
+    stub = lambda d: FX.raw_output_expr(F.col("doc_id"), F.col("line_no"), F.col("typo_text"))
+    out = correct_corpus(df, "typo_text", backend=stub)
+    return out.select("doc_id", "line_no", F.col("typo_text").alias("text"), "extracted", "corrected",
+                      "status", "changed")
+
+
+register("correct_corpus", _w(_CC_CTES, "SELECT * FROM fx_cc"))(correct_corpus_df)
+
+
+def _sql_json_record(inp: str, out: str) -> str:
+    return (f"to_json({{'input': {inp}, 'output': {out}, 'model': {O.q(RUN_MODEL)}, "
+            f"'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE), 'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}})")
+
+
+@register("json_records", _w(_CC_CTES, f"SELECT doc_id, line_no, {_sql_json_record('text', 'corrected')} AS json FROM fx_cc"))
+def q_json_records(spark, sf):
+    from scrivener.sinks.writers import json_records
+
+    return json_records(correct_corpus_df(spark, sf), RUN_MODEL, RUN_TEMPERATURE, RUN_MAX_TOKENS)
+
+
+@register(
+    "json_per_document",
+    _w(
+        _CC_CTES,
+        f"""SELECT doc_id, to_json({{'results': list({{'input': text, 'output': corrected}} ORDER BY line_no),
+  'model': {O.q(RUN_MODEL)}, 'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE),
+  'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}}) AS json
+FROM fx_cc GROUP BY doc_id""",
+    ),
+)
+def q_json_per_document(spark, sf):
+    from scrivener.sinks.writers import json_per_document
+
+    return json_per_document(correct_corpus_df(spark, sf), RUN_MODEL, RUN_TEMPERATURE, RUN_MAX_TOKENS)
+
+
+@register(
+    "report",
+    _w(_CC_CTES, "SELECT doc_id, line_no, 'Input:  ' || text || chr(10) || 'Output: ' || corrected || chr(10) || '---' AS report FROM fx_cc"),
+)
+def q_report(spark, sf):
+    from scrivener.sinks.writers import render_report
+
+    return render_report(correct_corpus_df(spark, sf))
+
+
+@register(
+    "run_counts",
+    _w(
+        _CC_CTES,
+        f"""SELECT
+  (SELECT count(*) FROM fx_typo_lines) AS lines_total,
+  (SELECT count(*) FROM fx_typo_lines WHERE {O.utrim('typo_text')} = '') AS lines_blank,
+  (SELECT count(*) FROM fx_cc) AS lines_processed,
+  (SELECT count(*) FROM fx_cc WHERE status <> 'ok') AS lines_failed,
+  (SELECT count(*) FROM fx_cc WHERE changed) AS lines_changed""",
+    ),
+)
+def q_run_counts(spark, sf):
+    from scrivener.operators.evaluate import run_counts
+
+    return run_counts(FX.typo_lines(spark, sf), correct_corpus_df(spark, sf), "typo_text")

@@ -32,7 +32,7 @@ def correct_lines(df: DataFrame, text_col: str = "text", out: str = "corrected",
     return df.withColumn("changed", F.col(out) != F.col(text_col))
 
 
-def correct_corpus(df: DataFrame, text_col: str = "text", backend: str = "dictionary",
+def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
                    load_model: Callable | None = None, temperature: float = DEFAULT_TEMPERATURE,
                    max_tokens: int = DEFAULT_MAX_TOKENS, examples=None, rules=None,
                    on_error: str = "row", persist_raw: bool = True) -> DataFrame:
@@ -43,7 +43,10 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend: str = "dictio
     extraction, so a second action never runs the model again.
     """
     df = drop_blank(df, text_col)
-    if backend == "dictionary":
+    if callable(backend):
+        # A column-expression backend: (df) -> Column of raw generations.
+        df = df.withColumn("raw_output", backend(df))
+    elif backend == "dictionary":
         df = df.withColumn("raw_output", F.col(text_col))
     elif backend == "model":
         from scrivener.operators.generate import generate
