@@ -334,3 +334,174 @@ def q_run_counts(spark, sf):
     from scrivener.operators.evaluate import run_counts
 
     return run_counts(FX.typo_lines(spark, sf), correct_corpus_df(spark, sf), "typo_text")
+
+
+# ---------------------------------------------------------------- step 5: evaluation, dictionary
+
+from scrivener.operators import evaluate as EV  # noqa: E402
+from scrivener.sources.fixed import DEFAULT_RULES, TARGETS  # noqa: E402
+
+_CL_ALL = (
+    FX.SQL_TYPO_LINES + f",\nfx_nb AS (SELECT * FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> '')," + _CL_CTES
+    + f""",
+fx_cl AS (SELECT doc_id, line_no, lang, source, typo_text AS text, corrected, corrected <> typo_text AS changed,
+                 {FX.sql_expected_words('typo_text')} AS expected
+          FROM {_CL_T})"""
+)
+
+
+def _cl(spark, sf):
+    from scrivener.plans.correct import correct_lines
+
+    out = correct_lines(FX.typo_lines(spark, sf), text_col="typo_text")
+    return out.select("doc_id", "line_no", "lang", "source", F.col("typo_text").alias("text"), "corrected",
+                      "changed", FX.expected_words(F.col("typo_text")).alias("expected"))
+
+
+@register(
+    "changed_rate",
+    _w(_CL_ALL, """SELECT lang, source, count(*) AS n_lines, round(avg(CAST(changed AS INTEGER)), 6) AS changed_rate
+FROM fx_cl GROUP BY lang, source"""),
+)
+def q_changed_rate(spark, sf):
+    return EV.changed_rate(_cl(spark, sf))
+
+
+@register(
+    "contains_fix",
+    _w(_CL_ALL, """SELECT doc_id, line_no, CAST(len(expected) AS INTEGER) AS n_expected,
+  list_bool_and(list_transform(expected, lambda x: contains(lower(corrected), lower(x)))) AS contains_fix
+FROM fx_cl WHERE len(expected) > 0"""),
+)
+def q_contains_fix(spark, sf):
+    df = _cl(spark, sf).where(F.size("expected") > 0)
+    return df.select("doc_id", "line_no", F.size("expected").alias("n_expected"),
+                     EV.contains_fix("expected", "corrected").alias("contains_fix"))
+
+
+@register(
+    "case_sanity",
+    _w(_CL_ALL, """SELECT doc_id, line_no FROM fx_cl
+WHERE len(expected) > 0 AND list_bool_or(list_transform(expected, lambda x: contains(lower(text), lower(x))))"""),
+)
+def q_case_sanity(spark, sf):
+    df = _cl(spark, sf).where(F.size("expected") > 0)
+    return df.where(EV.holds_expected("text", "expected")).select("doc_id", "line_no")
+
+
+@register(
+    "sentence_accuracy",
+    _w(_CL_ALL, """SELECT p.lang, count(*) AS n, CAST(sum(CAST(coalesce(p.corrected = r.text, false) AS INTEGER)) AS BIGINT) AS n_exact,
+  round(avg(CAST(coalesce(p.corrected = r.text, false) AS INTEGER)), 6) AS accuracy
+FROM fx_cl p JOIN fx_lines r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY p.lang"""),
+)
+def q_sentence_accuracy(spark, sf):
+    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
+    return EV.sentence_accuracy(_cl(spark, sf).drop("expected"), ref)
+
+
+@register(
+    "repeatable",
+    _w(_CC_CTES, """SELECT count(*) AS n_diff FROM (
+  (SELECT * FROM fx_cc EXCEPT ALL SELECT * FROM fx_cc) UNION ALL (SELECT * FROM fx_cc EXCEPT ALL SELECT * FROM fx_cc))"""),
+)
+def q_repeatable(spark, sf):
+    return EV.repeatable(correct_corpus_df(spark, sf), correct_corpus_df(spark, sf))
+
+
+_VC_SQL = _w(
+    _CL_ALL,
+    f"""SELECT outcome, count(*) AS n FROM (
+  SELECT CASE WHEN ra AND rb THEN 'both_right' WHEN ra THEN 'a_wins' WHEN rb THEN 'b_wins' ELSE 'both_wrong' END AS outcome
+  FROM (SELECT coalesce(a.corrected = r.text, false) AS ra, coalesce(b.out_b = r.text, false) AS rb
+        FROM fx_cl a
+        JOIN (SELECT doc_id, line_no, {O.first_sentence(O.cut_role_markers(O.collapse_ws('text')))} AS out_b FROM fx_cl) b
+          ON a.doc_id = b.doc_id AND a.line_no = b.line_no
+        JOIN fx_lines r ON a.doc_id = r.doc_id AND a.line_no = r.line_no))
+GROUP BY outcome""",
+)
+
+
+@register("variant_compare", _VC_SQL)
+def q_variant_compare(spark, sf):
+    from scrivener.functions.extract import few_shot_postprocess
+
+    cl = _cl(spark, sf)
+    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
+    a = cl.select("doc_id", "line_no", F.col("corrected").alias("out_a")).join(ref, ["doc_id", "line_no"])
+    b = few_shot_postprocess(cl.select("doc_id", "line_no", "text"), "text", "out_b").drop("text")
+    return EV.variant_compare(a, b)
+
+
+def _sql_targets() -> str:
+    rows = ", ".join(f"('{m}', '{op}', CAST({t} AS DOUBLE))" for m, op, t in TARGETS)
+    return f"fx_targets(metric, op, threshold) AS (VALUES {rows})"
+
+
+@register(
+    "targets",
+    _w(
+        _CL_ALL + ",\n" + _sql_targets() + """,
+fx_metrics AS (
+  SELECT 'accuracy' AS metric, avg(CAST(coalesce(p.corrected = r.text, false) AS INTEGER)) AS value
+    FROM fx_cl p JOIN fx_lines r ON p.doc_id = r.doc_id AND p.line_no = r.line_no
+  UNION ALL SELECT 'latency_ms', avg(value) FROM events
+  UNION ALL SELECT 'model_size_gb', sum(strlen(html)) / 1073741824.0 FROM pages)""",
+        """SELECT m.metric, round(m.value, 6) AS value, t.op, t.threshold,
+  CASE WHEN t.op = '>' THEN m.value > t.threshold WHEN t.op = '<' THEN m.value < t.threshold END AS passed
+FROM fx_metrics m JOIN fx_targets t ON m.metric = t.metric""",
+    ),
+)
+def q_targets(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
+    acc = (
+        _cl(spark, sf).select("doc_id", "line_no", "corrected").join(ref, ["doc_id", "line_no"])
+        .agg(F.avg(F.coalesce(F.col("corrected") == F.col("expected"), F.lit(False)).cast("int")).alias("value"))
+        .select(F.lit("accuracy").alias("metric"), "value")
+    )
+    lat = read_table(spark, sf, "events").agg(F.avg("value").alias("value")).select(F.lit("latency_ms").alias("metric"), "value")
+    size = (
+        read_table(spark, sf, "pages").agg((F.sum(F.octet_length("html")) / F.lit(1073741824.0)).alias("value"))
+        .select(F.lit("model_size_gb").alias("metric"), "value")
+    )
+    targets = spark.createDataFrame(TARGETS, "metric string, op string, threshold double")
+    return EV.check_targets(acc.unionByName(lat).unionByName(size), targets)
+
+
+def _sql_rule_hits() -> str:
+    keys = ", ".join(O.q(t) for t, _ in DEFAULT_RULES)
+    return f"""SELECT typo, lang, count(*) AS hits FROM (
+  SELECT lang, lower(unnest(regexp_extract_all(typo_text, '{O.TOKEN_RE}'))) AS typo FROM fx_typo_lines)
+WHERE typo IN ({keys}) GROUP BY typo, lang"""
+
+
+@register("rule_hits", _w(FX.SQL_TYPO_LINES, _sql_rule_hits()))
+def q_rule_hits(spark, sf):
+    from scrivener.operators.dictionary import rule_hits
+
+    return rule_hits(FX.typo_lines(spark, sf), DEFAULT_RULES, "typo_text", by=("lang",))
+
+
+@register(
+    "dictionary_join",
+    _w(FX.SQL_TYPO_LINES, f"SELECT doc_id, line_no, {O.apply_rules('typo_text')} AS corrected FROM fx_typo_lines"),
+)
+def q_dictionary_join(spark, sf):
+    from scrivener.operators.dictionary import apply_dictionary_join
+    from scrivener.sources.fixed import rules_df
+
+    return apply_dictionary_join(FX.typo_lines(spark, sf), rules_df(spark), "typo_text")
+
+
+@register(
+    "dictionary_map",
+    _w(FX.SQL_TYPO_LINES, f"SELECT doc_id, line_no, {O.apply_rules('typo_text')} AS corrected FROM fx_typo_lines"),
+)
+def q_dictionary_map(spark, sf):
+    from scrivener.operators.dictionary import apply_dictionary
+    from scrivener.sources.fixed import rules_df
+
+    out = apply_dictionary(FX.typo_lines(spark, sf), rules_df(spark), "typo_text")
+    return out.select("doc_id", "line_no", "corrected")

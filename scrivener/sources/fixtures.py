@@ -164,3 +164,24 @@ fx_raw AS (
 
 def with_ctes(ctes: str, body: str) -> str:
     return "WITH " + ctes.strip() + "\n" + body
+
+
+# The word each injected typo must be corrected to.
+TYPO_EXPECTED = [
+    (" teh ", "the"),
+    (" Sentance ", "sentence"),
+    (" recieve ", "receive"),
+    (" SEPERATE ", "separate"),
+    (" cant ", "can't"),
+]
+
+
+def expected_words(typo_text):
+    """Array of the fixes a line's injected typos call for (F5 from data)."""
+    arr = F.array(*[F.when(typo_text.contains(k), F.lit(v)) for k, v in TYPO_EXPECTED])
+    return F.filter(arr, lambda x: x.isNotNull())
+
+
+def sql_expected_words(c: str = "typo_text") -> str:
+    items = ", ".join(f"CASE WHEN contains({c}, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}' END" for k, v in TYPO_EXPECTED)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
