@@ -29,29 +29,34 @@ from scrivener.operators.joins import bounded_broadcast, row_count_at_most
 MAX_MAP_RULES = 50_000
 
 
-def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed") -> DataFrame:
-    """One rule per lower-cased typo (the first fixed value by ordering, so the
-    result does not depend on input order)."""
+def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed", by=()) -> DataFrame:
+    """One rule per (group, lower-cased typo): the smallest fixed value, so the
+    result does not depend on input order."""
     return (
-        rules.select(F.lower(F.col(typo)).alias("key"), F.col(fixed).alias("fixed"))
-        .groupBy("key")
+        rules.select(*by, F.lower(F.col(typo)).alias("key"), F.col(fixed).alias("fixed"))
+        .groupBy(*by, "key")
         .agg(F.min("fixed").alias("fixed"))
     )
 
 
 def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
-                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 100_000) -> DataFrame:
-    """C6 join form: returns ``(*key_cols, out)`` for every input row."""
+                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 100_000,
+                          by=(), typo: str = "typo", fixed: str = "fixed") -> DataFrame:
+    """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
+    ``by`` (e.g. ``lang``) the rules are per group and matched on group + word."""
     keys = list(key_cols)
     pieces = df.select(
-        *keys,
+        *keys, *by,
         F.posexplode_outer(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"),
         F.col(text_col).isNull().alias("_null"),
     )
-    r = bounded_broadcast(normalise_rules(rules), max_broadcast_rows)
-    fixed = pieces.join(r, F.lower(pieces["tok"]) == r["key"], "left")
+    r = bounded_broadcast(normalise_rules(rules, typo, fixed, by), max_broadcast_rows)
+    cond = F.lower(pieces["tok"]) == r["key"]
+    for b in by:
+        cond = cond & (pieces[b] == r[b])
+    hits = pieces.join(r, cond, "left").select(*[pieces[k] for k in keys], "pos", "tok", "_null", "fixed")
     piece = F.coalesce(F.col("fixed"), F.col("tok"))
-    rebuilt = fixed.groupBy(*keys).agg(
+    rebuilt = hits.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", piece.alias("p"))))).alias("_ps"),
         F.max("_null").alias("_null"),
     )

@@ -505,3 +505,83 @@ def q_dictionary_map(spark, sf):
 
     out = apply_dictionary(FX.typo_lines(spark, sf), rules_df(spark), "typo_text")
     return out.select("doc_id", "line_no", "corrected")
+
+
+# ---------------------------------------------------------------- step 6: corpus-trained corrector
+
+from scrivener.operators import lexicon as LX  # noqa: E402
+
+
+def _sql_variants(w: str) -> str:
+    return (f"unnest(list_distinct(list_concat([{w}], list_transform(range(1, length({w}) + 1), "
+            f"lambda i: substr({w}, 1, i - 1) || substr({w}, i + 1)))))")
+
+
+_LX_CTES = FX.SQL_TYPO_LINES + f""",
+lx_words AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines),
+lx_lexicon AS (SELECT lang, word, count(*) AS freq FROM lx_words GROUP BY lang, word HAVING count(*) >= {LX.DEFAULT_MIN_COUNT}),
+lx_inwords AS (SELECT DISTINCT lang, word FROM
+  (SELECT lang, unnest(regexp_extract_all(lower(typo_text), '{LX.WORD_PATTERN}')) AS word FROM fx_typo_lines)
+  WHERE length(word) >= {LX.DEFAULT_MIN_LEN}),
+lx_oov AS (SELECT * FROM lx_inwords w WHERE NOT EXISTS (SELECT 1 FROM lx_lexicon l WHERE l.lang = w.lang AND l.word = w.word)),
+lx_ov AS (SELECT lang, word, {_sql_variants('word')} AS variant FROM lx_oov),
+lx_lv AS (SELECT lang, word AS cand, freq, {_sql_variants('word')} AS variant FROM lx_lexicon),
+lx_cands AS (SELECT DISTINCT o.lang, o.word, l.cand, l.freq FROM lx_ov o JOIN lx_lv l ON o.lang = l.lang AND o.variant = l.variant),
+lx_scored AS (SELECT *, CAST(levenshtein(word, cand) AS INTEGER) AS dist FROM lx_cands),
+lx_best AS (SELECT lang, word, cand, dist, freq FROM lx_scored
+  QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY dist, freq DESC, cand) = 1)"""
+
+
+def _lexicon(spark, sf):
+    return LX.build_lexicon(FX.lines(spark, sf), "text")
+
+
+def _oov(spark, sf):
+    return LX.find_oov(FX.typo_lines(spark, sf), _lexicon(spark, sf), "typo_text")
+
+
+def _cands(spark, sf):
+    return LX.candidates(_oov(spark, sf), _lexicon(spark, sf))
+
+
+@register("lexicon", _w(_LX_CTES, "SELECT lang, word, freq FROM lx_lexicon"))
+def q_lexicon(spark, sf):
+    return _lexicon(spark, sf)
+
+
+@register("oov_words", _w(_LX_CTES, "SELECT lang, word FROM lx_oov"))
+def q_oov_words(spark, sf):
+    return _oov(spark, sf)
+
+
+@register("candidates", _w(_LX_CTES, "SELECT lang, word, cand, freq, dist FROM lx_scored"))
+def q_candidates(spark, sf):
+    return _cands(spark, sf)
+
+
+@register("best_candidate", _w(_LX_CTES, "SELECT lang, word, cand, dist, freq FROM lx_best"))
+def q_best_candidate(spark, sf):
+    return LX.best(_cands(spark, sf))
+
+
+@register(
+    "apply_corrections",
+    _w(
+        _LX_CTES + f""",
+lx_toks AS (SELECT doc_id, line_no, lang, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos
+  FROM (SELECT doc_id, line_no, lang, regexp_extract_all(typo_text, '{O.TOKEN_RE}') AS t FROM fx_typo_lines)),
+lx_fixed AS (SELECT t.doc_id, t.line_no, string_agg(coalesce(b.cand, t.tok), '' ORDER BY t.pos) AS corrected
+  FROM lx_toks t LEFT JOIN lx_best b ON t.lang = b.lang AND lower(t.tok) = b.word GROUP BY t.doc_id, t.line_no)""",
+        """SELECT l.doc_id, l.line_no, CASE WHEN l.typo_text IS NULL THEN NULL ELSE coalesce(f.corrected, '') END AS corrected
+FROM fx_typo_lines l LEFT JOIN lx_fixed f ON l.doc_id = f.doc_id AND l.line_no = f.line_no""",
+    ),
+)
+def q_apply_corrections(spark, sf):
+    picks = LX.best(_cands(spark, sf))
+    return LX.apply_corrections(FX.typo_lines(spark, sf), picks, "typo_text")
+
+
+@register("sampled_candidate")
+def q_sampled_candidate(spark, sf):
+    """N6 (rows-only check): seeded top-40 temperature draw per word."""
+    return LX.sample(_cands(spark, sf), k=40, temperature=0.7, seed=42)
