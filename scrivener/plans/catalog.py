@@ -585,3 +585,184 @@ def q_apply_corrections(spark, sf):
 def q_sampled_candidate(spark, sf):
     """N6 (rows-only check): seeded top-40 temperature draw per word."""
     return LX.sample(_cands(spark, sf), k=40, temperature=0.7, seed=42)
+
+
+# ---------------------------------------------------------------- step 7: validation, inventories
+
+from scrivener.operators import inventory as INV  # noqa: E402
+from scrivener.operators import validate as V  # noqa: E402
+
+
+def _sql_num_text(c: str) -> str:
+    return f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')"
+
+
+def _sql_request_checks() -> list[str]:
+    return [
+        f"CASE WHEN input IS NULL AND NOT stdin THEN {O.q(V.MSG_NO_INPUT)} END",
+        f"CASE WHEN input IS NOT NULL AND stdin THEN {O.q(V.MSG_BOTH_INPUTS)} END",
+        f"CASE WHEN config IS NOT NULL AND local_path IS NULL THEN {O.q(V.MSG_CONFIG_NEEDS_PATH)} END",
+        f"CASE WHEN NOT coalesce(temperature >= 0.0 AND temperature <= 2.0 AND NOT isnan(temperature), false) "
+        f"THEN {O.q(V.MSG_TEMPERATURE)} || {_sql_num_text('temperature')} END",
+        f"CASE WHEN max_tokens < 1 OR max_tokens > 512 THEN {O.q(V.MSG_MAX_TOKENS)} || CAST(max_tokens AS VARCHAR) END",
+    ]
+
+
+@register(
+    "validate_requests",
+    _w(FX.SQL_REQUESTS, f"SELECT req_id, coalesce({', '.join(_sql_request_checks())}) AS error FROM fx_requests"),
+)
+def q_validate_requests(spark, sf):
+    return V.validate_requests(FX.requests(spark, sf)).select("req_id", "error")
+
+
+@register(
+    "quarantine",
+    _w(
+        FX.SQL_REQUESTS,
+        f"""SELECT req_id, CAST(len(errors) AS INTEGER) AS n_errors, errors FROM (
+  SELECT req_id, list_filter([{', '.join(_sql_request_checks())}], lambda e: e IS NOT NULL) AS errors FROM fx_requests)
+WHERE len(errors) > 0""",
+    ),
+)
+def q_quarantine(spark, sf):
+    _, bad = V.split_quarantine(FX.requests(spark, sf))
+    return bad.select("req_id", F.size("errors").alias("n_errors"), "errors")
+
+
+@register(
+    "model_ids",
+    """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS model_id,
+  coalesce(regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '^[^/]+/[^/]+$'), false) AS valid
+FROM pages""",
+)
+def q_model_ids(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    p = read_table(spark, sf, "pages")
+    mid = F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1)
+    return p.select("page_id", mid.alias("model_id"), V.valid_model_id(mid).alias("valid"))
+
+
+def _sql_split_lines(c: str) -> str:
+    parts = f"string_split({c}, chr(10))"
+    kept = f"CASE WHEN {parts}[len({parts})] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END"
+    return f"list_transform({kept}, lambda x: CASE WHEN suffix(x, chr(13)) THEN left(x, length(x) - 1) ELSE x END)"
+
+
+@register(
+    "stub_pages",
+    f"""SELECT page_id, CAST(strlen(html) AS INTEGER) AS n_bytes,
+  array_to_string({_sql_split_lines('html')}[1:3], ' ') AS preview
+FROM pages WHERE strlen(html) < {V.STUB_BYTES}""",
+)
+def q_stub_pages(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    p = V.stub_check(read_table(spark, sf, "pages"), "html")
+    return p.where("is_stub").select("page_id", "n_bytes", "preview")
+
+
+# The component naming rules (first match wins), then host rules
+# for web pages.  (label, kind, any-of, and-any-of)
+URL_RULES = [
+    ("embeddings", "contains", ["embedding"], []),
+    ("ffn_prefill", "contains", ["ffn"], ["prefill", "pf"]),
+    ("ffn_infer", "contains", ["ffn"], []),
+    ("lm_head", "contains", ["lm_head", "lmhead"], []),
+    ("embeddings", "prefix", ["emb"], []),
+    ("lm_head", "contains", ["head"], []),
+    ("ads", "contains", ["ads-", "track"], []),
+    ("spam", "contains", ["cheap-", "free-"], []),
+    ("mobile", "prefix", ["m."], []),
+    ("blog", "prefix", ["blog."], []),
+]
+
+
+def _sql_classify(c: str) -> str:
+    low = f"lower({c})"
+    whens = []
+    for label, kind, any_of, and_any in URL_RULES:
+        fn = "starts_with" if kind == "prefix" else "contains"
+        cond = " OR ".join(f"{fn}({low}, {O.q(s)})" for s in any_of)
+        if and_any:
+            cond = f"({cond}) AND (" + " OR ".join(f"contains({low}, {O.q(s)})" for s in and_any) + ")"
+        whens.append(f"WHEN {cond} THEN {O.q(label)}")
+    return "CASE " + " ".join(whens) + f" ELSE 'unknown_' || replace({low}, '.', '_') END"
+
+
+@register(
+    "classify_urls",
+    f"""SELECT page_id, host, {_sql_classify('host')} AS kind FROM (
+  SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)""",
+)
+def q_classify_urls(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    p = read_table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
+    return p.select("page_id", "host", V.classify_by_rules(F.col("host"), URL_RULES).alias("kind"))
+
+
+@register(
+    "url_inventory",
+    """SELECT dir, n_files FROM (
+  SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir,
+         sum(CAST(regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^[0-9]+$') AS BIGINT)) AS n_files
+  FROM pages GROUP BY 1) WHERE n_files > 0""",
+)
+def q_url_inventory(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    return INV.directory_inventory(read_table(spark, sf, "pages"), "url", r"^[0-9]+$")
+
+
+@register(
+    "url_templates",
+    "SELECT regexp_replace(url, '[0-9]+', '*', 'g') AS template, count(*) AS n FROM pages GROUP BY 1",
+)
+def q_url_templates(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    return INV.name_templates(read_table(spark, sf, "pages"), "url")
+
+
+_SQL_SHAPES = FX.SQL_RAGGED + """,
+fx_declared AS (
+  SELECT 'label_' || label AS component, 'vector' AS tensor, [1, CAST(max(len(embedding)) AS INTEGER)] AS shape FROM embeddings GROUP BY label
+  UNION ALL
+  SELECT 'label_' || label, 'batch', [CAST(count(*) AS INTEGER)] FROM embeddings GROUP BY label),
+fx_observed AS (
+  SELECT 'label_' || label AS component, 'vector' AS tensor, [1, CAST(max(len(vals)) AS INTEGER)] AS shape FROM fx_ragged GROUP BY label
+  UNION ALL
+  SELECT 'label_' || label, 'min_vector', [1, CAST(min(len(vals)) AS INTEGER)] FROM fx_ragged GROUP BY label)"""
+
+
+@register(
+    "shape_drift",
+    _w(
+        _SQL_SHAPES,
+        """SELECT coalesce(d.component, o.component) AS component, coalesce(d.tensor, o.tensor) AS tensor,
+  d.shape AS declared, o.shape AS observed,
+  CASE WHEN o.shape IS NULL THEN 'missing' WHEN d.shape IS NULL THEN 'extra'
+       WHEN d.shape IS NOT DISTINCT FROM o.shape THEN 'match' ELSE 'mismatch' END AS status
+FROM fx_declared d FULL OUTER JOIN fx_observed o ON d.component = o.component AND d.tensor = o.tensor""",
+    ),
+)
+def q_shape_drift(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    e = read_table(spark, sf, "embeddings")
+    comp = F.concat(F.lit("label_"), F.col("label").cast("string")).alias("component")
+    declared = e.groupBy("label").agg(
+        F.max(F.size("embedding")).alias("mx"), F.count(F.lit(1)).cast("int").alias("n")
+    )
+    declared = declared.select(comp, F.lit("vector").alias("tensor"), F.array(F.lit(1), "mx").alias("shape")).unionByName(
+        declared.select(comp, F.lit("batch").alias("tensor"), F.array("n").alias("shape"))
+    )
+    r = FX.ragged_vectors(spark, sf).groupBy("label").agg(
+        F.max(F.size("vals")).alias("mx"), F.min(F.size("vals")).alias("mn")
+    )
+    observed = r.select(comp, F.lit("vector").alias("tensor"), F.array(F.lit(1), "mx").alias("shape")).unionByName(
+        r.select(comp, F.lit("min_vector").alias("tensor"), F.array(F.lit(1), "mn").alias("shape"))
+    )
+    return INV.shape_drift(declared, observed)

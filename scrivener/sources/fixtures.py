@@ -185,3 +185,80 @@ def expected_words(typo_text):
 def sql_expected_words(c: str = "typo_text") -> str:
     items = ", ".join(f"CASE WHEN contains({c}, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}' END" for k, v in TYPO_EXPECTED)
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+# ------------------------------------------------------------------ requests (F8), vectors (F10), run log
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: one request row per order."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("req_id"),
+        F.when(k % 5 != 0, F.col("o_orderpriority")).alias("input"),
+        (k % 7 == 0).alias("stdin"),
+        F.when(k % 11 == 0, F.lit("c.json")).alias("config"),
+        F.when(k % 22 == 0, F.lit("/m")).alias("local_path"),
+        ((k % 30).cast("double") / F.lit(10.0)).alias("temperature"),
+        (F.col("o_custkey") % 600).cast("int").alias("max_tokens"),
+    )
+
+
+SQL_REQUESTS = """
+fx_requests AS (
+  SELECT o_orderkey AS req_id,
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS input,
+         o_orderkey % 7 = 0 AS stdin,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'c.json' END AS config,
+         CASE WHEN o_orderkey % 22 = 0 THEN '/m' END AS local_path,
+         CAST(o_orderkey % 30 AS DOUBLE) / 10.0 AS temperature,
+         CAST(o_custkey % 600 AS INTEGER) AS max_tokens
+  FROM orders)"""
+
+
+def ragged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 ragged: sizes 1..64 from the vector id."""
+    e = read_table(spark, sf_dir, "embeddings")
+    n = (F.lit(1) + F.col("vec_id") % 80).cast("int")
+    return e.select("vec_id", "label", F.slice("embedding", F.lit(1), n).alias("vals"))
+
+
+SQL_RAGGED = """
+fx_ragged AS (SELECT vec_id, label, embedding[1:1 + vec_id % 80] AS vals FROM embeddings)"""
+
+
+def vector_parts(spark: SparkSession, sf_dir: str, parts: int = 16) -> DataFrame:
+    """F10 parts: each vector cut into ``parts`` equal slices (part_no 1..parts)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    width = F.size("embedding") / parts
+    return e.select(
+        "vec_id", "label",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)),
+                                 lambda i: F.slice("embedding", (i * width + 1).cast("int"), width.cast("int")))).alias("p", "vals"),
+    ).select("vec_id", "label", (F.col("p") + 1).cast("int").alias("part_no"), "vals")
+
+
+SQL_PARTS = """
+fx_parts_v AS (
+  SELECT vec_id, label, CAST(i + 1 AS INTEGER) AS part_no,
+         embedding[CAST(i * len(embedding) / 16 + 1 AS BIGINT) : CAST((i + 1) * len(embedding) / 16 AS BIGINT)] AS vals
+  FROM embeddings, range(0, 16) r(i))"""
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run log from events."""
+    ev = read_table(spark, sf_dir, "events")
+    even = F.col("event_id") % 2 == 0
+    return ev.select(
+        F.col("event_id").alias("run_id"),
+        F.when(even, F.lit("1x1")).otherwise(F.lit("1x64")).alias("shape"),
+        F.when(even, F.lit(1)).otherwise(F.lit(64)).alias("n_tokens"),
+        F.col("value").alias("ms"),
+    )
+
+
+SQL_RUN_LOG = """
+fx_run_log AS (
+  SELECT event_id AS run_id, CASE WHEN event_id % 2 = 0 THEN '1x1' ELSE '1x64' END AS shape,
+         CASE WHEN event_id % 2 = 0 THEN 1 ELSE 64 END AS n_tokens, value AS ms
+  FROM events)"""
