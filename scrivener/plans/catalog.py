@@ -766,3 +766,169 @@ def q_shape_drift(spark, sf):
         r.select(comp, F.lit("min_vector").alias("tensor"), F.array(F.lit(1), "mn").alias("shape"))
     )
     return INV.shape_drift(declared, observed)
+
+
+# ---------------------------------------------------------------- step 8: tokens, arrays, shapes, latency
+
+from scrivener.operators import tokens as TK  # noqa: E402
+
+_TK_CTES = FX.SQL_LINES + f""",
+tk_words AS (SELECT unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines),
+tk_vocab AS (SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) AS INTEGER) AS id
+  FROM (SELECT word, count(*) AS freq FROM tk_words GROUP BY word HAVING count(*) >= 20)),
+tk_toks AS (SELECT doc_id, line_no, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos
+  FROM (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{LX.WORD_PATTERN}') AS w FROM fx_lines)),
+tk_enc0 AS (SELECT t.doc_id, t.line_no, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids
+  FROM tk_toks t LEFT JOIN tk_vocab v ON t.word = v.word GROUP BY t.doc_id, t.line_no),
+tk_enc AS (SELECT l.doc_id, l.line_no, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids
+  FROM fx_lines l LEFT JOIN tk_enc0 e ON l.doc_id = e.doc_id AND l.line_no = e.line_no)"""
+
+
+def _vocab(spark, sf):
+    return TK.build_vocab(FX.lines(spark, sf), "text", 20)
+
+
+def _encoded(spark, sf):
+    return TK.encode(FX.lines(spark, sf), _vocab(spark, sf), "text")
+
+
+@register("vocabulary", _w(_TK_CTES, "SELECT word, freq, id FROM tk_vocab"))
+def q_vocabulary(spark, sf):
+    return _vocab(spark, sf).select("word", "freq", "id")
+
+
+@register("encode", _w(_TK_CTES, "SELECT doc_id, line_no, ids FROM tk_enc"))
+def q_encode(spark, sf):
+    return _encoded(spark, sf)
+
+
+@register(
+    "decode",
+    _w(
+        _TK_CTES + """,
+tk_ids AS (SELECT doc_id, line_no, unnest(ids) AS id, unnest(generate_series(1, len(ids))) AS pos FROM tk_enc),
+tk_dec AS (SELECT i.doc_id, i.line_no, string_agg(coalesce(v.word, '<unk>'), ' ' ORDER BY i.pos) AS decoded
+  FROM tk_ids i LEFT JOIN tk_vocab v ON i.id = v.id GROUP BY i.doc_id, i.line_no)""",
+        """SELECT e.doc_id, e.line_no, coalesce(d.decoded, '') AS decoded
+FROM tk_enc e LEFT JOIN tk_dec d ON e.doc_id = d.doc_id AND e.line_no = d.line_no""",
+    ),
+)
+def q_decode(spark, sf):
+    return TK.decode(_encoded(spark, sf), _vocab(spark, sf))
+
+
+@register(
+    "pad_truncate",
+    _w(
+        _TK_CTES,
+        """SELECT doc_id, line_no, CAST(len(ids) AS INTEGER) AS n_ids, ids[1:128] AS truncated,
+  list_resize(ids, 64, 0) AS padded, list_resize(ids, 64, 0)[1:1] AS first_token, ids[1:10] AS preview,
+  list_concat(ids, ids[1:3]) AS appended
+FROM tk_enc""",
+    ),
+)
+def q_pad_truncate(spark, sf):
+    e = _encoded(spark, sf)
+    ids = F.col("ids")
+    padded = TK.pad_to(ids, 64)
+    return e.select("doc_id", "line_no", F.size(ids).alias("n_ids"), TK.truncate(ids, 128).alias("truncated"),
+                    padded.alias("padded"), F.slice(padded, 1, 1).alias("first_token"),
+                    TK.preview(ids, 10).alias("preview"), TK.append_tokens(ids, F.slice(ids, 1, 3)).alias("appended"))
+
+
+@register(
+    "context_budget",
+    _w(
+        _NB_LINES_SQL,
+        f"""SELECT doc_id, line_no, n_tokens, n_tokens + 25 <= 256 AS fits FROM (
+  SELECT doc_id, line_no, CAST(len(regexp_extract_all(lower({_sql_prompt(P.render_header())}), '{LX.WORD_PATTERN}')) AS INTEGER) AS n_tokens
+  FROM fx_nb_lines)""",
+    ),
+)
+def q_context_budget(spark, sf):
+    from scrivener.operators.validate import context_budget
+
+    df = _nb_lines(spark, sf).withColumn("prompt", P.few_shot_prompt(F.col("text")))
+    n = F.size(F.regexp_extract_all(F.lower("prompt"), F.lit(LX.WORD_PATTERN), 0))
+    return df.select("doc_id", "line_no", n.alias("n_tokens")).withColumn(
+        "fits", context_budget(F.col("n_tokens"), 25))
+
+
+@register(
+    "concat_parts",
+    _w(FX.SQL_PARTS, """SELECT vec_id, flatten(list(vals ORDER BY part_no)) AS vals, count(*) AS n_parts,
+  CAST(sum(len(vals)) AS BIGINT) AS total_size FROM fx_parts_v GROUP BY vec_id"""),
+)
+def q_concat_parts(spark, sf):
+    return TK.concat_parts(FX.vector_parts(spark, sf)).select(
+        "vec_id", "vals", "n_parts", F.col("total_size").cast("long").alias("total_size"))
+
+
+@register(
+    "top5_indices",
+    """SELECT vec_id, list_transform(list_grade_up(embedding, 'DESC')[1:5], lambda x: CAST(x - 1 AS INTEGER)) AS top5
+FROM embeddings""",
+)
+def q_top5_indices(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", TK.top_k_indices(F.col("embedding"), 5).alias("top5"))
+
+
+@register(
+    "array_range",
+    """SELECT label, min(list_min(embedding)) AS min_val, max(list_max(embedding)) AS max_val, count(*) AS n
+FROM embeddings GROUP BY label""",
+)
+def q_array_range(spark, sf):
+    from scrivener.sources.tables import read_table
+
+    return TK.value_range(read_table(spark, sf, "embeddings"), "embedding")
+
+
+@register(
+    "shape_profile",
+    _w(FX.SQL_RAGGED, """SELECT label, CAST(min(sz) AS INTEGER) AS min_size, CAST(max(sz) AS INTEGER) AS max_size,
+  CAST(arg_min(sz, (-c, sz)) AS INTEGER) AS common_size
+FROM (SELECT label, len(vals) AS sz, count(*) OVER (PARTITION BY label, len(vals)) AS c FROM fx_ragged)
+GROUP BY label"""),
+)
+def q_shape_profile(spark, sf):
+    return TK.shape_profile(FX.ragged_vectors(spark, sf), "vals")
+
+
+_SQL_SHAPE_MSG = f"""{O.q(V.SHAPE_MSG[0])} || CAST(len(vals) AS VARCHAR) || {O.q(V.SHAPE_MSG[1])} || '64' || {O.q(V.SHAPE_MSG[2])}"""
+
+
+@register(
+    "shape_conformance",
+    _w(FX.SQL_RAGGED, f"SELECT vec_id, {_SQL_SHAPE_MSG} AS message FROM fx_ragged WHERE len(vals) <> 64"),
+)
+def q_shape_conformance(spark, sf):
+    _, bad = V.shape_conformance(FX.ragged_vectors(spark, sf), "vals", 64)
+    return bad.select("vec_id", "message")
+
+
+@register(
+    "mismatch_log",
+    _w(
+        FX.SQL_RAGGED,
+        f"""SELECT vec_id, regexp_extract(message, 'MultiArray shape \\(([^)]*)\\).*the shape \\(([^)]*)\\)', 1) AS actual,
+  regexp_extract(message, 'MultiArray shape \\(([^)]*)\\).*the shape \\(([^)]*)\\)', 2) AS expected
+FROM (SELECT vec_id, {_SQL_SHAPE_MSG} AS message FROM fx_ragged WHERE len(vals) <> 64)""",
+    ),
+)
+def q_mismatch_log(spark, sf):
+    _, bad = V.shape_conformance(FX.ragged_vectors(spark, sf), "vals", 64)
+    actual, expected = V.parse_shape_message(F.col("message"))
+    return bad.select("vec_id", actual.alias("actual"), expected.alias("expected"))
+
+
+@register(
+    "latency",
+    _w(FX.SQL_RUN_LOG, """SELECT shape, count(*) AS runs, round(avg(ms), 6) AS mean_ms, round(1000.0 / avg(ms), 6) AS runs_per_sec,
+  round(max(n_tokens) * 1000.0 / avg(ms), 6) AS tokens_per_sec FROM fx_run_log GROUP BY shape"""),
+)
+def q_latency(spark, sf):
+    return EV.latency_profile(FX.run_log(spark, sf))
