@@ -932,3 +932,56 @@ def q_mismatch_log(spark, sf):
 )
 def q_latency(spark, sf):
     return EV.latency_profile(FX.run_log(spark, sf))
+
+
+# ---------------------------------------------------------------- step 9: demo post-processing, model step, stream
+
+from scrivener.functions import extract as EX  # noqa: E402
+
+
+@register(
+    "first_sentence",
+    _w(FX.SQL_TYPO_LINES, f"SELECT doc_id, line_no, {O.first_sentence('typo_text')} AS answer FROM fx_typo_lines"),
+)
+def q_first_sentence(spark, sf):
+    df = FX.typo_lines(spark, sf)
+    return df.select("doc_id", "line_no", EX.first_sentence(F.col("typo_text")).alias("answer"))
+
+
+@register(
+    "few_shot_postprocess",
+    _w(FX.SQL_RAW_OUTPUTS, f"SELECT doc_id, line_no, {O.first_sentence(O.cut_role_markers(O.collapse_ws('raw_output')))} AS answer FROM fx_raw"),
+)
+def q_few_shot_postprocess(spark, sf):
+    df = FX.raw_outputs(spark, sf).select("doc_id", "line_no", "raw_output")
+    return EX.few_shot_postprocess(df, "raw_output", "answer").select("doc_id", "line_no", "answer")
+
+
+@register("generate_stub")
+def q_generate_stub(spark, sf):
+    """G1/G2 through mapInPandas with the deterministic stub model (rows-only
+    check: the stub is Python, so no SQL twin)."""
+    from scrivener.operators.generate import generate, load_echo_stub
+
+    df = _nb_lines(spark, sf).select("doc_id", "line_no", "text")
+    df = df.withColumn("prompt", P.few_shot_prompt(F.col("text")))
+    out = generate(df, "prompt", load_echo_stub, max_tokens=25, temperature=0.0)
+    return out.select("doc_id", "line_no", "raw_output")
+
+
+def stream_df(spark, sf):
+    from scrivener.sources.tables import read_table
+    from scrivener.streaming.corrections import run_to_table
+
+    schema = read_table(spark, sf, "documents").schema
+
+    def prepare(s):
+        text = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(FX.BLANK_SUFFIX))).otherwise(F.col("text"))
+        return s.select("doc_id", text.alias("text"), "lang", "source")
+
+    out = run_to_table(spark, sf, schema, prepare=prepare, glob="documents.parquet", keep=["lang", "source"],
+                       add_typos=FX.inject_typos)
+    return out.select("doc_id", "line_no", F.col("typo_text").alias("text"), "corrected", "changed")
+
+
+register("stream_equals_batch", ORACLE["correct_lines"])(stream_df)
