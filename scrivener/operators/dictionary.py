@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from scrivener.functions.sanitize import TOKEN_PATTERN, rules_token_map
 from scrivener.operators.joins import bounded_broadcast, row_count_at_most
 
-MAX_MAP_RULES = 50_000
+# A literal map is searched linearly per lookup, so the map form is kept
+# for small rule tables; larger ones take the join form.
+MAX_MAP_RULES = 1_000
 
 
 def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed", by=()) -> DataFrame:
@@ -40,30 +42,35 @@ def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed",
 
 
 def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
-                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 100_000,
+                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 1_000_000,
                           by=(), typo: str = "typo", fixed: str = "fixed") -> DataFrame:
     """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
-    ``by`` (e.g. ``lang``) the rules are per group and matched on group + word."""
+    ``by`` (e.g. ``lang``) the rules are per group and matched on group + word.
+
+    Plan: the line's pieces are exploded where the line is and probed against
+    the rules (a broadcast hash join when the rules are proven small); only
+    the hits, ``(key, position, fix)``, are shuffled and gathered into one
+    small position → fix map per line; that map is joined back to the lines
+    and applied row-locally.  The lines themselves cross the network at most
+    once, and not at all when AQE finds the hit table small enough to
+    broadcast.
+    """
     keys = list(key_cols)
     pieces = df.select(
         *keys, *by,
-        F.posexplode_outer(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"),
-        F.col(text_col).isNull().alias("_null"),
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"),
     )
     r = bounded_broadcast(normalise_rules(rules, typo, fixed, by), max_broadcast_rows)
     cond = F.lower(pieces["tok"]) == r["key"]
     for b in by:
         cond = cond & (pieces[b] == r[b])
-    hits = pieces.join(r, cond, "left").select(*[pieces[k] for k in keys], "pos", "tok", "_null", "fixed")
-    piece = F.coalesce(F.col("fixed"), F.col("tok"))
-    rebuilt = hits.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", piece.alias("p"))))).alias("_ps"),
-        F.max("_null").alias("_null"),
-    )
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(
-        F.array_join(F.transform("_ps", lambda s: s["p"]), "")
-    )
-    return rebuilt.select(*keys, text.alias(out))
+    hits = pieces.join(r, cond, "inner").select(*[pieces[k] for k in keys], "pos", "fixed")
+    per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("_fix"))
+    j = df.select(*keys, text_col).join(per_line, keys, "left")
+    toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)
+    rebuilt = F.array_join(F.transform(toks, lambda t, i: F.coalesce(F.element_at(F.col("_fix"), i), t)), "")
+    text = F.when(F.col("_fix").isNull(), F.col(text_col)).otherwise(rebuilt)
+    return j.select(*keys, text.alias(out))
 
 
 def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",

@@ -21,3 +21,14 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a derived table once to the shared checkpoint folder (named by
+    ``spark.checkpoint.dir``) and cut its lineage.  Later size checks and
+    joins read the stored rows instead of recomputing the pipeline, and a
+    lost executor does not send the job back to the source."""
+    from scrivener.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

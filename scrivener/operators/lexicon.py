@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.operators.dictionary import apply_dictionary_join
+from scrivener.operators.joins import materialize
 
 WORD_PATTERN = "[a-z]+"
 DEFAULT_MIN_COUNT = 20
@@ -106,7 +107,10 @@ def sample(cands: DataFrame, k: int = 40, temperature: float = 1.0, seed: int =
 def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", by=("lang",),
                       key_cols=("doc_id", "line_no"), out: str = "corrected") -> DataFrame:
     """Rewrite every line with the picked corrections (whole words,
-    case-insensitive; the correction is written in lower case)."""
+    case-insensitive; the correction is written in lower case).  The picks
+    grow with the data, so they are materialised once and then size-checked
+    for the broadcast (the check reads the stored rows, not the pipeline)."""
+    picks = materialize(picks.select(*by, "word", "cand"))
     return apply_dictionary_join(df, picks, text_col, out, key_cols, by=by, typo="word", fixed="cand")
 
 

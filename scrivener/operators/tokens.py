@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.operators.joins import bounded_broadcast
+from scrivener.operators.joins import bounded_broadcast, materialize
 from scrivener.operators.lexicon import WORD_PATTERN, words
 
 UNK_ID = 0
@@ -47,7 +47,8 @@ def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> D
     desc then word; id 0 is the unknown word."""
     counts = words(df, text_col, by=()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     counts = counts.where(F.col("freq") >= min_count)
-    return dense_ids(counts, [F.col("freq").desc(), F.col("word").asc()], "id", start=1)
+    ids = dense_ids(counts, [F.col("freq").desc(), F.col("word").asc()], "id", start=1)
+    return materialize(ids)
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("doc_id", "line_no"),

@@ -985,3 +985,158 @@ def stream_df(spark, sf):
 
 
 register("stream_equals_batch", ORACLE["correct_lines"])(stream_df)
+
+
+# ---------------------------------------------------------------- coverage: S2, S3, F2, F3, E8, E9, other tables
+
+
+@register(
+    "trim_input",
+    _w(FX.SQL_DOCUMENTS, f"SELECT doc_id, {O.utrim('text')} AS text FROM fx_documents"),
+)
+def q_trim_input(spark, sf):
+    from scrivener.operators.lines import trim_input
+
+    return trim_input(FX.documents(spark, sf)).select("doc_id", "text")
+
+
+_SR_CTES, _SR_T = O.sanitize_ctes("fx_single", "text", "corrected", prefix="sr")
+
+
+@register(
+    "single_records",
+    _w(
+        FX.SQL_DOCUMENTS + f",\nfx_single AS (SELECT doc_id, CAST(0 AS INTEGER) AS line_no, {FX._sql_inject('text')} AS text FROM fx_documents),"
+        + _SR_CTES,
+        f"SELECT doc_id, line_no, corrected FROM {_SR_T}",
+    ),
+)
+def q_single_records(spark, sf):
+    """S3: one unit of work per document (blanks kept), dictionary-corrected."""
+    from scrivener.functions.sanitize import sanitize_steps
+    from scrivener.operators.lines import as_single
+
+    d = FX.documents(spark, sf).withColumn("text", FX.inject_typos(F.col("text")))
+    return sanitize_steps(as_single(d), "text", "corrected").select("doc_id", "line_no", "corrected")
+
+
+_FT_EX, _FT_EX_T = O.extract_ctes("fx_nb", "typo_text", "extracted", prefix="fx2")
+_FT_SZ, _FT_SZ_T = O.sanitize_ctes(_FT_EX_T, "extracted", "corrected", prefix="fs2")
+
+
+@register(
+    "fix_typos",
+    _w(
+        FX.SQL_TYPO_LINES + f",\nfx_nb AS (SELECT * FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> '')," + _FT_EX + "," + _FT_SZ,
+        f"SELECT doc_id, line_no, corrected, status FROM {_FT_SZ_T}",
+    ),
+)
+def q_fix_typos(spark, sf):
+    """the defaults form with the dictionary backend (the line itself is
+    the raw answer, then extraction and sanitising)."""
+    from scrivener.plans.correct import fix_typos
+
+    return fix_typos(FX.typo_lines(spark, sf), "typo_text").select("doc_id", "line_no", "corrected", "status")
+
+
+@register("fix_typos_with_options")
+def q_fix_typos_with_options(spark, sf):
+    """validated settings, model backend (stub model through mapInPandas,
+    raw generations checkpointed before extraction).  Rows-only check."""
+    from scrivener.operators.generate import load_echo_stub
+    from scrivener.plans.correct import fix_typos_with_options
+
+    df = FX.typo_lines(spark, sf).select("doc_id", "line_no", "typo_text")
+    out = fix_typos_with_options(df, 0.5, 50, text_col="typo_text", backend="model", load_model=load_echo_stub)
+    return out.select("doc_id", "line_no", "corrected", "status")
+
+
+@register("collapse_whitespace", _w(FX.SQL_RAW_OUTPUTS, f"SELECT doc_id, line_no, {O.collapse_ws('raw_output')} AS collapsed FROM fx_raw"))
+def q_collapse_whitespace(spark, sf):
+    from scrivener.functions.text import collapse_ws
+
+    return FX.raw_outputs(spark, sf).select("doc_id", "line_no", collapse_ws(F.col("raw_output")).alias("collapsed"))
+
+
+@register("role_markers", _w(FX.SQL_RAW_OUTPUTS, f"SELECT doc_id, line_no, {O.cut_role_markers('raw_output')} AS cut FROM fx_raw"))
+def q_role_markers(spark, sf):
+    return FX.raw_outputs(spark, sf).select("doc_id", "line_no", EX.cut_role_markers(F.col("raw_output")).alias("cut"))
+
+
+_CONV_CTES = """
+cv_parts AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS p FROM conversations WHERE text IS NOT NULL),
+cv_kept AS (SELECT conv_id, turn, role, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM cv_parts),
+cv_lines0 AS (SELECT conv_id, turn, role, unnest(q) AS raw_line, CAST(unnest(generate_series(0, len(q) - 1)) AS INTEGER) AS line_no FROM cv_kept),
+cv_lines AS (SELECT conv_id, turn, role, line_no,
+  CASE WHEN suffix(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS text FROM cv_lines0),
+cv_typo AS (SELECT *, """ + FX._sql_inject("text") + f""" AS typo_text FROM cv_lines WHERE {O.utrim('text')} <> '')"""
+_CV_SZ, _CV_SZ_T = O.sanitize_ctes("cv_typo", "typo_text", "corrected", prefix="cvs")
+
+
+@register(
+    "correct_conversations",
+    "WITH " + _CONV_CTES.strip() + "," + _CV_SZ + f"""
+SELECT conv_id, turn, line_no, role, corrected, corrected <> typo_text AS changed FROM {_CV_SZ_T}""",
+)
+def q_correct_conversations(spark, sf):
+    """The same correction job on a second text table, keyed (conv_id, turn, line_no)."""
+    from scrivener.operators.lines import drop_blank, split_lines
+    from scrivener.sources.tables import read_table
+
+    c = read_table(spark, sf, "conversations")
+    lines = c.select("conv_id", "turn", "role", F.posexplode(split_lines(F.col("text"))).alias("line_no", "text"))
+    lines = drop_blank(lines.withColumn("line_no", F.col("line_no").cast("int")))
+    from scrivener.functions.sanitize import sanitize_steps
+
+    out = sanitize_steps(lines.withColumn("typo_text", FX.inject_typos(F.col("text"))), "typo_text", "corrected")
+    return out.select("conv_id", "turn", "line_no", "role", "corrected",
+                      (F.col("corrected") != F.col("typo_text")).alias("changed"))
+
+
+@register(
+    "changed_by_label",
+    _w(_CL_ALL, """SELECT lb.quality, lb.toxic, count(*) AS n_lines, round(avg(CAST(c.changed AS INTEGER)), 6) AS changed_rate
+FROM fx_cl c JOIN labels lb ON c.doc_id = lb.doc_id GROUP BY lb.quality, lb.toxic"""),
+)
+def q_changed_by_label(spark, sf):
+    """A1 split by the quality labels (inner join: labels cover some documents)."""
+    from scrivener.sources.tables import read_table
+
+    labels = read_table(spark, sf, "labels", spread=False).select("doc_id", "quality", "toxic")
+    j = _cl(spark, sf).join(labels, "doc_id", "inner")
+    return EV.changed_rate(j, by=("quality", "toxic"))
+
+
+_BM_SZ, _BM_SZ_T = O.sanitize_ctes("bm_typo", "typo_text", "corrected", prefix="bms")
+
+
+@register(
+    "benchmark_accuracy",
+    """WITH bm_parts AS (SELECT item_id, string_split(text, chr(10)) AS p FROM benchmark WHERE text IS NOT NULL),
+bm_kept AS (SELECT item_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM bm_parts),
+bm_lines AS (SELECT item_id, unnest(q) AS text, CAST(unnest(generate_series(0, len(q) - 1)) AS INTEGER) AS line_no FROM bm_kept),
+bm_typo AS (SELECT *, """ + FX._sql_inject("text") + f""" AS typo_text FROM bm_lines WHERE {O.utrim('text')} <> ''),"""
+    + _BM_SZ
+    + f"""
+SELECT count(*) AS n_lines, CAST(sum(CAST(typo_text <> text AS INTEGER)) AS BIGINT) AS n_with_typos,
+  CAST(sum(CAST(corrected = text AS INTEGER)) AS BIGINT) AS n_exact,
+  round(avg(CAST(corrected = text AS INTEGER)), 6) AS accuracy
+FROM {_BM_SZ_T}""",
+)
+def q_benchmark_accuracy(spark, sf):
+    """A3 on the benchmark passages: typos injected into the clean text, the
+    dictionary job run, exact-match share against the clean line."""
+    from scrivener.operators.lines import drop_blank, explode_lines
+    from scrivener.functions.sanitize import sanitize_steps
+    from scrivener.sources.tables import read_table
+
+    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    lines = drop_blank(explode_lines(b)).withColumn("typo_text", FX.inject_typos(F.col("text")))
+    out = sanitize_steps(lines, "typo_text", "corrected")
+    exact = (F.col("corrected") == F.col("text")).cast("int")
+    return out.agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum((F.col("typo_text") != F.col("text")).cast("long")).alias("n_with_typos"),
+        F.sum(exact.cast("long")).alias("n_exact"),
+        F.round(F.avg(exact), 6).alias("accuracy"),
+    )

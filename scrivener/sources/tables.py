@@ -14,10 +14,25 @@ TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_scan(df) if spread else df
+
+
+def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    The row-local work after the scan (line splitting, regexes) runs in the
+    scan's tasks; a small file with one row group would put all of it in one
+    task.  The check is made at plan time from the file splits: a large
+    input (many splits) is left as it is, so no shuffle is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def read_text_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
