@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.functions.text import collapse_ws, utrim
+from scrivener.functions.text import collapse_ws, fence, utrim
 from scrivener.sources.fixed import END_MARKERS, ROLE_MARKERS, SKIP_PREFIXES
 
 END_MARKER_REGEX = "|".join(re.escape(m).replace("\\\n", "\\n") for m in END_MARKERS)
@@ -83,6 +83,7 @@ def extract_answers(df: DataFrame, raw_col: str = "raw_output", out: str = "extr
         .otherwise(F.lit("ok"))
     )
     df = df.withColumn(out, answer).withColumn("status", status).drop(h, t, fl)
+    df = fence(df, ["branch", out, "status"])
     return df if with_branch else df.drop("branch")
 
 

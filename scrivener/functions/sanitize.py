@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrivener.functions.text import byte_len, col_, utrim
+from scrivener.functions.text import byte_len, col_, fence, utrim
 from scrivener.sources.fixed import DEFAULT_RULES
 
 # Token pattern used by the map form: runs of word characters or of anything
@@ -84,4 +84,4 @@ def sanitize_steps(df, src: str, out: str, rules=None, form: str = "regex"):
     df = df.withColumn(s2, drop_commentary(F.col(s1)))
     rule_fn = rules_regex_chain if form == "regex" else rules_token_map
     df = df.withColumn(out, utrim(rule_fn(F.col(s2), rules)))
-    return df.drop(s1, s2)
+    return fence(df.drop(s1, s2), [out])

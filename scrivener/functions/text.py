@@ -53,3 +53,19 @@ def collapse_ws(c: Column | str) -> Column:
 def sql_ws_literal() -> str:
     """The White_Space set as a DuckDB string literal (for oracle SQL)."""
     return "(" + " || ".join(f"chr({ord(ch)})" for ch in WHITE_SPACE) + ")"
+
+
+def fence(df, cols):
+    """Stop predicate pushdown at a block of staged expressions.
+
+    Pushing a filter through a projection substitutes each column's defining
+    expression; when every stage refers to its input several times, a filter
+    on the last stage would grow exponentially with the number of stages.
+    Re-emitting ``cols`` through a one-element ``inline`` makes them
+    generator outputs, which no filter is pushed below, while filters on the
+    other columns still pass through to the scan.
+    """
+    from pyspark.sql import functions as F
+
+    others = [c for c in df.columns if c not in cols]
+    return df.select(*others, F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
