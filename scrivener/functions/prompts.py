@@ -41,6 +41,11 @@ def few_shot_prompt(text: Column, header: Column | str | None = None) -> Column:
     return F.concat(h, F.lit(INPUT_PREFIX), text, F.lit(PROMPT_SUFFIX))
 
 
+def create_correction_prompt(text: Column, header: Column | str | None = None) -> Column:
+    """The default prompt is the few-shot prompt."""
+    return few_shot_prompt(text, header)
+
+
 def zero_shot_prompt(text: Column) -> Column:
     """P5: ``Fix: <text>``."""
     return F.concat(F.lit(ZERO_SHOT_PREFIX), text)
@@ -69,6 +74,7 @@ __all__ = [
     "render_header",
     "example_block",
     "few_shot_prompt",
+    "create_correction_prompt",
     "zero_shot_prompt",
     "normalise_prompt",
     "strip_prompt",
