@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.extract import extract_answers
+from scrivener.operators.joins import bounded_broadcast
 
 
 def extraction_report(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
@@ -67,11 +68,19 @@ def holds_expected(input_col: str = "text", expected_col: str = "expected") -> C
     return F.exists(F.col(expected_col), lambda x: F.contains(inp, F.lower(x)))
 
 
-def sentence_accuracy(pred: DataFrame, ref: DataFrame, keys=("doc_id", "line_no"), by=("lang",),
+def sentence_accuracy(pred: DataFrame, ref: DataFrame | None = None, keys=("doc_id", "line_no"), by=("lang",),
                       output_col: str = "corrected", expected_col: str = "expected") -> DataFrame:
-    """A3: exact-match share after an inner join of predictions and references
-    on the row key (a unique key, so the join has no hot key)."""
-    j = pred.select(*keys, *by, output_col).join(ref.select(*keys, expected_col), list(keys), "inner")
+    """A3: exact-match share of outputs against references.
+
+    With a separate reference table the two are inner-joined on the row key
+    (a unique key, so the join has no hot key).  When the reference already
+    sits on the prediction row (both derived from the same lines), pass
+    ``ref=None``: the self-join would add a second scan and two shuffles for
+    nothing."""
+    if ref is None:
+        j = pred
+    else:
+        j = pred.select(*keys, *by, output_col).join(ref.select(*keys, expected_col), list(keys), "inner")
     exact = F.coalesce((F.col(output_col) == F.col(expected_col)), F.lit(False)).cast("int")
     return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -86,11 +95,12 @@ def repeatable(a: DataFrame, b: DataFrame) -> DataFrame:
     return diff.agg(F.count(F.lit(1)).alias("n_diff"))
 
 
-def variant_compare(a: DataFrame, b: DataFrame, keys=("doc_id", "line_no"), expected_col: str = "expected",
-                    out_a: str = "out_a", out_b: str = "out_b") -> DataFrame:
+def variant_compare(a: DataFrame, b: DataFrame | None = None, keys=("doc_id", "line_no"),
+                    expected_col: str = "expected", out_a: str = "out_a", out_b: str = "out_b") -> DataFrame:
     """Side by side on the row key; win / tie / loss counts against the
-    expected text."""
-    j = a.join(b, list(keys), "inner")
+    expected text.  Two variant tables are joined on the key; with ``b=None``
+    both outputs are already columns of ``a`` (no join needed)."""
+    j = a if b is None else a.join(b, list(keys), "inner")
     ra = F.coalesce(F.col(out_a) == F.col(expected_col), F.lit(False))
     rb = F.coalesce(F.col(out_b) == F.col(expected_col), F.lit(False))
     outcome = (
@@ -102,7 +112,7 @@ def variant_compare(a: DataFrame, b: DataFrame, keys=("doc_id", "line_no"), expe
 def check_targets(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     """Metrics (metric, value) against targets (metric, op, threshold),
     joined on the metric name; ``passed`` per metric."""
-    j = metrics.join(F.broadcast(targets), "metric", "inner")
+    j = metrics.join(bounded_broadcast(targets, 10_000), "metric", "inner")
     passed = (
         F.when(F.col("op") == ">", F.col("value") > F.col("threshold"))
         .when(F.col("op") == "<", F.col("value") < F.col("threshold"))

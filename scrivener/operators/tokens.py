@@ -38,6 +38,7 @@ def dense_ids(df: DataFrame, order: list[Column], out: str = "id", start: int =
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    # One row per partition: the size is bounded by the partition count n.
     j = s.join(F.broadcast(offsets), "_pid")
     return j.withColumn(out, (F.col("_off") + local + F.lit(start)).cast("int")).drop("_pid", "_mono", "_off")
 

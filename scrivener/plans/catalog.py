@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.operators.joins import bounded_broadcast
 from scrivener.plans import oracle_parts as O
 from scrivener.sources import fixtures as FX
 
@@ -203,7 +204,7 @@ def q_example_count(spark, sf):
 
     ex = example_count(examples_df(spark, LANG_EXAMPLES, group="lang"), "lang")
     per_lang = _nb_lines(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"))
-    out = per_lang.join(F.broadcast(ex), "lang", "left")
+    out = per_lang.join(bounded_broadcast(ex, 10_000), "lang", "left")
     return out.select("lang", "n_lines", F.coalesce("n_examples", F.lit(0).cast("long")).alias("n_examples"))
 
 
@@ -355,7 +356,8 @@ def _cl(spark, sf):
 
     out = correct_lines(FX.typo_lines(spark, sf), text_col="typo_text")
     return out.select("doc_id", "line_no", "lang", "source", F.col("typo_text").alias("text"), "corrected",
-                      "changed", FX.expected_words(F.col("typo_text")).alias("expected"))
+                      "changed", FX.expected_words(F.col("typo_text")).alias("expected"),
+                      F.col("text").alias("original"))
 
 
 @register(
@@ -396,8 +398,9 @@ def q_case_sanity(spark, sf):
 FROM fx_cl p JOIN fx_lines r ON p.doc_id = r.doc_id AND p.line_no = r.line_no GROUP BY p.lang"""),
 )
 def q_sentence_accuracy(spark, sf):
-    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
-    return EV.sentence_accuracy(_cl(spark, sf).drop("expected"), ref)
+    # Prediction and reference come from the same line rows: no self-join.
+    pred = _cl(spark, sf).drop("expected").withColumnRenamed("original", "expected")
+    return EV.sentence_accuracy(pred)
 
 
 @register(
@@ -426,11 +429,10 @@ GROUP BY outcome""",
 def q_variant_compare(spark, sf):
     from scrivener.functions.extract import few_shot_postprocess
 
-    cl = _cl(spark, sf)
-    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
-    a = cl.select("doc_id", "line_no", F.col("corrected").alias("out_a")).join(ref, ["doc_id", "line_no"])
-    b = few_shot_postprocess(cl.select("doc_id", "line_no", "text"), "text", "out_b").drop("text")
-    return EV.variant_compare(a, b)
+    cl = _cl(spark, sf).select("doc_id", "line_no", "text", F.col("corrected").alias("out_a"),
+                               F.col("original").alias("expected"))
+    # Both variants are computed on the same line rows, so no join is needed.
+    return EV.variant_compare(few_shot_postprocess(cl, "text", "out_b"))
 
 
 def _sql_targets() -> str:
@@ -455,10 +457,9 @@ FROM fx_metrics m JOIN fx_targets t ON m.metric = t.metric""",
 def q_targets(spark, sf):
     from scrivener.sources.tables import read_table
 
-    ref = FX.lines(spark, sf).select("doc_id", "line_no", F.col("text").alias("expected"))
     acc = (
-        _cl(spark, sf).select("doc_id", "line_no", "corrected").join(ref, ["doc_id", "line_no"])
-        .agg(F.avg(F.coalesce(F.col("corrected") == F.col("expected"), F.lit(False)).cast("int")).alias("value"))
+        _cl(spark, sf)
+        .agg(F.avg(F.coalesce(F.col("corrected") == F.col("original"), F.lit(False)).cast("int")).alias("value"))
         .select(F.lit("accuracy").alias("metric"), "value")
     )
     lat = read_table(spark, sf, "events").agg(F.avg("value").alias("value")).select(F.lit("latency_ms").alias("metric"), "value")
@@ -753,18 +754,17 @@ def q_shape_drift(spark, sf):
 
     e = read_table(spark, sf, "embeddings")
     comp = F.concat(F.lit("label_"), F.col("label").cast("string")).alias("component")
-    declared = e.groupBy("label").agg(
-        F.max(F.size("embedding")).alias("mx"), F.count(F.lit(1)).cast("int").alias("n")
-    )
-    declared = declared.select(comp, F.lit("vector").alias("tensor"), F.array(F.lit(1), "mx").alias("shape")).unionByName(
-        declared.select(comp, F.lit("batch").alias("tensor"), F.array("n").alias("shape"))
-    )
+
+    def rows(*pairs):
+        # One aggregate per side; its tensors come out as rows via inline.
+        return F.inline(F.array(*[F.struct(F.lit(t).alias("tensor"), shape.alias("shape")) for t, shape in pairs]))
+
+    d = e.groupBy("label").agg(F.max(F.size("embedding")).alias("mx"), F.count(F.lit(1)).cast("int").alias("n"))
+    declared = d.select(comp, rows(("vector", F.array(F.lit(1), "mx")), ("batch", F.array("n"))))
     r = FX.ragged_vectors(spark, sf).groupBy("label").agg(
         F.max(F.size("vals")).alias("mx"), F.min(F.size("vals")).alias("mn")
     )
-    observed = r.select(comp, F.lit("vector").alias("tensor"), F.array(F.lit(1), "mx").alias("shape")).unionByName(
-        r.select(comp, F.lit("min_vector").alias("tensor"), F.array(F.lit(1), "mn").alias("shape"))
-    )
+    observed = r.select(comp, rows(("vector", F.array(F.lit(1), "mx")), ("min_vector", F.array(F.lit(1), "mn"))))
     return INV.shape_drift(declared, observed)
 
 
