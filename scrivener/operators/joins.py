@@ -24,11 +24,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a derived table once to the shared checkpoint folder (named by
-    ``spark.checkpoint.dir``) and cut its lineage.  Later size checks and
-    joins read the stored rows instead of recomputing the pipeline, and a
-    lost executor does not send the job back to the source."""
-    from scrivener.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a derived table once, as Parquet, under the shared checkpoint
+    folder (named by ``spark.checkpoint.dir``) and read it back.
+
+    This cuts the lineage in one job (``Dataset.checkpoint`` on an uncached
+    plan computes it twice: once to count, once to write), later size checks
+    and joins read the stored rows instead of recomputing the pipeline, the
+    planner sees the real file sizes, and a lost executor does not send the
+    job back to the source."""
+    import uuid
+
+    from scrivener.session import scratch_path
+
+    if getattr(df, "_scrivener_stored", False):
+        return df
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    stored = spark.read.parquet(path)
+    stored._scrivener_stored = True
+    return stored

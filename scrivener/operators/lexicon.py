@@ -31,6 +31,7 @@ from scrivener.operators.dictionary import apply_dictionary_join
 from scrivener.operators.joins import materialize
 
 WORD_PATTERN = "[a-z]+"
+NON_WORD_PATTERN = "[^a-z]+"
 DEFAULT_MIN_COUNT = 20
 DEFAULT_MIN_LEN = 3
 # Orders candidates like N5 (distance first, then frequency): one distance
@@ -39,7 +40,12 @@ DISTANCE_WEIGHT = 100.0
 
 
 def words(df: DataFrame, text_col: str = "text", by=("lang",)) -> DataFrame:
-    return df.select(*by, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("word"))
+    """Every maximal run of WORD_PATTERN letters in the lower-cased text, one
+    row each (a split on the complement, empty pieces dropped).  Words never
+    span a newline, so a document table and its line table give the same
+    words; callers pass whole documents to skip the line split."""
+    pieces = F.split(F.lower(F.col(text_col)), NON_WORD_PATTERN)
+    return df.select(*by, F.explode(pieces).alias("word")).where(F.col("word") != "")
 
 
 def build_lexicon(df: DataFrame, text_col: str = "text", by=("lang",), min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
@@ -64,8 +70,36 @@ def deletion_variants(w: Column) -> Column:
     return F.array_union(F.array(w), dels)
 
 
+def _max_len(df: DataFrame, by) -> DataFrame:
+    return df.groupBy(*by).agg(F.max(F.length("word")).alias("_other_max"))
+
+
+def _length_compatible(df: DataFrame, other: DataFrame, by) -> DataFrame:
+    """Keep words that can share a one-deletion variant with some word of
+    ``other``: lengths may differ by at most one.  Exact pruning (no
+    candidate is lost); it keeps junk runs of letters, whose variants cost
+    O(L²) bytes, out of the variant join.  The bound table has one row per
+    group and is joined on the group key (AQE broadcasts it at run time)."""
+    bound = _max_len(other, by)
+    if by:
+        j = df.join(bound, list(by), "inner")
+    else:
+        limit = bound.first()
+        if limit is None or limit["_other_max"] is None:
+            return df.limit(0)
+        j = df.withColumn("_other_max", F.lit(limit["_other_max"]))
+    return j.where(F.length("word") <= F.col("_other_max") + 1).drop("_other_max")
+
+
 def candidates(oov: DataFrame, lexicon: DataFrame, by=("lang",)) -> DataFrame:
-    """N3 + N4: (by..., word, cand, dist, freq)."""
+    """N3 + N4: (by..., word, cand, dist, freq).
+
+    Both inputs are written once to the checkpoint folder: each is read
+    several times below (length bounds, pruning, variants), and recomputing
+    them would rescan the corpus each time."""
+    oov = materialize(oov).select(*by, "word")
+    lexicon = materialize(lexicon).select(*by, "word", "freq")
+    oov, lexicon = _length_compatible(oov, lexicon, by), _length_compatible(lexicon, oov, by)
     ov = oov.select(*by, "word", F.explode(deletion_variants(F.col("word"))).alias("variant"))
     lv = lexicon.select(*by, F.col("word").alias("cand"), "freq",
                         F.explode(deletion_variants(F.col("word"))).alias("variant"))
@@ -118,7 +152,7 @@ def correct_with_corpus(df: DataFrame, reference: DataFrame, text_col: str = "te
                         by=("lang",), min_count: int = DEFAULT_MIN_COUNT, min_len: int = DEFAULT_MIN_LEN,
                         temperature: float = 0.0, k: int = 40, seed: int = 0) -> DataFrame:
     """N1-N7 in one call: lexicon from ``reference``, corrections for ``df``."""
-    lex = build_lexicon(reference, ref_col, by, min_count)
+    lex = materialize(build_lexicon(reference, ref_col, by, min_count))
     oov = find_oov(df, lex, text_col, by, min_len)
     picks = sample(candidates(oov, lex, by), k, temperature, seed, by)
     return apply_corrections(df, picks, text_col, by)

@@ -533,16 +533,26 @@ lx_best AS (SELECT lang, word, cand, dist, freq FROM lx_scored
   QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY dist, freq DESC, cand) = 1)"""
 
 
+# Word statistics are taken from whole documents: words never span a line
+# break and the typo injections hold no newline, so this equals the line
+# tables the oracle uses, without the line split.
 def _lexicon(spark, sf):
-    return LX.build_lexicon(FX.lines(spark, sf), "text")
+    from scrivener.operators.joins import materialize
 
+    return materialize(LX.build_lexicon(FX.documents(spark, sf), "text"))
 
-def _oov(spark, sf):
-    return LX.find_oov(FX.typo_lines(spark, sf), _lexicon(spark, sf), "typo_text")
+
+def _typo_docs(spark, sf):
+    return FX.documents(spark, sf).withColumn("typo_text", FX.inject_typos(F.col("text")))
+
+
+def _oov(spark, sf, lex=None):
+    return LX.find_oov(_typo_docs(spark, sf), lex if lex is not None else _lexicon(spark, sf), "typo_text")
 
 
 def _cands(spark, sf):
-    return LX.candidates(_oov(spark, sf), _lexicon(spark, sf))
+    lex = _lexicon(spark, sf)
+    return LX.candidates(_oov(spark, sf, lex), lex)
 
 
 @register("lexicon", _w(_LX_CTES, "SELECT lang, word, freq FROM lx_lexicon"))
@@ -785,7 +795,8 @@ tk_enc AS (SELECT l.doc_id, l.line_no, coalesce(e.ids, CAST([] AS INTEGER[])) AS
 
 
 def _vocab(spark, sf):
-    return TK.build_vocab(FX.lines(spark, sf), "text", 20)
+    # Word counts from whole documents (same words as the line table).
+    return TK.build_vocab(FX.documents(spark, sf), "text", 20)
 
 
 def _encoded(spark, sf):

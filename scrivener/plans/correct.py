@@ -56,7 +56,9 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
         df = generate(df, "prompt", load_model=load_model, max_tokens=max_tokens,
                       temperature=temperature)
         if persist_raw:
-            df = df.checkpoint(eager=True)
+            from scrivener.operators.joins import materialize
+
+            df = materialize(df)
     else:
         raise ValueError(f"unknown backend {backend!r}")
     df = extract_answers(df, "raw_output", "extracted")
