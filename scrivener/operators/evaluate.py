@@ -20,29 +20,19 @@ def extraction_report(df: DataFrame, raw_col: str = "raw_output") -> DataFrame:
     return ex.groupBy("branch", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_counts(lines: DataFrame, result: DataFrame, text_col: str = "text") -> DataFrame:
+def run_counts(result: DataFrame) -> DataFrame:
     """lines_total (blanks included), lines_blank, lines_processed,
-    lines_failed, lines_changed.  ``result`` is the output of
-    ``correct_corpus`` on ``lines``.  The two inputs are tagged, unioned and
-    summed in one global aggregate (map-side partial sums)."""
-    from scrivener.operators.lines import is_blank
-
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    a = lines.select(
-        one.alias("t"), is_blank(text_col).cast("long").alias("b"),
-        zero.alias("p"), zero.alias("f"), zero.alias("c"),
-    )
-    b = result.select(
-        zero.alias("t"), zero.alias("b"), one.alias("p"),
-        (F.col("status") != "ok").cast("long").alias("f"),
-        F.coalesce(F.col("changed"), F.lit(False)).cast("long").alias("c"),
-    )
-    return a.unionByName(b).agg(
-        F.sum("t").alias("lines_total"),
-        F.sum("b").alias("lines_blank"),
-        F.sum("p").alias("lines_processed"),
-        F.sum("f").alias("lines_failed"),
-        F.sum("c").alias("lines_changed"),
+    lines_failed, lines_changed from one pass over the output of
+    ``correct_corpus(..., keep_blank=True)``: one global aggregate with
+    map-side partial sums."""
+    st = F.col("status")
+    n = lambda c: F.sum(c.cast("long"))
+    return result.agg(
+        F.count(F.lit(1)).alias("lines_total"),
+        n(st == "blank").alias("lines_blank"),
+        n(st != "blank").alias("lines_processed"),
+        n(~st.isin("ok", "blank")).alias("lines_failed"),
+        n(F.coalesce(F.col("changed"), F.lit(False))).alias("lines_changed"),
     )
 
 

@@ -14,14 +14,11 @@ from scrivener.functions.text import col_, utrim
 
 
 def split_lines(text: Column) -> Column:
-    """Lines as an array: split at '\\n', drop one trailing empty piece (text
-    ending with a newline, or empty text), and a trailing '\\r' per line."""
-    parts = F.split(text, "\n", -1)
-    n = F.size(parts)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
-    return F.transform(
-        kept, lambda x: F.when(x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
-    )
+    """Lines as an array: split at '\n' or '\r\n'; one trailing empty piece
+    (text ending with a line break, or empty text) is dropped.  A '\r' not
+    followed by '\n' stays in its line."""
+    parts = F.split(text, r"\r?\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -333,8 +333,10 @@ def q_report(spark, sf):
 )
 def q_run_counts(spark, sf):
     from scrivener.operators.evaluate import run_counts
+    from scrivener.plans.correct import correct_corpus
 
-    return run_counts(FX.typo_lines(spark, sf), correct_corpus_df(spark, sf), "typo_text")
+    stub = lambda d: FX.raw_output_expr(F.col("doc_id"), F.col("line_no"), F.col("typo_text"))
+    return run_counts(correct_corpus(FX.typo_lines(spark, sf), "typo_text", backend=stub, keep_blank=True))
 
 
 # ---------------------------------------------------------------- step 5: evaluation, dictionary
@@ -656,9 +658,8 @@ def q_model_ids(spark, sf):
 
 
 def _sql_split_lines(c: str) -> str:
-    parts = f"string_split({c}, chr(10))"
-    kept = f"CASE WHEN {parts}[len({parts})] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END"
-    return f"list_transform({kept}, lambda x: CASE WHEN suffix(x, chr(13)) THEN left(x, length(x) - 1) ELSE x END)"
+    parts = f"string_split_regex({c}, '\\r?\\n')"
+    return f"CASE WHEN {parts}[len({parts})] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END"
 
 
 @register(
@@ -1075,11 +1076,10 @@ def q_role_markers(spark, sf):
 
 
 _CONV_CTES = """
-cv_parts AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS p FROM conversations WHERE text IS NOT NULL),
+cv_parts AS (SELECT conv_id, turn, role, string_split_regex(text, '\\r?\\n') AS p FROM conversations WHERE text IS NOT NULL),
 cv_kept AS (SELECT conv_id, turn, role, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM cv_parts),
 cv_lines0 AS (SELECT conv_id, turn, role, unnest(q) AS raw_line, CAST(unnest(generate_series(0, len(q) - 1)) AS INTEGER) AS line_no FROM cv_kept),
-cv_lines AS (SELECT conv_id, turn, role, line_no,
-  CASE WHEN suffix(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS text FROM cv_lines0),
+cv_lines AS (SELECT conv_id, turn, role, line_no, raw_line AS text FROM cv_lines0),
 cv_typo AS (SELECT *, """ + FX._sql_inject("text") + f""" AS typo_text FROM cv_lines WHERE {O.utrim('text')} <> '')"""
 _CV_SZ, _CV_SZ_T = O.sanitize_ctes("cv_typo", "typo_text", "corrected", prefix="cvs")
 
@@ -1123,7 +1123,7 @@ _BM_SZ, _BM_SZ_T = O.sanitize_ctes("bm_typo", "typo_text", "corrected", prefix="
 
 @register(
     "benchmark_accuracy",
-    """WITH bm_parts AS (SELECT item_id, string_split(text, chr(10)) AS p FROM benchmark WHERE text IS NOT NULL),
+    """WITH bm_parts AS (SELECT item_id, string_split_regex(text, '\\r?\\n') AS p FROM benchmark WHERE text IS NOT NULL),
 bm_kept AS (SELECT item_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM bm_parts),
 bm_lines AS (SELECT item_id, unnest(q) AS text, CAST(unnest(generate_series(0, len(q) - 1)) AS INTEGER) AS line_no FROM bm_kept),
 bm_typo AS (SELECT *, """ + FX._sql_inject("text") + f""" AS typo_text FROM bm_lines WHERE {O.utrim('text')} <> ''),"""

@@ -35,13 +35,26 @@ def correct_lines(df: DataFrame, text_col: str = "text", out: str = "corrected",
 def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
                    load_model: Callable | None = None, temperature: float = DEFAULT_TEMPERATURE,
                    max_tokens: int = DEFAULT_MAX_TOKENS, examples=None, rules=None,
-                   on_error: str = "row", persist_raw: bool = True) -> DataFrame:
+                   on_error: str = "row", persist_raw: bool = True, keep_blank: bool = False) -> DataFrame:
     """the whole job on a line table ``(doc_id, line_no, text, ...)``.
 
     With ``backend='model'`` the prompt goes through ``generate`` and the raw
     generation is checkpointed (to the shared checkpoint folder) before
     extraction, so a second action never runs the model again.
+
+    With ``keep_blank`` blank lines pass through untouched with
+    ``status='blank'`` (so run counts come from one pass over one table).
     """
+    if keep_blank:
+        from scrivener.operators.lines import is_blank
+
+        blank = df.where(is_blank(text_col)).select(
+            *df.columns, F.lit(None).cast("string").alias("raw_output"), F.lit(None).cast("string").alias("extracted"),
+            F.lit("blank").alias("status"), F.lit(None).cast("string").alias("branch"),
+            F.lit(None).cast("string").alias("corrected"), F.lit(None).cast("boolean").alias("changed"))
+        rest = correct_corpus(df, text_col, backend, load_model, temperature, max_tokens, examples, rules,
+                              on_error, persist_raw, keep_blank=False)
+        return rest.unionByName(blank, allowMissingColumns=True)
     df = drop_blank(df, text_col)
     if callable(backend):
         # A column-expression backend: (df) -> Column of raw generations.

@@ -128,7 +128,7 @@ fx_documents AS (
 
 SQL_LINES = SQL_DOCUMENTS + """,
 fx_parts AS (
-  SELECT doc_id, lang, source, string_split(text, chr(10)) AS p FROM fx_documents WHERE text IS NOT NULL),
+  SELECT doc_id, lang, source, string_split_regex(text, '\\r?\\n') AS p FROM fx_documents WHERE text IS NOT NULL),
 fx_kept AS (
   SELECT doc_id, lang, source, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM fx_parts),
 fx_lines0 AS (
@@ -136,9 +136,7 @@ fx_lines0 AS (
          CAST(unnest(generate_series(0, len(q) - 1)) AS INTEGER) AS line_no
   FROM fx_kept),
 fx_lines AS (
-  SELECT doc_id, line_no, lang, source,
-         CASE WHEN suffix(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS text
-  FROM fx_lines0)"""
+  SELECT doc_id, line_no, lang, source, raw_line AS text FROM fx_lines0)"""
 
 SQL_TYPO_LINES = SQL_LINES + f""",
 fx_typo_lines AS (

@@ -159,3 +159,15 @@ def test_options_are_validated(spark):
     with pytest.raises(ValueError):
         fix_typos_with_options(df, temperature=2.5, max_tokens=10)
     assert math.isclose(0.5, 0.5)
+
+
+@pytest.mark.parametrize(
+    "text,lines",
+    [("a\r\nb\r", ["a", "b\r"]), ("a\n", ["a"]), ("", []), ("\n", [""]), ("a\n\nb", ["a", "", "b"]),
+     ("x\ry\n", ["x\ry"]), ("a\r\n\r\n", ["a", ""])],
+)
+def test_split_lines_line_endings(spark, text, lines):
+    from scrivener.operators.lines import split_lines
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(split_lines(F.col("t")).alias("l")).first()["l"] == lines
