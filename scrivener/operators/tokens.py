@@ -22,25 +22,32 @@ from scrivener.operators.lexicon import WORD_PATTERN, words
 UNK_ID = 0
 PAD_ID = 0
 UNK_TOKEN = "<unk>"
+# (word, id) rows are a few tens of bytes: two million rows stay well under
+# the broadcast size limit.  Larger vocabularies use a shuffle join (AQE
+# splits a hot word on the token side).
+MAX_VOCAB_BROADCAST_ROWS = 2_000_000
 
 
 def dense_ids(df: DataFrame, order: list[Column], out: str = "id", start: int = 1,
               partitions: int | None = None) -> DataFrame:
     """Dense ids ``start..start+n-1`` in ``order`` without a single-task window.
-    ``order`` must be a total order (unique) for the ids to be repeatable."""
+    ``order`` must be a total order (unique) for the ids to be repeatable.
+
+    The range-partitioned, sorted rows are stored once together with their
+    partition id and position in the partition, so the per-partition counts
+    and the final ids are both derived from the same stored rows (two
+    evaluations of the range exchange could sample different bounds)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # An explicit partition count keeps AQE from coalescing this exchange, so
-    # both branches below see the same partitions (the exchange is reused).
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    s = materialize(s.withColumn("_pid", F.spark_partition_id()).withColumn("_local", local))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
     # One row per partition: the size is bounded by the partition count n.
     j = s.join(F.broadcast(offsets), "_pid")
-    return j.withColumn(out, (F.col("_off") + local + F.lit(start)).cast("int")).drop("_pid", "_mono", "_off")
+    return j.withColumn(out, (F.col("_off") + F.col("_local") + F.lit(start)).cast("int")).drop("_pid", "_local", "_off")
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> DataFrame:
@@ -60,7 +67,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("d
         *keys,
         F.posexplode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("pos", "word"),
     )
-    v = bounded_broadcast(vocab.select("word", "id"))
+    v = bounded_broadcast(vocab.select("word", "id"), MAX_VOCAB_BROADCAST_ROWS)
     j = toks.join(v, "word", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))
@@ -72,7 +79,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key_cols=("doc
     """Id sequence → space-joined words (unknown → '<unk>')."""
     keys = list(key_cols)
     toks = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
-    v = bounded_broadcast(vocab.select("id", "word"))
+    v = bounded_broadcast(vocab.select("id", "word"), MAX_VOCAB_BROADCAST_ROWS)
     j = toks.join(v, "id", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("word", F.lit(UNK_TOKEN)).alias("w")))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))
