@@ -35,13 +35,15 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     return df.repartition(target)
 
 
-def read_text_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """Plain-text source (S4): one row per file (``whole=True``) or per line.
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """Plain-text source (S4): one row per file, the whole file as ``text``.
 
-    Returns ``(doc_id BIGINT, text STRING)``; ``doc_id`` is a stable hash of
-    the file path so that reruns and streams agree without a global index.
+    Returns ``(doc_id BIGINT, path STRING, text STRING)``; ``doc_id`` is a
+    hash of the file path, so reruns and streams agree without a global
+    index.  Lines are cut later by ``operators.lines.explode_lines``, which
+    keeps their order as ``line_no``.
     """
     from pyspark.sql import functions as F
 
-    df = spark.read.text(path, wholetext=whole).withColumn("_path", F.input_file_name())
-    return df.select(F.xxhash64("_path").alias("doc_id"), F.col("value").alias("text"))
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return df.select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
