@@ -29,8 +29,12 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     task.  The check is made at plan time from the file splits: a large
     input (many splits) is left as it is, so no shuffle is added at scale.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+        return df
+    if splits >= target:
         return df
     return df.repartition(target)
 

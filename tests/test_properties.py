@@ -87,3 +87,23 @@ def test_model_backend_with_stub(spark):
     direct = correct_corpus(df, "typo_text").select("doc_id", "line_no", F.col("corrected").alias("d"))
     diff = out.join(direct, ["doc_id", "line_no"]).where(~F.col("corrected").eqNullSafe(F.col("d")))
     assert diff.count() == 0
+
+
+def test_stream_restart_is_exactly_once(spark):
+    """A second run over the same checkpoint adds nothing to the sink."""
+    import uuid
+
+    from scrivener.session import scratch_path
+    from scrivener.sources.tables import read_table
+    from scrivener.streaming.corrections import start_file_stream
+
+    schema = read_table(spark, SMALL, "documents", spread=False).schema
+    tag = uuid.uuid4().hex
+    sink, ckpt = scratch_path(spark, f"t-{tag}/out"), scratch_path(spark, f"t-{tag}/ckpt")
+    for _ in range(2):
+        q = start_file_stream(spark, SMALL, schema, sink, ckpt, glob="documents.parquet", keep=["lang"])
+        q.awaitTermination()
+        n = spark.read.parquet(sink).count()
+    lines = FX.lines(spark, SMALL).where(F.trim(F.col("text")) != "").count()
+    assert n > 0 and n <= lines
+    assert spark.read.parquet(sink).groupBy("doc_id", "line_no").count().where("count > 1").count() == 0
