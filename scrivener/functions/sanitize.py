@@ -62,6 +62,28 @@ def rules_token_map(s: Column, rules=None) -> Column:
     return F.when(s.isNull(), s).otherwise(F.array_join(fixed, ""))
 
 
+def apply_rules_staged(df, src: str, out: str, rules=None):
+    """C5 for a small dictionary, staged: one scan with the combined
+    whole-word pattern lists the typos present in the line (lower-cased),
+    then each rule runs its ``regexp_replace`` only on lines that hold it.
+    A line usually holds one or two of the typos, so this does a couple of
+    regex passes instead of one per rule; the matching is the same
+    case-insensitive Unicode whole-word regex, so the result is identical."""
+    rules = rules or DEFAULT_RULES
+    guard = r"(?iU)\b(?:" + "|".join(re.escape(t) for t, _ in rules) + r")\b"
+    hits = f"__{out}_hits"
+    df = df.withColumn(hits, F.transform(F.regexp_extract_all(F.col(src), F.lit(guard), 0), lambda h: F.lower(h)))
+    cur = src
+    for i, (typo, fixed) in enumerate(rules):
+        nxt = f"__{out}_r{i}"
+        replaced = F.regexp_replace(F.col(cur), r"(?iU)\b" + re.escape(typo) + r"\b", _java_replacement(fixed))
+        df = df.withColumn(nxt, F.when(F.array_contains(F.col(hits), typo.lower()), replaced).otherwise(F.col(cur)))
+        if cur != src:
+            df = df.drop(cur)
+        cur = nxt
+    return df.withColumn(out, F.col(cur)).drop(cur, hits)
+
+
 def _java_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
@@ -82,6 +104,10 @@ def sanitize_steps(df, src: str, out: str, rules=None, form: str = "regex"):
     s2 = f"__{out}_s2"
     df = df.withColumn(s1, unquote(utrim(F.col(src))))
     df = df.withColumn(s2, drop_commentary(F.col(s1)))
-    rule_fn = rules_regex_chain if form == "regex" else rules_token_map
-    df = df.withColumn(out, utrim(rule_fn(F.col(s2), rules)))
+    if form == "regex":
+        s3 = f"__{out}_s3"
+        df = apply_rules_staged(df, s2, s3, rules)
+        df = df.withColumn(out, utrim(F.col(s3))).drop(s3)
+    else:
+        df = df.withColumn(out, utrim(rules_token_map(F.col(s2), rules)))
     return fence(df.drop(s1, s2), [out])
