@@ -29,6 +29,7 @@ from scrivener.operators.joins import bounded_broadcast, row_count_at_most
 # A literal map is searched linearly per lookup, so the map form is kept
 # for small rule tables; larger ones take the join form.
 MAX_MAP_RULES = 1_000
+WORD_RUN = r"(?U)\w+"
 
 
 def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed", by=()) -> DataFrame:
@@ -47,7 +48,7 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
     ``by`` (e.g. ``lang``) the rules are per group and matched on group + word.
 
-    Plan: the line's pieces are exploded where the line is and probed against
+    Plan: the line's word runs are exploded where the line is and probed against
     the rules (a broadcast hash join when the rules are proven small); only
     the hits, ``(key, position, fix)``, are shuffled and gathered into one
     small position → fix map per line; that map is joined back to the lines
@@ -56,19 +57,30 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     broadcast.
     """
     keys = list(key_cols)
-    pieces = df.select(
+    words = df.select(
         *keys, *by,
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"),
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RUN), 0)).alias("k", "tok"),
     )
     r = bounded_broadcast(normalise_rules(rules, typo, fixed, by), max_broadcast_rows)
-    cond = F.lower(pieces["tok"]) == r["key"]
+    cond = F.lower(words["tok"]) == r["key"]
     for b in by:
-        cond = cond & (pieces[b] == r[b])
-    hits = pieces.join(r, cond, "inner").select(*[pieces[k] for k in keys], "pos", "fixed")
-    per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "fixed"))).alias("_fix"))
+        cond = cond & (words[b] == r[b])
+    hits = words.join(r, cond, "inner").select(*[words[k] for k in keys], "k", "fixed")
+    per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "fixed"))).alias("_fix"))
     j = df.select(*keys, text_col).join(per_line, keys, "left")
-    toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)
-    rebuilt = F.array_join(F.transform(toks, lambda t, i: F.coalesce(F.element_at(F.col("_fix"), i), t)), "")
+    # Word and non-word runs alternate, so word k is piece 2k + off, where
+    # off is 1 when the text starts with a non-word run.  Computed once per
+    # row, outside the lambda.
+    off = F.when(F.col(text_col).rlike(r"(?U)^\w"), F.lit(0)).otherwise(F.lit(1))
+    j = j.withColumn("_off", F.when(F.col("_fix").isNotNull(), off))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)
+
+    def fix_piece(t, i):
+        rel = i - F.col("_off")
+        word_fix = F.when((rel >= 0) & (rel % 2 == 0), F.element_at(F.col("_fix"), (rel / 2).cast("int")))
+        return F.coalesce(word_fix, t)
+
+    rebuilt = F.array_join(F.transform(pieces, fix_piece), "")
     text = F.when(F.col("_fix").isNull(), F.col(text_col)).otherwise(rebuilt)
     return j.select(*keys, text.alias(out))
 
