@@ -34,36 +34,54 @@ def decode_options(temperature: float) -> dict:
 
 
 def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: int = DEFAULT_MAX_TOKENS,
-             temperature: float = DEFAULT_TEMPERATURE, out: str = "raw_output") -> DataFrame:
-    """G1: add ``out`` (the raw generation) to every row."""
+             temperature: float = DEFAULT_TEMPERATURE, out: str = "raw_output", normalise: bool = True,
+             strip_echo: bool = True) -> DataFrame:
+    """G1: add ``out`` (the raw generation) to every row.
+
+    Around the model call, in the JVM: the prompt end is normalised first
+    (P7), and an echoed prompt is stripped from the generation afterwards,
+    leading spaces, newlines and tabs included (P8).  Only the key columns
+    and the prompt cross into Python."""
+    from pyspark.sql import functions as F
+
+    from scrivener.functions.prompts import normalise_prompt, strip_prompt
+
     opts = decode_options(temperature)
+    sent = "__model_prompt"
+    df = df.withColumn(sent, normalise_prompt(F.col(prompt_col)) if normalise else F.col(prompt_col))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()  # once per task, before the first batch
         for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
+            prompts = pdf[sent].tolist()
             outs = model.generate(prompts, max_tokens=max_tokens, **opts)
             yield pdf.assign(**{out: pd.Series(outs, index=pdf.index, dtype=object)})
 
-    return df.mapInPandas(run, schema)
+    gen = df.mapInPandas(run, schema)
+    if strip_echo:
+        gen = gen.withColumn(out, strip_prompt(F.col(out), F.col(sent)))
+    return gen.drop(sent)
 
 
 class EchoCorrectorStub:
     """Deterministic stand-in model for tests: answers with the last
     ``Input:`` text of the prompt, cut to ``max_tokens`` words, then an
-    end-of-text marker and a repeated example, like a small model would."""
+    end-of-text marker and a repeated example, like a small model would.
+    Every third prompt is echoed in front of the answer, as a decoder that
+    returns prompt plus continuation does."""
 
     def generate(self, prompts, max_tokens: int, temperature: float, top_k):
         outs = []
-        for p in prompts:
+        for n, p in enumerate(prompts):
             if p is None:
                 outs.append(None)
                 continue
             text = p.rsplit("Input: ", 1)[-1]
             text = text.rsplit("\nOutput:", 1)[0]
             words = text.split(" ")
-            outs.append(" " + " ".join(words[:max_tokens]) + "<|endoftext|>\nInput: again")
+            answer = " " + " ".join(words[:max_tokens]) + "<|endoftext|>\nInput: again"
+            outs.append(p + answer if n % 3 == 0 else answer)
         return outs
 
 
