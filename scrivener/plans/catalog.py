@@ -604,6 +604,7 @@ def q_sampled_candidate(spark, sf):
 
 from scrivener.operators import inventory as INV  # noqa: E402
 from scrivener.operators import validate as V  # noqa: E402
+from scrivener.sources.fixed import COMPONENT_RULES  # noqa: E402
 
 
 def _sql_num_text(c: str) -> str:
@@ -675,15 +676,8 @@ def q_stub_pages(spark, sf):
     return p.where("is_stub").select("page_id", "n_bytes", "preview")
 
 
-# The component naming rules (first match wins), then host rules
-# for web pages.  (label, kind, any-of, and-any-of)
-URL_RULES = [
-    ("embeddings", "contains", ["embedding"], []),
-    ("ffn_prefill", "contains", ["ffn"], ["prefill", "pf"]),
-    ("ffn_infer", "contains", ["ffn"], []),
-    ("lm_head", "contains", ["lm_head", "lmhead"], []),
-    ("embeddings", "prefix", ["emb"], []),
-    ("lm_head", "contains", ["head"], []),
+# The component naming rules first, then (ours) host rules for web pages.
+URL_RULES = COMPONENT_RULES + [
     ("ads", "contains", ["ads-", "track"], []),
     ("spam", "contains", ["cheap-", "free-"], []),
     ("mobile", "prefix", ["m."], []),

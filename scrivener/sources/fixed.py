@@ -72,13 +72,16 @@ TARGETS = [
     ("model_size_gb", "<", 3.0),
 ]
 
-# Ordered substring rules for naming components (first match wins).
-# Each entry: (label, any-of substrings, all-of extra substrings).
+# Ordered rules for naming model components (first match wins),
+# on the lower-cased name: (label, kind, any-of substrings, and any-of substrings).
+# No match gives 'unknown_' + the name with '.' replaced by '_'.
 COMPONENT_RULES = [
-    ("embeddings", ["embedding"], []),
-    ("ffn_prefill", ["ffn"], ["prefill", "pf"]),
-    ("ffn_infer", ["ffn"], []),
-    ("lm_head", ["lm_head", "lmhead"], []),
+    ("embeddings", "contains", ["embedding"], []),
+    ("ffn_prefill", "contains", ["ffn"], ["prefill", "pf"]),
+    ("ffn_infer", "contains", ["ffn"], []),
+    ("lm_head", "contains", ["lm_head", "lmhead"], []),
+    ("embeddings", "prefix", ["emb"], []),
+    ("lm_head", "contains", ["head"], []),
 ]
 
 EXAMPLE_SCHEMA = T.StructType(
