@@ -282,8 +282,8 @@ register("correct_corpus", _w(_CC_CTES, "SELECT * FROM fx_cc"))(correct_corpus_d
 
 
 def _sql_json_record(inp: str, out: str) -> str:
-    return (f"to_json({{'input': {inp}, 'output': {out}, 'model': {O.q(RUN_MODEL)}, "
-            f"'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE), 'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}})")
+    return (f"CAST(to_json({{'input': {inp}, 'output': {out}, 'model': {O.q(RUN_MODEL)}, "
+            f"'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE), 'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}}) AS VARCHAR)")
 
 
 @register("json_records", _w(_CC_CTES, f"SELECT doc_id, line_no, {_sql_json_record('text', 'corrected')} AS json FROM fx_cc"))
@@ -297,9 +297,9 @@ def q_json_records(spark, sf):
     "json_per_document",
     _w(
         _CC_CTES,
-        f"""SELECT doc_id, to_json({{'results': list({{'input': text, 'output': corrected}} ORDER BY line_no),
+        f"""SELECT doc_id, CAST(to_json({{'results': list({{'input': text, 'output': corrected}} ORDER BY line_no),
   'model': {O.q(RUN_MODEL)}, 'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE),
-  'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}}) AS json
+  'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}}) AS VARCHAR) AS json
 FROM fx_cc GROUP BY doc_id""",
     ),
 )
@@ -713,7 +713,7 @@ def q_classify_urls(spark, sf):
     "url_inventory",
     """SELECT dir, n_files FROM (
   SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir,
-         sum(CAST(regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^[0-9]+$') AS BIGINT)) AS n_files
+         CAST(sum(CAST(regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^[0-9]+$') AS BIGINT)) AS BIGINT) AS n_files
   FROM pages GROUP BY 1) WHERE n_files > 0""",
 )
 def q_url_inventory(spark, sf):

@@ -39,6 +39,19 @@ def norm(v):
     return repr(v)
 
 
+def spark_type_name(t) -> str:
+    from pyspark.sql import types as T
+
+    simple = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR", T.DoubleType: "DOUBLE",
+              T.BooleanType: "BOOLEAN", T.FloatType: "FLOAT", T.ShortType: "SMALLINT", T.ByteType: "TINYINT"}
+    for k, v in simple.items():
+        if isinstance(t, k):
+            return v
+    if isinstance(t, T.ArrayType):
+        return spark_type_name(t.elementType) + "[]"
+    return t.simpleString().upper()
+
+
 def rows_key(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted("|".join(norm(r[i]) for i in order) for r in rows)
@@ -75,12 +88,17 @@ def main():
         try:
             cur = con.execute(sqls[name])
             dcols = [d[0] for d in cur.description]
+            dtypes = {d[0]: str(d[1]) for d in cur.description}
             drows = cur.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"{name:28s} DUCKDB-ERROR {str(e)[:300]}")
             bad += 1
             continue
         ok_cols = sorted(scols) == sorted(dcols)
+        stypes = {f.name: spark_type_name(f.dataType) for f in df.schema.fields}
+        type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in scols if stypes.get(c) != dtypes.get(c)}
+        if type_diff:
+            print(f"   types differ: {type_diff}")
         a, b = rows_key(scols, srows), rows_key(dcols, drows)
         ok = ok_cols and len(a) == len(b) and a == b
         h = hashlib.sha1("\n".join(a).encode()).hexdigest()[:10]

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
-from oracle_check import TABLES, rows_key
+from oracle_check import TABLES, rows_key, spark_type_name
 
 ORACLE = E.oracle_sql()
 
@@ -30,6 +30,8 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    assert {f.name: spark_type_name(f.dataType) for f in df.schema.fields} == dtypes
     assert rows_key(df.columns, srows) == rows_key(dcols, drows)
 
 
