@@ -55,8 +55,9 @@ def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> D
     desc then word; id 0 is the unknown word."""
     counts = words(df, text_col, by=()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     counts = counts.where(F.col("freq") >= min_count)
-    ids = dense_ids(counts, [F.col("freq").desc(), F.col("word").asc()], "id", start=1)
-    return materialize(ids)
+    # dense_ids stores the sorted rows once; the ids are that stored table
+    # joined to one offset per partition, cheap to read again.
+    return dense_ids(counts, [F.col("freq").desc(), F.col("word").asc()], "id", start=1)
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("doc_id", "line_no"),
