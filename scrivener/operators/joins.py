@@ -29,7 +29,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     This cuts the lineage in one job (``Dataset.checkpoint`` on an uncached
     plan computes it twice: once to count, once to write), later size checks
-    and joins read the stored rows instead of recomputing the pipeline, the
+    and joins read the stored rows instead of recomputing the upstream plan, the
     planner sees the real file sizes, and a lost executor does not send the
     job back to the source."""
     import uuid

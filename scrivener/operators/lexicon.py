@@ -143,7 +143,7 @@ def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", b
     """Rewrite every line with the picked corrections (whole words,
     case-insensitive; the correction is written in lower case).  The picks
     grow with the data, so they are materialised once and then size-checked
-    for the broadcast (the check reads the stored rows, not the pipeline)."""
+    for the broadcast (the check reads the stored rows, not the upstream plan)."""
     picks = materialize(picks.select(*by, "word", "cand"))
     return apply_dictionary_join(df, picks, text_col, out, key_cols, by=by, typo="word", fixed="cand")
 

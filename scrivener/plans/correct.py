@@ -78,8 +78,12 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
     df = sanitize_steps(df, "extracted", "corrected", rules=rules)
     df = df.withColumn("changed", F.col("corrected") != F.col(text_col))
     if on_error == "fail":
-        failed = df.where(F.col("status") != "ok").limit(1).count()
-        if failed:
+        # Write the result once, check the stored rows, hand back the stored
+        # table: the job is not run a second time for the check.
+        from scrivener.operators.joins import materialize
+
+        df = materialize(df)
+        if df.where(F.col("status") != "ok").limit(1).count():
             raise RuntimeError("Model produced empty output")
     return df
 

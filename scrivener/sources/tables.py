@@ -21,20 +21,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     return spread_small_scan(df) if spread else df
 
 
+# A scan with fewer splits than this (and than the cluster's cores) is
+# spread; with at most this many splits of at most maxPartitionBytes each,
+# the extra shuffle moves a few GB at most.
+SPREAD_MAX_SPLITS = 64
+
+
 def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores.
+    """Spread a scan that has only a handful of splits.
 
     The row-local work after the scan (line splitting, regexes) runs in the
     scan's tasks; a small file with one row group would put all of it in one
-    task.  The check is made at plan time from the file splits: a large
-    input (many splits) is left as it is, so no shuffle is added at scale.
+    task.  The check is made at plan time from the file splits: an input with
+    many splits is left as it is, so no shuffle is added at scale.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
         return df
-    if splits >= target:
+    if splits >= min(target, SPREAD_MAX_SPLITS):
         return df
     return df.repartition(target)
 
