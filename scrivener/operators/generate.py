@@ -33,6 +33,19 @@ def decode_options(temperature: float) -> dict:
     return {"temperature": float(temperature), "top_k": SAMPLING_TOP_K}
 
 
+def _ship_package_by_value() -> None:
+    """Let the Python workers run this package's functions without having it
+    installed: PySpark's cloudpickle then serialises functions and classes
+    of ``scrivener`` (and its sub-modules) by value instead of by name."""
+    try:
+        import scrivener
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(scrivener)
+    except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+        pass
+
+
 def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: int = DEFAULT_MAX_TOKENS,
              temperature: float = DEFAULT_TEMPERATURE, out: str = "raw_output", normalise: bool = True,
              strip_echo: bool = True) -> DataFrame:
@@ -46,6 +59,7 @@ def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: i
 
     from scrivener.functions.prompts import normalise_prompt, strip_prompt
 
+    _ship_package_by_value()
     opts = decode_options(temperature)
     sent = "__model_prompt"
     df = df.withColumn(sent, normalise_prompt(F.col(prompt_col)) if normalise else F.col(prompt_col))
