@@ -171,3 +171,27 @@ def test_split_lines_line_endings(spark, text, lines):
 
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(split_lines(F.col("t")).alias("l")).first()["l"] == lines
+
+
+def test_corrector_facade(spark):
+    import json
+
+    from scrivener.plans.corrector import Corrector
+
+    c = Corrector(model="m")
+    assert c.example_count() == 4
+    c.add_example("definately wrong", "definitely wrong")
+    assert c.example_count() == 5
+    docs = spark.createDataFrame([(1, "  this sentance\n\nteh end  "), (2, "quik")], "doc_id long, text string")
+    p = c.prompts(docs).where("doc_id = 2").first()["prompt"]
+    assert "Input: definately wrong\nOutput: definitely wrong\n\n" in p and p.endswith("Input: quik\nOutput:")
+    text = {(r["doc_id"], r["line_no"]): r["corrected"] for r in c.correct_batch(docs).collect()}
+    assert text == {(1, 0): "this sentence", (1, 2): "the end", (2, 0): "quick"}
+    env = json.loads(c.correct_batch(docs, output="json").where("doc_id = 1").first()["json"])
+    assert [r["output"] for r in env["results"]] == ["this sentence", "the end"] and env["model"] == "m"
+    single = c.correct_single(docs, output="verbose").where("doc_id = 2").first()["report"]
+    assert single == "Input:  quik\nOutput: quick\n---"
+    c.clear_examples()
+    assert c.example_count() == 0
+    with pytest.raises(ValueError):
+        c.fix_typos_with_options(docs, 3.0, 25)
