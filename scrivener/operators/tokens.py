@@ -21,6 +21,9 @@ from scrivener.operators.lexicon import WORD_PATTERN, words
 
 UNK_ID = 0
 PAD_ID = 0
+# Fixed value: the fixed-length (64-token) form is only built for sequences of
+# at least this many tokens.
+MIN_BATCH_TOKENS = 10
 UNK_TOKEN = "<unk>"
 # (word, id) rows are a few tens of bytes: two million rows stay well under
 # the broadcast size limit.  Larger vocabularies use a shuffle join (AQE
@@ -92,9 +95,12 @@ def truncate(ids: Column, n: int) -> Column:
     return F.slice(ids, 1, n)
 
 
-def pad_to(ids: Column, n: int, pad: int = PAD_ID) -> Column:
-    """T4: pad with ``pad`` or cut to exactly ``n``."""
-    return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), n)), 1, n)
+def pad_to(ids: Column, n: int, pad: int = PAD_ID, min_len: int = 0) -> Column:
+    """T4: pad with ``pad`` or cut to exactly ``n``; sequences shorter than
+    ``min_len`` get NULL (the fixed-length form is only built for sequences
+    of at least that many tokens)."""
+    fixed = F.slice(F.concat(ids, F.array_repeat(F.lit(pad), n)), 1, n)
+    return fixed if min_len <= 0 else F.when(F.size(ids) >= min_len, fixed)
 
 
 def preview(ids: Column, n: int = 10) -> Column:

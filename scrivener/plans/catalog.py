@@ -828,7 +828,7 @@ def q_decode(spark, sf):
     _w(
         _TK_CTES,
         """SELECT doc_id, line_no, CAST(len(ids) AS INTEGER) AS n_ids, ids[1:128] AS truncated,
-  list_resize(ids, 64, 0) AS padded, list_resize(ids, 64, 0)[1:1] AS first_token, ids[1:10] AS preview,
+  CASE WHEN len(ids) >= 10 THEN list_resize(ids, 64, 0) END AS padded, ids[1:1] AS first_token, ids[1:10] AS preview,
   list_concat(ids, ids[1:3]) AS appended
 FROM tk_enc""",
     ),
@@ -836,9 +836,9 @@ FROM tk_enc""",
 def q_pad_truncate(spark, sf):
     e = _encoded(spark, sf)
     ids = F.col("ids")
-    padded = TK.pad_to(ids, 64)
+    padded = TK.pad_to(ids, 64, min_len=TK.MIN_BATCH_TOKENS)
     return e.select("doc_id", "line_no", F.size(ids).alias("n_ids"), TK.truncate(ids, 128).alias("truncated"),
-                    padded.alias("padded"), F.slice(padded, 1, 1).alias("first_token"),
+                    padded.alias("padded"), F.slice(ids, 1, 1).alias("first_token"),
                     TK.preview(ids, 10).alias("preview"), TK.append_tokens(ids, F.slice(ids, 1, 3)).alias("appended"))
 
 
