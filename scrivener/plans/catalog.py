@@ -297,10 +297,11 @@ def q_json_records(spark, sf):
     "json_per_document",
     _w(
         _CC_CTES,
-        f"""SELECT doc_id, CAST(to_json({{'results': list({{'input': text, 'output': corrected}} ORDER BY line_no),
+        f"""SELECT doc_id, CAST(line_no // 100000 AS INTEGER) AS chunk,
+  CAST(to_json({{'results': list({{'input': text, 'output': corrected}} ORDER BY line_no),
   'model': {O.q(RUN_MODEL)}, 'temperature': CAST({RUN_TEMPERATURE} AS DOUBLE),
   'max_tokens': CAST({RUN_MAX_TOKENS} AS INTEGER)}}) AS VARCHAR) AS json
-FROM fx_cc GROUP BY doc_id""",
+FROM fx_cc GROUP BY doc_id, line_no // 100000""",
     ),
 )
 def q_json_per_document(spark, sf):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scrivener.operators.joins import row_count_at_most
 
 MAX_GLOBAL_ENVELOPE_ROWS = 10_000
+MAX_LINES_PER_ENVELOPE = 100_000
 
 
 def write_text(df: DataFrame, path: str, col: str = "corrected", mode: str = "overwrite") -> None:
@@ -36,9 +37,13 @@ def json_records(df: DataFrame, model: str, temperature: float, max_tokens: int,
 
 
 def json_per_document(df: DataFrame, model: str, temperature: float, max_tokens: int,
-                      input_col: str = "text", output_col: str = "corrected") -> DataFrame:
-    """One batch envelope per document, results in line order.  The
-    group is one document's lines, so its size is bounded by that input row."""
+                      input_col: str = "text", output_col: str = "corrected",
+                      max_lines: int = MAX_LINES_PER_ENVELOPE) -> DataFrame:
+    """Batch envelopes per document, results in line order.  A document
+    with more than ``max_lines`` lines gets one envelope per run of
+    ``max_lines`` lines (``chunk`` 0, 1, ...), so no group grows without
+    bound even when one document holds a large share of all lines."""
+    chunk = F.floor(F.col("line_no") / F.lit(max_lines)).cast("int").alias("chunk")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.col(input_col).alias("input"),
                                                    F.col(output_col).alias("output"))))
     results = F.transform(ordered, lambda r: F.struct(r["input"].alias("input"), r["output"].alias("output")))
@@ -48,7 +53,7 @@ def json_per_document(df: DataFrame, model: str, temperature: float, max_tokens:
         F.lit(float(temperature)).alias("temperature"),
         F.lit(int(max_tokens)).alias("max_tokens"),
     )
-    return df.groupBy("doc_id").agg(F.to_json(env, {"ignoreNullFields": "false"}).alias("json"))
+    return df.groupBy("doc_id", chunk).agg(F.to_json(env, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def json_envelope(df: DataFrame, model: str, temperature: float, max_tokens: int,
@@ -57,7 +62,8 @@ def json_envelope(df: DataFrame, model: str, temperature: float, max_tokens: int
     if not row_count_at_most(df, MAX_GLOBAL_ENVELOPE_ROWS):
         raise ValueError(f"more than {MAX_GLOBAL_ENVELOPE_ROWS} rows: write JSON Lines instead")
     one = df.withColumn("doc_id", F.lit(0))
-    return json_per_document(one, model, temperature, max_tokens, input_col, output_col).first()["json"]
+    return json_per_document(one, model, temperature, max_tokens, input_col, output_col,
+                             max_lines=MAX_GLOBAL_ENVELOPE_ROWS + 1).first()["json"]
 
 
 def render_report(df: DataFrame, input_col: str = "text", output_col: str = "corrected") -> DataFrame:

@@ -195,3 +195,15 @@ def test_corrector_facade(spark):
     assert c.example_count() == 0
     with pytest.raises(ValueError):
         c.fix_typos_with_options(docs, 3.0, 25)
+
+
+def test_envelopes_split_large_documents(spark):
+    import json
+
+    from scrivener.sinks.writers import json_per_document
+
+    rows = [(7, i, f"l{i}", f"L{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, text string, corrected string")
+    env = {r["chunk"]: json.loads(r["json"]) for r in json_per_document(df, "m", 0.0, 25, max_lines=2).collect()}
+    assert sorted(env) == [0, 1, 2]
+    assert [x["output"] for c in sorted(env) for x in env[c]["results"]] == [f"L{i}" for i in range(5)]
