@@ -1105,12 +1105,20 @@ def q_correct_conversations(spark, sf):
 FROM fx_cl c JOIN labels lb ON c.doc_id = lb.doc_id GROUP BY lb.quality, lb.toxic"""),
 )
 def q_changed_by_label(spark, sf):
-    """A1 split by the quality labels (inner join: labels cover some documents)."""
+    """A1 split by the quality labels (inner join: labels cover some
+    documents).  Lines are first summed per document (map-side partial
+    aggregation), so the join sees one row per document, however many lines
+    a document has."""
     from scrivener.sources.tables import read_table
 
+    per_doc = _cl(spark, sf).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
     labels = read_table(spark, sf, "labels", spread=False).select("doc_id", "quality", "toxic")
-    j = _cl(spark, sf).join(labels, "doc_id", "inner")
-    return EV.changed_rate(j, by=("quality", "toxic"))
+    j = per_doc.join(labels, "doc_id", "inner")
+    return j.groupBy("quality", "toxic").agg(
+        F.sum("n").alias("n_lines"),
+        F.round(F.sum("n_changed") / F.sum("n"), 6).alias("changed_rate"),
+    )
 
 
 _BM_SZ, _BM_SZ_T = O.sanitize_ctes("bm_typo", "typo_text", "corrected", prefix="bms")
