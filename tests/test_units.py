@@ -207,3 +207,16 @@ def test_envelopes_split_large_documents(spark):
     env = {r["chunk"]: json.loads(r["json"]) for r in json_per_document(df, "m", 0.0, 25, max_lines=2).collect()}
     assert sorted(env) == [0, 1, 2]
     assert [x["output"] for c in sorted(env) for x in env[c]["results"]] == [f"L{i}" for i in range(5)]
+
+
+def _failing_loader():
+    raise FileNotFoundError("model files not found")
+
+
+def test_model_load_failure_is_an_error(spark):
+    from scrivener.operators.generate import generate
+
+    df = spark.createDataFrame([(1, "Fix: x")], "id int, prompt string")
+    with pytest.raises(Exception) as err:
+        generate(df, "prompt", _failing_loader).collect()
+    assert "model files not found" in str(err.value)
