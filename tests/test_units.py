@@ -209,13 +209,12 @@ def test_envelopes_split_large_documents(spark):
     assert [x["output"] for c in sorted(env) for x in env[c]["results"]] == [f"L{i}" for i in range(5)]
 
 
-def _failing_loader():
-    raise FileNotFoundError("model files not found")
-
-
 def test_model_load_failure_is_an_error(spark):
     from scrivener.operators.generate import generate
 
+    def _failing_loader():  # local, so it is shipped to the workers by value
+        raise FileNotFoundError("model files not found")
+
     df = spark.createDataFrame([(1, "Fix: x")], "id int, prompt string")
     with pytest.raises(Exception) as err:
         generate(df, "prompt", _failing_loader).collect()
