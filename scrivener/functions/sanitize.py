@@ -52,7 +52,10 @@ def rules_regex_chain(s: Column, rules=None) -> Column:
 def rules_token_map(s: Column, rules=None) -> Column:
     """C5/C6 map form: split into word / non-word runs, look each word up in a
     literal map (keys lower-case), join the pieces.  Row-local, no shuffle; for
-    dictionaries whose size is bounded (checked by the caller)."""
+    dictionaries whose size is bounded (checked by the caller).  Keys are
+    compared after ``lower``, so letters that only case-fold under a
+    case-insensitive regex (such as 'ſ' or the Kelvin sign) are not folded
+    here; the regex forms fold them."""
     rules = rules or DEFAULT_RULES
     keys = F.array(*[F.lit(t.lower()) for t, _ in rules])
     vals = F.array(*[F.lit(f) for _, f in rules])
@@ -62,22 +65,30 @@ def rules_token_map(s: Column, rules=None) -> Column:
     return F.when(s.isNull(), s).otherwise(F.array_join(fixed, ""))
 
 
+def _matches(pattern: str):
+    return lambda h: h.rlike(pattern)
+
+
 def apply_rules_staged(df, src: str, out: str, rules=None):
     """C5 for a small dictionary, staged: one scan with the combined
-    whole-word pattern lists the typos present in the line (lower-cased),
-    then each rule runs its ``regexp_replace`` only on lines that hold it.
-    A line usually holds one or two of the typos, so this does a couple of
-    regex passes instead of one per rule; the matching is the same
-    case-insensitive Unicode whole-word regex, so the result is identical."""
+    whole-word pattern lists the words that hit, then each rule runs its
+    ``regexp_replace`` only on lines where one of those words matches the
+    rule.  A line usually holds one or two of the typos, so this does a couple
+    of regex passes instead of one per rule.  Hits are matched to rules with
+    the same case-insensitive Unicode regex (anchored), not with ``lower``,
+    so letters that only case-fold (such as 'ſ' for 's') behave exactly as
+    in the chained form."""
     rules = rules or DEFAULT_RULES
     guard = r"(?iU)\b(?:" + "|".join(re.escape(t) for t, _ in rules) + r")\b"
     hits = f"__{out}_hits"
-    df = df.withColumn(hits, F.transform(F.regexp_extract_all(F.col(src), F.lit(guard), 0), lambda h: F.lower(h)))
+    df = df.withColumn(hits, F.regexp_extract_all(F.col(src), F.lit(guard), 0))
     cur = src
     for i, (typo, fixed) in enumerate(rules):
         nxt = f"__{out}_r{i}"
+        whole = r"(?iU)^" + re.escape(typo) + r"\z"
+        present = F.exists(F.col(hits), _matches(whole))
         replaced = F.regexp_replace(F.col(cur), r"(?iU)\b" + re.escape(typo) + r"\b", _java_replacement(fixed))
-        df = df.withColumn(nxt, F.when(F.array_contains(F.col(hits), typo.lower()), replaced).otherwise(F.col(cur)))
+        df = df.withColumn(nxt, F.when(present, replaced).otherwise(F.col(cur)))
         if cur != src:
             df = df.drop(cur)
         cur = nxt

@@ -50,3 +50,14 @@ def test_null_input_status(spark):
     df = spark.createDataFrame([(1, None)], "id int, raw string")
     r = extract_answers(df, "raw", "extracted").first()
     assert r["extracted"] is None and r["status"] == "null_input"
+
+
+def test_regex_forms_fold_case_like_the_regex(spark):
+    from scrivener.functions.sanitize import apply_rules_staged, rules_regex_chain
+
+    texts = ["ſeperate ſentance", "Keep TEH quik", "İtmes"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    chain = [r["c"] for r in df.select("i", rules_regex_chain(F.col("text")).alias("c")).orderBy("i").collect()]
+    staged = [r["c"] for r in apply_rules_staged(df, "text", "c").orderBy("i").collect()]
+    assert chain == staged
+    assert chain[0] == "separate sentence" and chain[1].endswith("the quick")
