@@ -69,24 +69,38 @@ def _matches(pattern: str):
     return lambda h: h.rlike(pattern)
 
 
+# The non-ASCII letters that a case-insensitive Unicode regex
+# treats as equal to an ASCII letter, and those ASCII letters.
+CASE_FOLD_FROM = "\u0131\u017f\u0130\u212a"
+CASE_FOLD_TO = "isik"
+
+
 def apply_rules_staged(df, src: str, out: str, rules=None):
     """C5 for a small dictionary, staged: one scan with the combined
     whole-word pattern lists the words that hit, then each rule runs its
-    ``regexp_replace`` only on lines where one of those words matches the
-    rule.  A line usually holds one or two of the typos, so this does a couple
-    of regex passes instead of one per rule.  Hits are matched to rules with
-    the same case-insensitive Unicode regex (anchored), not with ``lower``,
-    so letters that only case-fold (such as 'ſ' for 's') behave exactly as
-    in the chained form."""
+    ``regexp_replace`` only on lines where one of those words is that rule's
+    typo.  A line usually holds one or two of the typos, so this does a couple
+    of regex passes instead of one per rule.
+
+    Hits are compared exactly as the case-insensitive regex compares them:
+    for ASCII rule words, by ``lower`` after folding the four letters that
+    such a regex equates with ASCII letters; otherwise with the rule's own
+    anchored regex."""
     rules = rules or DEFAULT_RULES
     guard = r"(?iU)\b(?:" + "|".join(re.escape(t) for t, _ in rules) + r")\b"
     hits = f"__{out}_hits"
-    df = df.withColumn(hits, F.regexp_extract_all(F.col(src), F.lit(guard), 0))
+    found = F.regexp_extract_all(F.col(src), F.lit(guard), 0)
+    ascii_rules = all(t.isascii() for t, _ in rules)
+    if ascii_rules:
+        found = F.transform(found, lambda h: F.lower(F.translate(h, CASE_FOLD_FROM, CASE_FOLD_TO)))
+    df = df.withColumn(hits, found)
     cur = src
     for i, (typo, fixed) in enumerate(rules):
         nxt = f"__{out}_r{i}"
-        whole = r"(?iU)^" + re.escape(typo) + r"\z"
-        present = F.exists(F.col(hits), _matches(whole))
+        if ascii_rules:
+            present = F.array_contains(F.col(hits), typo.lower())
+        else:
+            present = F.exists(F.col(hits), _matches(r"(?iU)^" + re.escape(typo) + r"\z"))
         replaced = F.regexp_replace(F.col(cur), r"(?iU)\b" + re.escape(typo) + r"\b", _java_replacement(fixed))
         df = df.withColumn(nxt, F.when(present, replaced).otherwise(F.col(cur)))
         if cur != src:

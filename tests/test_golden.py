@@ -61,3 +61,14 @@ def test_regex_forms_fold_case_like_the_regex(spark):
     staged = [r["c"] for r in apply_rules_staged(df, "text", "c").orderBy("i").collect()]
     assert chain == staged
     assert chain[0] == "separate sentence" and chain[1].endswith("the quick")
+
+
+def test_non_ascii_rules_use_the_regex_match(spark):
+    from scrivener.functions.sanitize import apply_rules_staged, rules_regex_chain
+
+    rules = [("résumé", "resume"), ("teh", "the")]
+    texts = ["RÉSUMÉ teh", "résumés", "ſome teh"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    chain = [r["c"] for r in df.select("i", rules_regex_chain(F.col("text"), rules).alias("c")).orderBy("i").collect()]
+    staged = [r["c"] for r in apply_rules_staged(df, "text", "c", rules).orderBy("i").collect()]
+    assert chain == staged == ["resume the", "résumés", "ſome the"]
