@@ -44,9 +44,12 @@ def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed",
 
 def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
                           key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 1_000_000,
-                          by=(), typo: str = "typo", fixed: str = "fixed") -> DataFrame:
+                          by=(), typo: str = "typo", fixed: str = "fixed",
+                          unique_keys: bool = False) -> DataFrame:
     """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
     ``by`` (e.g. ``lang``) the rules are per group and matched on group + word.
+    ``unique_keys`` says the rules already hold one lower-case row per key
+    (no normalising aggregate needed).
 
     Plan: the line's word runs are exploded where the line is and probed against
     the rules (a broadcast hash join when the rules are proven small); only
@@ -61,7 +64,11 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
         *keys, *by,
         F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RUN), 0)).alias("k", "tok"),
     )
-    r = bounded_broadcast(normalise_rules(rules, typo, fixed, by), max_broadcast_rows)
+    if unique_keys:
+        r = rules.select(*by, F.col(typo).alias("key"), F.col(fixed).alias("fixed"))
+    else:
+        r = normalise_rules(rules, typo, fixed, by)
+    r = bounded_broadcast(r, max_broadcast_rows)
     cond = F.lower(words["tok"]) == r["key"]
     for b in by:
         cond = cond & (words[b] == r[b])

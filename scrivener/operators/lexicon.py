@@ -144,8 +144,10 @@ def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", b
     case-insensitive; the correction is written in lower case).  The picks
     grow with the data, so they are materialised once and then size-checked
     for the broadcast (the check reads the stored rows, not the upstream plan)."""
+    # One pick per (group, word) and words are lower-case: no re-normalising.
     picks = materialize(picks.select(*by, "word", "cand"))
-    return apply_dictionary_join(df, picks, text_col, out, key_cols, by=by, typo="word", fixed="cand")
+    return apply_dictionary_join(df, picks, text_col, out, key_cols, by=by, typo="word", fixed="cand",
+                                 unique_keys=True)
 
 
 def correct_with_corpus(df: DataFrame, reference: DataFrame, text_col: str = "text", ref_col: str = "text",
