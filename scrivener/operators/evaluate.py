@@ -118,3 +118,24 @@ def latency_profile(run_log: DataFrame) -> DataFrame:
         F.round(1000.0 / F.avg("ms"), 6).alias("runs_per_sec"),
         F.round(F.max("n_tokens") * 1000.0 / F.avg("ms"), 6).alias("tokens_per_sec"),
     )
+
+
+def observe_run_counts(result: DataFrame, name: str = "run_counts"):
+    """A8 without a second pass: the same counts as ``run_counts``, gathered
+    by ``DataFrame.observe`` while the caller's own action (the write of the
+    corrected lines) runs.  Returns (DataFrame to act on, Observation); read
+    ``observation.get`` after the action."""
+    from pyspark.sql import Observation
+
+    st = F.col("status")
+    n = lambda c: F.sum(c.cast("long"))
+    obs = Observation(name)
+    observed = result.observe(
+        obs,
+        F.count(F.lit(1)).alias("lines_total"),
+        n(st == "blank").alias("lines_blank"),
+        n(st != "blank").alias("lines_processed"),
+        n(~st.isin("ok", "blank")).alias("lines_failed"),
+        n(F.coalesce(F.col("changed"), F.lit(False))).alias("lines_changed"),
+    )
+    return observed, obs

@@ -107,3 +107,14 @@ def test_stream_restart_is_exactly_once(spark):
     lines = FX.lines(spark, SMALL).where(F.trim(F.col("text")) != "").count()
     assert n > 0 and n <= lines
     assert spark.read.parquet(sink).groupBy("doc_id", "line_no").count().where("count > 1").count() == 0
+
+
+def test_observed_run_counts_equal_the_report(spark):
+    from scrivener.operators.evaluate import observe_run_counts, run_counts
+    from scrivener.plans.correct import correct_corpus
+
+    stub = lambda d: FX.raw_output_expr(F.col("doc_id"), F.col("line_no"), F.col("typo_text"))
+    result = correct_corpus(FX.typo_lines(spark, SMALL), "typo_text", backend=stub, keep_blank=True)
+    observed, obs = observe_run_counts(result)
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == run_counts(result).first().asDict()
