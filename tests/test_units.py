@@ -219,3 +219,18 @@ def test_model_load_failure_is_an_error(spark):
     with pytest.raises(Exception) as err:
         generate(df, "prompt", _failing_loader).collect()
     assert "model files not found" in str(err.value)
+
+
+def test_binary_file_inventory(spark):
+    import tempfile
+
+    from scrivener.operators.inventory import binary_file_inventory
+
+    root = tempfile.mkdtemp(prefix="scrivener-tree-")
+    for rel in ["m1/embeddings.mlmodelc", "m1/ffn_pf.mlpackage", "m1/readme.txt", "m2/notes.txt", "m3/lm_head.mlmodelc"]:
+        os.makedirs(os.path.join(root, os.path.dirname(rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "w") as f:
+            f.write("x")
+    got = {r["dir"].rstrip("/").split("/")[-1]: r["n_files"]
+           for r in binary_file_inventory(spark, root, r"\.(mlpackage|mlmodelc)$").collect()}
+    assert got == {"m1": 2, "m3": 1}
