@@ -35,7 +35,8 @@ def correct_lines(df: DataFrame, text_col: str = "text", out: str = "corrected",
 def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
                    load_model: Callable | None = None, temperature: float = DEFAULT_TEMPERATURE,
                    max_tokens: int = DEFAULT_MAX_TOKENS, examples=None, rules=None,
-                   on_error: str = "row", persist_raw: bool = True, keep_blank: bool = False) -> DataFrame:
+                   on_error: str = "row", persist_raw: bool = True, keep_blank: bool = False,
+                   skip_blank: bool = True) -> DataFrame:
     """the whole job on a line table ``(doc_id, line_no, text, ...)``.
 
     With ``backend='model'`` the prompt goes through ``generate`` and the raw
@@ -44,6 +45,8 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
 
     With ``keep_blank`` blank lines pass through untouched with
     ``status='blank'`` (so run counts come from one pass over one table).
+    With ``skip_blank=False`` blank inputs are corrected like any other
+    (single-record mode: an empty answer then gives ``empty_output``).
     """
     if keep_blank:
         from scrivener.operators.lines import is_blank
@@ -55,7 +58,8 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
         rest = correct_corpus(df, text_col, backend, load_model, temperature, max_tokens, examples, rules,
                               on_error, persist_raw, keep_blank=False)
         return rest.unionByName(blank, allowMissingColumns=True)
-    df = drop_blank(df, text_col)
+    if skip_blank:
+        df = drop_blank(df, text_col)
     if callable(backend):
         # A column-expression backend: (df) -> Column of raw generations.
         df = df.withColumn("raw_output", backend(df))

@@ -191,6 +191,8 @@ def test_corrector_facade(spark):
     assert [r["output"] for r in env["results"]] == ["this sentence", "the end"] and env["model"] == "m"
     single = c.correct_single(docs, output="verbose").where("doc_id = 2").first()["report"]
     assert single == "Input:  quik\nOutput: quick\n---"
+    blank = spark.createDataFrame([(3, "   ")], "doc_id long, text string")
+    assert c.correct_single(blank).count() == 1 and c.correct_batch(blank).count() == 0
     c.clear_examples()
     assert c.example_count() == 0
     with pytest.raises(ValueError):
