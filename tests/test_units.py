@@ -236,3 +236,22 @@ def test_binary_file_inventory(spark):
     got = {r["dir"].rstrip("/").split("/")[-1]: r["n_files"]
            for r in binary_file_inventory(spark, root, r"\.(mlpackage|mlmodelc)$").collect()}
     assert got == {"m1": 2, "m3": 1}
+
+
+def test_job_entry_point(spark):
+    import json
+    import tempfile
+
+    from scrivener.jobs import main
+
+    src = tempfile.mkdtemp(prefix="scrivener-job-src-")
+    with open(os.path.join(src, "a.txt"), "w") as f:
+        f.write("i cant beleive it\n\nthe quik fox\n")
+    out = os.path.join(tempfile.mkdtemp(prefix="scrivener-job-out-"), "o")
+    assert main(["--input", src, "--output", out, "--output-format", "json", "--model", "m"]) == 0
+    env = json.loads(spark.read.text(out).first()["value"])
+    assert [r["output"] for r in env["results"]] == ["i can't believe it", "the quick fox"]
+    out2 = os.path.join(tempfile.mkdtemp(prefix="scrivener-job-out-"), "o")
+    assert main(["--input", src, "--output", out2]) == 0
+    assert [r["value"] for r in spark.read.text(out2).collect()] == ["i can't believe it", "the quick fox"]
+    assert main(["--input", src, "--output", out2, "--temperature", "3.0"]) == 2
