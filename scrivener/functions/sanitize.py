@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrivener.functions.text import byte_len, col_, fence, utrim
+from scrivener.functions.text import byte_len, col_, fence, fold_key, fold_key_py, utrim
 from scrivener.sources.fixed import DEFAULT_RULES
 
 # Token pattern used by the map form: runs of word characters or of anything
@@ -52,16 +52,18 @@ def rules_regex_chain(s: Column, rules=None) -> Column:
 def rules_token_map(s: Column, rules=None) -> Column:
     """C5/C6 map form: split into word / non-word runs, look each word up in a
     literal map (keys lower-case), join the pieces.  Row-local, no shuffle; for
-    dictionaries whose size is bounded (checked by the caller).  Keys are
-    compared after ``lower``, so letters that only case-fold under a
-    case-insensitive regex (such as 'ſ' or the Kelvin sign) are not folded
-    here; the regex forms fold them."""
+    dictionaries whose size is bounded (checked by the caller).  Words and
+    keys are compared by ``fold_key``, as a case-insensitive regex compares
+    them."""
     rules = rules or DEFAULT_RULES
-    keys = F.array(*[F.lit(t.lower()) for t, _ in rules])
-    vals = F.array(*[F.lit(f) for _, f in rules])
+    first = {}
+    for t, f in rules:
+        first.setdefault(fold_key_py(t), f)
+    keys = F.array(*[F.lit(k) for k in first])
+    vals = F.array(*[F.lit(v) for v in first.values()])
     lookup = F.map_from_arrays(keys, vals)
     pieces = F.regexp_extract_all(s, F.lit(TOKEN_PATTERN), 0)
-    fixed = F.transform(pieces, lambda p: F.coalesce(F.element_at(lookup, F.lower(p)), p))
+    fixed = F.transform(pieces, lambda p: F.coalesce(F.element_at(lookup, fold_key(p)), p))
     return F.when(s.isNull(), s).otherwise(F.array_join(fixed, ""))
 
 
@@ -69,12 +71,6 @@ def _matches(pattern: str):
     return lambda h: h.rlike(pattern)
 
 
-# The non-ASCII letters that a case-insensitive Unicode regex
-# treats as equal to an ASCII letter, and those ASCII letters.
-CASE_FOLD_FROM = "\u0131\u017f\u0130\u212a"
-CASE_FOLD_TO = "isik"
-
-
 def apply_rules_staged(df, src: str, out: str, rules=None):
     """C5 for a small dictionary, staged: one scan with the combined
     whole-word pattern lists the words that hit, then each rule runs its
@@ -92,7 +88,7 @@ def apply_rules_staged(df, src: str, out: str, rules=None):
     found = F.regexp_extract_all(F.col(src), F.lit(guard), 0)
     ascii_rules = all(t.isascii() for t, _ in rules)
     if ascii_rules:
-        found = F.transform(found, lambda h: F.lower(F.translate(h, CASE_FOLD_FROM, CASE_FOLD_TO)))
+        found = F.transform(found, lambda h: fold_key(h))
     df = df.withColumn(hits, found)
     cur = src
     for i, (typo, fixed) in enumerate(rules):

@@ -50,6 +50,23 @@ def collapse_ws(c: Column | str) -> Column:
     return F.regexp_replace(utrim(c), WS_CLASS_JAVA + "+", " ")
 
 
+# The non-ASCII letters that a case-insensitive Unicode regex
+# treats as equal to an ASCII letter (dotless i, long s, dotted capital I,
+# Kelvin sign), and those ASCII letters.
+CASE_FOLD_FROM = "\u0131\u017f\u0130\u212a"
+CASE_FOLD_TO = "isik"
+
+
+def fold_key(c: Column | str) -> Column:
+    """Dictionary key of a word: the four letters above mapped to ASCII, then
+    lower-cased, so key equality agrees with a case-insensitive regex."""
+    return F.lower(F.translate(col_(c), CASE_FOLD_FROM, CASE_FOLD_TO))
+
+
+def fold_key_py(word: str) -> str:
+    return word.translate(str.maketrans(CASE_FOLD_FROM, CASE_FOLD_TO)).lower()
+
+
 def sql_ws_literal() -> str:
     """The White_Space set as a DuckDB string literal (for oracle SQL)."""
     return "(" + " || ".join(f"chr({ord(ch)})" for ch in WHITE_SPACE) + ")"

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.sanitize import TOKEN_PATTERN, rules_token_map
+from scrivener.functions.text import fold_key
 from scrivener.operators.joins import bounded_broadcast, row_count_at_most
 
 # A literal map is searched linearly per lookup, so the map form is kept
@@ -33,10 +34,10 @@ WORD_RUN = r"(?U)\w+"
 
 
 def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed", by=()) -> DataFrame:
-    """One rule per (group, lower-cased typo): the smallest fixed value, so the
+    """One rule per (group, folded typo): the smallest fixed value, so the
     result does not depend on input order."""
     return (
-        rules.select(*by, F.lower(F.col(typo)).alias("key"), F.col(fixed).alias("fixed"))
+        rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
         .groupBy(*by, "key")
         .agg(F.min("fixed").alias("fixed"))
     )
@@ -65,11 +66,11 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
         F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RUN), 0)).alias("k", "tok"),
     )
     if unique_keys:
-        r = rules.select(*by, F.col(typo).alias("key"), F.col(fixed).alias("fixed"))
+        r = rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
     else:
         r = normalise_rules(rules, typo, fixed, by)
     r = bounded_broadcast(r, max_broadcast_rows)
-    cond = F.lower(words["tok"]) == r["key"]
+    cond = fold_key(words["tok"]) == r["key"]
     for b in by:
         cond = cond & (words[b] == r[b])
     hits = words.join(r, cond, "inner").select(*[words[k] for k in keys], "k", "fixed")
@@ -96,7 +97,7 @@ def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", ou
                      key_cols=("doc_id", "line_no"), max_map_rules: int = MAX_MAP_RULES) -> DataFrame:
     """Pick the map form when the rule table is proven small, else the join form."""
     if row_count_at_most(rules, max_map_rules):
-        pairs = normalise_rules(rules).collect()
+        pairs = normalise_rules(rules).collect()  # at most max_map_rules rows, checked above
         mapped = rules_token_map(F.col(text_col), [(p["key"], p["fixed"]) for p in pairs])
         return df.withColumn(out, mapped)
     joined = apply_dictionary_join(df, rules, text_col, out, key_cols)
@@ -109,4 +110,4 @@ def rule_hits(df: DataFrame, rules, text_col: str = "text", by=("lang",)) -> Dat
     aggregation; the line table is never exploded into all its tokens."""
     pattern = r"(?iU)\b(?:" + "|".join(re.escape(t) for t, _ in rules) + r")\b"
     hits = df.select(*by, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("hit"))
-    return hits.groupBy(F.lower("hit").alias("typo"), *by).agg(F.count(F.lit(1)).alias("hits"))
+    return hits.groupBy(fold_key("hit").alias("typo"), *by).agg(F.count(F.lit(1)).alias("hits"))

@@ -42,7 +42,8 @@ def test_split_lines(spark, values):
     assert _column(spark, values, split_lines) == [model(v) for v in values]
 
 
-WORDS = ["teh", "TEH", "Teh", "cant", "itmes", "quik", "tehran", "écant", "teh_x", "a", "sentance", "Typoes"]
+WORDS = ["teh", "TEH", "Teh", "cant", "itmes", "quik", "tehran", "écant", "teh_x", "a", "sentance", "Typoes",
+         "\u017feperate", "qui\u212a", "\u0130tmes", "\u0131tmes"]
 SEPS = [" ", "-", ", ", "'", "\n", "é"]
 
 
