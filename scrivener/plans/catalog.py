@@ -12,9 +12,17 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.functions import extract as EX
+from scrivener.functions import prompts as P
+from scrivener.operators import evaluate as EV
+from scrivener.operators import inventory as INV
+from scrivener.operators import lexicon as LX
+from scrivener.operators import tokens as TK
+from scrivener.operators import validate as V
 from scrivener.operators.joins import bounded_broadcast
 from scrivener.plans import oracle_parts as O
 from scrivener.sources import fixtures as FX
+from scrivener.sources.fixed import COMPONENT_RULES, DEFAULT_EXAMPLES, DEFAULT_RULES, PROMPT_HEADER, TARGETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,8 +120,6 @@ def q_extract_branches(spark, sf):
 
 # ---------------------------------------------------------------- step 3: prompts
 
-from scrivener.functions import prompts as P  # noqa: E402
-from scrivener.sources.fixed import DEFAULT_EXAMPLES, PROMPT_HEADER  # noqa: E402
 
 # Per-language example sets for the grouped-prompt query.
 # 'en' = the default four, 'fr' = the first three, 'es' = one added example,
@@ -342,8 +348,6 @@ def q_run_counts(spark, sf):
 
 # ---------------------------------------------------------------- step 5: evaluation, dictionary
 
-from scrivener.operators import evaluate as EV  # noqa: E402
-from scrivener.sources.fixed import DEFAULT_RULES, TARGETS  # noqa: E402
 
 _CL_ALL = (
     FX.SQL_TYPO_LINES + f",\nfx_nb AS (SELECT * FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> '')," + _CL_CTES
@@ -513,7 +517,6 @@ def q_dictionary_map(spark, sf):
 
 # ---------------------------------------------------------------- step 6: corpus-trained corrector
 
-from scrivener.operators import lexicon as LX  # noqa: E402
 
 
 def _sql_variants(w: str) -> str:
@@ -603,9 +606,6 @@ def q_sampled_candidate(spark, sf):
 
 # ---------------------------------------------------------------- step 7: validation, inventories
 
-from scrivener.operators import inventory as INV  # noqa: E402
-from scrivener.operators import validate as V  # noqa: E402
-from scrivener.sources.fixed import COMPONENT_RULES  # noqa: E402
 
 
 def _sql_num_text(c: str) -> str:
@@ -776,7 +776,6 @@ def q_shape_drift(spark, sf):
 
 # ---------------------------------------------------------------- step 8: tokens, arrays, shapes, latency
 
-from scrivener.operators import tokens as TK  # noqa: E402
 
 _TK_CTES = FX.SQL_LINES + f""",
 tk_words AS (SELECT unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines),
@@ -943,7 +942,6 @@ def q_latency(spark, sf):
 
 # ---------------------------------------------------------------- step 9: demo post-processing, model step, stream
 
-from scrivener.functions import extract as EX  # noqa: E402
 
 
 @register(
