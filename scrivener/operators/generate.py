@@ -68,9 +68,13 @@ def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()  # once per task, before the first batch
         for pdf in batches:
-            prompts = pdf[sent].tolist()
-            outs = model.generate(prompts, max_tokens=max_tokens, **opts)
-            yield pdf.assign(**{out: pd.Series(outs, index=pdf.index, dtype=object)})
+            # Rows without a prompt (e.g. kept blank lines) are not sent.
+            has = pdf[sent].notna()
+            res = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            if has.any():
+                outs = model.generate(pdf.loc[has, sent].tolist(), max_tokens=max_tokens, **opts)
+                res.loc[has] = pd.Series(outs, index=pdf.index[has], dtype=object)
+            yield pdf.assign(**{out: res})
 
     gen = df.mapInPandas(run, schema)
     if strip_echo:

@@ -43,33 +43,32 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
     generation is checkpointed (to the shared checkpoint folder) before
     extraction, so a second action never runs the model again.
 
-    With ``keep_blank`` blank lines pass through untouched with
-    ``status='blank'`` (so run counts come from one pass over one table).
+    With ``keep_blank`` blank lines pass through with ``status='blank'`` and
+    no answer, in the same pass (so run counts come from one scan).
     With ``skip_blank=False`` blank inputs are corrected like any other
     (single-record mode: an empty answer then gives ``empty_output``).
     """
+    from scrivener.operators.lines import is_blank
+
+    blank = F.col("__blank")
     if keep_blank:
-        from scrivener.operators.lines import is_blank
-
-        blank = df.where(is_blank(text_col)).select(
-            *df.columns, F.lit(None).cast("string").alias("raw_output"), F.lit(None).cast("string").alias("extracted"),
-            F.lit("blank").alias("status"), F.lit(None).cast("string").alias("branch"),
-            F.lit(None).cast("string").alias("corrected"), F.lit(None).cast("boolean").alias("changed"))
-        rest = correct_corpus(df, text_col, backend, load_model, temperature, max_tokens, examples, rules,
-                              on_error, persist_raw, keep_blank=False)
-        return rest.unionByName(blank, allowMissingColumns=True)
-    if skip_blank:
-        df = drop_blank(df, text_col)
+        df = df.withColumn("__blank", is_blank(text_col))
+    else:
+        if skip_blank:
+            df = drop_blank(df, text_col)
+        df = df.withColumn("__blank", F.lit(False))
+    # Blank rows (kept only with keep_blank) get no raw output.
+    src = F.when(~blank, F.col(text_col))
     if callable(backend):
         # A column-expression backend: (df) -> Column of raw generations.
-        df = df.withColumn("raw_output", backend(df))
+        df = df.withColumn("raw_output", F.when(~blank, backend(df)))
     elif backend == "dictionary":
-        df = df.withColumn("raw_output", F.col(text_col))
+        df = df.withColumn("raw_output", src)
     elif backend == "model":
         from scrivener.operators.generate import generate
 
         header = render_header(examples)
-        df = df.withColumn("prompt", few_shot_prompt(F.col(text_col), header))
+        df = df.withColumn("prompt", few_shot_prompt(src, header))
         df = generate(df, "prompt", load_model=load_model, max_tokens=max_tokens,
                       temperature=temperature)
         if persist_raw:
@@ -81,6 +80,8 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
     df = extract_answers(df, "raw_output", "extracted")
     df = sanitize_steps(df, "extracted", "corrected", rules=rules)
     df = df.withColumn("changed", F.col("corrected") != F.col(text_col))
+    df = df.withColumn("status", F.when(blank, F.lit("blank")).otherwise(F.col("status")))
+    df = df.withColumn("branch", F.when(~blank, F.col("branch"))).drop("__blank")
     if on_error == "fail":
         # Write the result once, check the stored rows, hand back the stored
         # table: the job is not run a second time for the check.
