@@ -686,10 +686,10 @@ URL_RULES = COMPONENT_RULES + [
 ]
 
 
-def _sql_classify(c: str) -> str:
+def _sql_classify(c: str, rules=None) -> str:
     low = f"lower({c})"
     whens = []
-    for label, kind, any_of, and_any in URL_RULES:
+    for label, kind, any_of, and_any in (rules or URL_RULES):
         fn = "starts_with" if kind == "prefix" else "contains"
         cond = " OR ".join(f"{fn}({low}, {O.q(s)})" for s in any_of)
         if and_any:
@@ -710,6 +710,18 @@ def q_classify_urls(spark, sf):
     return p.select("page_id", "host", V.classify_by_rules(F.col("host"), URL_RULES).alias("kind"))
 
 
+@register(
+    "classify_part_names",
+    f"SELECT p_partkey, p_name, {_sql_classify('p_name', COMPONENT_RULES)} AS kind FROM part",
+)
+def q_classify_part_names(spark, sf):
+    """V7 with the component rules alone on a second name column."""
+    from scrivener.sources.tables import read_table
+
+    p = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    return p.select("p_partkey", "p_name", V.classify_by_rules(F.col("p_name"), COMPONENT_RULES).alias("kind"))
+
+
 @register(
     "url_inventory",
     """SELECT dir, n_files FROM (
