@@ -7,11 +7,14 @@ Two physical forms, picked by the size of the rule table:
   runs.  Row-local: no shuffle of the line table at all.
 * **join form** — for rule tables past the bound (or derived tables that grow
   with the data, such as corpus-trained corrections): word runs are
-  ``posexplode``d, joined to the rules on the lower-cased word, and the line
-  is rebuilt by a ``groupBy`` on the line key with the pieces sorted by
-  position inside the aggregate.  The rules side is broadcast only behind a
-  size check; otherwise it is a shuffle join with AQE skew handling, and a
-  hot word (a third of all tokens) is split by AQE on the token side.
+  ``posexplode``d where the line is and probed against the rules; only the
+  hits ``(line, word position, fix)`` are shuffled, gathered into a small
+  position → fix map per line, joined back to the lines and applied
+  row-locally.  The rules side is broadcast only behind a size check; past
+  it, the rules are first cut to those whose word occurs in the corpus
+  (distinct words, pre-aggregated map-side, semi-joined), which is then
+  broadcast if small enough, else joined by shuffle with AQE skew handling
+  splitting a hot word on the token side.
 
 Both forms give the same text as the chained whole-word regexes.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions.sanitize import TOKEN_PATTERN, rules_token_map
 from scrivener.functions.text import fold_key
-from scrivener.operators.joins import bounded_broadcast, row_count_at_most
+from scrivener.operators.joins import bounded_broadcast, materialize, row_count_at_most
 
 # A literal map is searched linearly per lookup, so the map form is kept
 # for small rule tables; larger ones take the join form.
@@ -69,7 +72,17 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
         r = rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
     else:
         r = normalise_rules(rules, typo, fixed, by)
-    r = bounded_broadcast(r, max_broadcast_rows)
+    if row_count_at_most(r, max_broadcast_rows):
+        r = F.broadcast(r)
+    else:
+        # Too many rules to broadcast: keep only the rules whose word occurs.
+        # The distinct words are pre-aggregated map-side (a hot word is
+        # collapsed before the shuffle) and the semi join has unique keys on
+        # both sides; the rules that remain are usually few enough to
+        # broadcast, otherwise the probe below is a shuffle join that AQE's
+        # skew handling splits.
+        present = words.select(*by, fold_key("tok").alias("key")).distinct()
+        r = bounded_broadcast(materialize(r.join(present, [*by, "key"], "left_semi")), max_broadcast_rows)
     cond = fold_key(words["tok"]) == r["key"]
     for b in by:
         cond = cond & (words[b] == r[b])

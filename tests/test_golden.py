@@ -72,3 +72,15 @@ def test_non_ascii_rules_use_the_regex_match(spark):
     chain = [r["c"] for r in df.select("i", rules_regex_chain(F.col("text"), rules).alias("c")).orderBy("i").collect()]
     staged = [r["c"] for r in apply_rules_staged(df, "text", "c", rules).orderBy("i").collect()]
     assert chain == staged == ["resume the", "résumés", "ſome the"]
+
+
+def test_join_form_without_broadcast_keeps_only_present_rules(spark):
+    from scrivener.operators.dictionary import apply_dictionary_join
+    from scrivener.sources.fixed import rules_df
+
+    rows = [(g["id"], 0, g["extracted"]) for g in GOLDEN]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, text string")
+    small = {r["doc_id"]: r["corrected"] for r in apply_dictionary_join(df, rules_df(spark)).collect()}
+    forced = {r["doc_id"]: r["corrected"]
+              for r in apply_dictionary_join(df, rules_df(spark), max_broadcast_rows=2).collect()}
+    assert small == forced
