@@ -64,8 +64,11 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     broadcast.
     """
     keys = list(key_cols)
+    # Word and non-word runs alternate, so word k is piece 2k + off, where
+    # off is 1 when the text starts with a non-word run (one test per line).
+    off = F.when(F.col(text_col).rlike(r"(?U)^\w"), F.lit(0)).otherwise(F.lit(1))
     words = df.select(
-        *keys, *by,
+        *keys, *by, off.alias("_off"),
         F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RUN), 0)).alias("k", "tok"),
     )
     if unique_keys:
@@ -86,22 +89,12 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     cond = fold_key(words["tok"]) == r["key"]
     for b in by:
         cond = cond & (words[b] == r[b])
-    hits = words.join(r, cond, "inner").select(*[words[k] for k in keys], "k", "fixed")
-    per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "fixed"))).alias("_fix"))
+    piece_no = (F.col("k") * 2 + F.col("_off")).cast("int")
+    hits = words.join(r, cond, "inner").select(*[words[k] for k in keys], piece_no.alias("p"), "fixed")
+    per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "fixed"))).alias("_fix"))
     j = df.select(*keys, text_col).join(per_line, keys, "left")
-    # Word and non-word runs alternate, so word k is piece 2k + off, where
-    # off is 1 when the text starts with a non-word run.  Computed once per
-    # row, outside the lambda.
-    off = F.when(F.col(text_col).rlike(r"(?U)^\w"), F.lit(0)).otherwise(F.lit(1))
-    j = j.withColumn("_off", F.when(F.col("_fix").isNotNull(), off))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)
-
-    def fix_piece(t, i):
-        rel = i - F.col("_off")
-        word_fix = F.when((rel >= 0) & (rel % 2 == 0), F.element_at(F.col("_fix"), (rel / 2).cast("int")))
-        return F.coalesce(word_fix, t)
-
-    rebuilt = F.array_join(F.transform(pieces, fix_piece), "")
+    rebuilt = F.array_join(F.transform(pieces, lambda t, i: F.coalesce(F.element_at(F.col("_fix"), i), t)), "")
     text = F.when(F.col("_fix").isNull(), F.col(text_col)).otherwise(rebuilt)
     return j.select(*keys, text.alias(out))
 

@@ -43,3 +43,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["doc_id", "line_no", "text", "corrected", "changed"]
     assert df.count() > 0
+
+
+def test_filter_on_key_reaches_scan_through_fences(spark):
+    from pyspark.sql import functions as F
+
+    df = E.queries()["correct_corpus"](spark, SMALL).where(F.col("doc_id") == 5)
+    plan = _plan(df)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan
+    assert df.count() == E.queries()["correct_corpus"](spark, SMALL).where("doc_id = 5").count()
