@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.operators.joins import bounded_broadcast, materialize
+from scrivener.operators.joins import bounded_broadcast, materialize, row_count_at_most
 from scrivener.operators.lexicon import WORD_PATTERN, words
 
 UNK_ID = 0
@@ -64,14 +64,24 @@ def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> D
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("doc_id", "line_no"),
-           out: str = "ids") -> DataFrame:
+           out: str = "ids", max_broadcast_rows: int | None = None) -> DataFrame:
     """Words of each line → id sequence (unknown → 0)."""
+    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
     keys = list(key_cols)
     toks = df.select(
         *keys,
         F.posexplode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("pos", "word"),
     )
-    v = bounded_broadcast(vocab.select("word", "id"), MAX_VOCAB_BROADCAST_ROWS)
+    v = vocab.select("word", "id")
+    if row_count_at_most(v, max_broadcast_rows):
+        v = F.broadcast(v)
+    else:
+        # Past the bound: only the vocabulary words that occur in the input
+        # can be looked up, so cut the table to them (distinct words are
+        # pre-aggregated map-side) and broadcast that if it fits; otherwise
+        # the lookup is a shuffle join whose hot words AQE splits.
+        present = toks.select("word").where(F.col("word").isNotNull()).distinct()
+        v = bounded_broadcast(materialize(v.join(present, "word", "left_semi")), max_broadcast_rows)
     j = toks.join(v, "word", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))

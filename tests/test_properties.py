@@ -118,3 +118,13 @@ def test_observed_run_counts_equal_the_report(spark):
     observed, obs = observe_run_counts(result)
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get == run_counts(result).first().asDict()
+
+
+def test_encode_without_broadcast_matches(spark):
+    from scrivener.operators import tokens as TK
+
+    lines = FX.lines(spark, SMALL)
+    vocab = TK.build_vocab(lines, "text", 5)
+    a = TK.encode(lines, vocab, "text")
+    b = TK.encode(lines, vocab, "text", max_broadcast_rows=3)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
