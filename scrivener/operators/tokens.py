@@ -89,11 +89,18 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("d
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key_cols=("doc_id", "line_no"),
-           out: str = "decoded") -> DataFrame:
+           out: str = "decoded", max_broadcast_rows: int | None = None) -> DataFrame:
     """Id sequence → space-joined words (unknown → '<unk>')."""
+    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
     keys = list(key_cols)
     toks = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
-    v = bounded_broadcast(vocab.select("id", "word"), MAX_VOCAB_BROADCAST_ROWS)
+    v = vocab.select("id", "word")
+    if row_count_at_most(v, max_broadcast_rows):
+        v = F.broadcast(v)
+    else:
+        # As in encode: cut the vocabulary to the ids that occur.
+        present = toks.select("id").where(F.col("id").isNotNull()).distinct()
+        v = bounded_broadcast(materialize(v.join(present, "id", "left_semi")), max_broadcast_rows)
     j = toks.join(v, "id", "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("word", F.lit(UNK_TOKEN)).alias("w")))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))

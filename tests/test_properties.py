@@ -128,3 +128,5 @@ def test_encode_without_broadcast_matches(spark):
     a = TK.encode(lines, vocab, "text")
     b = TK.encode(lines, vocab, "text", max_broadcast_rows=3)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    da, db = TK.decode(a, vocab), TK.decode(a, vocab, max_broadcast_rows=3)
+    assert da.exceptAll(db).count() == 0 and db.exceptAll(da).count() == 0
