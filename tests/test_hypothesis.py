@@ -61,3 +61,30 @@ def test_rule_forms_agree(spark, rows):
     staged = {r["doc_id"]: r["c"] for r in apply_rules_staged(df, "text", "c").collect()}
     joined = {r["doc_id"]: r["corrected"] for r in apply_dictionary_join(df, rules_df(spark)).collect()}
     assert chain == tmap == staged == joined
+
+
+PIECES = ["Input:", "Output:", "\n", " ", "<|endoftext|>", "teh", "cant", '"', "'", "(Note:", "(", ")", "abc",
+          "éé", "Fix typos", "I believe this is the answer.", " ", "\r", "x.", "quik"]
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=10).map("".join), min_size=30, max_size=40))
+def test_extraction_and_sanitising_agree_with_oracle_sql(spark, raws):
+    import duckdb
+    import pandas as pd
+
+    from scrivener.functions.extract import extract_answers
+    from scrivener.functions.sanitize import sanitize_steps
+    from scrivener.plans import oracle_parts as O
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw string")
+    out = sanitize_steps(extract_answers(df, "raw", "extracted"), "extracted", "corrected")
+    got = {r["id"]: (r["extracted"], r["status"], r["corrected"]) for r in out.collect()}
+
+    con = duckdb.connect()
+    con.register("raws_df", pd.DataFrame({"id": range(len(raws)), "raw": raws}))
+    ex, ex_t = O.extract_ctes("raws_df", "raw", "extracted")
+    sz, sz_t = O.sanitize_ctes(ex_t, "extracted", "corrected")
+    rows = con.execute(f"WITH {ex.strip()}, {sz.strip()} SELECT id, extracted, status, corrected FROM {sz_t}").fetchall()
+    want = {i: (e, s, c) for i, e, s, c in rows}
+    assert got == want
