@@ -1059,7 +1059,7 @@ def q_fix_typos(spark, sf):
 @register("fix_typos_with_options")
 def q_fix_typos_with_options(spark, sf):
     """validated settings, model backend (stub model through mapInPandas,
-    raw generations checkpointed before extraction).  Rows-only check."""
+    raw generations written once before extraction).  Rows-only check."""
     from scrivener.operators.generate import load_echo_stub
     from scrivener.plans.correct import fix_typos_with_options
 

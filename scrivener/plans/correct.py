@@ -40,7 +40,7 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
     """the whole job on a line table ``(doc_id, line_no, text, ...)``.
 
     With ``backend='model'`` the prompt goes through ``generate`` and the raw
-    generation is checkpointed (to the shared checkpoint folder) before
+    generation is written once (Parquet, under the shared checkpoint folder) before
     extraction, so a second action never runs the model again.
 
     With ``keep_blank`` blank lines pass through with ``status='blank'`` and
