@@ -52,3 +52,18 @@ def test_filter_on_key_reaches_scan_through_fences(spark):
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan
     assert df.count() == E.queries()["correct_corpus"](spark, SMALL).where("doc_id = 5").count()
+
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+MODEL_STEP = {"generate_stub", "fix_typos_with_options"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_STEP - {"stream_equals_batch"}))
+def test_only_the_model_step_runs_python(spark, name):
+    plan = _plan(E.queries()[name](spark, SMALL))
+    assert not any(node in plan for node in PYTHON_NODES), name
+
+
+def test_model_step_is_arrow_batched(spark):
+    plan = _plan(E.queries()["generate_stub"](spark, SMALL))
+    assert "MapInPandas" in plan and "BatchEvalPython" not in plan
