@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import op8_mixing
+from scrivener.llm import op3_kd_search, op8_mixing
+from scrivener.llm import op4_embedding_dedup as op4_embedding_dedup_sql
 from scrivener.llm.common import table
 from scrivener.llm.op1_token_counts import count_tokens
+from scrivener.llm.op2_simhash import simhash_components
+from scrivener.llm.op3_kd_search import top_k
+from scrivener.llm.op4_embedding_dedup import embedding_components
+from scrivener.llm.op6_language_id import identify
 from scrivener.llm.op8_mixing import mix
 from scrivener.llm.op9_bpe import encode_decode
 from scrivener.llm.op10_token_files import ids_crc32, read_tokens, write_tokens
@@ -24,6 +29,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+
+
+def op3_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,11 +62,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_kd_top_k": op3_kd_top_k,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_language_id": op6_language_id,
     "op8_source_mix": op8_source_mix,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE = {
+    "op3_kd_top_k": op3_kd_search.ORACLE,
+    "op4_embedding_dedup": op4_embedding_dedup_sql.ORACLE,
     "op8_source_mix": op8_mixing.ORACLE,
 }
