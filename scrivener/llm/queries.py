@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import op3_kd_search, op8_mixing
-from scrivener.llm import op4_embedding_dedup as op4_embedding_dedup_sql
+from scrivener.llm import op3_kd_search, op5_suffix_automata, op7_suffix_array, op8_mixing
+from scrivener.llm.op4_embedding_dedup import ORACLE as EMBEDDING_DEDUP_SQL
 from scrivener.llm.common import table
 from scrivener.llm.op1_token_counts import count_tokens
 from scrivener.llm.op2_simhash import simhash_components
@@ -41,10 +41,20 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op5_suffix_automata.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op7_suffix_array.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +75,9 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_kd_top_k": op3_kd_top_k,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
@@ -73,6 +85,8 @@ QUERIES = {
 
 ORACLE = {
     "op3_kd_top_k": op3_kd_search.ORACLE,
-    "op4_embedding_dedup": op4_embedding_dedup_sql.ORACLE,
+    "op4_embedding_dedup": EMBEDDING_DEDUP_SQL,
+    "op5_substring_dedup": op5_suffix_automata.ORACLE,
+    "op7_suffix_array_dedup": op7_suffix_array.ORACLE,
     "op8_source_mix": op8_mixing.ORACLE,
 }
