@@ -94,18 +94,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > total).tolist())
 
 
-def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row."""
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, tag, fp long) of every row."""
+    src = df.select(F.col(id_col).alias("id"), (F.lit(0).cast("long") if tag is None else tag).alias("tag"), F.col(text_col).alias("text"))
     id_type = src.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["id", "fp"])
+            for part in slices(batch, 2):
+                fps = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["id", "tag", "fp"])
 
-    return src.mapInArrow(run, f"id {id_type}, fp long")
+    return src.mapInArrow(run, f"id {id_type}, tag long, fp long")
 
 
 def _packed(fp: Column, segments: int) -> Column:
@@ -171,15 +171,36 @@ def links(classes: DataFrame, max_distance: int, segments: int = 16, crowd: int
     return pairs.union(stars).distinct()
 
 
+def _rooted(docs: DataFrame, max_distance: int, segments: int, crowd: int) -> DataFrame:
+    """(fp, first: smallest id of the fingerprint, root: of its component), stored."""
+    classes = store(docs.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(links(classes, max_distance, segments, crowd))
+    out = store(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    drop(classes, roots)
+    return out
+
+
 def simhash_components(df: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
                        segments: int = 16, crowd: int = 64) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row."""
     docs = store(fingerprints(df, shingle, id_col, text_col))
-    classes = store(docs.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(classes, max_distance, segments, crowd))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(docs, max_distance, segments, crowd)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = store(rooted.join(smallest, "root").select("fp", "component_id"))
-    drop(classes, roots)
-    out = docs.join(labels, "fp")
+    out = docs.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
+             segments: int = 16, crowd: int = 64) -> DataFrame:
+    """The rows of ``df`` that stand for their component: of each the row with
+    the smallest id (null last), of rows with that id one (by a hash of all
+    columns), once."""
+    tag = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    docs = store(fingerprints(df, shingle, id_col, text_col, tag))
+    rooted = _rooted(docs, max_distance, segments, crowd)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
+    kept = docs.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("one")).select("one.id", "one.tag")
+    kept = kept.select(F.col("id").alias("__kept_id"), F.col("tag").alias("__kept_tag"))
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"), tag.alias("__tag"))
+    same = (F.col("__tag") == F.col("__kept_tag")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["__tag", "__id"]).select("__row.*")

@@ -217,38 +217,32 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> tup
     return [rows[i]["lang"] for i in known], proto[known]
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` of every row with lang_pred and score."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], row: Column, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score) of every row; ``row`` is what to carry along."""
     labels, proto = model
     shipped = df.sparkSession.sparkContext.broadcast((labels, proto))
-    src = df.select(F.col(text_col).alias("__text"), *id_cols)
-    keep = src.schema.fields[1:]
+    src = df.select(F.col(text_col).alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, protos = shipped.value
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 vecs = _unit(text_vectors(part.column(0).to_pylist()))
+                lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 if names:
                     # Rounded, so that the order in which components are added cannot decide a tie.
                     cos = np.round(vecs @ protos.T, 9)
-                    best = cos.argmax(axis=1)
-                    score = np.clip(cos[np.arange(len(best)), best], 0.0, 1.0)
-                    seen = vecs.any(axis=1)
+                    best, seen = cos.argmax(axis=1), vecs.any(axis=1)
                     lang = [names[b] if s else "und" for b, s in zip(best, seen)]
-                    score = np.where(seen, score, 0.0)
-                else:
-                    lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                                 [*[f.name for f in keep], "lang_pred", "score"])
+                    score = np.where(seen, np.clip(cos[np.arange(len(best)), best], 0.0, 1.0), 0.0)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keep], "lang_pred string", "score double"])
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score): learns from the rows that are not held
     out and predicts every row."""
     model = train(df.where(~held_out(F.col(id_col))), text_col, label_col)
-    out = predict(df, model, [id_col], text_col)
+    out = predict(df, model, F.col(id_col), text_col).withColumnRenamed("row", id_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")

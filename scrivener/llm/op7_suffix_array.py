@@ -148,8 +148,10 @@ def _windows(window: int):
 
 def remove_repeats(df: DataFrame, window: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", crowd: int = 20_000,
                    row: Column | None = None) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row; ``row`` (a
-    struct of columns) is carried as ``row`` in place of the id if given."""
+    """(id, n_bytes, n_removed, n_spans, kept binary, kept_text) of every row;
+    ``row`` (a struct of columns) is carried as ``row`` in place of the id if
+    given.  ``kept_text`` leaves out bytes of characters cut in two, and is null
+    for a null text."""
     docs = keyed(df, id_col, text_col, row)
     spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _windows(window), window, gram, crowd)
     joined = docs.join(spans, ["ord", "tag"], "left").select("row", "text", "spans")
@@ -157,7 +159,7 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = 16, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                size, removed, n, kept = [], [], [], []
+                size, removed, n, kept, as_text = [], [], [], [], []
                 for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     data, runs, at, rest = (text or "").encode(), merged(found), 0, []
                     for lo, hi in runs:
@@ -168,11 +170,12 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = 16, id_col: str
                     removed.append(sum(hi - lo for lo, hi in runs))
                     n.append(len(runs))
                     kept.append(b"".join(rest))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())],
-                                                 ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+                    as_text.append(None if text is None else kept[-1].decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary()),
+                                                  pa.array(as_text, pa.string())], ["row", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     row_type = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(run, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
     return out.withColumnRenamed("row", id_col) if row is None else out
 
 

@@ -26,7 +26,7 @@ size may swap places, which changes no output).  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,11 +72,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """(id, source, size, source_size, target, copies long, taken long) per row."""
+        weights: tuple[int, ...] = (5, 2, 1), most: int = 3, tag: Column | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies long, taken long, tag) per
+    row; ``tag`` is a number that tells apart rows with one id."""
     spark = df.sparkSession
     sizes = store(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                            shuffle_key(F.col(id_col)).alias("key")))
+                            shuffle_key(F.col(id_col)).alias("key"), (F.lit(0).cast("long") if tag is None else tag).alias("tag")))
     targets, held = source_targets(sizes, weights, most)
     n = sizes.count()
     buckets = max(1, n // PER_BUCKET)
@@ -85,10 +86,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "tag").rowsBetween(Window.unboundedPreceding, 0)
     queue = bucketed.withColumn("cum", F.sum("size").over(inside)).alias("q").join(
         starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
-    queue = store(queue.select("q.id", "q.source", "q.size", "s.source_size", "s.target", "s.time_rank", (F.col("cum") + F.col("start")).alias("cum")))
+    queue = store(queue.select("q.id", "q.tag", "q.source", "q.size", "s.source_size", "s.target", "s.time_rank", (F.col("cum") + F.col("start")).alias("cum")))
     drop(sizes, *held)
 
     def finish(turn):
@@ -110,7 +111,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0)
     copies_taken = taken.cast("long")
     return queue.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-                        copies_taken.alias("copies"), (copies_taken * F.col("size")).alias("taken"))
+                        copies_taken.alias("copies"), (copies_taken * F.col("size")).alias("taken"), "tag")
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+               weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it (not at all, once
+    or up to ``most`` times)."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    tag = F.xxhash64(*every)
+    found = mix(df, id_col, source_col, text_col, weights, most, tag)
+    # Rows alike in all columns share a tag; one of them stands for all.
+    copies = found.groupBy("tag").agg(F.sum("copies").cast("int").alias("__n")).where("__n > 0").withColumnRenamed("tag", "__tag")
+    rows = df.select(F.struct(*every).alias("__row"), tag.alias("__tag")).join(copies, "__tag").dropDuplicates(["__tag"])
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")
 
 
 def _cut(copies: DataFrame, budget: int, slices: int):

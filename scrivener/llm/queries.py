@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
