@@ -99,7 +99,7 @@ class SuffixAutomaton:
             if w in self.next[state]:
                 state = self.next[state][w]
                 size += 1
-            while self.length[self.link[state]] >= window:
+            while state and self.length[self.link[state]] >= window:
                 state = self.link[state]
             size = min(size, self.length[state])
             yield self.least[state] if size >= window else None
