@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from scrivener.operators.dictionary import apply_dictionary_join
 from scrivener.operators.joins import materialize
 
-WORD_PATTERN = "[a-z]+"
-NON_WORD_PATTERN = "[^a-z]+"
+# Letters of any script, with their combining marks.
+WORD_PATTERN = r"[\p{L}\p{M}]+"
+NON_WORD_PATTERN = r"[^\p{L}\p{M}]+"
 DEFAULT_MIN_COUNT = 20
 DEFAULT_MIN_LEN = 3
 # Orders candidates like N5 (distance first, then frequency): one distance
@@ -129,7 +130,9 @@ def sample(cands: DataFrame, k: int = 40, temperature: float = 1.0, seed: int =
         return best(cands, by)
     w = Window.partitionBy(*by, "word").orderBy(F.col("dist"), F.col("freq").desc(), F.col("cand"))
     top = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(b) for b in by], F.col("word"), F.col("cand")), F.lit(1 << 52))
+    # 52 uniform bits that any engine can recompute: md5 of "seed|group|word|candidate".
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by], "word", "cand")
+    h = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
     u = (h.cast("double") + 0.5) / float(1 << 52)
     gumbel = -F.log(-F.log(u))
     keyed = top.withColumn("key", score(F.col("dist"), F.col("freq")) / F.lit(float(temperature)) + gumbel)

@@ -16,18 +16,9 @@ from scrivener.functions.prompts import example_block, few_shot_prompt
 from scrivener.operators.joins import bounded_broadcast
 from scrivener.sources.fixed import PROMPT_HEADER
 
-# A prompt must fit a small model context; a group with more examples than
-# this is a configuration error, not data to aggregate.
-MAX_EXAMPLES_PER_GROUP = 64
-
-
 def group_headers(examples: DataFrame, by: str) -> DataFrame:
-    """(by, header): header text of each group's examples in ``ord`` order."""
-    too_many = (
-        examples.groupBy(by).count().where(F.col("count") > MAX_EXAMPLES_PER_GROUP).limit(1).count()
-    )
-    if too_many:
-        raise ValueError(f"more than {MAX_EXAMPLES_PER_GROUP} examples in one group")
+    """(by, header): header text of each group's examples in ``ord`` order.
+    A header is one prompt's text, so a group is as large as the user's prompt."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "typo", "fixed")))
     body = F.array_join(F.transform(ordered, lambda e: example_block(e["typo"], e["fixed"])), "")
     return examples.groupBy(by).agg(F.concat(F.lit(PROMPT_HEADER), body).alias("header"))

@@ -127,7 +127,7 @@ def q_extract_branches(spark, sf):
 LANG_EXAMPLES = (
     [("en", o, t, f) for o, t, f in DEFAULT_EXAMPLES]
     + [("fr", o, t, f) for o, t, f in DEFAULT_EXAMPLES[:3]]
-    + [("es", 1, "definately wrong", "definitely wrong")]
+    + [("es", 1, "it occured twice", "it occurred twice")]
 )
 
 _NB_LINES_SQL = FX.SQL_LINES + f",\nfx_nb_lines AS (SELECT * FROM fx_lines WHERE {O.utrim('text')} <> '')"
@@ -318,7 +318,8 @@ def q_json_per_document(spark, sf):
 
 @register(
     "report",
-    _w(_CC_CTES, "SELECT doc_id, line_no, 'Input:  ' || text || chr(10) || 'Output: ' || corrected || chr(10) || '---' AS report FROM fx_cc"),
+    _w(_CC_CTES, """SELECT doc_id, line_no, status,
+  'Input:  ' || text || chr(10) || 'Output: ' || CASE WHEN corrected IS NULL THEN '[' || status || ']' ELSE corrected END || chr(10) || '---' AS report FROM fx_cc"""),
 )
 def q_report(spark, sf):
     from scrivener.sinks.writers import render_report
@@ -534,7 +535,7 @@ lx_oov AS (SELECT * FROM lx_inwords w WHERE NOT EXISTS (SELECT 1 FROM lx_lexicon
 lx_ov AS (SELECT lang, word, {_sql_variants('word')} AS variant FROM lx_oov),
 lx_lv AS (SELECT lang, word AS cand, freq, {_sql_variants('word')} AS variant FROM lx_lexicon),
 lx_cands AS (SELECT DISTINCT o.lang, o.word, l.cand, l.freq FROM lx_ov o JOIN lx_lv l ON o.lang = l.lang AND o.variant = l.variant),
-lx_scored AS (SELECT *, CAST(levenshtein(word, cand) AS INTEGER) AS dist FROM lx_cands),
+lx_scored AS (SELECT *, CAST(levenshtein({O.one_byte('word')}, {O.one_byte('cand')}) AS INTEGER) AS dist FROM lx_cands),
 lx_best AS (SELECT lang, word, cand, dist, freq FROM lx_scored
   QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY dist, freq DESC, cand) = 1)"""
 
@@ -598,9 +599,18 @@ def q_apply_corrections(spark, sf):
     return LX.apply_corrections(FX.typo_lines(spark, sf), picks, "typo_text")
 
 
-@register("sampled_candidate")
+@register(
+    "sampled_candidate",
+    _w(
+        _LX_CTES + """,
+lx_top AS (SELECT * FROM lx_scored QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY dist, freq DESC, cand) <= 40),
+lx_noise AS (SELECT *, (('0x' || substr(md5('42|' || lang || '|' || word || '|' || cand), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM lx_top)""",
+        """SELECT lang, word, cand, dist, freq FROM lx_noise
+QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY (ln(freq::DOUBLE) - 100.0 * dist) / 0.7 - ln(-ln(u)) DESC) = 1""",
+    ),
+)
 def q_sampled_candidate(spark, sf):
-    """N6 (rows-only check): seeded top-40 temperature draw per word."""
+    """Seeded top-40 temperature draw per word."""
     return LX.sample(_cands(spark, sf), k=40, temperature=0.7, seed=42)
 
 
@@ -618,8 +628,8 @@ def _sql_request_checks() -> list[str]:
         f"CASE WHEN input IS NOT NULL AND stdin THEN {O.q(V.MSG_BOTH_INPUTS)} END",
         f"CASE WHEN config IS NOT NULL AND local_path IS NULL THEN {O.q(V.MSG_CONFIG_NEEDS_PATH)} END",
         f"CASE WHEN NOT coalesce(temperature >= 0.0 AND temperature <= 2.0 AND NOT isnan(temperature), false) "
-        f"THEN {O.q(V.MSG_TEMPERATURE)} || {_sql_num_text('temperature')} END",
-        f"CASE WHEN max_tokens < 1 OR max_tokens > 512 THEN {O.q(V.MSG_MAX_TOKENS)} || CAST(max_tokens AS VARCHAR) END",
+        f"THEN {O.q(V.MSG_TEMPERATURE)} || coalesce({_sql_num_text('temperature')}, 'null') END",
+        f"CASE WHEN coalesce(max_tokens < 1 OR max_tokens > 512, true) THEN {O.q(V.MSG_MAX_TOKENS)} || coalesce(CAST(max_tokens AS VARCHAR), 'null') END",
     ]
 
 
@@ -791,13 +801,13 @@ def q_shape_drift(spark, sf):
 
 _TK_CTES = FX.SQL_LINES + f""",
 tk_words AS (SELECT unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines),
-tk_vocab AS (SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) AS INTEGER) AS id
+tk_vocab AS MATERIALIZED (SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) AS INTEGER) AS id
   FROM (SELECT word, count(*) AS freq FROM tk_words GROUP BY word HAVING count(*) >= 20)),
 tk_toks AS (SELECT doc_id, line_no, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos
   FROM (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{LX.WORD_PATTERN}') AS w FROM fx_lines)),
-tk_enc0 AS (SELECT t.doc_id, t.line_no, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids
+tk_enc0 AS MATERIALIZED (SELECT t.doc_id, t.line_no, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids
   FROM tk_toks t LEFT JOIN tk_vocab v ON t.word = v.word GROUP BY t.doc_id, t.line_no),
-tk_enc AS (SELECT l.doc_id, l.line_no, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids
+tk_enc AS MATERIALIZED (SELECT l.doc_id, l.line_no, coalesce(e.ids, CAST([] AS INTEGER[])) AS ids
   FROM fx_lines l LEFT JOIN tk_enc0 e ON l.doc_id = e.doc_id AND l.line_no = e.line_no)"""
 
 
@@ -806,8 +816,8 @@ def _vocab(spark, sf):
     return TK.build_vocab(FX.documents(spark, sf), "text", 20)
 
 
-def _encoded(spark, sf):
-    return TK.encode(FX.lines(spark, sf), _vocab(spark, sf), "text")
+def _encoded(spark, sf, vocab=None):
+    return TK.encode(FX.lines(spark, sf), vocab if vocab is not None else _vocab(spark, sf), "text")
 
 
 @register("vocabulary", _w(_TK_CTES, "SELECT word, freq, id FROM tk_vocab"))
@@ -832,7 +842,8 @@ FROM tk_enc e LEFT JOIN tk_dec d ON e.doc_id = d.doc_id AND e.line_no = d.line_n
     ),
 )
 def q_decode(spark, sf):
-    return TK.decode(_encoded(spark, sf), _vocab(spark, sf))
+    vocab = _vocab(spark, sf)
+    return TK.decode(_encoded(spark, sf, vocab), vocab)
 
 
 @register(

@@ -67,9 +67,12 @@ def json_envelope(df: DataFrame, model: str, temperature: float, max_tokens: int
 
 
 def render_report(df: DataFrame, input_col: str = "text", output_col: str = "corrected") -> DataFrame:
-    """before/after block per line."""
-    block = F.concat(F.lit("Input:  "), F.col(input_col), F.lit("\nOutput: "), F.col(output_col), F.lit("\n---"))
-    return df.select("doc_id", "line_no", block.alias("report"))
+    """before/after block per line.  A line without output keeps its input
+    and shows its status in brackets; the status column, if there is one, goes along."""
+    status = ["status"] if "status" in df.columns else []
+    missing = F.concat(F.lit("["), F.coalesce(F.col("status"), F.lit("no output")), F.lit("]")) if status else F.lit("[no output]")
+    block = F.concat(F.lit("Input:  "), F.coalesce(F.col(input_col), F.lit("")), F.lit("\nOutput: "), F.coalesce(F.col(output_col), missing), F.lit("\n---"))
+    return df.select("doc_id", "line_no", *status, block.alias("report"))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

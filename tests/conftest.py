@@ -17,6 +17,7 @@ def spark():
     spark = (
         SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scrivener-test-ckpt-"))
