@@ -100,14 +100,18 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
 
 
 def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
-                     key_cols=("doc_id", "line_no"), max_map_rules: int = MAX_MAP_RULES) -> DataFrame:
-    """Pick the map form when the rule table is proven small, else the join form."""
+                     max_map_rules: int = MAX_MAP_RULES) -> DataFrame:
+    """Pick the map form when the rule table is proven small, else the join
+    form; both return every row of ``df`` with ``out``."""
     if row_count_at_most(rules, max_map_rules):
         pairs = normalise_rules(rules).collect()  # at most max_map_rules rows, checked above
         mapped = rules_token_map(F.col(text_col), [(p["key"], p["fixed"]) for p in pairs])
         return df.withColumn(out, mapped)
-    joined = apply_dictionary_join(df, rules, text_col, out, key_cols)
-    return df.join(joined, list(key_cols), "inner")
+    # The join form needs one key per row: rows get a number of their own, in a
+    # stored copy, so null and repeated keys come back as they went in.
+    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    joined = apply_dictionary_join(numbered, rules, text_col, out, ("__row",))
+    return numbered.join(joined, "__row").select(*[c for c in df.columns if c != out], out)
 
 
 def rule_hits(df: DataFrame, rules, text_col: str = "text", by=("lang",)) -> DataFrame:

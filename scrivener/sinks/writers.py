@@ -1,21 +1,17 @@
 """Sinks and output shapes.
 
 Output order is carried by ``(doc_id, line_no)``.  JSON goes out as JSON
-Lines (one record per line, or one envelope per document), written in
-parallel by the executors; a single global envelope array is only built for
-results under a row bound, since it has to pass through one task.
+Lines (one record per line, or one envelope per document) or as one envelope
+spread over ordered part files, written in parallel by the executors.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.operators.joins import row_count_at_most
-
-MAX_GLOBAL_ENVELOPE_ROWS = 10_000
-MAX_LINES_PER_ENVELOPE = 100_000
-
 
 def write_text(df: DataFrame, path: str, col: str = "corrected", mode: str = "overwrite") -> None:
     """Corrected text, one per line, in input order.  A range sort keeps
@@ -37,13 +33,10 @@ def json_records(df: DataFrame, model: str, temperature: float, max_tokens: int,
 
 
 def json_per_document(df: DataFrame, model: str, temperature: float, max_tokens: int,
-                      input_col: str = "text", output_col: str = "corrected",
-                      max_lines: int = MAX_LINES_PER_ENVELOPE) -> DataFrame:
-    """Batch envelopes per document, results in line order.  A document
-    with more than ``max_lines`` lines gets one envelope per run of
-    ``max_lines`` lines (``chunk`` 0, 1, ...), so no group grows without
-    bound even when one document holds a large share of all lines."""
-    chunk = F.floor(F.col("line_no") / F.lit(max_lines)).cast("int").alias("chunk")
+                      input_col: str = "text", output_col: str = "corrected") -> DataFrame:
+    """One batch envelope per document, results in line order.  A
+    document's lines came from one cell of the input, so its envelope is as
+    large as that cell, by a constant; the shape does not depend on size."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.col(input_col).alias("input"),
                                                    F.col(output_col).alias("output"))))
     results = F.transform(ordered, lambda r: F.struct(r["input"].alias("input"), r["output"].alias("output")))
@@ -53,17 +46,27 @@ def json_per_document(df: DataFrame, model: str, temperature: float, max_tokens:
         F.lit(float(temperature)).alias("temperature"),
         F.lit(int(max_tokens)).alias("max_tokens"),
     )
-    return df.groupBy("doc_id", chunk).agg(F.to_json(env, {"ignoreNullFields": "false"}).alias("json"))
+    return df.groupBy("doc_id").agg(F.to_json(env, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def json_envelope(df: DataFrame, model: str, temperature: float, max_tokens: int,
-                  input_col: str = "text", output_col: str = "corrected") -> str:
-    """The single-envelope form for small results only; refused above a bound."""
-    if not row_count_at_most(df, MAX_GLOBAL_ENVELOPE_ROWS):
-        raise ValueError(f"more than {MAX_GLOBAL_ENVELOPE_ROWS} rows: write JSON Lines instead")
-    one = df.withColumn("doc_id", F.lit(0))
-    return json_per_document(one, model, temperature, max_tokens, input_col, output_col,
-                             max_lines=MAX_GLOBAL_ENVELOPE_ROWS + 1).first()["json"]
+                  input_col: str = "text", output_col: str = "corrected") -> DataFrame:
+    """The single-envelope form of a whole run, as ordered lines ``value``: an
+    opening line, one line per result (a comma before all but the first), and
+    a closing line with the settings.  Written as text, the part files in
+    order are one JSON document of any size; no task holds it whole."""
+    spark = df.sparkSession
+    record = F.struct(F.col(input_col).alias("input"), F.col(output_col).alias("output"))
+    rows = df.select(F.lit(1).alias("part"), "doc_id", "line_no", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+    first = df.agg(F.min(F.struct("doc_id", "line_no")).alias("m")).first()["m"]
+    if first is not None:
+        is_first = F.col("doc_id").eqNullSafe(F.lit(first["doc_id"])) & F.col("line_no").eqNullSafe(F.lit(first["line_no"]))
+        rows = rows.withColumn("value", F.when(is_first, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    settings = json.dumps({"model": model, "temperature": float(temperature), "max_tokens": int(max_tokens)})
+    frame = spark.createDataFrame([(0, '{"results":['), (2, "]," + settings[1:])], "part int, value string")
+    keys = {f.name: f.dataType for f in df.schema.fields}
+    ends = frame.select("part", *[F.lit(None).cast(keys[k]).alias(k) for k in ("doc_id", "line_no")], "value")
+    return rows.union(ends).orderBy("part", "doc_id", "line_no").select("value")
 
 
 def render_report(df: DataFrame, input_col: str = "text", output_col: str = "corrected") -> DataFrame:

@@ -173,22 +173,18 @@ def test_text_source_and_text_sink(spark):
     assert [r["value"] for r in spark.read.text(sink).collect()] == ["this sentence", "the end"]
 
 
-def test_json_envelope_small_and_refused_when_large(spark):
+def test_json_envelope_is_one_document_over_part_files(spark):
     import json
 
     from scrivener.sinks import writers as W
 
-    df = spark.createDataFrame([(0, 1, "b", "B"), (0, 0, "a", "A")], "doc_id int, line_no int, text string, corrected string")
-    env = json.loads(W.json_envelope(df, "m", 0.0, 25))
-    assert env["results"] == [{"input": "a", "output": "A"}, {"input": "b", "output": "B"}]
+    rows = [(d, n, f"in {d} {n}", None if n == 2 else f"out {d} {n}") for d in (3, 1, 2) for n in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, text string, corrected string")
+    env = json.loads("\n".join(r["value"] for r in W.json_envelope(df, "m", 0.0, 25).collect()))
+    assert env["results"] == [{"input": i, "output": o} for _, _, i, o in sorted(rows)]
     assert env["model"] == "m" and env["temperature"] == 0.0 and env["max_tokens"] == 25
-    old = W.MAX_GLOBAL_ENVELOPE_ROWS
-    W.MAX_GLOBAL_ENVELOPE_ROWS = 1
-    try:
-        with pytest.raises(ValueError):
-            W.json_envelope(df, "m", 0.0, 25)
-    finally:
-        W.MAX_GLOBAL_ENVELOPE_ROWS = old
+    none = json.loads("\n".join(r["value"] for r in W.json_envelope(df.limit(0), "m", 0.0, 25).collect()))
+    assert none["results"] == []
 
 
 def test_on_error_fail(spark):
@@ -246,16 +242,24 @@ def test_corrector_facade(spark):
         c.fix_typos_with_options(docs, 3.0, 25)
 
 
-def test_envelopes_split_large_documents(spark):
+def test_dictionary_forms_agree_on_null_and_repeated_keys(spark):
+    from scrivener.operators.dictionary import apply_dictionary
+
+    rows = [(1, 0, "teh cat"), (1, 0, "teh dog"), (None, 0, "teh owl"), (2, None, "Teh fox foo"), (3, 0, None), (4, 0, ""), (4, 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, text string")
+    rules = spark.createDataFrame([("teh", "the"), ("foo", "teh")], "typo string, fixed string")
+    both = [sorted(map(str, apply_dictionary(df, rules, max_map_rules=n).collect())) for n in (1_000, 0)]
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+
+
+def test_envelope_shape_does_not_depend_on_size(spark):
     import json
 
     from scrivener.sinks.writers import json_per_document
 
-    rows = [(7, i, f"l{i}", f"L{i}") for i in range(5)]
-    df = spark.createDataFrame(rows, "doc_id long, line_no int, text string, corrected string")
-    env = {r["chunk"]: json.loads(r["json"]) for r in json_per_document(df, "m", 0.0, 25, max_lines=2).collect()}
-    assert sorted(env) == [0, 1, 2]
-    assert [x["output"] for c in sorted(env) for x in env[c]["results"]] == [f"L{i}" for i in range(5)]
+    df = spark.range(120_000).selectExpr("1L AS doc_id", "cast(id AS int) AS line_no", "'a' AS text", "'b' AS corrected")
+    got = json_per_document(df, "m", 0.0, 25).collect()
+    assert [r["doc_id"] for r in got] == [1] and len(json.loads(got[0]["json"])["results"]) == 120_000
 
 
 def test_model_load_failure_is_an_error(spark):
