@@ -136,6 +136,11 @@ def _pieces(text: str):
     return lambda lo, hi: b" ".join(words[lo:hi])
 
 
+def _flatten(body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words = [b.split() for b in body]
+    return _hash_words([w for ws in words for w in ws]), np.fromiter(map(len, words), np.int64, len(words))
+
+
 def _windows(window: int):
     def hashes(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
         words = body.split()
@@ -148,7 +153,7 @@ def _windows(window: int):
 def remove_repeats(df: DataFrame, window: int = 13, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", crowd: int = 20_000) -> DataFrame:
     """(id, n_words, n_removed, kept: the words that stay, joined by one space)."""
     docs = keyed(df, id_col, text_col)
-    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _windows(window), window, gram, crowd)
+    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _flatten, _windows(window), window, gram, crowd)
     joined = docs.join(spans, ["ord", "tag"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,10 @@ def _pieces(text: str):
     return lambda lo, hi: data[lo:hi]
 
 
+def _flatten(body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(body), np.uint8).astype(np.uint64), np.fromiter(map(len, body), np.int64, len(body))
+
+
 def _windows(window: int):
     def hashes(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.frombuffer(body, np.uint8).astype(np.uint64)
@@ -153,7 +157,7 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = 16, id_col: str
     given.  ``kept_text`` leaves out bytes of characters cut in two, and is null
     for a null text."""
     docs = keyed(df, id_col, text_col, row)
-    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _windows(window), window, gram, crowd)
+    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _flatten, _windows(window), window, gram, crowd)
     joined = docs.join(spans, ["ord", "tag"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,9 @@ Windows that are equal must meet without moving the texts:
    the smallest id in it.  Only where an anchor has several different
    segments can a window stand in more than one of them; one copy of each of
    those is cut from its text and sent to a shard by its anchor.
-4. A shard (a few MB) builds its index over the segments and returns for each
-   window the smallest id that holds it, in runs.  An anchor with more than
+4. A shard (a few MB) builds its index over the segments that hold a window
+   met more than once and returns for each window the smallest id that holds
+   it, in runs.  An anchor with more than
    ``crowd`` different segments would outgrow a shard: its windows are grouped
    by their own 128-bit hash instead, which splits evenly and combines
    map-side.
@@ -45,6 +46,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 #: Symbols per work block of a task and bytes per shard.
 _BLOCK = 1 << 19
+#: A segment's place is packed as first window * PLACE + number of windows.
+PLACE = 256
 SHARD_BYTES = 2 << 20
 
 
@@ -139,18 +142,20 @@ def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: boo
         own = np.asarray(owner)[of]
         if not places:
             return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ords[own])], ["anchor", "ord"])
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), pa.array(ords[own]), pa.array(tags[own]), pa.array(first + np.asarray(at)[of]),
-                                           pa.array(count.astype(np.int32))], ["anchor", "same", "ord", "tag", "start", "n"])
+        place = (first + np.asarray(at)[of]) * PLACE + count
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), pa.array(ords[own]), pa.array(tags[own]), pa.array(place)], ["anchor", "same", "ord", "tag", "place"])
 
-    ddl = "anchor long, same long, ord long, tag int, start long, n int" if places else "anchor long, ord long"
+    ddl = "anchor long, same long, ord long, tag int, place long" if places else "anchor long, ord long"
     return docs.select("ord", "tag", "text").mapInArrow(run, ddl)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     """(row, text, ord, tag): ``ord`` orders documents, (ord, tag) tells rows
-    apart; ``row`` is what to carry along, the id unless given."""
+    apart; ``row`` is what to carry along, the id unless given.  The tag, a hash
+    of the text, is left 0 in a table whose ids do not repeat."""
     ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    tag = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31)).cast("int")
+    again = df.select(ord_.alias("ord")).groupBy("ord").count().where("count > 1").limit(1).count()
+    tag = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31)).cast("int") if again else F.lit(0)
     return df.select((F.col(id_col) if row is None else row).alias("row"), F.col(text_col).alias("text"), ord_.alias("ord"), tag.alias("tag"))
 
 
@@ -193,10 +198,24 @@ def _runs(n: np.ndarray, least: np.ndarray) -> pa.ListArray:
 _RUNS = "anchor long, same long, runs array<struct<lo: long, hi: long, least: long>>"
 
 
-def _resolve(cut: DataFrame, resolve: Resolve, shards: int) -> DataFrame:
+def _resolve(cut: DataFrame, resolve: Resolve, flatten: Callable, window: int, shards: int) -> DataFrame:
+    """Index the segments of a shard that hold a window met twice in it (by
+    hash: anchors also coincide by chance); in others each window is its own."""
+
     def run(t: pa.Table) -> pa.Table:
         body, n, first = t["body"].to_pylist(), np.asarray(t["n"]).astype(np.int64), np.asarray(t["first"]).astype(np.int64)
-        return pa.table({"anchor": t["anchor"], "same": t["same"], "runs": _runs(n, resolve(body, n, first))})
+        symbols, lens = flatten(body)
+        (full,) = gram_hashes(symbols, window)
+        at = np.repeat(np.cumsum(lens) - lens - np.cumsum(n) + n, n) + np.arange(n.sum())
+        _, kind, times = np.unique(full[at], return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(n)), n)
+        pick = np.flatnonzero(np.bincount(of, times[kind] > 1, len(n)) > 0)
+        least = np.repeat(first, n)
+        if len(pick):
+            picked = np.zeros(len(n), bool)
+            picked[pick] = True
+            least[picked[of]] = resolve([body[i] for i in pick.tolist()], n[pick], first[pick])
+        return pa.table({"anchor": t["anchor"], "same": t["same"], "runs": _runs(n, least)})
 
     keyed_by = cut.where("NOT crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     return keyed_by.groupBy("shard").applyInArrow(run, _RUNS)
@@ -219,7 +238,8 @@ def _resolve_crowded(cut: DataFrame, windows: Callable) -> DataFrame:
     return back.agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"), "least"))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, windows: Callable, window: int, gram: int, crowd: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, flatten: Callable, windows: Callable, window: int, gram: int,
+                   crowd: int = 20_000) -> DataFrame:
     """(ord, tag, spans): per document of ``docs`` (from ``keyed``) the symbol
     ranges (lo, hi) of its repeated windows, in no order.  Documents without any
     are absent."""
@@ -227,24 +247,25 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     shared = store(shared.where("a < b").select("anchor"))
     places = store(_scan(docs, symbols, window, gram, True).join(shared, "anchor"))
     drop(shared)
-    groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "start", "n")).alias("rep")))
+    groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep")))
     many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = groups.join(many, "anchor").select("anchor", "same", "rep", (F.col("kinds") > crowd).alias("crowded"))
     wanted = several.groupBy(F.col("rep.ord").alias("ord"), F.col("rep.tag").alias("tag")).agg(F.collect_list(F.struct(
-        F.col("rep.start").alias("start"), F.col("rep.n").alias("n"), "anchor", "same", F.col("rep.ord").alias("first"), "crowded")).alias("wanted"))
+        F.floor(F.col("rep.place") / PLACE).alias("start"), (F.col("rep.place") % PLACE).alias("n"), "anchor", "same", F.col("rep.ord").alias("first"), "crowded")).alias("wanted"))
     cut = store(_cut(wanted, docs, pieces, window))
     size = cut.agg(F.sum(F.octet_length("body")).alias("s"), F.max("crowded").alias("c")).first()
-    resolved = _resolve(cut, resolve, max(1, (size["s"] or 0) // SHARD_BYTES))
+    resolved = _resolve(cut, resolve, flatten, window, max(1, (size["s"] or 0) // SHARD_BYTES))
     if size["c"]:
         resolved = resolved.union(_resolve_crowded(cut, windows))
     resolved = store(resolved)
+    drop(cut)
     known = groups.select("anchor", "same", F.col("rep.ord").alias("first")).join(resolved, ["anchor", "same"], "left")
     back = places.join(known, ["anchor", "same"])
-    one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"), F.col("first").alias("least")))
-    hits = back.select("ord", "tag", "start", F.explode(F.filter(F.coalesce("runs", one), lambda r: r["least"] < F.col("ord"))).alias("r"))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("place") % PLACE).alias("hi"), F.col("first").alias("least")))
+    hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter(F.coalesce("runs", one), lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
     spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a document's own
-    drop(places, groups, cut, resolved)
+    drop(places, groups, resolved)
     return spans
 
 
