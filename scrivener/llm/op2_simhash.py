@@ -132,8 +132,8 @@ def _step(cell: Column, segments: int) -> Column:
     near = [cell]
     for i in range(segments):
         count = F.shiftrightunsigned(cell, i * field).bitwiseAND(F.lit((1 << field) - 1).cast("long"))
-        one = F.lit(1 << (i * field)).cast("long")
-        near += [F.when(count < width, cell + one), F.when(count > 0, cell - one)]
+        # Writing the new count by xor keeps the top field clear of arithmetic overflow.
+        near += [F.when(ok, cell.bitwiseXOR(F.shiftleft(count.bitwiseXOR(to), i * field))) for ok, to in ((count < width, count + 1), (count > 0, count - 1))]
     return F.array_compact(F.array(*near))
 
 
@@ -154,7 +154,9 @@ def links(classes: DataFrame, max_distance: int, segments: int = 16, crowd: int
     at = _packed(F.col("fp"), segments)
 
     def cells(radius: int, seg: int, df: DataFrame = classes) -> DataFrame:
-        return df.select("fp", F.explode(_ball(at if seg == segments else F.col("fp"), radius, seg)).alias("cell"))
+        # The embedding is a column of its own: every neighbour refers to it many times.
+        home = df.select("fp", (at if seg == segments else F.col("fp")).alias("home"))
+        return home.select("fp", F.explode(_ball(F.col("home"), radius, seg)).alias("cell"))
 
     crowded = store(cells(far, segments).groupBy("cell").count().where(F.col("count") > crowd).select("cell"))
     calm = cells(far, segments).join(crowded, "cell", "left_anti")
