@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from scrivener.llm.common import WORD, drop, global_running, store
 
 #: Documents per bucket of a source's queue and copies per slice of virtual time.
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 
 
 def word_count(text):
