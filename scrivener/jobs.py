@@ -37,6 +37,8 @@ def build_parser() -> argparse.ArgumentParser:
                    help="batch: trim, split into lines, skip blank lines; single: one unit per input row")
     p.add_argument("--output", required=True, help="output folder")
     p.add_argument("--output-format", choices=OUTPUT_FORMATS, default="text")
+    p.add_argument("--backend", choices=("dictionary", "corpus"), default="dictionary",
+                   help="dictionary: the fixed rules; corpus: corrections learned from the input's own word frequencies")
     p.add_argument("--model", default="dictionary", help="model name recorded in JSON output")
     p.add_argument("--temperature", type=float, default=DEFAULT_TEMPERATURE)
     p.add_argument("--max-tokens", type=int, default=DEFAULT_MAX_TOKENS)
@@ -56,7 +58,7 @@ def main(argv=None) -> int:
     else:
         docs = spark.read.parquet(args.input)
         id_col, text_col = args.id_col, args.text_col
-    c = Corrector(model=args.model)
+    c = Corrector(backend=args.backend, model=args.model)
     run = c.correct_batch if args.mode == "batch" else c.correct_single
     out = run(docs, id_col, text_col, output=args.output_format, temperature=args.temperature,
               max_tokens=args.max_tokens)

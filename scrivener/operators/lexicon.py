@@ -35,6 +35,8 @@ WORD_PATTERN = r"[\p{L}\p{M}]+"
 NON_WORD_PATTERN = r"[^\p{L}\p{M}]+"
 DEFAULT_MIN_COUNT = 20
 DEFAULT_MIN_LEN = 3
+# How many times as frequent a candidate must be, per edit.
+DEFAULT_RATIO = 20.0
 # Orders candidates like N5 (distance first, then frequency): one distance
 # step outweighs any realistic log-frequency difference.
 DISTANCE_WEIGHT = 100.0
@@ -71,6 +73,15 @@ def deletion_variants(w: Column) -> Column:
     return F.array_union(F.array(w), dels)
 
 
+def _variant_hashes(w: Column) -> Column:
+    """64-bit hashes of the deletion variants: O(L) bytes for a word of length L."""
+    n = F.length(w)
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(0), n),
+        lambda i: F.when(i == 0, F.xxhash64(w)).otherwise(F.xxhash64(F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, n)))),
+    ))
+
+
 def _max_len(df: DataFrame, by) -> DataFrame:
     return df.groupBy(*by).agg(F.max(F.length("word")).alias("_other_max"))
 
@@ -101,10 +112,13 @@ def candidates(oov: DataFrame, lexicon: DataFrame, by=("lang",)) -> DataFrame:
     oov = materialize(oov).select(*by, "word")
     lexicon = materialize(lexicon).select(*by, "word", "freq")
     oov, lexicon = _length_compatible(oov, lexicon, by), _length_compatible(lexicon, oov, by)
-    ov = oov.select(*by, "word", F.explode(deletion_variants(F.col("word"))).alias("variant"))
+    # Pairs meet on hashes of their variants; the few pairs left are then
+    # checked to share a variant itself.
+    ov = oov.select(*by, "word", F.explode(_variant_hashes(F.col("word"))).alias("variant"))
     lv = lexicon.select(*by, F.col("word").alias("cand"), "freq",
-                        F.explode(deletion_variants(F.col("word"))).alias("variant"))
+                        F.explode(_variant_hashes(F.col("word"))).alias("variant"))
     pairs = ov.join(lv, [*by, "variant"], "inner").select(*by, "word", "cand", "freq").distinct()
+    pairs = pairs.where(F.arrays_overlap(deletion_variants(F.col("word")), deletion_variants(F.col("cand"))))
     return pairs.withColumn("dist", F.levenshtein("word", "cand").cast("int"))
 
 
@@ -153,6 +167,22 @@ def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", b
                                  unique_keys=True)
 
 
+def train_corrections(df: DataFrame, text_col: str = "text", by=("lang",), ratio: float = DEFAULT_RATIO) -> DataFrame:
+    """(by..., word, cand): corrections learned from the text to correct itself.
+
+    Any word may be a typo of a near word that is much more frequent: a
+    candidate at distance d must be seen at least ratio**d times as often as
+    the word.  The rule compares frequencies only, so it does not depend on
+    the size of the corpus, and a typo that is itself common is still
+    corrected by a far more common word."""
+    counts = materialize(build_lexicon(df, text_col, by, min_count=1))
+    # A candidate is seen ratio times at least: its word is seen once at least.
+    near = candidates(counts.select(*by, "word"), counts.where(F.col("freq") >= ratio), by).where("word <> cand")
+    own = counts.select(*by, "word", F.col("freq").alias("own"))
+    likely = near.join(own, [*by, "word"]).where(F.col("freq") >= F.pow(F.lit(float(ratio)), F.col("dist")) * F.col("own"))
+    return best(likely.select(*by, "word", "cand", "freq", "dist"), by)
+
+
 def correct_with_corpus(df: DataFrame, reference: DataFrame, text_col: str = "text", ref_col: str = "text",
                         by=("lang",), min_count: int = DEFAULT_MIN_COUNT, min_len: int = DEFAULT_MIN_LEN,
                         temperature: float = 0.0, k: int = 40, seed: int = 0) -> DataFrame:

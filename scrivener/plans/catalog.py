@@ -1066,16 +1066,58 @@ def q_fix_typos(spark, sf):
     return fix_typos(FX.typo_lines(spark, sf), "typo_text").select("doc_id", "line_no", "corrected", "status")
 
 
-@register("fix_typos_with_options")
+_TR_EX, _TR_EX_T = O.extract_ctes("tr_raw", "raw_output", "extracted", prefix="tx")
+_TR_SZ, _TR_SZ_T = O.sanitize_ctes(_TR_EX_T, "extracted", "corrected", prefix="ts")
+_TR_CTES = (
+    FX.SQL_TYPO_LINES
+    + f""",
+tr_counts AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM
+  (SELECT lang, unnest(regexp_extract_all(lower(typo_text), '{LX.WORD_PATTERN}')) AS word FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> '') GROUP BY lang, word),
+tr_w AS (SELECT lang, word, freq, {_sql_variants('word')} AS variant FROM tr_counts),
+tr_pairs AS (SELECT DISTINCT w.lang, w.word, w.freq AS own, c.word AS cand, c.freq FROM tr_w w JOIN tr_w c
+  ON w.lang = c.lang AND w.variant = c.variant AND w.word <> c.word AND c.freq >= {LX.DEFAULT_RATIO} * w.freq),
+tr_scored AS (SELECT *, CAST(levenshtein({O.one_byte('word')}, {O.one_byte('cand')}) AS INTEGER) AS dist FROM tr_pairs),
+tr_best AS MATERIALIZED (SELECT lang, word, cand, dist, freq FROM tr_scored WHERE freq >= pow({LX.DEFAULT_RATIO}, dist) * own
+  QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY dist, freq DESC, cand) = 1),
+tr_toks AS (SELECT doc_id, line_no, lang, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos
+  FROM (SELECT doc_id, line_no, lang, regexp_extract_all(typo_text, '{O.TOKEN_RE}') AS t FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> '')),
+tr_fixed AS (SELECT t.doc_id, t.line_no, string_agg(coalesce(b.cand, t.tok), '' ORDER BY t.pos) AS raw_output
+  FROM tr_toks t LEFT JOIN tr_best b ON t.lang = b.lang AND lower(t.tok) = b.word GROUP BY t.doc_id, t.line_no),
+tr_raw AS (SELECT l.*, f.raw_output FROM fx_typo_lines l JOIN tr_fixed f ON l.doc_id = f.doc_id AND l.line_no = f.line_no),"""
+    + _TR_EX + "," + _TR_SZ
+)
+
+
+def _trained(spark, sf, job):
+    return job(FX.typo_lines(spark, sf)).select("doc_id", "line_no", F.col("typo_text").alias("text"), "corrected", "status", "changed")
+
+
+_TR_SQL = f"SELECT doc_id, line_no, typo_text AS text, corrected, status, corrected <> typo_text AS changed FROM {_TR_SZ_T}"
+
+
+@register("correct_corpus_trained", _w(_TR_CTES, _TR_SQL))
+def q_correct_corpus_trained(spark, sf):
+    from scrivener.plans.correct import correct_corpus
+
+    return _trained(spark, sf, lambda df: correct_corpus(df, "typo_text", backend="corpus"))
+
+
+@register("fix_typos_with_options", _w(_TR_CTES, _TR_SQL))
 def q_fix_typos_with_options(spark, sf):
-    """validated settings, model backend (stub model through mapInPandas,
-    raw generations written once before extraction).  Rows-only check."""
-    from scrivener.operators.generate import load_echo_stub
+    """explicit settings, on the corpus-trained corrector."""
     from scrivener.plans.correct import fix_typos_with_options
 
-    df = FX.typo_lines(spark, sf).select("doc_id", "line_no", "typo_text")
-    out = fix_typos_with_options(df, 0.5, 50, text_col="typo_text", backend="model", load_model=load_echo_stub)
-    return out.select("doc_id", "line_no", "corrected", "status")
+    return _trained(spark, sf, lambda df: fix_typos_with_options(df, 0.5, 50, text_col="typo_text", backend="corpus"))
+
+
+@register(
+    "trained_corrections",
+    _w(_TR_CTES, "SELECT lang, word, cand, dist, freq FROM tr_best"),
+)
+def q_trained_corrections(spark, sf):
+    from scrivener.operators.lines import drop_blank
+
+    return LX.train_corrections(drop_blank(FX.typo_lines(spark, sf), "typo_text"), "typo_text")
 
 
 @register("collapse_whitespace", _w(FX.SQL_RAW_OUTPUTS, f"SELECT doc_id, line_no, {O.collapse_ws('raw_output')} AS collapsed FROM fx_raw"))

@@ -5,9 +5,10 @@
     lines (S1) → drop blanks (V1) → prompt (P1) → backend → extract (E) →
     sanitize (C7) → flags
 
-The backend is either the dictionary backend (the rules applied directly to
-the line, no model — the default, fully JVM-side) or a user model run through
-``operators.generate`` (one Arrow hop to Python workers).
+The backend is the dictionary backend (the rules applied directly to the
+line, no model — the default, fully JVM-side), the corpus backend (corrections
+learned from the frequencies of the text itself, also JVM-side) or a user model
+run through ``operators.generate`` (one Arrow hop to Python workers).
 """
 
 from __future__ import annotations
@@ -32,6 +33,20 @@ def correct_lines(df: DataFrame, text_col: str = "text", out: str = "corrected",
     return df.withColumn("changed", F.col(out) != F.col(text_col))
 
 
+def corpus_outputs(df: DataFrame, text_col: str, src) -> DataFrame:
+    """Adds ``raw_output``: the line rewritten with the corrections trained on
+    all lines, per ``lang`` if there is such a column.  Lines get a number of
+    their own in a stored copy, so null and repeated keys do no harm."""
+    from scrivener.operators.joins import materialize
+    from scrivener.operators.lexicon import apply_corrections, train_corrections
+
+    by = ("lang",) if "lang" in df.columns else ()
+    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    picks = train_corrections(numbered, text_col, by)
+    fixed = apply_corrections(numbered, picks, text_col, by, key_cols=("__row",), out="raw_output")
+    return numbered.join(fixed, "__row").drop("__row").withColumn("raw_output", F.when(src.isNotNull(), F.col("raw_output")))
+
+
 def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
                    load_model: Callable | None = None, temperature: float = DEFAULT_TEMPERATURE,
                    max_tokens: int = DEFAULT_MAX_TOKENS, examples=None, rules=None,
@@ -64,6 +79,8 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
         df = df.withColumn("raw_output", F.when(~blank, backend(df)))
     elif backend == "dictionary":
         df = df.withColumn("raw_output", src)
+    elif backend == "corpus":
+        df = corpus_outputs(df, text_col, src)
     elif backend == "model":
         from scrivener.operators.generate import generate
 
