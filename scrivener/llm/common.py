@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,21 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the folder all executors share
-    (``spark.checkpoint.dir``) and read it back: later steps depend on the
-    files alone, so a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{uuid.uuid4().hex}")
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside release their shuffle files."""
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEAN_UP)
         else:
             spark.conf.set(CLEAN_UP, before)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the folder all executors share
+    (``spark.checkpoint.dir``) and read it back: later steps depend on the
+    files alone, so a lost executor costs only its running tasks."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{uuid.uuid4().hex}")
+    with released_shuffles(spark):
+        df.write.parquet(path)
     _STORED[path] = spark
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._stored_at = path

@@ -1,16 +1,16 @@
 """Token ids as Parquet list columns, in id order, with selective reads.
 
 ``write_tokens`` range-partitions the documents by id, encodes them there and
-writes one row per document: id, ``part`` (file order), ``n_tokens`` and the
-list column ``ids``.  Parquet's dictionary encoding packs the ids into as few
+writes one row per document: id, ``part`` (file order), ``before`` (ids of earlier
+documents of the part), ``n_tokens`` and the list column ``ids``.  Parquet's dictionary encoding packs the ids into as few
 bits as the page's vocabulary needs (delta encoding, in version 2 of the
 format, where a dictionary grows too large); row groups and pages are bounded
 in bytes, and page indexes are written, so a reader that wants some documents
 or only the counts touches just those pages and columns.
 
 ``read_tokens`` gives the documents back with ``start``, the ids of all
-documents before them: partition totals (the count column alone is read) turn
-into offsets, and each partition adds its own running sum.
+documents before them: part totals (the count column alone is read) turn into
+offsets, one row per part, and ``before`` is added.  Ids are never shuffled.
 
 Rows: one per input row.  Null text counts as empty and holds just the end
 id.  Rows are in order of id, null ids last, rows with equal ids by the text's
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scrivener.llm.common import CLEAN_UP, partitions, slices
+from scrivener.llm.common import partitions, released_shuffles, slices
 from scrivener.llm.tokenizer_files import parsed, ship
 from scrivener.llm.units import Memo, units
 
@@ -49,12 +49,13 @@ def _memo(shipped) -> Memo:
 
 
 def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """Adds n_tokens and ids (array<int>) to (id, text, tie), drops the text."""
+    """(id, before, n_tokens, ids array<int>) of (id, text): ``before`` counts the
+    ids of the documents before it in its partition."""
     shipped = ship(df.sparkSession, tokenizer_path)
     end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(shipped)
+        memo, before = _memo(shipped), 0
         for batch in batches:
             for part in slices(batch, 1):
                 lists = [units(t) for t in part.column(1).to_pylist()]
@@ -63,11 +64,12 @@ def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFr
                 n = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "tie", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + offsets[:-1].astype(np.int64)), pa.array(n),
+                                                  pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "before", "n_tokens", "ids"])
+                before += int(n.sum())
 
     id_type = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text", "tie").mapInArrow(run, f"id {id_type}, tie string, n_tokens long, ids array<int>")
+    return df.select("id", "text").mapInArrow(run, f"id {id_type}, before long, n_tokens long, ids array<int>")
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1,
@@ -82,28 +84,22 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     by = [F.col("id").asc_nulls_last()]
     moved = src.repartitionByRange(partitions(spark), *by).select("id", "text", F.md5("text").alias("tie"))
     moved = moved.sortWithinPartitions(*by, "tie")
-    encoded = encode_ids(moved, tokenizer_path, end_id).select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "n_tokens", "ids")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    encoded = encode_ids(moved, tokenizer_path, end_id).select("id", F.spark_partition_id().alias("part"), "before", "n_tokens", "ids")
+    with released_shuffles(spark):
         (encoded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
          .option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes)).option("parquet.page.row.count.limit", "20000")
          .parquet(path))
-    finally:
-        spark.conf.unset(CLEAN_UP)
 
 
 def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids) per document, from the files."""
-    schema = T.StructType.fromDDL(f"id {id_type}, part int, pos bigint, n_tokens bigint, ids array<int>")
+    schema = T.StructType.fromDDL(f"id {id_type}, part int, before bigint, n_tokens bigint, ids array<int>")
     files = spark.read.schema(schema).parquet(path)
-    counts = files.select("part", "pos", "n_tokens")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("part").agg(F.sum("n_tokens").alias("s"))  # one row per file
-    offsets = totals.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("off"))
-    inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", "pos", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("run"))
-    starts = starts.join(F.broadcast(offsets), "part").select("pos", (F.col("off") + F.col("run")).alias("start"))
-    return files.join(starts, "pos").select(F.col("id").alias(id_col), "start", "n_tokens", "ids")
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("s"))  # one row per part
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("off"))
+    out = files.join(F.broadcast(offsets), "part")  # as many rows as the shuffle has partitions
+    return out.select(F.col("id").alias(id_col), (F.col("off") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def ids_crc32(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     shared = store(shared.where("a < b").select("anchor"))
     places = store(_scan(docs, symbols, window, gram, True).join(shared, "anchor"))
     drop(shared)
-    groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep")))
+    groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep"), F.max("ord").alias("last")))
     many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = groups.join(many, "anchor").select("anchor", "same", "rep", (F.col("kinds") > crowd).alias("crowded"))
     wanted = several.groupBy(F.col("rep.ord").alias("ord"), F.col("rep.tag").alias("tag")).agg(F.collect_list(F.struct(
@@ -259,13 +259,17 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
         resolved = resolved.union(_resolve_crowded(cut, windows))
     resolved = store(resolved)
     drop(cut)
-    known = groups.select("anchor", "same", F.col("rep.ord").alias("first")).join(resolved, ["anchor", "same"], "left")
+    known = groups.select("anchor", "same", F.col("rep.ord").alias("first"), "last").join(resolved, ["anchor", "same"], "left")
+    # Groups without a document that comes after the first holder of one of their windows remove nothing.
+    useful = F.coalesce(F.exists("runs", lambda r: r["least"] < F.col("last")), F.col("first") < F.col("last"))
+    known = store(known.where(useful).drop("last"))
+    drop(groups, resolved)
     back = places.join(known, ["anchor", "same"])
     one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("place") % PLACE).alias("hi"), F.col("first").alias("least")))
     hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter(F.coalesce("runs", one), lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
     spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a document's own
-    drop(places, groups, resolved)
+    drop(places, known)
     return spans
 
 
