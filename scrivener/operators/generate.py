@@ -2,9 +2,8 @@
 
 The model is the one step that cannot be a Spark expression.  It runs in
 ``mapInPandas``: each Python worker loads the model once (before its first
-batch) and feeds it Arrow batches of prompts
-(``spark.sql.execution.arrow.maxRecordsPerBatch`` rows each).  Only the
-prompt and the row key cross into Python; everything else stays in the JVM.
+batch, and keeps it for its later tasks) and feeds it Arrow batches of prompts
+(``spark.sql.execution.arrow.maxRecordsPerBatch`` rows each).
 
 No repartition is done by default: file splits are sized in bytes, so each
 task already holds about the same amount of prompt text, which is what the
@@ -17,6 +16,7 @@ Temperature 0 means greedy decoding (no top-k); otherwise top-k 40 (G2).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -26,47 +26,70 @@ from pyspark.sql import types as T
 from scrivener.sources.fixed import DEFAULT_MAX_TOKENS, DEFAULT_TEMPERATURE, SAMPLING_TOP_K
 
 
-def decode_options(temperature: float) -> dict:
+def decode_options(temperature: float, top_k: int = SAMPLING_TOP_K) -> dict:
     """Greedy at temperature 0, else top-k sampling."""
     if temperature == 0.0:
         return {"temperature": 0.0, "top_k": None}
-    return {"temperature": float(temperature), "top_k": SAMPLING_TOP_K}
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1")
+    return {"temperature": float(temperature), "top_k": int(top_k)}
 
 
-def _ship_package_by_value() -> None:
+@contextmanager
+def _package_by_value() -> Iterator[None]:
     """Let the Python workers run this package's functions without having it
-    installed: PySpark's cloudpickle then serialises functions and classes
+    installed: inside, PySpark's cloudpickle serialises functions and classes
     of ``scrivener`` (and its sub-modules) by value instead of by name."""
+    import scrivener
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(scrivener)
     try:
-        import scrivener
-        from pyspark import cloudpickle
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(scrivener)
+
+
+def _loader_key(load_model: Callable) -> str:
+    """Names a loader in a worker's cache: a digest of its serialised form."""
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    return hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
+
+
+def _worker_model(key: str, load_model: Callable):
+    """The worker's model of this loader, loaded at first use.  The cache hangs
+    on ``sys.modules``, which lives as long as the worker process does."""
+    import sys
+    import types
 
-        cloudpickle.register_pickle_by_value(scrivener)
-    except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
-        pass
+    cache = sys.modules.setdefault("_scrivener_worker_models", types.ModuleType("_scrivener_worker_models")).__dict__
+    if key not in cache:
+        cache[key] = load_model()
+    return cache[key]
 
 
 def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: int = DEFAULT_MAX_TOKENS,
              temperature: float = DEFAULT_TEMPERATURE, out: str = "raw_output", normalise: bool = True,
-             strip_echo: bool = True) -> DataFrame:
+             strip_echo: bool = True, top_k: int = SAMPLING_TOP_K) -> DataFrame:
     """G1: add ``out`` (the raw generation) to every row.
 
     Around the model call, in the JVM: the prompt end is normalised first
     (P7), and an echoed prompt is stripped from the generation afterwards,
-    leading spaces, newlines and tabs included (P8).  Only the key columns
-    and the prompt cross into Python."""
+    leading spaces, newlines and tabs included (P8)."""
     from pyspark.sql import functions as F
 
     from scrivener.functions.prompts import normalise_prompt, strip_prompt
 
-    _ship_package_by_value()
-    opts = decode_options(temperature)
+    opts = decode_options(temperature, top_k)
     sent = "__model_prompt"
     df = df.withColumn(sent, normalise_prompt(F.col(prompt_col)) if normalise else F.col(prompt_col))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model()  # once per task, before the first batch
+        model = _worker_model(key, load_model)
         for pdf in batches:
             # Rows without a prompt (e.g. kept blank lines) are not sent.
             has = pdf[sent].notna()
@@ -76,7 +99,9 @@ def generate(df: DataFrame, prompt_col: str, load_model: Callable, max_tokens: i
                 res.loc[has] = pd.Series(outs, index=pdf.index[has], dtype=object)
             yield pdf.assign(**{out: res})
 
-    gen = df.mapInPandas(run, schema)
+    with _package_by_value():
+        key = _loader_key(load_model)
+        gen = df.mapInPandas(run, schema)
     if strip_echo:
         gen = gen.withColumn(out, strip_prompt(F.col(out), F.col(sent)))
     return gen.drop(sent)

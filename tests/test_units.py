@@ -262,6 +262,33 @@ def test_envelope_shape_does_not_depend_on_size(spark):
     assert [r["doc_id"] for r in got] == [1] and len(json.loads(got[0]["json"])["results"]) == 120_000
 
 
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    from scrivener.operators.generate import decode_options, generate
+
+    log = str(tmp_path / "loads")
+
+    def loader():
+        import os
+
+        class Model:
+            def generate(self, prompts, max_tokens, temperature, top_k):
+                return [f"{os.getpid()} {top_k}" for _ in prompts]
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return Model()
+
+    df = spark.range(0, 400, 1, 40).selectExpr("id", "'Fix: x' AS prompt")
+    for _ in range(2):
+        out = generate(df, "prompt", loader, temperature=0.5, top_k=7, normalise=False).collect()
+        assert {r["raw_output"].split(" ")[1] for r in out} == {"7"}
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads))
+    assert decode_options(0.0) == {"temperature": 0.0, "top_k": None}
+    with pytest.raises(ValueError):
+        decode_options(0.5, 0)
+
+
 def test_model_load_failure_is_an_error(spark):
     from scrivener.operators.generate import generate
 
