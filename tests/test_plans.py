@@ -5,16 +5,17 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from scrivener.plans.catalog import QUERIES
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_product(spark, name):
-    if name in ("stream_equals_batch", "fix_typos_with_options"):
-        pytest.skip("runs a job while planning")
+    if name == "stream_equals_batch":
+        pytest.skip("runs a stream while planning")
     plan = _plan(E.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -55,10 +56,10 @@ def test_filter_on_key_reaches_scan_through_fences(spark):
 
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-MODEL_STEP = {"generate_stub", "fix_typos_with_options"}
+MODEL_STEP = {"generate_stub"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_STEP - {"stream_equals_batch"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_STEP - {"stream_equals_batch"}))
 def test_only_the_model_step_runs_python(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert not any(node in plan for node in PYTHON_NODES), name
