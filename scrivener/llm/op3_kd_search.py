@@ -15,7 +15,8 @@ Rows: a vector that is null or holds a null or non-finite component takes no
 part, nor does a row with a null id.  Of rows with one id the smallest vector
 (by components) counts.  A query's candidates are all other vectors of its
 length; if there are fewer than k, all of them are returned.  Ties go to the
-smaller id.  No queries or no candidates: no rows.
+smaller id.  No queries or no candidates: no rows.  Quantised components and
+scores must fit 64 bits.
 """
 
 from __future__ import annotations

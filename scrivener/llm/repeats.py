@@ -156,7 +156,9 @@ def keyed(df: DataFrame, id_col: str, text_col: str, row: Column | None = None)
     ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     again = df.select(ord_.alias("ord")).groupBy("ord").count().where("count > 1").limit(1).count()
     tag = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31)).cast("int") if again else F.lit(0)
-    return df.select((F.col(id_col) if row is None else row).alias("row"), F.col(text_col).alias("text"), ord_.alias("ord"), tag.alias("tag"))
+    out = df.select((F.col(id_col) if row is None else row).alias("row"), F.col(text_col).alias("text"), ord_.alias("ord"), tag.alias("tag"))
+    out._ids_repeat = bool(again)
+    return out
 
 
 def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> DataFrame:
@@ -176,7 +178,10 @@ def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> D
                                                   pa.array([w["first"] for w in row], pa.int64()), pa.array([w["crowded"] for w in row], pa.bool_()), pa.array(body, pa.binary())],
                                                  ["anchor", "same", "n", "first", "crowded", "body"])
 
-    joined = docs.join(wanted, ["ord", "tag"]).select("text", "wanted")
+    joined = docs.join(wanted, ["ord", "tag"])
+    if docs._ids_repeat:  # rows alike in id and text are cut once
+        joined = joined.dropDuplicates(["ord", "tag"])
+    joined = joined.select("text", "wanted")
     return joined.mapInArrow(run, "anchor long, same long, n int, first long, crowded boolean, body binary")
 
 
@@ -268,7 +273,8 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("place") % PLACE).alias("hi"), F.col("first").alias("least")))
     hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter(F.coalesce("runs", one), lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
-    spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a document's own
+    # A document's own spans; a set, as rows alike in id and text give theirs again.
+    spans = store(hits.groupBy("ord", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     drop(places, known)
     return spans
 
