@@ -38,7 +38,7 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+    except (AttributeError, NotImplementedError):  # a Spark Connect session has no RDD view
         return df
     if splits >= min(target, SPREAD_MAX_SPLITS):
         return df
