@@ -24,7 +24,8 @@ from scrivener.operators.validate import request_error_scalar
 from scrivener.plans.corrector import OUTPUT_FORMATS, Corrector
 from scrivener.session import get_session
 from scrivener.sources.fixed import DEFAULT_MAX_TOKENS, DEFAULT_TEMPERATURE
-from scrivener.sources.tables import read_text_files
+from scrivener.sinks.writers import json_envelope, render_report
+from scrivener.sources.tables import read_text_files, read_text_lines
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -45,6 +46,21 @@ def build_parser() -> argparse.ArgumentParser:
     return p
 
 
+def _correct_text_lines(spark, args) -> int:
+    """Batch mode over text files: read, corrected and written by line, in
+    order of path and line; no file is ever one row."""
+    c = Corrector(backend=args.backend, model=args.model)
+    out = c.fix_typos_with_options(read_text_lines(spark, args.input), args.temperature, args.max_tokens)
+    if args.output_format == "text":
+        value = out.orderBy("doc_id", "line_no").select(F.coalesce("corrected", F.lit("")).alias("value"))
+    elif args.output_format == "json":
+        value = json_envelope(out, args.model, args.temperature, args.max_tokens)
+    else:
+        value = render_report(out).orderBy("doc_id", "line_no").select(F.col("report").alias("value"))
+    value.write.mode("overwrite").text(args.output)
+    return 0
+
+
 def main(argv=None) -> int:
     args = build_parser().parse_args(argv)
     err = request_error_scalar(True, False, None, None, args.temperature, args.max_tokens)
@@ -52,6 +68,8 @@ def main(argv=None) -> int:
         print(f"error: {err}", file=sys.stderr)
         return 2
     spark = get_session()
+    if args.input_format == "text" and args.mode == "batch":
+        return _correct_text_lines(spark, args)
     if args.input_format == "text":
         docs = read_text_files(spark, args.input)
         id_col, text_col = "doc_id", "text"

@@ -57,3 +57,25 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return df.select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
+
+
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Plain-text source by line (S4): ``(doc_id STRING, line_no BIGINT, text
+    STRING)``, where ``doc_id`` is the file's path and ``line_no`` counts its
+    lines from 0, blank ones included.
+
+    A large file is read in several splits.  Lines are numbered within a split
+    (a window of one split's rows) and the splits' line counts, one row each,
+    become offsets; no task holds a file."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_block_start").alias("_block"),
+                                       F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("text"))
+    inside = Window.partitionBy("doc_id", "_block").orderBy("_seq")
+    lines = raw.withColumn("_n", F.row_number().over(inside).cast("long") - 1)
+    counts = raw.groupBy("doc_id", "_block").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("doc_id", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    joined = lines.join(offsets, ["doc_id", "_block"])
+    return joined.select("doc_id", (F.col("_off") + F.col("_n")).alias("line_no"), "text")

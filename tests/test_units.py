@@ -316,6 +316,33 @@ def test_binary_file_inventory(spark):
     assert got == {"m1": 2, "m3": 1}
 
 
+def _text_of(folder) -> str:
+    """The part files of a text sink, in order."""
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    return "".join(open(os.path.join(folder, f), encoding="utf-8").read() for f in parts)
+
+
+def test_text_lines_keep_path_and_line_order(spark, tmp_path):
+    from scrivener.jobs import main
+    from scrivener.sources.tables import read_text_lines
+
+    want = []
+    for name in ("b.txt", "a.txt", "c.txt"):
+        lines = [f"{name} line {i}" if i % 5 else "" for i in range(4000 if name == "a.txt" else 7)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+        want += [(name, i, t) for i, t in enumerate(lines)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # the large file is several splits
+    try:
+        got = [(r["doc_id"].rsplit("/", 1)[1], r["line_no"], r["text"]) for r in read_text_lines(spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(want)
+        out = str(tmp_path / "out")
+        assert main(["--input", str(tmp_path) + "/*.txt", "--output", out]) == 0
+        assert _text_of(out).splitlines() == [t for _, _, t in sorted(want) if t]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_job_entry_point(spark):
     import json
     import tempfile
@@ -327,7 +354,7 @@ def test_job_entry_point(spark):
         f.write("i cant beleive it\n\nthe quik fox\n")
     out = os.path.join(tempfile.mkdtemp(prefix="scrivener-job-out-"), "o")
     assert main(["--input", src, "--output", out, "--output-format", "json", "--model", "m"]) == 0
-    env = json.loads(spark.read.text(out).first()["value"])
+    env = json.loads(_text_of(out))
     assert [r["output"] for r in env["results"]] == ["i can't believe it", "the quick fox"]
     out2 = os.path.join(tempfile.mkdtemp(prefix="scrivener-job-out-"), "o")
     assert main(["--input", src, "--output", out2]) == 0
