@@ -50,7 +50,7 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{uuid.uuid4().hex}")
     with released_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     _STORED[path] = spark
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._stored_at = path
