@@ -116,13 +116,25 @@ class Forest:
             self.root = to[self.root]
 
 
+def _pack(vecs: np.ndarray) -> bytes:
+    """In single precision if that loses nothing, else in double."""
+    with np.errstate(over="ignore"):
+        single = vecs.astype(np.float32)
+    return (single if (single == vecs).all() else np.ascontiguousarray(vecs, np.float64)).tobytes()
+
+
+def _unpack(blob: bytes, rows: int, dim: int) -> np.ndarray:
+    kind = np.float32 if len(blob) == rows * dim * 4 else np.float64
+    return np.frombuffer(blob, kind).astype(np.float64).reshape(rows, dim)
+
+
 def _tile(t: pa.Table) -> pa.Table:
     dim = t["dim"][0].as_py()
     order = np.argsort(np.asarray(t["cid"]), kind="stable")
     vecs = np.asarray(t["vec"].combine_chunks().flatten()).reshape(-1, dim)[order]
     return pa.table({"tile": pa.array([t["tile"][0].as_py()], pa.string()), "pivot": pa.array([t["pivot"][0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()),
                      "cids": [np.asarray(t["cid"])[order].astype(np.int64).tobytes()], "copies": [np.asarray(t["copies"])[order].astype(np.int64).tobytes()],
-                     "vecs": [np.ascontiguousarray(vecs, np.float64).tobytes()]})
+                     "vecs": [_pack(vecs)]})
 
 
 def _products(threshold: float):
@@ -134,7 +146,7 @@ def _products(threshold: float):
                 dim = r["dim"]
                 ca, cb = (np.frombuffer(r[f"cids_{x}"], np.int64) for x in "ab")
                 ma, mb = (np.frombuffer(r[f"copies_{x}"], np.int64) for x in "ab")
-                xa, xb = (np.frombuffer(r[f"vecs_{x}"], np.float64).reshape(-1, dim) for x in "ab")
+                xa, xb = _unpack(r["vecs_a"], len(ca), dim), _unpack(r["vecs_b"], len(cb), dim)
                 na, nb = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
                 forest = Forest(len(ca) if same else len(ca) + len(cb))
                 for i, j in linked(xa, xb, threshold, same):
