@@ -2,7 +2,8 @@
 deletion-neighbourhood candidate search, as joins, aggregates and windows.
 
 * N1 ``build_lexicon`` — word counts per group (``lang``), partial
-  aggregation map-side so a hot word is collapsed before the shuffle.
+  aggregation map-side so a hot word is collapsed before the shuffle.  All
+  words, unless the caller gives a least count.
 * N2 ``find_oov`` — distinct input words minus the lexicon (left anti join;
   both sides are distinct on the join key, so there is no hot key).
 * N3 ``candidates`` — words and lexicon entries are exploded into themselves
@@ -33,6 +34,8 @@ from scrivener.operators.joins import materialize
 # Letters of any script, with their combining marks.
 WORD_PATTERN = r"[\p{L}\p{M}]+"
 NON_WORD_PATTERN = r"[^\p{L}\p{M}]+"
+# The bounds in the SQL of the queries lexicon ... sampled_candidate, which pass
+# them on; the functions below have no such bounds unless the caller gives them.
 DEFAULT_MIN_COUNT = 20
 DEFAULT_MIN_LEN = 3
 # How many times as frequent a candidate must be, per edit.
@@ -51,14 +54,14 @@ def words(df: DataFrame, text_col: str = "text", by=("lang",)) -> DataFrame:
     return df.select(*by, F.explode(pieces).alias("word")).where(F.col("word") != "")
 
 
-def build_lexicon(df: DataFrame, text_col: str = "text", by=("lang",), min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
+def build_lexicon(df: DataFrame, text_col: str = "text", by=("lang",), min_count: int = 1) -> DataFrame:
     """(by..., word, freq) for words seen at least ``min_count`` times."""
     counts = words(df, text_col, by).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("freq"))
     return counts.where(F.col("freq") >= min_count)
 
 
 def find_oov(df: DataFrame, lexicon: DataFrame, text_col: str = "text", by=("lang",),
-             min_len: int = DEFAULT_MIN_LEN) -> DataFrame:
+             min_len: int = 1) -> DataFrame:
     """Distinct (by..., word) of the input that the lexicon lacks."""
     w = words(df, text_col, by).where(F.length("word") >= min_len).distinct()
     return w.join(lexicon.select(*by, "word"), [*by, "word"], "left_anti")
@@ -167,6 +170,15 @@ def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", b
                                  unique_keys=True)
 
 
+def more_frequent(cands: DataFrame, own: DataFrame, ratio: float = DEFAULT_RATIO, by=("lang",)) -> DataFrame:
+    """The candidates, other than the word itself, that are seen at least
+    ratio**distance times as often as the word.  ``own`` is (by..., word, own),
+    how often each word is seen; a word that it lacks is never seen."""
+    known = cands.where("word <> cand").join(own, [*by, "word"], "left")
+    least = F.pow(F.lit(float(ratio)), F.col("dist")) * F.coalesce("own", F.lit(0))
+    return known.where(F.col("freq") >= least).select(*by, "word", "cand", "freq", "dist")
+
+
 def train_corrections(df: DataFrame, text_col: str = "text", by=("lang",), ratio: float = DEFAULT_RATIO) -> DataFrame:
     """(by..., word, cand): corrections learned from the text to correct itself.
 
@@ -175,19 +187,22 @@ def train_corrections(df: DataFrame, text_col: str = "text", by=("lang",), ratio
     the word.  The rule compares frequencies only, so it does not depend on
     the size of the corpus, and a typo that is itself common is still
     corrected by a far more common word."""
-    counts = materialize(build_lexicon(df, text_col, by, min_count=1))
+    counts = materialize(build_lexicon(df, text_col, by))
     # A candidate is seen ratio times at least: its word is seen once at least.
-    near = candidates(counts.select(*by, "word"), counts.where(F.col("freq") >= ratio), by).where("word <> cand")
-    own = counts.select(*by, "word", F.col("freq").alias("own"))
-    likely = near.join(own, [*by, "word"]).where(F.col("freq") >= F.pow(F.lit(float(ratio)), F.col("dist")) * F.col("own"))
-    return best(likely.select(*by, "word", "cand", "freq", "dist"), by)
+    near = candidates(counts.select(*by, "word"), counts.where(F.col("freq") >= ratio), by)
+    return best(more_frequent(near, counts.select(*by, "word", F.col("freq").alias("own")), ratio, by), by)
 
 
 def correct_with_corpus(df: DataFrame, reference: DataFrame, text_col: str = "text", ref_col: str = "text",
-                        by=("lang",), min_count: int = DEFAULT_MIN_COUNT, min_len: int = DEFAULT_MIN_LEN,
-                        temperature: float = 0.0, k: int = 40, seed: int = 0) -> DataFrame:
-    """N1-N7 in one call: lexicon from ``reference``, corrections for ``df``."""
-    lex = materialize(build_lexicon(reference, ref_col, by, min_count))
-    oov = find_oov(df, lex, text_col, by, min_len)
-    picks = sample(candidates(oov, lex, by), k, temperature, seed, by)
-    return apply_corrections(df, picks, text_col, by)
+                        by=("lang",), min_count: int = 1, min_len: int = 1,
+                        temperature: float = 0.0, k: int = 40, seed: int = 0, ratio: float = DEFAULT_RATIO) -> DataFrame:
+    """N1-N7 in one call: lexicon from ``reference``, corrections for ``df``.
+
+    Words that ``reference`` lacks, and words in it that a near word exceeds
+    ratio**distance times (as in ``train_corrections``), so a misspelling that
+    ``reference`` holds too is corrected, at any size of the tables."""
+    lex = materialize(build_lexicon(reference, ref_col, by))
+    seen = words(df, text_col, by).where(F.length("word") >= min_len).distinct()
+    near = candidates(seen, lex.where(F.col("freq") >= min_count), by)
+    likely = more_frequent(near, lex.select(*by, "word", F.col("freq").alias("own")), ratio, by)
+    return apply_corrections(df, sample(likely, k, temperature, seed, by), text_col, by)

@@ -545,7 +545,7 @@ lx_best AS (SELECT lang, word, cand, dist, freq FROM lx_scored
 def _lexicon(spark, sf):
     from scrivener.operators.joins import materialize
 
-    return materialize(LX.build_lexicon(FX.documents(spark, sf), "text"))
+    return materialize(LX.build_lexicon(FX.documents(spark, sf), "text", min_count=LX.DEFAULT_MIN_COUNT))
 
 
 def _typo_docs(spark, sf):
@@ -553,7 +553,8 @@ def _typo_docs(spark, sf):
 
 
 def _oov(spark, sf, lex=None):
-    return LX.find_oov(_typo_docs(spark, sf), lex if lex is not None else _lexicon(spark, sf), "typo_text")
+    return LX.find_oov(_typo_docs(spark, sf), lex if lex is not None else _lexicon(spark, sf), "typo_text",
+                       min_len=LX.DEFAULT_MIN_LEN)
 
 
 def _cands(spark, sf):
