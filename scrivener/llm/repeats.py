@@ -46,7 +46,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 #: Symbols per work block of a task and bytes per shard.
 _BLOCK = 1 << 19
-#: A segment's place is packed as first window * PLACE + number of windows.
+#: A segment's place is packed as first window * PLACE + number of windows (fewer than PLACE).
 PLACE = 256
 SHARD_BYTES = 2 << 20
 
@@ -99,10 +99,10 @@ def segments(parts: list[np.ndarray], window: int, gram: int, content: bool) ->
     part = np.repeat(np.arange(len(parts)), lens)[:n]
     inside = np.arange(n) + window <= ends[part]
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (inside[1:] != inside[:-1]))
-    # A run of equal anchors is cut after every window - gram + 1 windows.
+    # A run of equal anchors is cut after every window - gram + 1 windows, or as many as a place can hold.
     run = np.flatnonzero(new)
     since = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
-    first = np.flatnonzero(since % (window - gram + 1) == 0)
+    first = np.flatnonzero(since % min(window - gram + 1, PLACE - 1) == 0)
     count = np.diff(np.append(first, n))
     keep = inside[first]
     first, count = first[keep], count[keep]
