@@ -157,10 +157,12 @@ def _searcher(k: int):
             for row in batch.to_pylist():
                 dim = row["dim"]
                 parts = {p: np.frombuffer(row[p], np.int64) for p in _PARTS}
-                for p in ("vecs", "low", "high"):
-                    parts[p] = parts[p].reshape(-1, dim)
+                # By number of rows: vectors of no components have no length to go by.
+                for p, of in (("vecs", "ids"), ("low", "start"), ("high", "start")):
+                    parts[p] = parts[p].reshape(len(parts[of]), dim)
                 tree = Tree(**parts)
-                qids, queries = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qvecs"], np.int64).reshape(-1, dim)
+                qids = np.frombuffer(row["qids"], np.int64)
+                queries = np.frombuffer(row["qvecs"], np.int64).reshape(len(qids), dim)
                 least = dict(zip(row["bound_ids"] or [], row["bounds"] or []))
                 q_out, v_out, s_out = [], [], []
                 for q, own, bound in zip(queries, qids.tolist(), tree.bounds(queries)):
