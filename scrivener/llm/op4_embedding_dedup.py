@@ -15,7 +15,8 @@ pivot's vectors are dealt to tiles of about ``TILE_ROWS`` by hash.  If all
 vectors of one pivot lie within angle r of it and those of another within s,
 no two of them are closer than the pivots' angle less r and s; pairs of pivots
 too far apart for the threshold are skipped whole.  The sample decides only
-what can be skipped, never what is found.
+what can be skipped, never what is found.  In a table of very many different
+lengths, the less frequent ones have no pivots and all their tiles meet.
 
 A tile pair returns sums, not links: how many vectors each class is linked to,
 and a spanning forest of its links, at most one row per class each.  So the
@@ -45,6 +46,8 @@ from scrivener.llm.op3_kd_search import finite
 TILE_ROWS = 4096
 #: Sampled vectors (by smallest hash) whose angles decide which tile pairs are skipped.
 PIVOTS = 64
+#: Lengths of vectors, the most frequent ones, for which pairs of tiles are skipped.
+PLANNED_LENGTHS = 100
 #: Far above the rounding of a double product of unit vectors, far below quantisation errors.
 SLACK = 1e-9
 _STEP = 512
@@ -166,7 +169,7 @@ def _pivots(classes: DataFrame, dim: int) -> np.ndarray:
 
 
 def _assign(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds pivot and angle to (cid, copies, vec, dim)."""
+    """Adds pivot and angle to (cid, copies, vec, dim); 0 for lengths without pivots."""
     shipped = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +179,8 @@ def _assign(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(dims)])
             flat = np.asarray(b.column(2).flatten())
             for dim in np.unique(dims):
+                if int(dim) not in shipped.value:
+                    continue
                 rows = np.flatnonzero(dims == dim)
                 x = _unit(flat[at[rows][:, None] + np.arange(dim)])
                 cos = x @ shipped.value[int(dim)].T
@@ -198,25 +203,34 @@ def embedding_components(df: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = rows.select("id", F.when(usable, F.col("vec")).alias("vec"))
     grouped = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     classes = store(grouped.select(F.monotonically_increasing_id().alias("cid"), "vec", "copies", "first", F.size("vec").alias("dim")))
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).limit(101).collect()}
-    if len(sizes) > 100:
-        raise ValueError("vectors of more than 100 different lengths")
-    pivots = {dim: _pivots(classes, dim) for dim in sizes}
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    dims = [r["dim"] for r in sizes.orderBy(F.col("n").desc(), "dim").limit(PLANNED_LENGTHS + 1).collect()]
+    more, dims = len(dims) > PLANNED_LENGTHS, dims[:PLANNED_LENGTHS]
+    planned = F.col("dim").isin(dims)
+    pivots = {dim: _pivots(classes, dim) for dim in dims}
     near = store(_assign(classes, pivots))
-    per = {(r["dim"], r["pivot"]): r for r in near.groupBy("dim", "pivot").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}  # PIVOTS a length
+    per = {(r["dim"], r["pivot"]): r for r in near.where(planned).groupBy("dim", "pivot").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()}  # PIVOTS a length
     reach = float(np.arccos(threshold)) + 1e-6
-    meets, deal = [], F.lit(1)
-    for (dim, p), a in per.items():
-        deal = F.when((F.col("dim") == dim) & (F.col("pivot") == p), F.lit(-(-a["n"] // TILE_ROWS))).otherwise(deal)
-        for (other, q), b in per.items():
-            if dim == other and p <= q:
-                apart = float(np.arccos(np.clip(pivots[dim][p] @ pivots[dim][q], -1, 1)))
-                if apart <= a["r"] + b["r"] + reach:
-                    meets.append((dim, p, q))
-    tiled = near.withColumn("tile", F.concat_ws("/", "dim", "pivot", F.pmod(F.xxhash64("cid"), deal)))
+    meets = []
+    for dim in dims:
+        mine = [(p, a) for (other, p), a in per.items() if other == dim]
+        for p, a in mine:
+            for q, b in mine:
+                if p <= q:
+                    apart = float(np.arccos(np.clip(pivots[dim][p] @ pivots[dim][q], -1, 1)))
+                    if apart <= a["r"] + b["r"] + reach:
+                        meets.append((dim, p, q))
+    deal = spark.createDataFrame([(*at, -(-a["n"] // TILE_ROWS)) for at, a in per.items()], "dim int, pivot int, deal long")  # PIVOTS a length
+    dealt = near.where(planned).join(F.broadcast(deal), ["dim", "pivot"])
+    if more:
+        rest = sizes.where(~planned).select("dim", F.ceil(F.col("n") / TILE_ROWS).alias("deal"))
+        dealt = dealt.unionByName(near.where(~planned).join(rest, "dim"))
+    tiled = dealt.withColumn("tile", F.concat_ws("/", "dim", "pivot", F.pmod(F.xxhash64("cid"), F.col("deal")))).drop("deal")
     tiles = store(tiled.groupBy("tile").applyInArrow(_tile, "tile string, pivot int, dim int, cids binary, copies binary, vecs binary"))
     names = tiles.select("tile", "pivot", "dim")
     meet = spark.createDataFrame(meets, "dim int, p int, q int")  # at most PIVOTS ** 2 rows a length
+    if more:
+        meet = meet.union(names.where(~planned).select("dim", "pivot", "pivot").distinct())
     left = names.select("dim", F.col("tile").alias("tile_a"), F.col("pivot").alias("p"))
     right = names.select("dim", F.col("tile").alias("tile_b"), F.col("pivot").alias("q"))
     pairs = left.join(meet, ["dim", "p"]).join(right, ["dim", "q"]).where((F.col("p") < F.col("q")) | (F.col("tile_a") <= F.col("tile_b")))
