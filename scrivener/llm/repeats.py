@@ -13,12 +13,10 @@ Windows that are equal must meet without moving the texts:
    largest id) is aggregated with map-side combine; the segments of the others
    are stored with a hash of their content, document and place, no text.
 3. Segments are grouped by anchor and content: a group is resolved once, by
-   the smallest id in it.  Only where an anchor has several different
-   segments can a window stand in more than one of them; one copy of each of
-   those is cut from its text and sent to a shard by its anchor.
-4. A shard (a few MB) builds its index over the segments that hold a window
-   met more than once and returns for each window the smallest id that holds
-   it, in runs.  An anchor with more than
+   the smallest id in it.  One copy of each is cut from its text and sent to a
+   shard by its anchor.
+4. A shard (a few MB) builds its index over its segments and returns for each
+   window the smallest id that holds it, in runs.  An anchor with more than
    ``crowd`` different segments would outgrow a shard: its windows are grouped
    by their own 128-bit hash instead, which splits evenly and combines
    map-side.
@@ -203,23 +201,12 @@ def _runs(n: np.ndarray, least: np.ndarray) -> pa.ListArray:
 _RUNS = "anchor long, same long, runs array<struct<lo: long, hi: long, least: long>>"
 
 
-def _resolve(cut: DataFrame, resolve: Resolve, flatten: Callable, window: int, shards: int) -> DataFrame:
-    """Index the segments of a shard that hold a window met twice in it (by
-    hash: anchors also coincide by chance); in others each window is its own."""
+def _resolve(cut: DataFrame, resolve: Resolve, shards: int) -> DataFrame:
+    """Index all segments of a shard."""
 
     def run(t: pa.Table) -> pa.Table:
-        body, n, first = t["body"].to_pylist(), np.asarray(t["n"]).astype(np.int64), np.asarray(t["first"]).astype(np.int64)
-        symbols, lens = flatten(body)
-        (full,) = gram_hashes(symbols, window)
-        at = np.repeat(np.cumsum(lens) - lens - np.cumsum(n) + n, n) + np.arange(n.sum())
-        _, kind, times = np.unique(full[at], return_inverse=True, return_counts=True)
-        of = np.repeat(np.arange(len(n)), n)
-        pick = np.flatnonzero(np.bincount(of, times[kind] > 1, len(n)) > 0)
-        least = np.repeat(first, n)
-        if len(pick):
-            picked = np.zeros(len(n), bool)
-            picked[pick] = True
-            least[picked[of]] = resolve([body[i] for i in pick.tolist()], n[pick], first[pick])
+        n, first = np.asarray(t["n"]).astype(np.int64), np.asarray(t["first"]).astype(np.int64)
+        least = resolve(t["body"].to_pylist(), n, first)
         return pa.table({"anchor": t["anchor"], "same": t["same"], "runs": _runs(n, least)})
 
     keyed_by = cut.where("NOT crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
@@ -243,7 +230,7 @@ def _resolve_crowded(cut: DataFrame, windows: Callable) -> DataFrame:
     return back.agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"), "least"))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, flatten: Callable, windows: Callable, window: int, gram: int,
+def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, windows: Callable, window: int, gram: int,
                    crowd: int = 20_000) -> DataFrame:
     """(ord, tag, spans): per document of ``docs`` (from ``keyed``) the symbol
     ranges (lo, hi) of its repeated windows, in no order.  Documents without any
@@ -253,25 +240,24 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     places = store(_scan(docs, symbols, window, gram, True).join(shared, "anchor"))
     drop(shared)
     groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep"), F.max("ord").alias("last")))
-    many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = groups.join(many, "anchor").select("anchor", "same", "rep", (F.col("kinds") > crowd).alias("crowded"))
+    many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd)
+    several = groups.join(many, "anchor", "left").select("anchor", "same", "rep", F.col("kinds").isNotNull().alias("crowded"))
     wanted = several.groupBy(F.col("rep.ord").alias("ord"), F.col("rep.tag").alias("tag")).agg(F.collect_list(F.struct(
         F.floor(F.col("rep.place") / PLACE).alias("start"), (F.col("rep.place") % PLACE).alias("n"), "anchor", "same", F.col("rep.ord").alias("first"), "crowded")).alias("wanted"))
     cut = store(_cut(wanted, docs, pieces, window))
     size = cut.agg(F.sum(F.octet_length("body")).alias("s"), F.max("crowded").alias("c")).first()
-    resolved = _resolve(cut, resolve, flatten, window, max(1, (size["s"] or 0) // SHARD_BYTES))
+    resolved = _resolve(cut, resolve, max(1, (size["s"] or 0) // SHARD_BYTES))
     if size["c"]:
         resolved = resolved.union(_resolve_crowded(cut, windows))
     resolved = store(resolved)
     drop(cut)
-    known = groups.select("anchor", "same", F.col("rep.ord").alias("first"), "last").join(resolved, ["anchor", "same"], "left")
+    known = groups.select("anchor", "same", "last").join(resolved, ["anchor", "same"])
     # Groups without a document that comes after the first holder of one of their windows remove nothing.
-    useful = F.coalesce(F.exists("runs", lambda r: r["least"] < F.col("last")), F.col("first") < F.col("last"))
+    useful = F.exists("runs", lambda r: r["least"] < F.col("last"))
     known = store(known.where(useful).drop("last"))
     drop(groups, resolved)
     back = places.join(known, ["anchor", "same"])
-    one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("place") % PLACE).alias("hi"), F.col("first").alias("least")))
-    hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter(F.coalesce("runs", one), lambda r: r["least"] < F.col("ord"))).alias("r"))
+    hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter("runs", lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
     # A document's own spans; a set, as rows alike in id and text give theirs again.
     spans = store(hits.groupBy("ord", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))

@@ -28,3 +28,13 @@ def test_wide_windows_equal_brute_force(spark, crowd):
     for (i, t), gone in zip(data, brute([(i, (t or "").encode()) for i, t in data], 300)):
         want.append((i, len(gone), bytes(x for p, x in enumerate((t or "").encode()) if p not in gone)))
     assert got == sorted(want)
+
+
+def test_the_index_decides_every_window(spark):
+    """Copies and passages of one content are no exception: an index that finds nothing removes nothing."""
+    data = [(1, "some text of a fair length " * 5), (2, "some text of a fair length " * 5), (3, None)]
+    docs = repeats.keyed(frame(spark, data), "doc_id", "text")
+    blind = lambda body, n, first: np.full(n.sum(), repeats.LAST)
+    spans = lambda resolve: repeats.repeated_spans(docs, bytes7._symbols, bytes7._pieces, resolve, windows=bytes7._windows(50), window=50, gram=16)
+    assert [r.ord for r in spans(bytes7.resolver(50)).collect()] == [2]
+    assert spans(blind).count() == 0
