@@ -113,23 +113,23 @@ def segments(parts: list[np.ndarray], window: int, gram: int, content: bool) ->
 Symbols = Callable[[str], np.ndarray]
 
 
-def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: bool) -> DataFrame:
+def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: bool, block: int = _BLOCK) -> DataFrame:
     """(anchor, ord) of all segments, or all about their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 2, _BLOCK):
+            for some in slices(batch, 2, block):
                 ords, tags = np.asarray(some.column(0)), np.asarray(some.column(1))
                 parts, owner, at, held = [], [], [], 0
                 for i, text in enumerate(some.column(2).to_pylist()):
                     found = symbols(text or "")
                     # A long text is cut into pieces that share window - 1 symbols: every window is in one piece.
-                    for lo in range(0, max(1, len(found) - window + 1), _BLOCK):
-                        parts.append(found[lo: lo + _BLOCK + window - 1])
+                    for lo in range(0, max(1, len(found) - window + 1), block):
+                        parts.append(found[lo: lo + block + window - 1])
                         owner.append(i)
                         at.append(lo)
                         held += len(parts[-1])
-                        if held >= _BLOCK:
+                        if held >= block:
                             yield out(parts, owner, at, ords, tags)
                             parts, owner, at, held = [], [], [], 0
                 if parts:
@@ -231,13 +231,14 @@ def _resolve_crowded(cut: DataFrame, windows: Callable) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, windows: Callable, window: int, gram: int,
-                   crowd: int = 20_000) -> DataFrame:
+                   crowd: int = 20_000, block: int = _BLOCK) -> DataFrame:
     """(ord, tag, spans): per document of ``docs`` (from ``keyed``) the symbol
     ranges (lo, hi) of its repeated windows, in no order.  Documents without any
-    are absent."""
-    shared = _scan(docs, symbols, window, gram, False).groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
+    are absent.  ``block``: symbols per work block of a task; longer texts are
+    cut into pieces."""
+    shared = _scan(docs, symbols, window, gram, False, block).groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
     shared = store(shared.where("a < b").select("anchor"))
-    places = store(_scan(docs, symbols, window, gram, True).join(shared, "anchor"))
+    places = store(_scan(docs, symbols, window, gram, True, block).join(shared, "anchor"))
     drop(shared)
     groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep"), F.max("ord").alias("last")))
     many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from test_repeats import brute, frame
+from test_repeats import brute, frame, rows
 
 from scrivener.llm import op7_suffix_array as bytes7
 from scrivener.llm import repeats
@@ -38,3 +38,13 @@ def test_the_index_decides_every_window(spark):
     spans = lambda resolve: repeats.repeated_spans(docs, bytes7._symbols, bytes7._pieces, resolve, windows=bytes7._windows(50), window=50, gram=16)
     assert [r.ord for r in spans(bytes7.resolver(50)).collect()] == [2]
     assert spans(blind).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_texts_longer_than_a_block_equal_brute_force(spark, block):
+    data = [(i, t) for i, t in rows(3) if i not in (301, None)]  # one row an id
+    docs = repeats.keyed(frame(spark, data), "doc_id", "text")
+    spans = repeats.repeated_spans(docs, bytes7._symbols, bytes7._pieces, bytes7.resolver(50), bytes7._windows(50), 50, 16, block=block)
+    got = {r.ord: {p for lo, hi in repeats.merged(r.spans) for p in range(lo, hi)} for r in spans.collect()}
+    gone = brute([(i, (t or "").encode()) for i, t in data], 50)
+    assert got == {i: g for (i, _), g in zip(data, gone) if g}
