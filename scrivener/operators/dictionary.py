@@ -3,10 +3,10 @@
 Two physical forms, picked by the size of the rule table:
 
 * **map form** — the rule table is proven small (row-count check), read once
-  and inlined as a literal ``MAP`` in a ``transform`` over the line's word
-  runs.  Row-local: no shuffle of the line table at all.
+  and inlined as a literal ``MAP`` in a ``transform`` over the line's
+  pieces.  Row-local: no shuffle of the line table at all.
 * **join form** — for rule tables past the bound (or derived tables that grow
-  with the data, such as corpus-trained corrections): word runs are
+  with the data, such as corpus-trained corrections): the pieces are
   ``posexplode``d where the line is and probed against the rules; only the
   hits ``(line, word position, fix)`` are shuffled, gathered into a small
   position → fix map per line, joined back to the lines and applied
@@ -16,7 +16,10 @@ Two physical forms, picked by the size of the rule table:
   broadcast if small enough, else joined by shuffle with AQE skew handling
   splitting a hot word on the token side.
 
-Both forms give the same text as the chained whole-word regexes.
+Both forms probe every piece of ``TOKEN_PATTERN``, word runs and the runs
+between them, with one rule per folded typo; a null typo is no rule.  For
+rules that are words this gives the same text as the chained whole-word
+regexes.
 """
 
 from __future__ import annotations
@@ -38,9 +41,10 @@ WORD_RUN = r"(?U)\w+"
 
 def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed", by=()) -> DataFrame:
     """One rule per (group, folded typo): the smallest fixed value, so the
-    result does not depend on input order."""
+    result does not depend on input order.  A null typo is no rule."""
     return (
         rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
+        .where(F.col("key").isNotNull())
         .groupBy(*by, "key")
         .agg(F.min("fixed").alias("fixed"))
     )
@@ -49,13 +53,14 @@ def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed",
 def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
                           key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 1_000_000,
                           by=(), typo: str = "typo", fixed: str = "fixed",
-                          unique_keys: bool = False) -> DataFrame:
+                          unique_keys: bool = False, words_only: bool = False) -> DataFrame:
     """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
     ``by`` (e.g. ``lang``) the rules are per group and matched on group + word.
     ``unique_keys`` says the rules already hold one lower-case row per key
-    (no normalising aggregate needed).
+    (no normalising aggregate needed).  ``words_only`` says that every typo is a
+    word, so that only word runs need probing.
 
-    Plan: the line's word runs are exploded where the line is and probed against
+    Plan: the line's pieces are exploded where the line is and probed against
     the rules (a broadcast hash join when the rules are proven small); only
     the hits, ``(key, position, fix)``, are shuffled and gathered into one
     small position → fix map per line; that map is joined back to the lines
@@ -67,10 +72,8 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     # Word and non-word runs alternate, so word k is piece 2k + off, where
     # off is 1 when the text starts with a non-word run (one test per line).
     off = F.when(F.col(text_col).rlike(r"(?U)^\w"), F.lit(0)).otherwise(F.lit(1))
-    words = df.select(
-        *keys, *by, off.alias("_off"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RUN), 0)).alias("k", "tok"),
-    )
+    runs = F.lit(WORD_RUN if words_only else TOKEN_PATTERN)
+    words = df.select(*keys, *by, off.alias("_off"), F.posexplode(F.regexp_extract_all(F.col(text_col), runs, 0)).alias("k", "tok"))
     if unique_keys:
         r = rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
     else:
@@ -89,7 +92,7 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     cond = fold_key(words["tok"]) == r["key"]
     for b in by:
         cond = cond & (words[b] == r[b])
-    piece_no = (F.col("k") * 2 + F.col("_off")).cast("int")
+    piece_no = (F.col("k") * 2 + F.col("_off") if words_only else F.col("k")).cast("int")
     hits = words.join(r, cond, "inner").select(*[words[k] for k in keys], piece_no.alias("p"), "fixed")
     per_line = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "fixed"))).alias("_fix"))
     j = df.select(*keys, text_col).join(per_line, keys, "left")
@@ -105,6 +108,8 @@ def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", ou
     form; both return every row of ``df`` with ``out``."""
     if row_count_at_most(rules, max_map_rules):
         pairs = normalise_rules(rules).collect()  # at most max_map_rules rows, checked above
+        if not pairs:
+            return df.withColumn(out, F.col(text_col))
         mapped = rules_token_map(F.col(text_col), [(p["key"], p["fixed"]) for p in pairs])
         return df.withColumn(out, mapped)
     # The join form needs one key per row: rows get a number of their own, in a

@@ -167,7 +167,7 @@ def apply_corrections(df: DataFrame, picks: DataFrame, text_col: str = "text", b
     # One pick per (group, word) and words are lower-case: no re-normalising.
     picks = materialize(picks.select(*by, "word", "cand"))
     return apply_dictionary_join(df, picks, text_col, out, key_cols, by=by, typo="word", fixed="cand",
-                                 unique_keys=True)
+                                 unique_keys=True, words_only=True)
 
 
 def more_frequent(cands: DataFrame, own: DataFrame, ratio: float = DEFAULT_RATIO, by=("lang",)) -> DataFrame:
