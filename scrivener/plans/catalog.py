@@ -834,11 +834,10 @@ def q_encode(spark, sf):
     "decode",
     _w(
         _TK_CTES + """,
-tk_ids AS (SELECT doc_id, line_no, unnest(ids) AS id, unnest(generate_series(1, len(ids))) AS pos FROM tk_enc),
-tk_dec AS (SELECT i.doc_id, i.line_no, string_agg(coalesce(v.word, '<unk>'), ' ' ORDER BY i.pos) AS decoded
-  FROM tk_ids i LEFT JOIN tk_vocab v ON i.id = v.id GROUP BY i.doc_id, i.line_no)""",
-        """SELECT e.doc_id, e.line_no, coalesce(d.decoded, '') AS decoded
-FROM tk_enc e LEFT JOIN tk_dec d ON e.doc_id = d.doc_id AND e.line_no = d.line_no""",
+tk_dec AS (SELECT t.doc_id, t.line_no, string_agg(coalesce(v.word, '<unk>'), ' ' ORDER BY t.pos) AS decoded
+  FROM tk_toks t LEFT JOIN tk_vocab v ON t.word = v.word GROUP BY t.doc_id, t.line_no)""",
+        """SELECT l.doc_id, l.line_no, coalesce(d.decoded, '') AS decoded
+FROM fx_lines l LEFT JOIN tk_dec d ON l.doc_id = d.doc_id AND l.line_no = d.line_no""",
     ),
 )
 def q_decode(spark, sf):

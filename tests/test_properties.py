@@ -25,12 +25,13 @@ def test_lines_in_equal_processed_plus_blank(spark):
 
 def test_decode_of_encode_gives_in_vocabulary_words(spark):
     from scrivener.operators import tokens as TK
+    from scrivener.operators.lexicon import WORD_PATTERN
 
     lines = FX.lines(spark, SMALL)
     vocab = TK.build_vocab(lines, "text", 5)
     enc = TK.encode(lines, vocab, "text")
     dec = TK.decode(enc, vocab).join(lines, ["doc_id", "line_no"])
-    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " ")
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0), " ")
     in_vocab = enc.where(~F.array_contains("ids", 0)).select("doc_id", "line_no")
     bad = dec.join(in_vocab, ["doc_id", "line_no"]).where(F.col("decoded") != words)
     assert bad.count() == 0
@@ -122,6 +123,7 @@ def test_observed_run_counts_equal_the_report(spark):
 
 def test_encode_without_broadcast_matches(spark):
     from scrivener.operators import tokens as TK
+    from scrivener.operators.lexicon import WORD_PATTERN
 
     lines = FX.lines(spark, SMALL)
     vocab = TK.build_vocab(lines, "text", 5)
