@@ -118,6 +118,19 @@ def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column],
     return out, stored
 
 
+def row_tag(df: DataFrame) -> Column:
+    """A struct of two 64-bit hashes over all columns that tells rows apart,
+    also rows that differ only in which column is null (``xxhash64`` alone
+    skips nulls, so it is given each column's null flag; nested columns are
+    hashed as JSON with their nulls)."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+        parts += [c.isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c]
+    return F.struct(F.xxhash64(*parts).alias("one"), F.xxhash64(F.lit(1), *reversed(parts)).alias("two"))
+
+
 def _bare(order: list) -> list[Column]:
     return [c[0] if isinstance(c, tuple) else c for c in order]
 

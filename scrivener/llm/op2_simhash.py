@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import drop, slices, store
+from scrivener.llm.common import drop, row_tag, slices, store
 from scrivener.llm.components import components
 
 SEED = 42
@@ -105,7 +105,8 @@ def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
                 fps = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps)], ["id", "tag", "fp"])
 
-    return src.mapInArrow(run, f"id {id_type}, tag long, fp long")
+    tag_type = src.schema[1].dataType.simpleString()
+    return src.mapInArrow(run, f"id {id_type}, tag {tag_type}, fp long")
 
 
 def _packed(fp: Column, segments: int) -> Column:
@@ -195,9 +196,9 @@ def simhash_components(df: DataFrame, shingle: int = 3, max_distance: int = 2, i
 def keep_one(df: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
              segments: int = 16, crowd: int = 64) -> DataFrame:
     """The rows of ``df`` that stand for their component: of each the row with
-    the smallest id (null last), of rows with that id one (by a hash of all
-    columns), once."""
-    tag = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    the smallest id (null last), of rows with that id one (by two hashes
+    of all columns), once."""
+    tag = row_tag(df)
     docs = store(fingerprints(df, shingle, id_col, text_col, tag))
     rooted = _rooted(docs, max_distance, segments, crowd)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")

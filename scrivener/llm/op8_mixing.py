@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrivener.llm.common import WORD, drop, global_running, store
+from scrivener.llm.common import WORD, drop, global_running, row_tag, store
 
 #: Documents per bucket of a source's queue and copies per slice of virtual time.
 PER_BUCKET = 2_000
@@ -74,7 +74,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weights: tuple[int, ...] = (5, 2, 1), most: int = 3, tag: Column | None = None) -> DataFrame:
     """(id, source, size, source_size, target, copies long, taken long, tag) per
-    row; ``tag`` is a number that tells apart rows with one id."""
+    row; ``tag`` (any type that sorts) tells apart rows with one id."""
     spark = df.sparkSession
     sizes = store(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                             shuffle_key(F.col(id_col)).alias("key"), (F.lit(0).cast("long") if tag is None else tag).alias("tag")))
@@ -119,11 +119,13 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """The rows of ``df``, each as often as the mix takes it (not at all, once
     or up to ``most`` times)."""
     every = [F.col(f"`{c}`") for c in df.columns]
-    tag = F.xxhash64(*every)
+    tag = row_tag(df)
     found = mix(df, id_col, source_col, text_col, weights, most, tag)
-    # Rows alike in all columns share a tag; one of them stands for all.
-    copies = found.groupBy("tag").agg(F.sum("copies").cast("int").alias("__n")).where("__n > 0").withColumnRenamed("tag", "__tag")
-    rows = df.select(F.struct(*every).alias("__row"), tag.alias("__tag")).join(copies, "__tag").dropDuplicates(["__tag"])
+    # Rows alike in all columns share id and tag; one of them stands for all.
+    same = F.struct(F.col(f"`{id_col}`").alias("id"), F.col("tag"))
+    copies = found.groupBy(same.alias("__same")).agg(F.sum("copies").cast("int").alias("__n")).where("__n > 0")
+    rows = df.select(F.struct(*every).alias("__row"), F.struct(F.col(f"`{id_col}`").alias("id"), tag.alias("tag")).alias("__key"))
+    rows = rows.join(copies, F.col("__key").eqNullSafe(F.col("__same"))).dropDuplicates(["__key"])
     return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")
 
 

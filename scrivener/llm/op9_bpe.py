@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import slices
 from scrivener.llm.tokenizer_files import ship
-from scrivener.llm.units import Memo, units
+from scrivener.llm.units import ENTRY, Memo, units
 
 #: How the vocabulary's pre-tokenizer cuts a normalised text (a fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WIDE = 128
+#: Bytes of the cache of pieces of a worker.
+PIECES_BYTES = 16 << 20
 NONE = np.int64(1) << 60
 
 
@@ -72,6 +74,7 @@ class BPE:
         self.token.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pieces_held = 0
 
     # -- merges -----------------------------------------------------------
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,8 +205,10 @@ class BPE:
         cuts = [self.cut_unit(u) for u in found]
         new = list({p for c in cuts for p in c if isinstance(p, bytes) and p not in self.pieces})
         fresh = dict(zip(new, self.encode_words(new)))
-        if len(self.pieces) < 200_000:  # a cache bound; the rest is encoded anew in each batch
-            self.pieces.update(fresh)
+        for p, ids in fresh.items():  # a cache; the rest is encoded anew in each batch
+            if self.pieces_held < PIECES_BYTES and len(p) <= 64:
+                self.pieces[p] = ids
+                self.pieces_held += ENTRY + len(p) + 8 * len(ids)
         known = self.pieces
         out = []
         for c in cuts:
@@ -232,7 +237,7 @@ def _of(shipped) -> tuple[BPE, Memo]:
             ids = bpe.encode_units(found)
             return [(" ".join(map(str, x)), bpe.decode(x), len(x)) for x in ids]
 
-        _BPE[key] = bpe, Memo(both, 250_000)
+        _BPE[key] = bpe, Memo(both, lambda v: len(v[0]) + len(v[1]) + 200)
     return _BPE[key]
 
 

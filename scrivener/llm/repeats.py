@@ -143,20 +143,20 @@ def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: boo
         place = (first + np.asarray(at)[of]) * PLACE + count
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), pa.array(ords[own]), pa.array(tags[own]), pa.array(place)], ["anchor", "same", "ord", "tag", "place"])
 
-    ddl = "anchor long, same long, ord long, tag int, place long" if places else "anchor long, ord long"
+    ddl = "anchor long, same long, ord long, tag long, place long" if places else "anchor long, ord long"
     return docs.select("ord", "tag", "text").mapInArrow(run, ddl)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     """(row, text, ord, tag): ``ord`` orders documents, (ord, tag) tells rows
-    apart; ``row`` is what to carry along, the id unless given.  The tag, a hash
-    of the text, is left 0 in a table whose ids do not repeat."""
+    apart; ``row`` is what to carry along, the id unless given.  The tag is 0 in
+    a table whose ids do not repeat; else the table is stored and the tag is the
+    row's number in the stored copy, so that no two rows are taken for one."""
     ord_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     again = df.select(ord_.alias("ord")).groupBy("ord").count().where("count > 1").limit(1).count()
-    tag = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 31)).cast("int") if again else F.lit(0)
-    out = df.select((F.col(id_col) if row is None else row).alias("row"), F.col(text_col).alias("text"), ord_.alias("ord"), tag.alias("tag"))
-    out._ids_repeat = bool(again)
-    return out
+    number = F.monotonically_increasing_id() if again else F.lit(0).cast("long")
+    out = df.select((F.col(id_col) if row is None else row).alias("row"), F.col(text_col).alias("text"), ord_.alias("ord"), number.alias("tag"))
+    return store(out) if again else out
 
 
 def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> DataFrame:
@@ -176,10 +176,7 @@ def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> D
                                                   pa.array([w["first"] for w in row], pa.int64()), pa.array([w["crowded"] for w in row], pa.bool_()), pa.array(body, pa.binary())],
                                                  ["anchor", "same", "n", "first", "crowded", "body"])
 
-    joined = docs.join(wanted, ["ord", "tag"])
-    if docs._ids_repeat:  # rows alike in id and text are cut once
-        joined = joined.dropDuplicates(["ord", "tag"])
-    joined = joined.select("text", "wanted")
+    joined = docs.join(wanted, ["ord", "tag"]).select("text", "wanted")
     return joined.mapInArrow(run, "anchor long, same long, n int, first long, crowded boolean, body binary")
 
 
@@ -260,8 +257,7 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     back = places.join(known, ["anchor", "same"])
     hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter("runs", lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
-    # A document's own spans; a set, as rows alike in id and text give theirs again.
-    spans = store(hits.groupBy("ord", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a row's own
     drop(places, known)
     return spans
 

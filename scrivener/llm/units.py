@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 
 #: str.split() also splits at these four; the tokenizers' \s does not.
 ODD = re.compile("[\x1c-\x1f]")
+#: Bytes of a dictionary entry, its key and its value without their content.
+ENTRY = 200
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -24,10 +26,13 @@ def units(text: str) -> list[str]:
 
 
 class Memo:
-    """unit -> value, by ``encode(list of units)`` for those not yet known."""
+    """unit -> value, by ``encode(list of units)`` for those not yet known.
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence], most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+    ``size(value)``: bytes of a value.  The memo holds at most ``most`` bytes,
+    object overhead included, and no unit longer than ``long`` characters."""
+
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence], size: Callable, most: int = 32 << 20, long: int = 64):
+        self.encode, self.size, self.most, self.long, self.known, self.held = encode, size, most, long, {}, 0
 
     def lookup(self, lists: Sequence[list[str]]) -> Callable:
         """A function unit -> value that knows every unit of ``lists``."""
@@ -36,12 +41,14 @@ class Memo:
             new.update(xs)
         new = [u for u in new if u not in self.known]
         values = dict(zip(new, self.encode(new))) if new else {}
-        if len(self.known) + len(values) <= self.most:
-            self.known.update(values)
+        rest = {}
+        for u, v in values.items():
+            if self.held < self.most and len(u) <= self.long:
+                self.known[u] = v
+                self.held += ENTRY + len(u) + self.size(v)
+            else:
+                rest[u] = v
+        if not rest:
             return self.known.__getitem__
-        for u in new:
-            if len(self.known) >= self.most:
-                break
-            self.known[u] = values[u]
         known = self.known
-        return lambda u: known[u] if u in known else values[u]
+        return lambda u: known[u] if u in known else rest[u]

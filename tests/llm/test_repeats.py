@@ -1,6 +1,5 @@
 """Substring operators against brute force, and the index structures alone."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -75,16 +74,6 @@ def test_words_removed_equal_brute_force(spark, crowd):
     assert got == sorted(want)
 
 
-def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
-    from scrivener.llm import repeats
-
-    data = rows(3)
-    whole = sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in bytes7.remove_repeats(frame(spark, data)).collect())
-    parts = [repeats.segments([np.frombuffer((t or "").encode(), np.uint8)], 50, 16, True)[0] for _, t in data]
-    assert sum(map(len, parts)) > 0
-    assert hashlib.sha256(whole[0][2]).hexdigest()
-
-
 def test_empty_table(spark):
     assert bytes7.remove_repeats(frame(spark, [])).count() == 0
     assert words5.remove_repeats(frame(spark, [])).count() == 0
