@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import op3_kd_search, op5_suffix_automata, op7_suffix_array, op8_mixing
+from scrivener.llm import op3_kd_search, op5_suffix_automata, op7_suffix_array, op8_mixing, op11_url_filter, op12_filter_audit, op13_lexical_search
 from scrivener.llm.op4_embedding_dedup import ORACLE as EMBEDDING_DEDUP_SQL
 from scrivener.llm.common import table
 from scrivener.llm.op1_token_counts import count_tokens
@@ -71,6 +71,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(read_tokens(spark, path))
 
 
+def op11_url_filter_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -82,6 +94,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
+    "op11_url_filter": op11_url_filter_verdicts,
+    "op12_filter_audit": op12_filter_interactions,
+    "op13_lexical_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -91,4 +106,7 @@ ORACLE = {
     "op5_substring_dedup": op5_suffix_automata.ORACLE,
     "op7_suffix_array_dedup": op7_suffix_array.ORACLE,
     "op8_source_mix": op8_mixing.ORACLE,
+    "op11_url_filter": op11_url_filter.ORACLE,
+    "op12_filter_audit": op12_filter_audit.ORACLE,
+    "op13_lexical_search": op13_lexical_search.ORACLE,
 }
