@@ -38,8 +38,9 @@ def build_parser() -> argparse.ArgumentParser:
                    help="batch: trim, split into lines, skip blank lines; single: one unit per input row")
     p.add_argument("--output", required=True, help="output folder")
     p.add_argument("--output-format", choices=OUTPUT_FORMATS, default="text")
-    p.add_argument("--backend", choices=("dictionary", "corpus"), default="dictionary",
-                   help="dictionary: the fixed rules; corpus: corrections learned from the input's own word frequencies")
+    p.add_argument("--backend", choices=("dictionary", "corpus", "ngram"), default="dictionary",
+                   help="dictionary: the fixed rules; corpus: corrections learned from the input's own word frequencies; "
+                        "ngram: lines generated by a bigram model of the input (temperature and max-tokens act here)")
     p.add_argument("--model", default="dictionary", help="model name recorded in JSON output")
     p.add_argument("--temperature", type=float, default=DEFAULT_TEMPERATURE)
     p.add_argument("--max-tokens", type=int, default=DEFAULT_MAX_TOKENS)

@@ -21,6 +21,7 @@ from scrivener.operators import tokens as TK
 from scrivener.operators import validate as V
 from scrivener.operators.joins import bounded_broadcast
 from scrivener.plans import oracle_parts as O
+from scrivener.plans.oracle_ngram import ngram_ctes
 from scrivener.sources import fixtures as FX
 from scrivener.sources.fixed import COMPONENT_RULES, DEFAULT_EXAMPLES, DEFAULT_RULES, PROMPT_HEADER, TARGETS
 
@@ -984,16 +985,28 @@ def q_few_shot_postprocess(spark, sf):
     return EX.few_shot_postprocess(df, "raw_output", "answer").select("doc_id", "line_no", "answer")
 
 
-@register("generate_stub")
-def q_generate_stub(spark, sf):
-    """G1/G2 through mapInPandas with the deterministic stub model (rows-only
-    check: the stub is Python, so no SQL twin)."""
-    from scrivener.operators.generate import generate, load_echo_stub
+_NG_SELECT = "SELECT doc_id, line_no, raw_output FROM ng_raw"
 
-    df = _nb_lines(spark, sf).select("doc_id", "line_no", "text")
-    df = df.withColumn("prompt", P.few_shot_prompt(F.col("text")))
-    out = generate(df, "prompt", load_echo_stub, max_tokens=25, temperature=0.0)
-    return out.select("doc_id", "line_no", "raw_output")
+
+def _recursive(ctes: str, body: str) -> str:
+    return "WITH RECURSIVE " + ctes.strip() + "\n" + body
+
+
+@register("generate_ngram", _recursive(FX.SQL_TYPO_LINES + "," + ngram_ctes("fx_typo_lines", "typo_text", "fx_lines", "text"), _NG_SELECT))
+def q_generate_ngram(spark, sf):
+    """G1/G2 at temperature 0: every line decoded over its lattice by the
+    bigram model of the clean lines."""
+    from scrivener.operators.ngram import generate_ngram
+
+    return generate_ngram(FX.typo_lines(spark, sf), "typo_text", reference=FX.lines(spark, sf), ref_col="text")
+
+
+@register("generate_ngram_sampled", _recursive(FX.SQL_TYPO_LINES + "," + ngram_ctes("fx_typo_lines", "typo_text", "fx_lines", "text", 0.8, 5, None, 42), _NG_SELECT))
+def q_generate_ngram_sampled(spark, sf):
+    """G1/G2 at temperature 0.8 among the 5 best options a word, seed 42."""
+    from scrivener.operators.ngram import generate_ngram
+
+    return generate_ngram(FX.typo_lines(spark, sf), "typo_text", reference=FX.lines(spark, sf), ref_col="text", temperature=0.8, top_k=5, seed=42)
 
 
 def stream_df(spark, sf):
@@ -1102,12 +1115,24 @@ def q_correct_corpus_trained(spark, sf):
     return _trained(spark, sf, lambda df: correct_corpus(df, "typo_text", backend="corpus"))
 
 
-@register("fix_typos_with_options", _w(_TR_CTES, _TR_SQL))
+_NO_EX, _NO_EX_T = O.extract_ctes("ng_raw", "raw_output", "extracted", prefix="nx")
+_NO_SZ, _NO_SZ_T = O.sanitize_ctes(_NO_EX_T, "extracted", "corrected", prefix="ns")
+
+
+@register(
+    "fix_typos_with_options",
+    _recursive(
+        FX.SQL_TYPO_LINES + f",\nfx_nb AS (SELECT * FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> ''),"
+        + ngram_ctes("fx_nb", "typo_text", "fx_nb", "typo_text", 0.5, 40, 50) + "," + _NO_EX + "," + _NO_SZ,
+        f"SELECT doc_id, line_no, typo_text AS text, corrected, status, corrected <> typo_text AS changed FROM {_NO_SZ_T}",
+    ),
+)
 def q_fix_typos_with_options(spark, sf):
-    """explicit settings, on the corpus-trained corrector."""
+    """explicit settings, on the n-gram generator trained on the lines
+    themselves: drawn at temperature 0.5, the first 50 words of a line."""
     from scrivener.plans.correct import fix_typos_with_options
 
-    return _trained(spark, sf, lambda df: fix_typos_with_options(df, 0.5, 50, text_col="typo_text", backend="corpus"))
+    return _trained(spark, sf, lambda df: fix_typos_with_options(df, 0.5, 50, text_col="typo_text", backend="ngram"))
 
 
 @register(

@@ -7,8 +7,10 @@
 
 The backend is the dictionary backend (the rules applied directly to the
 line, no model — the default, fully JVM-side), the corpus backend (corrections
-learned from the frequencies of the text itself, also JVM-side) or a user model
-run through ``operators.generate`` (one Arrow hop to Python workers).
+learned from the frequencies of the text itself, also JVM-side), the ngram
+backend (a bigram model of the text decodes each line; temperature and token
+budget act, also JVM-side) or a user model run through ``operators.generate``
+(one Arrow hop to Python workers).
 """
 
 from __future__ import annotations
@@ -47,6 +49,20 @@ def corpus_outputs(df: DataFrame, text_col: str, src) -> DataFrame:
     return numbered.join(fixed, "__row").drop("__row").withColumn("raw_output", F.when(src.isNotNull(), F.col("raw_output")))
 
 
+def ngram_outputs(df: DataFrame, text_col: str, src, temperature: float, max_tokens: int | None) -> DataFrame:
+    """Adds ``raw_output``: the line as the n-gram generator writes it, trained
+    on all lines, per ``lang`` if there is such a column; ``temperature`` and
+    ``max_tokens`` (words of a line that are generated, the rest is copied) act
+    as in ``operators.ngram``."""
+    from scrivener.operators.joins import materialize
+    from scrivener.operators.ngram import generate_ngram
+
+    by = ("lang",) if "lang" in df.columns else ()
+    numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()))
+    made = generate_ngram(numbered.withColumn("__src", src), "__src", ("__row",), by, temperature=temperature, max_tokens=max_tokens)
+    return numbered.join(made, "__row").drop("__row")
+
+
 def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
                    load_model: Callable | None = None, temperature: float = DEFAULT_TEMPERATURE,
                    max_tokens: int = DEFAULT_MAX_TOKENS, examples=None, rules=None,
@@ -81,6 +97,8 @@ def correct_corpus(df: DataFrame, text_col: str = "text", backend="dictionary",
         df = df.withColumn("raw_output", src)
     elif backend == "corpus":
         df = corpus_outputs(df, text_col, src)
+    elif backend == "ngram":
+        df = ngram_outputs(df, text_col, src, temperature, max_tokens)
     elif backend == "model":
         from scrivener.operators.generate import generate
 

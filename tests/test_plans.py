@@ -56,15 +56,19 @@ def test_filter_on_key_reaches_scan_through_fences(spark):
 
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-MODEL_STEP = {"generate_stub"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_STEP - {"stream_equals_batch"}))
-def test_only_the_model_step_runs_python(spark, name):
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_equals_batch"}))
+def test_no_registered_query_runs_python(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert not any(node in plan for node in PYTHON_NODES), name
 
 
 def test_model_step_is_arrow_batched(spark):
-    plan = _plan(E.queries()["generate_stub"](spark, SMALL))
+    from scrivener.operators.generate import generate
+
+    df = spark.createDataFrame([(1, "Input: a\nOutput:", "other")], "id long, prompt string, wide string")
+    plan = _plan(generate(df, "prompt", dict))
     assert "MapInPandas" in plan and "BatchEvalPython" not in plan
+    python = plan[plan.index("MapInPandas"):].splitlines()[0]
+    assert "prompt" in python and "wide" not in python

@@ -78,11 +78,15 @@ def test_stream_equals_batch(spark):
 
 
 def test_model_backend_with_stub(spark):
-    from scrivener.operators.generate import load_echo_stub
+    from pyspark import cloudpickle
+
+    import stub_model
     from scrivener.plans.correct import correct_corpus
 
+    cloudpickle.register_pickle_by_value(stub_model)  # the workers do not see the tests folder
+
     df = FX.typo_lines(spark, SMALL).select("doc_id", "line_no", "typo_text")
-    out = correct_corpus(df, "typo_text", backend="model", load_model=load_echo_stub, max_tokens=1_000_000)
+    out = correct_corpus(df, "typo_text", backend="model", load_model=stub_model.load_echo_model, max_tokens=1_000_000)
     # The stub echoes the line (whole, with an unbounded budget), so the model path must
     # agree with the dictionary path on every line.
     direct = correct_corpus(df, "typo_text").select("doc_id", "line_no", F.col("corrected").alias("d"))
