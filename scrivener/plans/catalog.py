@@ -615,6 +615,101 @@ def q_sampled_candidate(spark, sf):
     return LX.sample(_cands(spark, sf), k=40, temperature=0.7, seed=42)
 
 
+# The learned error model, on typed words whose origin is known to the report only.
+
+_EM_ROUNDS = 3
+
+
+def _sql_em_round(k: int) -> str:
+    """One round of EM: em_cost{k} from em_cost{k - 1}."""
+    return f""",
+em_pc{k} AS (SELECT p.*, c1.cost + coalesce(c2.cost, 0) AS cost FROM em_pairs p JOIN em_cost{k - 1} c1 ON c1.lang = p.lang AND c1.was = p.ops[1].was AND c1.typed = p.ops[1].typed
+  LEFT JOIN em_cost{k - 1} c2 ON c2.lang = p.lang AND c2.was = p.ops[2].was AND c2.typed = p.ops[2].typed),
+em_w{k} AS (SELECT *, freq * exp(-cost / 1000.0::DOUBLE) AS weight FROM em_pc{k}),
+em_s{k} AS (SELECT lang, ops, n * weight / sum(weight) OVER (PARTITION BY lang, word) AS share FROM em_w{k}),
+em_n{k} AS (SELECT lang, o.was AS was, o.typed AS typed, round(sum(share) * 1000)::BIGINT AS n FROM (SELECT lang, unnest(ops) AS o, share FROM em_s{k}) GROUP BY ALL),
+em_cost{k} AS MATERIALIZED (SELECT o.lang, o.was, o.typed, coalesce(n.n, 0)::BIGINT AS n,
+  round(-1000 * ln((coalesce(n.n, 0) / 1000.0::DOUBLE + 0.5::DOUBLE) / (greatest(coalesce(h.seen, 0)::DOUBLE, coalesce(n.n, 0) / 1000.0::DOUBLE) + 1.0::DOUBLE)))::BIGINT AS cost
+  FROM em_ops o LEFT JOIN em_n{k} n ON n.lang = o.lang AND n.was = o.was AND n.typed = o.typed LEFT JOIN em_seen h ON h.lang = o.lang AND h.was = o.was)"""
+
+
+_EM_CTES = FX.SQL_SLIPS + f""",
+em_lex AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM documents) GROUP BY lang, word),
+em_typed AS MATERIALIZED (SELECT lang, typed AS word, count(*) AS n FROM fx_slips t WHERE NOT EXISTS (SELECT 1 FROM em_lex l WHERE l.lang = t.lang AND l.word = t.typed) GROUP BY lang, typed),
+em_wv AS (SELECT lang, word, n, {_sql_variants('word')} AS variant FROM em_typed),
+em_lv AS (SELECT lang, word AS cand, freq, {_sql_variants('word')} AS variant FROM em_lex),
+em_near AS MATERIALIZED (SELECT DISTINCT w.lang, w.word, w.n, l.cand, l.freq FROM em_wv w JOIN em_lv l ON w.lang = l.lang AND w.variant = l.variant),
+em_p AS (SELECT *, len(list_filter(range(1, least(length(word), length(cand)) + 1), lambda i: substr(word, 1, i) = substr(cand, 1, i))) AS p FROM em_near),
+em_s AS (SELECT *, len(list_filter(range(1, least(length(word), length(cand)) - p + 1), lambda i: right(word, i) = right(cand, i))) AS s FROM em_p),
+em_core AS (SELECT *, substr(word, p + 1, length(word) - p - s) AS x, substr(cand, p + 1, length(cand) - p - s) AS y,
+  CASE WHEN p > 0 THEN substr(cand, p, 1) ELSE '^' END AS b FROM em_s),
+em_pairs AS MATERIALIZED (SELECT lang, word, n, cand, freq, CASE
+  WHEN x = '' AND length(y) = 1 THEN [{{'was': b || y, 'typed': b}}]
+  WHEN y = '' AND length(x) = 1 THEN [{{'was': b, 'typed': b || x}}]
+  WHEN length(x) = 1 AND length(y) = 1 THEN [{{'was': y, 'typed': x}}]
+  WHEN length(x) = 2 AND length(y) = 2 AND x = reverse(y) THEN [{{'was': y, 'typed': x}}]
+  WHEN substr(x, 2) = substr(y, 1, length(y) - 1) THEN [{{'was': b, 'typed': b || x[1]}}, {{'was': right(y, 2), 'typed': substr(y, length(y) - 1, 1)}}]
+  ELSE [{{'was': b || y[1], 'typed': b}}, {{'was': substr(x, length(x) - 1, 1), 'typed': right(x, 2)}}] END AS ops FROM em_core),
+em_ops AS MATERIALIZED (SELECT DISTINCT lang, o.was AS was, o.typed AS typed FROM (SELECT lang, unnest(ops) AS o FROM em_pairs)),
+em_letters AS (SELECT lang, freq, list_concat(['^'], string_split(word, '')) AS l FROM em_lex),
+em_seen AS MATERIALIZED (SELECT lang, was, sum(freq)::BIGINT AS seen FROM (SELECT lang, freq, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1]))) AS was FROM em_letters) GROUP BY lang, was),
+em_cost0 AS (SELECT lang, was, typed, 2996::BIGINT AS cost FROM em_ops)""" + "".join(_sql_em_round(k) for k in range(1, _EM_ROUNDS + 1)) + f""",
+em_all AS (SELECT p.lang, p.word, p.n, p.cand, p.freq, c1.cost + coalesce(c2.cost, 0) + round(-1000 * ln(p.freq::DOUBLE))::BIGINT AS cost
+  FROM em_pairs p JOIN em_cost{_EM_ROUNDS} c1 ON c1.lang = p.lang AND c1.was = p.ops[1].was AND c1.typed = p.ops[1].typed
+  LEFT JOIN em_cost{_EM_ROUNDS} c2 ON c2.lang = p.lang AND c2.was = p.ops[2].was AND c2.typed = p.ops[2].typed),
+em_best AS MATERIALIZED (SELECT lang, word, cand, cost FROM em_all QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY cost, cand) = 1),
+em_plain AS (SELECT lang, word, cand FROM em_near QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY levenshtein({O.one_byte('word')}, {O.one_byte('cand')}), freq DESC, cand) = 1)"""
+
+
+def _error_model(spark, sf):
+    """(typed words, stored pairs, lexicon, plain candidates) of the slips."""
+    from scrivener.operators import errors as ER
+    from scrivener.operators.joins import materialize
+
+    lex = materialize(LX.build_lexicon(FX.documents_as_given(spark, sf), "text"))
+    oov = materialize(FX.slips(spark, sf).groupBy("lang", F.col("typed").alias("word")).agg(F.count(F.lit(1)).alias("n")).join(lex, ["lang", "word"], "left_anti"))
+    cands = materialize(LX.candidates(oov.select("lang", "word"), lex))
+    return oov, ER.prepare_pairs(cands, oov), lex, cands
+
+
+@register("confusions", _w(_EM_CTES, f"SELECT lang, was, typed, n, cost FROM em_cost{_EM_ROUNDS}"))
+def q_confusions(spark, sf):
+    """Edits learned from misspelled words by three rounds of EM."""
+    from scrivener.operators import errors as ER
+
+    _, pairs, lex, _ = _error_model(spark, sf)
+    return ER.learn_confusions(pairs, lex, _EM_ROUNDS)
+
+
+@register("best_candidate_learned", _w(_EM_CTES, "SELECT lang, word, cand, cost FROM em_best"))
+def q_best_candidate_learned(spark, sf):
+    """N4/N5 with the learned costs."""
+    from scrivener.operators import errors as ER
+
+    _, pairs, lex, _ = _error_model(spark, sf)
+    return ER.best_learned(pairs, ER.learn_confusions(pairs, lex, _EM_ROUNDS))
+
+
+@register(
+    "error_model_accuracy",
+    _w(_EM_CTES, """SELECT t.lang, count(*) AS n_typed, count(*) FILTER (b.cand = t.meant) AS right_learned, count(*) FILTER (d.cand = t.meant) AS right_distance
+FROM fx_slips t JOIN em_typed o ON o.lang = t.lang AND o.word = t.typed LEFT JOIN em_best b ON b.lang = t.lang AND b.word = t.typed
+LEFT JOIN em_plain d ON d.lang = t.lang AND d.word = t.typed GROUP BY t.lang"""),
+)
+def q_error_model_accuracy(spark, sf):
+    """How many typed words get back what was meant: learned costs beside plain
+    distance, on words typed with a slip."""
+    from scrivener.operators import errors as ER
+
+    oov, pairs, lex, cands = _error_model(spark, sf)
+    learned = ER.best_learned(pairs, ER.learn_confusions(pairs, lex, _EM_ROUNDS)).select("lang", F.col("word").alias("typed"), F.col("cand").alias("learned"))
+    plain = LX.best(cands).select("lang", F.col("word").alias("typed"), F.col("cand").alias("plain"))
+    t = FX.slips(spark, sf).groupBy("lang", "typed", "meant").agg(F.count(F.lit(1)).alias("n")).join(oov.select("lang", F.col("word").alias("typed")), ["lang", "typed"])
+    t = t.join(learned, ["lang", "typed"], "left").join(plain, ["lang", "typed"], "left")
+    right = lambda c: F.sum(F.when(F.col(c) == F.col("meant"), F.col("n")).otherwise(0))
+    return t.groupBy("lang").agg(F.sum("n").alias("n_typed"), right("learned").alias("right_learned"), right("plain").alias("right_distance"))
+
+
 # ---------------------------------------------------------------- step 7: validation, inventories
 
 

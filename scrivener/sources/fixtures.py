@@ -49,6 +49,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.alias("text"), "lang", "source")
 
 
+def documents_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, text, lang, source)."""
     return explode_lines(documents(spark, sf_dir), keep=["lang", "source"])
@@ -260,3 +264,34 @@ fx_run_log AS (
   SELECT event_id AS run_id, CASE WHEN event_id % 2 = 0 THEN '1x1' ELSE '1x64' END AS shape,
          CASE WHEN event_id % 2 = 0 THEN 1 ELSE 64 END AS n_tokens, value AS ms
   FROM events)"""
+
+
+# ------------------------------------------------------------------ typed words with what was meant
+
+# The vowel typed in place of each vowel.
+VOWEL_SLIPS = ("aeiou", "eioua")
+
+
+def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, meant, typed), a row per word of the documents.  One word in 16 is
+    typed with a slip that depends on the word: its first vowel changed, its third
+    letter lost, or its second and third swapped."""
+    d = read_table(spark, sf_dir, "documents")
+    w = d.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("meant"))
+    kind = F.substring(F.md5("meant"), 1, 1)
+    vowel = F.regexp_extract("meant", "[aeiou]", 0)
+    typed = (
+        F.when(kind < "8", F.regexp_replace("meant", F.lit("^([^aeiou]*)[aeiou]"), F.concat(F.lit("$1"), F.translate(vowel, *VOWEL_SLIPS))))
+        .when(kind < "c", F.concat(F.substring("meant", 1, 2), F.substr("meant", F.lit(4))))
+        .otherwise(F.concat(F.substring("meant", 1, 1), F.substring("meant", 3, 1), F.substring("meant", 2, 1), F.substr("meant", F.lit(4))))
+    )
+    slipped = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("meant"))), 1, 1) == "0"
+    return w.select("lang", "meant", F.when(slipped, typed).otherwise(F.col("meant")).alias("typed"))
+
+
+SQL_SLIPS = f"""
+fx_slip_words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS meant FROM documents),
+fx_slips AS MATERIALIZED (SELECT lang, meant, CASE WHEN substr(md5(doc_id || '|' || meant), 1, 1) <> '0' THEN meant
+  WHEN substr(md5(meant), 1, 1) < '8' THEN regexp_replace(meant, '^([^aeiou]*)[aeiou]', '\\1' || translate(regexp_extract(meant, '[aeiou]', 0), '{VOWEL_SLIPS[0]}', '{VOWEL_SLIPS[1]}'))
+  WHEN substr(md5(meant), 1, 1) < 'c' THEN substr(meant, 1, 2) || substr(meant, 4)
+  ELSE substr(meant, 1, 1) || substr(meant, 3, 1) || substr(meant, 2, 1) || substr(meant, 4) END AS typed FROM fx_slip_words)"""
