@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.text import byte_len, col_, fence, fold_key, fold_key_py, utrim
@@ -120,12 +120,20 @@ def sanitize(c: Column | str, rules=None, form: str = "regex") -> Column:
 
 def sanitize_steps(df, src: str, out: str, rules=None, form: str = "regex"):
     """``sanitize`` staged over separate projections, so Catalyst does not
-    inline each step's expression into every later reference of it."""
+    inline each step's expression into every later reference of it.
+    ``rules``: pairs, or a table (typo, fixed) for the automaton form."""
     s1 = f"__{out}_s1"
     s2 = f"__{out}_s2"
     df = df.withColumn(s1, unquote(utrim(F.col(src))))
     df = df.withColumn(s2, drop_commentary(F.col(s1)))
-    if form == "regex":
+    if isinstance(rules, DataFrame):
+        # A rule table of any size, rules of several words included.
+        from scrivener.operators.phrases import apply_phrases
+
+        s3 = f"__{out}_s3"
+        df = apply_phrases(df, rules, s2, s3)
+        df = df.withColumn(out, utrim(F.col(s3))).drop(s3)
+    elif form == "regex":
         s3 = f"__{out}_s3"
         df = apply_rules_staged(df, s2, s3, rules)
         df = df.withColumn(out, utrim(F.col(s3))).drop(s3)

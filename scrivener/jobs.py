@@ -24,7 +24,7 @@ from scrivener.operators.validate import request_error_scalar
 from scrivener.plans.corrector import OUTPUT_FORMATS, Corrector
 from scrivener.session import get_session
 from scrivener.sources.fixed import DEFAULT_MAX_TOKENS, DEFAULT_TEMPERATURE
-from scrivener.sinks.writers import json_envelope, render_report
+from scrivener.sinks.writers import json_envelope, render_batch_report
 from scrivener.sources.tables import read_text_files, read_text_lines
 
 
@@ -44,20 +44,46 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--model", default="dictionary", help="model name recorded in JSON output")
     p.add_argument("--temperature", type=float, default=DEFAULT_TEMPERATURE)
     p.add_argument("--max-tokens", type=int, default=DEFAULT_MAX_TOKENS)
+    p.add_argument("--rules", help="rule table (typo, fixed) in place of the fixed rules: Parquet, or .json / .csv with a header; typos may be several words")
+    p.add_argument("--examples", help="few-shot examples (ord, typo, fixed) in place of the fixed ones, in the same formats")
     return p
 
 
+#: The examples go into every prompt, so their number is bounded.
+MAX_EXAMPLES = 1_000
+
+
+def _read_table(spark, path: str):
+    if path.endswith(".json"):
+        return spark.read.json(path)
+    if path.endswith(".csv"):
+        return spark.read.option("header", "true").csv(path)
+    return spark.read.parquet(path)
+
+
+def _corrector(spark, args) -> Corrector:
+    rules = _read_table(spark, args.rules) if args.rules else None
+    examples = None
+    if args.examples:
+        rows = _read_table(spark, args.examples).select(F.col("ord").cast("int"), "typo", "fixed").orderBy("ord").limit(MAX_EXAMPLES + 1).collect()
+        if len(rows) > MAX_EXAMPLES:
+            raise ValueError(f"more than {MAX_EXAMPLES} examples")
+        examples = [tuple(r) for r in rows]
+    return Corrector(backend=args.backend, model=args.model, rules=rules, examples=examples)
+
+
 def _correct_text_lines(spark, args) -> int:
     """Batch mode over text files: read, corrected and written by line, in
     order of path and line; no file is ever one row."""
-    c = Corrector(backend=args.backend, model=args.model)
-    out = c.fix_typos_with_options(read_text_lines(spark, args.input), args.temperature, args.max_tokens)
+    c = _corrector(spark, args)
+    lines = read_text_lines(spark, args.input)
+    out = c.fix_typos_with_options(lines, args.temperature, args.max_tokens)
     if args.output_format == "text":
         value = out.orderBy("doc_id", "line_no").select(F.coalesce("corrected", F.lit("")).alias("value"))
     elif args.output_format == "json":
         value = json_envelope(out, args.model, args.temperature, args.max_tokens)
     else:
-        value = render_report(out).orderBy("doc_id", "line_no").select(F.col("report").alias("value"))
+        value = render_batch_report(out, lines, args.model).orderBy("doc_id", "line_no").select(F.col("report").alias("value"))
     value.write.mode("overwrite").text(args.output)
     return 0
 
@@ -77,7 +103,7 @@ def main(argv=None) -> int:
     else:
         docs = spark.read.parquet(args.input)
         id_col, text_col = args.id_col, args.text_col
-    c = Corrector(backend=args.backend, model=args.model)
+    c = _corrector(spark, args)
     run = c.correct_batch if args.mode == "batch" else c.correct_single
     out = run(docs, id_col, text_col, output=args.output_format, temperature=args.temperature,
               max_tokens=args.max_tokens)
@@ -87,7 +113,8 @@ def main(argv=None) -> int:
         out.orderBy("doc_id", "line_no").select(F.col("corrected").alias("value")).write.mode("overwrite").text(args.output)
     else:
         col = "json" if args.output_format == "json" else "report"
-        out.select(F.col(col).alias("value")).write.mode("overwrite").text(args.output)
+        keys = [k for k in ("doc_id", "line_no") if k in out.columns]
+        out.orderBy(*keys).select(F.col(col).alias("value")).write.mode("overwrite").text(args.output)
     return 0
 
 

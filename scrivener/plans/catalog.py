@@ -516,6 +516,58 @@ def q_dictionary_map(spark, sf):
     return out.select("doc_id", "line_no", "corrected")
 
 
+@register(
+    "dictionary_phrases",
+    _w(FX.SQL_PHRASE_LINES, f"SELECT doc_id, line_no, {O.apply_phrases('phrase_text', FX.PHRASE_RULES)} AS corrected FROM fx_phrase_lines"),
+)
+def q_dictionary_phrases(spark, sf):
+    """C5/C6 with rules of several words, row-local."""
+    from scrivener.operators.phrases import apply_phrases
+    from scrivener.sources.fixed import rules_df
+
+    rules = rules_df(spark, DEFAULT_RULES + FX.PHRASE_RULES)
+    return apply_phrases(FX.phrase_lines(spark, sf), rules, "phrase_text").select("doc_id", "line_no", "corrected")
+
+
+def _sql_phrase_hits() -> str:
+    singles = ", ".join(O.q(t) for t, _ in DEFAULT_RULES)
+    names = "CASE typo " + " ".join(f"WHEN chr({0xE000 + k}) THEN {O.q(t)}" for k, (t, _) in enumerate(FX.PHRASE_RULES)) + " ELSE typo END"
+    marks = "".join(chr(0xE000 + k) for k in range(len(FX.PHRASE_RULES)))
+    return f"""SELECT {names} AS typo, lang, count(*) AS hits FROM (
+  SELECT lang, lower(unnest(regexp_extract_all({O.phrase_marks('phrase_text', FX.PHRASE_RULES)}, '[{marks}]|{O.TOKEN_RE.split('|')[0]}'))) AS typo FROM fx_phrase_lines)
+WHERE typo IN ({singles}) OR contains('{marks}', typo) GROUP BY ALL"""
+
+
+@register("rule_hits_table", _w(FX.SQL_PHRASE_LINES, _sql_phrase_hits()))
+def q_rule_hits_table(spark, sf):
+    """C8 for a rule table, phrases included."""
+    from scrivener.operators.phrases import phrase_hits
+    from scrivener.sources.fixed import rules_df
+
+    return phrase_hits(FX.phrase_lines(spark, sf), rules_df(spark, DEFAULT_RULES + FX.PHRASE_RULES), "phrase_text")
+
+
+@register(
+    "batch_report",
+    _w(
+        FX.SQL_TYPO_LINES,
+        f"""SELECT doc_id, line_no, 'Input:  ' || typo_text || chr(10) || 'Output: ' || {O.apply_rules('typo_text')} || chr(10) || '---' AS report
+FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> ''
+UNION ALL SELECT doc_id, count(*)::INTEGER, 'Processed ' || count(*) || ' lines with model: dictionary' FROM fx_typo_lines GROUP BY doc_id""",
+    ),
+)
+def q_batch_report(spark, sf):
+    """S8 in batch mode: blocks, and a closing line per document."""
+    from scrivener.operators.dictionary import apply_dictionary
+    from scrivener.operators.lines import drop_blank
+    from scrivener.sinks.writers import render_batch_report
+    from scrivener.sources.fixed import rules_df
+
+    lines = FX.typo_lines(spark, sf)
+    out = apply_dictionary(drop_blank(lines, "typo_text"), rules_df(spark), "typo_text")
+    return render_batch_report(out, lines, "dictionary", input_col="typo_text")
+
+
 # ---------------------------------------------------------------- step 6: corpus-trained corrector
 
 

@@ -121,3 +121,21 @@ def cut_role_markers(x: str) -> str:
 def first_sentence(x: str) -> str:
     s = utrim(x)
     return f"CASE WHEN contains({s}, '.') THEN {utrim(f'split_part({s}, {q(chr(46))}, 1)')} || '.' ELSE {s} END"
+
+
+def phrase_marks(x: str, phrases) -> str:
+    """Each phrase of ``phrases`` (typo, fixed) as a private-use sign of its own,
+    the longest first; twice, as neighbours share the sign between them."""
+    other = WORD_CLASS.replace("[", "[^")
+    for k, (typo, _) in sorted(enumerate(phrases), key=lambda e: -len(e[1][0])):
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(^|{other}){typo}($|{other})', '\\1' || chr({0xE000 + k}) || '\\2', 'gi')"
+    return x
+
+
+def apply_phrases(x: str, phrases, rules=None) -> str:
+    """The phrases, then the rules of one word on what they leave."""
+    done = apply_rules(phrase_marks(x, phrases), rules)
+    for k, (_, fixed) in enumerate(phrases):
+        done = f"replace({done}, chr({0xE000 + k}), {q(fixed)})"
+    return done

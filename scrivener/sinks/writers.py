@@ -78,5 +78,22 @@ def render_report(df: DataFrame, input_col: str = "text", output_col: str = "cor
     return df.select("doc_id", "line_no", *status, block.alias("report"))
 
 
+def render_single_report(df: DataFrame, model: str, input_col: str = "text", output_col: str = "corrected") -> DataFrame:
+    """S8, single mode: the block of ``render_report`` closed by the model's name."""
+    out = render_report(df, input_col, output_col)
+    return out.withColumn("report", F.concat(F.regexp_replace("report", "\n---$", "\nModel:  "), F.lit(model)))
+
+
+def render_batch_report(df: DataFrame, lines: DataFrame, model: str, input_col: str = "text", output_col: str = "corrected") -> DataFrame:
+    """S8, batch mode: the blocks of ``df`` and, per document of ``lines`` (all
+    lines of the input, blank ones too), a closing row that counts its lines;
+    its ``line_no`` is that count, so it sorts last."""
+    footers = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    closing = F.concat(F.lit("Processed "), F.col("n").cast("string"), F.lit(" lines with model: "), F.lit(model))
+    blocks = render_report(df, input_col, output_col)
+    kind = df.schema["line_no"].dataType
+    return blocks.unionByName(footers.select("doc_id", F.col("n").cast(kind).alias("line_no"), closing.alias("report")), allowMissingColumns=True)
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.col("json").alias("value")).write.mode(mode).text(path)

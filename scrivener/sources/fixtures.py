@@ -295,3 +295,41 @@ fx_slips AS MATERIALIZED (SELECT lang, meant, CASE WHEN substr(md5(doc_id || '|'
   WHEN substr(md5(meant), 1, 1) < '8' THEN regexp_replace(meant, '^([^aeiou]*)[aeiou]', '\\1' || translate(regexp_extract(meant, '[aeiou]', 0), '{VOWEL_SLIPS[0]}', '{VOWEL_SLIPS[1]}'))
   WHEN substr(md5(meant), 1, 1) < 'c' THEN substr(meant, 1, 2) || substr(meant, 4)
   ELSE substr(meant, 1, 1) || substr(meant, 3, 1) || substr(meant, 2, 1) || substr(meant, 4) END AS typed FROM fx_slip_words)"""
+
+
+# ------------------------------------------------------------------ phrases
+
+# Phrases put in place of words, literal and case-sensitive, in this order.
+PHRASE_INJECTIONS = [
+    (" and ", " alot of "),
+    (" to ", " Could Of "),
+    (" of ", " teh same "),
+    (" a ", " in spite off "),
+    (" de ", " alot "),
+]
+# Rules for them, with rules of one word inside others.
+PHRASE_RULES = [
+    ("alot of", "a lot of"),
+    ("alot", "a lot"),
+    ("could of", "could have"),
+    ("teh same", "the same"),
+    ("in spite off", "in spite of"),
+]
+
+
+def phrase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 plus ``phrase_text``, the typo text with phrases put in."""
+    c = F.col("typo_text")
+    for src, dst in PHRASE_INJECTIONS:
+        c = F.replace(c, F.lit(src), F.lit(dst))
+    return typo_lines(spark, sf_dir).withColumn("phrase_text", c)
+
+
+def _sql_phrases(c: str) -> str:
+    for src, dst in PHRASE_INJECTIONS:
+        c = f"replace({c}, '{src}', '{dst}')"
+    return c
+
+
+SQL_PHRASE_LINES = SQL_TYPO_LINES + f""",
+fx_phrase_lines AS (SELECT *, {_sql_phrases('typo_text')} AS phrase_text FROM fx_typo_lines)"""

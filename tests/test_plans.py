@@ -58,8 +58,12 @@ def test_filter_on_key_reaches_scan_through_fences(spark):
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stream_equals_batch"}))
-def test_no_registered_query_runs_python(spark, name):
+# The automaton runs in Arrow-batched Python.
+AUTOMATON = {"dictionary_phrases", "rule_hits_table"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - AUTOMATON - {"stream_equals_batch"}))
+def test_only_the_automaton_runs_python(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert not any(node in plan for node in PYTHON_NODES), name
 
@@ -72,3 +76,12 @@ def test_model_step_is_arrow_batched(spark):
     assert "MapInPandas" in plan and "BatchEvalPython" not in plan
     python = plan[plan.index("MapInPandas"):].splitlines()[0]
     assert "prompt" in python and "wide" not in python
+
+
+def test_phrases_cross_only_the_text_and_shuffle_nothing(spark):
+    from scrivener.operators.phrases import apply_phrases
+
+    df = spark.createDataFrame([(1, "alot of", "x")], "id long, text string, wide string")
+    rules = spark.createDataFrame([("alot of", "a lot of")], "typo string, fixed string")
+    plan = _plan(apply_phrases(df, rules))
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan and "Exchange" not in plan

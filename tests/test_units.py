@@ -233,7 +233,7 @@ def test_corrector_facade(spark):
     env = json.loads(c.correct_batch(docs, output="json").where("doc_id = 1").first()["json"])
     assert [r["output"] for r in env["results"]] == ["this sentence", "the end"] and env["model"] == "m"
     single = c.correct_single(docs, output="verbose").where("doc_id = 2").first()["report"]
-    assert single == "Input:  quik\nOutput: quick\n---"
+    assert single == "Input:  quik\nOutput: quick\nModel:  m"
     blank = spark.createDataFrame([(3, "   ")], "doc_id long, text string")
     assert c.correct_single(blank).count() == 1 and c.correct_batch(blank).count() == 0
     c.clear_examples()
