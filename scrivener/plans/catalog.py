@@ -762,6 +762,54 @@ def q_error_model_accuracy(spark, sf):
     return t.groupBy("lang").agg(F.sum("n").alias("n_typed"), right("learned").alias("right_learned"), right("plain").alias("right_distance"))
 
 
+# Candidates where a word limit moved.
+
+
+def _sql_pairs(table: str, col: str) -> str:
+    return f"""SELECT lang, u, v, count(*) AS n FROM (SELECT lang, unnest(w[1:len(w) - 1]) AS u, unnest(w[2:len(w)]) AS v
+  FROM (SELECT lang, list_transform(regexp_extract_all({col}, '{LX.WORD_PATTERN}'), lambda x: lower(x)) AS w FROM {table}) WHERE len(w) > 1) GROUP BY lang, u, v"""
+
+
+_SM_CTES = FX.SQL_MOVED_LINES + f""",
+sm_lex AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines) GROUP BY lang, word),
+sm_ref AS MATERIALIZED ({_sql_pairs('fx_lines', 'text')}),
+sm_pairs AS MATERIALIZED ({_sql_pairs('fx_moved', 'moved_text')}),
+sm_unknown AS MATERIALIZED (SELECT DISTINCT lang, word AS s FROM (SELECT lang, unnest(regexp_extract_all(lower(moved_text), '{LX.WORD_PATTERN}')) AS word FROM fx_moved) w
+  WHERE NOT EXISTS (SELECT 1 FROM sm_lex l WHERE l.lang = w.lang AND l.word = w.word)),
+sm_odd AS MATERIALIZED (SELECT lang, u || ' ' || v AS typed, u || v AS s, length(u) AS was FROM sm_pairs p
+  WHERE EXISTS (SELECT 1 FROM sm_unknown x WHERE x.lang = p.lang AND x.s IN (p.u, p.v))),
+sm_places AS (SELECT lang, s, unnest(range(1, length(s))) AS at FROM (SELECT lang, s FROM sm_unknown UNION SELECT lang, s FROM sm_odd)),
+sm_cuts AS MATERIALIZED (SELECT p.lang, p.s, p.at, a.word AS a, b.word AS b, least(a.freq, b.freq) AS freq FROM sm_places p
+  JOIN sm_lex a ON a.lang = p.lang AND a.word = substr(p.s, 1, p.at) JOIN sm_lex b ON b.lang = p.lang AND b.word = substr(p.s, p.at + 1)),
+sm_all AS (
+  SELECT c.lang, c.s AS typed, 'split' AS kind, a || ' ' || b AS cand, freq, a, b FROM sm_cuts c JOIN sm_unknown x ON x.lang = c.lang AND x.s = c.s
+  UNION ALL SELECT c.lang, o.typed, 'shift', a || ' ' || b, freq, a, b FROM sm_cuts c JOIN sm_odd o ON o.lang = c.lang AND o.s = c.s AND c.at <> o.was
+  UNION ALL SELECT o.lang, o.typed, 'merge', o.s, l.freq, NULL, NULL FROM sm_odd o JOIN sm_lex l ON l.lang = o.lang AND l.word = o.s),
+sm_cand AS MATERIALIZED (SELECT x.lang, typed, kind, cand, freq, coalesce(r.n, 0) AS seen FROM sm_all x LEFT JOIN sm_ref r ON r.lang = x.lang AND r.u = x.a AND r.v = x.b)"""
+
+
+def _boundary_cands(spark, sf):
+    from scrivener.operators.boundaries import split_merge_candidates
+
+    clean = FX.lines(spark, sf)
+    return split_merge_candidates(FX.moved_lines(spark, sf), LX.build_lexicon(clean, "text"), "moved_text", reference=clean, ref_col="text")
+
+
+@register("split_merge_candidates", _w(_SM_CTES, "SELECT lang, typed, kind, cand, freq, seen FROM sm_cand"))
+def q_split_merge_candidates(spark, sf):
+    """One word for two, two for one, or a moved limit."""
+    return _boundary_cands(spark, sf)
+
+
+@register("best_split_merge", _w(_SM_CTES, """SELECT lang, typed, kind, cand, freq, seen FROM sm_cand
+QUALIFY row_number() OVER (PARTITION BY lang, typed ORDER BY seen DESC, freq DESC, cand, kind) = 1"""))
+def q_best_split_merge(spark, sf):
+    """N5 for moved word limits."""
+    from scrivener.operators.boundaries import best_boundary
+
+    return best_boundary(_boundary_cands(spark, sf))
+
+
 # ---------------------------------------------------------------- step 7: validation, inventories
 
 
@@ -1388,3 +1436,106 @@ def q_benchmark_accuracy(spark, sf):
         F.sum(exact.cast("long")).alias("n_exact"),
         F.round(F.avg(exact), 6).alias("accuracy"),
     )
+
+
+# ---------------------------------------------------------------- comparison of runs, uncertainty, templates
+
+
+_RD_CTES = _TR_CTES + f""",
+fx_nb AS (SELECT * FROM fx_typo_lines WHERE {O.utrim('typo_text')} <> ''),""" + _FT_EX + "," + _FT_SZ + f""",
+rd_a AS (SELECT doc_id, line_no, corrected, count(*) AS n FROM {_FT_SZ_T} GROUP BY ALL),
+rd_b AS (SELECT doc_id, line_no, corrected, count(*) AS n FROM {_TR_SZ_T} GROUP BY ALL)"""
+
+
+def _two_runs(spark, sf):
+    """The dictionary and the corpus backend over the same lines, stored."""
+    from scrivener.operators.rundiff import store_run
+    from scrivener.plans.correct import correct_corpus
+
+    lines = FX.typo_lines(spark, sf)
+    return [store_run(correct_corpus(lines, "typo_text", backend=b).select("doc_id", "line_no", "corrected")) for b in ("dictionary", "corpus")]
+
+
+@register("run_diff", _w(_RD_CTES, """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.line_no, b.line_no) AS line_no, coalesce(a.corrected, b.corrected) AS corrected,
+  coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b
+FROM rd_a a FULL OUTER JOIN rd_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.corrected IS NOT DISTINCT FROM b.corrected WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""))
+def q_run_diff(spark, sf):
+    """A5: the rows in which two stored runs differ, found through fingerprints."""
+    from scrivener.operators.rundiff import run_diff
+
+    return run_diff(*_two_runs(spark, sf))
+
+
+def _sql_interval(value: str, by: str) -> str:
+    """Poisson bootstrap bounds of ``value`` over bs_rows (key k, group ``by``)."""
+    from scrivener.operators import bootstrap as BS
+
+    weight = " + ".join(f"(u >= {t})::INTEGER" for t in BS.POISSON)
+    group, lead = (f"{by}, ", f"{by}, ") if by else ("", "")
+    own = f"GROUP BY {by}" if by else ""
+    return f""",
+bs_v AS (SELECT {lead}k, ({value})::DOUBLE AS v FROM bs_rows),
+bs_u AS (SELECT {lead}v, r, ('0x' || substr(md5(k || '|' || (r // {BS.PER_HASH})), (r % {BS.PER_HASH}) * 4 + 1, 4))::INTEGER AS u FROM bs_v, range(0, {BS.REPLICAS}) t(r) WHERE v IS NOT NULL),
+bs_m AS (SELECT {lead}r, sum(w * v) / sum(w) AS m FROM (SELECT {lead}v, r, {weight} AS w FROM bs_u) WHERE w > 0 GROUP BY {group}r),
+bs_l AS (SELECT {lead}list(m ORDER BY m) AS l FROM bs_m {own}),
+bs_n AS (SELECT {lead}count(v) AS n, avg(v) AS mean FROM bs_v {own})
+SELECT {'bs_n.' + by + ', ' if by else ''}n, round(mean, 6) AS mean, round(l[1 + floor(0.025 * len(l))::INTEGER], 6) AS lo, round(l[len(l) - floor(0.025 * len(l))::INTEGER], 6) AS hi
+FROM bs_n JOIN bs_l ON {f'bs_n.{by} IS NOT DISTINCT FROM bs_l.{by}' if by else 'true'}"""
+
+
+_BS_KEY = "p.doc_id || '|' || p.line_no"
+
+
+@register(
+    "accuracy_interval",
+    _w(_CL_ALL + f""",
+bs_rows AS (SELECT p.lang, {_BS_KEY} AS k, coalesce(p.corrected = r.text, false)::INTEGER AS ok FROM fx_cl p JOIN fx_lines r ON p.doc_id = r.doc_id AND p.line_no = r.line_no)"""
+       + _sql_interval("ok", "lang"), ""),
+)
+def q_accuracy_interval(spark, sf):
+    """A3 with the bounds of 96 bootstrap replicas."""
+    from scrivener.operators.bootstrap import accuracy_interval
+
+    return accuracy_interval(_cl(spark, sf).drop("expected").withColumnRenamed("original", "expected"))
+
+
+@register(
+    "win_interval",
+    _w(_RD_CTES + f""",
+bs_rows AS (SELECT p.doc_id || '|' || p.line_no AS k, coalesce(p.corrected = l.text, false)::INTEGER - coalesce(t.corrected = l.text, false)::INTEGER AS d
+  FROM {_FT_SZ_T} p JOIN {_TR_SZ_T} t ON p.doc_id = t.doc_id AND p.line_no = t.line_no JOIN fx_lines l ON l.doc_id = p.doc_id AND l.line_no = p.line_no)"""
+       + _sql_interval("d", ""), ""),
+)
+def q_win_interval(spark, sf):
+    """A6 with its bounds: dictionary against corpus backend."""
+    from scrivener.operators.bootstrap import win_interval
+    from scrivener.plans.correct import correct_corpus
+
+    lines = FX.typo_lines(spark, sf)
+    a = correct_corpus(lines, "typo_text").select("doc_id", "line_no", F.col("text").alias("expected"), F.col("corrected").alias("out_a"))
+    b = correct_corpus(lines, "typo_text", backend="corpus").select("doc_id", "line_no", F.col("corrected").alias("out_b"))
+    return win_interval(a.join(b, ["doc_id", "line_no"]), "out_a", "out_b")
+
+
+def _sql_templates() -> str:
+    from scrivener.operators import templates as TP
+
+    out = """lt0 AS (SELECT p, n, len(p) AS n_parts, []::VARCHAR[] AS t FROM (SELECT p, count(*) AS n FROM (
+  SELECT string_split(regexp_replace(regexp_replace(url, '^[^:/?#]*://', ''), '[?#].*$', ''), '/') AS p FROM pages WHERE url IS NOT NULL) GROUP BY p))"""
+    for k in range(TP.DEPTH):
+        out += f""",
+lk{k} AS (SELECT n_parts, t, count(DISTINCT p[{k + 1}]) AS kinds FROM lt{k} WHERE n_parts > {k} GROUP BY n_parts, t),
+lt{k + 1} AS (SELECT x.p, x.n, x.n_parts, CASE WHEN x.n_parts > {k} THEN list_append(x.t, CASE WHEN kinds > {TP.MOST_VALUES} THEN '*' ELSE x.p[{k + 1}] END) ELSE x.t END AS t
+  FROM lt{k} x LEFT JOIN lk{k} y ON x.n_parts = y.n_parts AND x.t = y.t)"""
+    return _w(out, f"""SELECT array_to_string(list_concat(t, list_transform(range(0, greatest(n_parts - {TP.DEPTH}, 0)), lambda i: '*')), '/') AS template,
+  n_parts::INTEGER AS n_parts, sum(n)::BIGINT AS n FROM lt{TP.DEPTH} GROUP BY 1, 2""")
+
+
+@register("learned_templates", _sql_templates())
+def q_learned_templates(spark, sf):
+    """Url templates learned from all pages; a place with more than 8
+    different values is variable."""
+    from scrivener.operators.templates import learned_templates, url_parts
+    from scrivener.sources.tables import read_table
+
+    return learned_templates(read_table(spark, sf, "pages"), url_parts(F.col("url")))

@@ -333,3 +333,35 @@ def _sql_phrases(c: str) -> str:
 
 SQL_PHRASE_LINES = SQL_TYPO_LINES + f""",
 fx_phrase_lines AS (SELECT *, {_sql_phrases('typo_text')} AS phrase_text FROM fx_typo_lines)"""
+
+
+# ------------------------------------------------------------------ moved word limits
+
+# Words with their limits lost, put in or moved, literal and case-sensitive, in this order.
+MOVED_LIMITS = [
+    (" of the ", " ofthe "),
+    (" in the ", " i nthe "),
+    (" that ", " th at "),
+    (" with ", " wi th "),
+    (" de la ", " del a "),
+    (" una ", " un a "),
+    (" is it ", " isit "),
+]
+
+
+def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 plus ``moved_text``."""
+    c = F.col("text")
+    for src, dst in MOVED_LIMITS:
+        c = F.replace(c, F.lit(src), F.lit(dst))
+    return lines(spark, sf_dir).withColumn("moved_text", c)
+
+
+def _sql_moved(c: str) -> str:
+    for src, dst in MOVED_LIMITS:
+        c = f"replace({c}, '{src}', '{dst}')"
+    return c
+
+
+SQL_MOVED_LINES = SQL_LINES + f""",
+fx_moved AS (SELECT *, {_sql_moved('text')} AS moved_text FROM fx_lines)"""
