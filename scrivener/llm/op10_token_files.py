@@ -44,7 +44,7 @@ def _memo(shipped) -> Memo:
         def encode(found):
             return [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(found, add_special_tokens=False)]
 
-        _MEMO[key] = Memo(encode, len)
+        _MEMO[key] = Memo(encode, len, 96 << 20)
     return _MEMO[key]
 
 
