@@ -52,7 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = op9_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers outlive the stage and the next one's need the memory.
+    out = op9_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), memo_bytes=32 << 20)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

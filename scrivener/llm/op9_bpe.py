@@ -39,8 +39,8 @@ from scrivener.llm.units import ENTRY, Memo, units
 #: How the vocabulary's pre-tokenizer cuts a normalised text (a fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 WIDE = 128
-#: Bytes of the cache of pieces of a worker.
-PIECES_BYTES = 16 << 20
+#: Bytes of a worker's memo of units; its cache of pieces holds half as much.
+MEMO_BYTES = 96 << 20
 NONE = np.int64(1) << 60
 
 
@@ -74,7 +74,7 @@ class BPE:
         self.token.update({i: t for t, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.pieces_held = 0
+        self.pieces_held, self.pieces_most = 0, MEMO_BYTES // 2
 
     # -- merges -----------------------------------------------------------
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ class BPE:
         new = list({p for c in cuts for p in c if isinstance(p, bytes) and p not in self.pieces})
         fresh = dict(zip(new, self.encode_words(new)))
         for p, ids in fresh.items():  # a cache; the rest is encoded anew in each batch
-            if self.pieces_held < PIECES_BYTES and len(p) <= 64:
+            if self.pieces_held < self.pieces_most and len(p) <= 64:
                 self.pieces[p] = ids
                 self.pieces_held += ENTRY + len(p) + 8 * len(ids)
         known = self.pieces
@@ -225,31 +225,34 @@ class BPE:
         return " ".join([self.token[i] for i in ids])
 
 
-_BPE: dict[int, tuple[BPE, Memo]] = {}
+_BPE: dict[tuple[int, int], tuple[BPE, Memo]] = {}
 
 
-def _of(shipped) -> tuple[BPE, Memo]:
+def _of(shipped, memo_bytes: int) -> tuple[BPE, Memo]:
     text = shipped.value
-    if (key := hash(text)) not in _BPE:
+    if (key := (hash(text), memo_bytes)) not in _BPE:
+        _BPE.clear()  # a worker keeps one
         bpe = BPE(text)
+        bpe.pieces_most = memo_bytes // 2
 
         def both(found):
             ids = bpe.encode_units(found)
             return [(" ".join(map(str, x)), bpe.decode(x), len(x)) for x in ids]
 
-        _BPE[key] = bpe, Memo(both, lambda v: len(v[0]) + len(v[1]) + 200)
+        _BPE[key] = bpe, Memo(both, lambda v: len(v[0]) + len(v[1]) + 200, memo_bytes)
     return _BPE[key]
 
 
-def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """(id, ids string of decimal ids joined by one space, n_tokens long,
-    decoded string) of every row."""
+    decoded string) of every row.  ``memo_bytes`` bounds what a worker keeps for
+    its later tasks; it changes no row."""
     shipped = ship(df.sparkSession, tokenizer_path)
     src = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     id_type = src.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo = _of(shipped)
+        _, memo = _of(shipped, memo_bytes)
         for batch in batches:
             for part in slices(batch, 1):
                 lists = [units(t) for t in part.column(1).to_pylist()]
