@@ -39,13 +39,41 @@ _MEMO: dict[int, Memo] = {}
 def _memo(shipped) -> Memo:
     key = hash(shipped.value)
     if key not in _MEMO:
-        tok = parsed(shipped)
+        _MEMO[key] = Memo(unit_encoder(parsed(shipped)), len, 96 << 20)
+    return _MEMO[key]
 
-        def encode(found):
-            return [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(found, add_special_tokens=False)]
 
-        _MEMO[key] = Memo(encode, len, 96 << 20)
-    return _MEMO[key]
+def unit_encoder(tok, block: int = 1024):
+    """A function list of white-space units -> their ids as bytes.
+
+    ``block`` units go through the library in one call, with a special token
+    between them: the library cuts a text there before it does anything else, so
+    the ids between two such tokens are those of the unit alone.  Units that
+    hold an added token themselves, and all units if the vocabulary has no
+    special token, are encoded one by one."""
+    added = tok.get_added_tokens_decoder()
+    mark = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not t.normalized), None)
+    inside = [t.content for t in added.values()]
+
+    def alone(found):
+        return [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(found, add_special_tokens=False)]
+
+    def encode(found):
+        if mark is None:
+            return alone(found)
+        odd = [i for i, u in enumerate(found) if any(t in u for t in inside)]
+        own = dict(zip(odd, alone([found[i] for i in odd]))) if odd else {}
+        out = []
+        for a in range(0, len(found), block):
+            part = ["" if i in own else found[i] for i in range(a, min(a + block, len(found)))]
+            ids = np.array(tok.encode_batch_fast([f" {mark[1]} ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            cuts, blob = 4 * np.flatnonzero(ids == mark[0]), ids.tobytes()
+            out += [blob[s:e] for s, e in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(blob)])]
+        for i, value in own.items():
+            out[i] = value
+        return out
+
+    return encode
 
 
 def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:

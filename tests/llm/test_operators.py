@@ -310,3 +310,25 @@ def test_queries_read_the_small_tables(spark):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert QUERIES["op1_token_counts"](spark, SMALL).count() == n
     assert QUERIES["op10_token_files"](spark, SMALL).count() == n
+
+
+def test_units_encoded_together_equal_units_alone():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from scrivener.llm.op10_token_files import unit_encoder
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pq_texts(SMALL)
+    found = sorted({u for t in texts for u in t.split()} | {"a<|endoftext|>b", "<|startoftext|>", "<|endoftext|>", "<|endoftext|", "|>", "e\u0301", "\u0301", "\U0001f600"})
+    alone = [np.array(tok.encode(u, add_special_tokens=False).ids, "<i4").tobytes() for u in found]
+    for block in (1, 7, 1024):
+        assert unit_encoder(tok, block)(found) == alone
+    assert unit_encoder(tok)([]) == []
+
+
+def pq_texts(sf_dir):
+    import pyarrow.parquet as pq
+
+    return [t for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
