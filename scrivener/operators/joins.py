@@ -8,11 +8,20 @@ from the measured shuffle size, which is a size check of its own).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
+_STORED: dict[str, SparkSession] = {}
+_SCOPE = threading.local()
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.  A plain parallel count:
@@ -32,7 +41,8 @@ def materialize(df: DataFrame) -> DataFrame:
     plan computes it twice: once to count, once to write), later size checks
     and joins read the stored rows instead of recomputing the upstream plan, the
     planner sees the real file sizes, and a lost executor does not send the
-    job back to the source."""
+    job back to the source.  The table is deleted at the end of the enclosing
+    ``temporary_tables`` block, else when the application ends."""
     import uuid
 
     from scrivener.session import scratch_path
@@ -42,6 +52,42 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    _STORED[path] = spark
+    for scope in getattr(_SCOPE, "open", []):
+        scope.append(path)
     stored = spark.read.parquet(path)
     stored._scrivener_stored = True
     return stored
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system it lies; none is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end: for
+    steps that write their result elsewhere, again and again (a stream's batches)."""
+    mine: list[str] = []
+    _SCOPE.open = [*getattr(_SCOPE, "open", []), mine]
+    try:
+        yield
+    finally:
+        _SCOPE.open = _SCOPE.open[:-1]
+        for path in mine:
+            if path in _STORED:
+                delete_path(_STORED.pop(path), path)
+
+
+@atexit.register
+def _delete_stored() -> None:
+    """Result tables go when the application ends; a session that is stopped
+    before leaves them to the platform's clean-up."""
+    for path, spark in list(_STORED.items()):
+        if SparkContext._active_spark_context is not None and spark._jsc is not None:
+            try:
+                delete_path(spark, path)
+            except Exception:  # noqa: BLE001 - the JVM may be gone at exit
+                return

@@ -187,7 +187,11 @@ def train_corrections(df: DataFrame, text_col: str = "text", by=("lang",), ratio
     the word.  The rule compares frequencies only, so it does not depend on
     the size of the corpus, and a typo that is itself common is still
     corrected by a far more common word."""
-    counts = materialize(build_lexicon(df, text_col, by))
+    return corrections_from_counts(materialize(build_lexicon(df, text_col, by)), ratio, by)
+
+
+def corrections_from_counts(counts: DataFrame, ratio: float = DEFAULT_RATIO, by=("lang",)) -> DataFrame:
+    """``train_corrections`` on word counts (by..., word, freq) taken before."""
     # A candidate is seen ratio times at least: its word is seen once at least.
     near = candidates(counts.select(*by, "word"), counts.where(F.col("freq") >= ratio), by)
     return best(more_frequent(near, counts.select(*by, "word", F.col("freq").alias("own")), ratio, by), by)

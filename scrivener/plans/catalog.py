@@ -1340,6 +1340,27 @@ def q_trained_corrections(spark, sf):
     return LX.train_corrections(drop_blank(FX.typo_lines(spark, sf), "typo_text"), "typo_text")
 
 
+@register("stream_trained_corrections", _w(_TR_CTES, "SELECT lang, word, cand, dist, freq FROM tr_best"))
+def q_stream_trained_corrections(spark, sf):
+    """ST1 on the corpus backend: the documents as a stream of files, word
+    counts merged batch by batch, corrections of the last version."""
+    import uuid
+
+    from scrivener.operators.lines import drop_blank, explode_lines
+    from scrivener.session import scratch_path
+    from scrivener.streaming.learned import learn_files
+
+    # The stand-in for files that arrive one after the other.
+    docs, source = FX.documents(spark, sf), scratch_path(spark, f"arrivals-{uuid.uuid4().hex}")
+    docs.repartition(6).write.parquet(source)
+
+    def prepare(stream):
+        lines = explode_lines(stream, keep=["lang", "source"])
+        return drop_blank(lines.withColumn("typo_text", FX.inject_typos(F.col("text"))), "typo_text")
+
+    return learn_files(spark, source, docs.schema, prepare, "typo_text", files_per_batch=2, merge_every=2)
+
+
 @register("collapse_whitespace", _w(FX.SQL_RAW_OUTPUTS, f"SELECT doc_id, line_no, {O.collapse_ws('raw_output')} AS collapsed FROM fx_raw"))
 def q_collapse_whitespace(spark, sf):
     from scrivener.functions.text import collapse_ws

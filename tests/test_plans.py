@@ -12,9 +12,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+STREAMS = {"stream_equals_batch", "stream_trained_corrections"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_product(spark, name):
-    if name == "stream_equals_batch":
+    if name in STREAMS:
         pytest.skip("runs a stream while planning")
     plan = _plan(E.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -62,7 +65,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGro
 AUTOMATON = {"dictionary_phrases", "rule_hits_table"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - AUTOMATON - {"stream_equals_batch"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - AUTOMATON - STREAMS))
 def test_only_the_automaton_runs_python(spark, name):
     plan = _plan(E.queries()[name](spark, SMALL))
     assert not any(node in plan for node in PYTHON_NODES), name
