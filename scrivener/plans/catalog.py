@@ -316,6 +316,37 @@ def q_json_per_document(spark, sf):
     return json_per_document(correct_corpus_df(spark, sf), RUN_MODEL, RUN_TEMPERATURE, RUN_MAX_TOKENS)
 
 
+@register("json_envelope_file", _w(_CC_CTES, "SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos, text AS input, corrected AS output FROM fx_cc"))
+def q_json_envelope_file(spark, sf):
+    """The whole run written as one JSON document by the committing sink
+    and read back by its manifest."""
+    import uuid
+
+    from scrivener.session import scratch_path
+    from scrivener.sinks.envelope_file import read_envelope, write_envelope
+
+    path = scratch_path(spark, f"envelope-{uuid.uuid4().hex}")
+    write_envelope(correct_corpus_df(spark, sf), path, RUN_MODEL, RUN_TEMPERATURE, RUN_MAX_TOKENS)
+    return read_envelope(spark, path)
+
+
+@register("write_read_text", _w(_CC_CTES, "SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS line_no, replace(coalesce(corrected, ''), chr(13), ' ') AS text FROM fx_cc"))
+def q_write_read_text(spark, sf):
+    """The corrected lines written as text in input order and read back
+    by line, counted over all files.  A carriage return would end a line in a
+    text file, so it is written as a space."""
+    import uuid
+
+    from scrivener.session import scratch_path
+    from scrivener.sinks.writers import write_text
+    from scrivener.sources.tables import read_text_lines, running_line_no
+
+    path = scratch_path(spark, f"text-{uuid.uuid4().hex}")
+    out = correct_corpus_df(spark, sf)
+    write_text(out.withColumn("corrected", F.translate(F.coalesce("corrected", F.lit("")), "\r", " ")), path)
+    return running_line_no(read_text_lines(spark, path)).select("line_no", "text")
+
+
 @register(
     "report",
     _w(_CC_CTES, """SELECT doc_id, line_no, status,

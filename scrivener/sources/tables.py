@@ -79,3 +79,16 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = counts.select("doc_id", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     joined = lines.join(offsets, ["doc_id", "_block"])
     return joined.select("doc_id", (F.col("_off") + F.col("_n")).alias("line_no"), "text")
+
+
+def running_line_no(lines: DataFrame) -> DataFrame:
+    """The lines of ``read_text_lines`` with ``line_no`` counted on over all
+    files in order of path.  Only a row per file meets in the window that turns
+    line counts into offsets."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("doc_id", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return lines.join(offsets, "doc_id").withColumn("line_no", F.col("line_no") + F.col("_off")).drop("_off")
