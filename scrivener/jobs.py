@@ -98,8 +98,9 @@ def main(argv=None) -> int:
     if args.input_format == "text" and args.mode == "batch":
         return _correct_text_lines(spark, args)
     if args.input_format == "text":
+        # Known by path: output comes in order of path, and no two files share an id.
         docs = read_text_files(spark, args.input)
-        id_col, text_col = "doc_id", "text"
+        id_col, text_col = "path", "text"
     else:
         docs = spark.read.parquet(args.input)
         id_col, text_col = args.id_col, args.text_col

@@ -1,11 +1,13 @@
 """Dictionary correction for rule tables of any size (C6) and rule-hit counts.
 
-Two physical forms, picked by the size of the rule table:
+Three physical forms, picked by the size of the rule table:
 
 * **map form** — the rule table is proven small (row-count check), read once
   and inlined as a literal ``MAP`` in a ``transform`` over the line's
   pieces.  Row-local: no shuffle of the line table at all.
-* **join form** — for rule tables past the bound (or derived tables that grow
+* **lookup form** — rules proven to be a few MB, derived tables among them: the
+  pieces are looked up row by row in a broadcast table (``operators.lookup``).
+* **join form** — for rule tables past that bound (derived tables grow
   with the data, such as corpus-trained corrections): the pieces are
   ``posexplode``d where the line is and probed against the rules; only the
   hits ``(line, word position, fix)`` are shuffled, gathered into a small
@@ -16,7 +18,7 @@ Two physical forms, picked by the size of the rule table:
   broadcast if small enough, else joined by shuffle with AQE skew handling
   splitting a hot word on the token side.
 
-Both forms probe every piece of ``TOKEN_PATTERN``, word runs and the runs
+All forms probe every piece of ``TOKEN_PATTERN``, word runs and the runs
 between them, with one rule per folded typo; a null typo is no rule.  For
 rules that are words this gives the same text as the chained whole-word
 regexes.
@@ -32,10 +34,13 @@ from pyspark.sql import functions as F
 from scrivener.functions.sanitize import TOKEN_PATTERN, rules_token_map
 from scrivener.functions.text import fold_key
 from scrivener.operators.joins import bounded_broadcast, materialize, row_count_at_most
+from scrivener.operators.lookup import MAX_BYTES, rewrite, small_table
 
 # A literal map is searched linearly per lookup, so the map form is kept
 # for small rule tables; larger ones take the join form.
 MAX_MAP_RULES = 1_000
+# Rules past the lookup form's bytes: the join broadcasts this many at most.
+MAX_BROADCAST_RULES = 1_000_000
 WORD_RUN = r"(?U)\w+"
 
 
@@ -51,7 +56,7 @@ def normalise_rules(rules: DataFrame, typo: str = "typo", fixed: str = "fixed",
 
 
 def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
-                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int = 1_000_000,
+                          key_cols=("doc_id", "line_no"), max_broadcast_rows: int | None = None,
                           by=(), typo: str = "typo", fixed: str = "fixed",
                           unique_keys: bool = False, words_only: bool = False) -> DataFrame:
     """C6 join form: returns ``(*key_cols, out)`` for every input row.  With
@@ -60,7 +65,11 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     (no normalising aggregate needed).  ``words_only`` says that every typo is a
     word, so that only word runs need probing.
 
-    Plan: the line's pieces are exploded where the line is and probed against
+    Rules of proven size (in bytes) are looked up row by row
+    (``apply_dictionary_lookup``); larger ones, and any if
+    ``max_broadcast_rows`` is given, are joined.
+
+    Plan of the join: the line's pieces are exploded where the line is and probed against
     the rules (a broadcast hash join when the rules are proven small); only
     the hits, ``(key, position, fix)``, are shuffled and gathered into one
     small position → fix map per line; that map is joined back to the lines
@@ -78,6 +87,11 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
         r = rules.select(*by, fold_key(typo).alias("key"), F.col(fixed).alias("fixed"))
     else:
         r = normalise_rules(rules, typo, fixed, by)
+    if max_broadcast_rows is None:
+        done = apply_dictionary_lookup(df, r, text_col, out, by)
+        if done is not None:
+            return done.select(*keys, out)
+        max_broadcast_rows = MAX_BROADCAST_RULES
     if row_count_at_most(r, max_broadcast_rows):
         r = F.broadcast(r)
     else:
@@ -102,6 +116,17 @@ def apply_dictionary_join(df: DataFrame, rules: DataFrame, text_col: str = "text
     return j.select(*keys, text.alias(out))
 
 
+def apply_dictionary_lookup(df: DataFrame, rules: DataFrame, text_col: str, out: str, by=(), max_bytes: int = MAX_BYTES) -> DataFrame | None:
+    """C6 lookup form: ``df`` with ``out``, for normalised rules (by..., key,
+    fixed); None if they are larger than ``max_bytes``."""
+    group = F.concat(F.lit(""), *[part for b in by for part in (F.col(b).cast("string"), F.lit("\0"))])
+    found = small_table(rules.select(F.concat(group, "key").alias("key"), "fixed"), "key", "fixed", max_bytes)
+    if found is None:
+        return None
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), F.lit(0))
+    return df.withColumn(out, rewrite(df, found, pieces, group))
+
+
 def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", out: str = "corrected",
                      max_map_rules: int = MAX_MAP_RULES) -> DataFrame:
     """Pick the map form when the rule table is proven small, else the join
@@ -112,6 +137,9 @@ def apply_dictionary(df: DataFrame, rules: DataFrame, text_col: str = "text", ou
             return df.withColumn(out, F.col(text_col))
         mapped = rules_token_map(F.col(text_col), [(p["key"], p["fixed"]) for p in pairs])
         return df.withColumn(out, mapped)
+    done = apply_dictionary_lookup(df, materialize(normalise_rules(rules)), text_col, out)
+    if done is not None:
+        return done
     # The join form needs one key per row: rows get a number of their own, in a
     # stored copy, so null and repeated keys come back as they went in.
     numbered = materialize(df.withColumn("__row", F.monotonically_increasing_id()))

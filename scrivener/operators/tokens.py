@@ -1,7 +1,8 @@
 """Token sequences and vector arrays (T1-T8, A10-A12, V5, V8, V9 helpers).
 
-Word-level encoding is a join against a vocabulary table; the sequence is
-rebuilt per line by a ``groupBy`` on the line key with the positions sorted
+Word-level encoding looks the words of a line up row by row in a vocabulary
+of proven size (``operators.lookup``).  A larger vocabulary is joined; the sequence is
+then rebuilt per line by a ``groupBy`` on the line key with the positions sorted
 inside the aggregate (so no global order is ever needed).
 
 Vocabulary ids are dense ranks by (frequency desc, word).  A global
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from scrivener.operators.joins import bounded_broadcast, materialize, row_count_at_most
 from scrivener.operators.lexicon import WORD_PATTERN, words
+from scrivener.operators.lookup import look_up, small_table
 
 UNK_ID = 0
 PAD_ID = 0
@@ -65,9 +67,18 @@ def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> D
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("doc_id", "line_no"),
            out: str = "ids", max_broadcast_rows: int | None = None) -> DataFrame:
-    """Words of each line → id sequence (unknown → 0)."""
-    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
+    """Words of each line → id sequence (unknown → 0).
+
+    A vocabulary of proven size (in bytes) is looked up row by row; a larger
+    one, and any if ``max_broadcast_rows`` is given, is joined, and then
+    ``key_cols`` must tell the lines apart."""
     keys = list(key_cols)
+    known = small_table(vocab, "word", "id") if max_broadcast_rows is None else None
+    if known is not None:
+        found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), F.lit(0))
+        ids = look_up(df, known, F.coalesce(found, F.array().cast("array<string>")))
+        return df.select(*keys, F.transform(ids, lambda x: F.coalesce(x, F.lit(UNK_ID))).alias(out))
+    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
     toks = df.select(
         *keys,
         F.posexplode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0)).alias("pos", "word"),
@@ -90,9 +101,13 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols=("d
 
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key_cols=("doc_id", "line_no"),
            out: str = "decoded", max_broadcast_rows: int | None = None) -> DataFrame:
-    """Id sequence → space-joined words (unknown → '<unk>')."""
-    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
+    """Id sequence → space-joined words (unknown → '<unk>'); forms as in ``encode``."""
     keys = list(key_cols)
+    known = small_table(vocab, "id", "word") if max_broadcast_rows is None else None
+    if known is not None:
+        found = look_up(df, known, F.coalesce(F.col(ids_col), F.array().cast("array<int>")))
+        return df.select(*keys, F.array_join(F.transform(found, lambda x: F.coalesce(x, F.lit(UNK_TOKEN))), " ").alias(out))
+    max_broadcast_rows = max_broadcast_rows or MAX_VOCAB_BROADCAST_ROWS
     toks = df.select(*keys, F.posexplode_outer(ids_col).alias("pos", "id"))
     v = vocab.select("id", "word")
     if row_count_at_most(v, max_broadcast_rows):

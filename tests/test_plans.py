@@ -39,8 +39,14 @@ def test_filter_pushed_to_scan(spark):
 
 
 def test_dictionary_join_broadcasts_small_rules(spark):
+    from scrivener.operators.dictionary import apply_dictionary_join
+    from scrivener.sources import fixtures as FX
+
     plan = _plan(E.queries()["dictionary_join"](spark, SMALL))
-    assert "BroadcastHashJoin" in plan
+    assert "ArrowEvalPython" in plan and "Join" not in plan
+    # The join form, for rules past the lookup's bytes.
+    rules = spark.createDataFrame([("teh", "the")], "typo string, fixed string")
+    assert "BroadcastHashJoin" in _plan(apply_dictionary_join(FX.typo_lines(spark, SMALL), rules, "typo_text", max_broadcast_rows=10))
 
 
 def test_entry_smoke(spark):
@@ -61,8 +67,9 @@ def test_filter_on_key_reaches_scan_through_fences(spark):
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 
-# The automaton runs in Arrow-batched Python.
-AUTOMATON = {"dictionary_phrases", "rule_hits_table"}
+# The automaton and the row-local lookups run in Arrow-batched Python.
+AUTOMATON = {"dictionary_phrases", "rule_hits_table", "dictionary_join", "apply_corrections", "encode", "decode", "pad_truncate",
+             "correct_corpus_trained", "win_interval"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - AUTOMATON - STREAMS))

@@ -360,3 +360,16 @@ def test_job_entry_point(spark):
     assert main(["--input", src, "--output", out2]) == 0
     assert [r["value"] for r in spark.read.text(out2).collect()] == ["i can't believe it", "the quick fox"]
     assert main(["--input", src, "--output", out2, "--temperature", "3.0"]) == 2
+
+
+@pytest.mark.parametrize("form", ["text", "json", "verbose"])
+def test_single_mode_over_text_files_keeps_the_order_of_paths(spark, tmp_path, form):
+    from scrivener.jobs import main
+
+    (tmp_path / "in").mkdir()
+    for i in range(12):
+        (tmp_path / "in" / f"f{i:02d}.txt").write_text(f"teh file {i:02d}")
+    assert main(["--input", str(tmp_path / "in"), "--mode", "single", "--output-format", form, "--output", str(tmp_path / "out")]) == 0
+    text = _text_of(str(tmp_path / "out"))
+    places = [text.index(f"the file {i:02d}") for i in range(12)]
+    assert places == sorted(places)
