@@ -34,10 +34,11 @@ from scrivener.operators.joins import materialize
 # Letters of any script, with their combining marks.
 WORD_PATTERN = r"[\p{L}\p{M}]+"
 NON_WORD_PATTERN = r"[^\p{L}\p{M}]+"
-# The bounds in the SQL of the queries lexicon ... sampled_candidate, which pass
-# them on; the functions below have no such bounds unless the caller gives them.
-DEFAULT_MIN_COUNT = 20
-DEFAULT_MIN_LEN = 3
+# No bounds on count or length, here and in the SQL of the queries lexicon ...
+# sampled_candidate, unless the caller gives them: answers do not depend on the
+# size of a table.
+DEFAULT_MIN_COUNT = 1
+DEFAULT_MIN_LEN = 1
 # How many times as frequent a candidate must be, per edit.
 DEFAULT_RATIO = 20.0
 # Orders candidates like N5 (distance first, then frequency): one distance
@@ -54,14 +55,14 @@ def words(df: DataFrame, text_col: str = "text", by=("lang",)) -> DataFrame:
     return df.select(*by, F.explode(pieces).alias("word")).where(F.col("word") != "")
 
 
-def build_lexicon(df: DataFrame, text_col: str = "text", by=("lang",), min_count: int = 1) -> DataFrame:
+def build_lexicon(df: DataFrame, text_col: str = "text", by=("lang",), min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
     """(by..., word, freq) for words seen at least ``min_count`` times."""
     counts = words(df, text_col, by).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("freq"))
     return counts.where(F.col("freq") >= min_count)
 
 
 def find_oov(df: DataFrame, lexicon: DataFrame, text_col: str = "text", by=("lang",),
-             min_len: int = 1) -> DataFrame:
+             min_len: int = DEFAULT_MIN_LEN) -> DataFrame:
     """Distinct (by..., word) of the input that the lexicon lacks."""
     w = words(df, text_col, by).where(F.length("word") >= min_len).distinct()
     return w.join(lexicon.select(*by, "word"), [*by, "word"], "left_anti")

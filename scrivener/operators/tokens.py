@@ -55,9 +55,9 @@ def dense_ids(df: DataFrame, order: list[Column], out: str = "id", start: int =
     return j.withColumn(out, (F.col("_off") + F.col("_local") + F.lit(start)).cast("int")).drop("_pid", "_local", "_off")
 
 
-def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 20) -> DataFrame:
-    """(word, freq, id): words seen ``min_count`` times, id 1.. by frequency
-    desc then word; id 0 is the unknown word."""
+def build_vocab(df: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
+    """(word, freq, id): words seen ``min_count`` times (all, unless given), id 1..
+    by frequency desc then word; id 0 is the unknown word."""
     counts = words(df, text_col, by=()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     counts = counts.where(F.col("freq") >= min_count)
     # dense_ids stores the sorted rows once; the ids are that stored table

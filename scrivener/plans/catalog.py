@@ -1029,7 +1029,7 @@ def q_shape_drift(spark, sf):
 _TK_CTES = FX.SQL_LINES + f""",
 tk_words AS (SELECT unnest(regexp_extract_all(lower(text), '{LX.WORD_PATTERN}')) AS word FROM fx_lines),
 tk_vocab AS MATERIALIZED (SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) AS INTEGER) AS id
-  FROM (SELECT word, count(*) AS freq FROM tk_words GROUP BY word HAVING count(*) >= 20)),
+  FROM (SELECT word, count(*) AS freq FROM tk_words GROUP BY word)),
 tk_toks AS (SELECT doc_id, line_no, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos
   FROM (SELECT doc_id, line_no, regexp_extract_all(lower(text), '{LX.WORD_PATTERN}') AS w FROM fx_lines)),
 tk_enc0 AS MATERIALIZED (SELECT t.doc_id, t.line_no, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids
@@ -1040,7 +1040,7 @@ tk_enc AS MATERIALIZED (SELECT l.doc_id, l.line_no, coalesce(e.ids, CAST([] AS I
 
 def _vocab(spark, sf):
     # Word counts from whole documents (same words as the line table).
-    return TK.build_vocab(FX.documents(spark, sf), "text", 20)
+    return TK.build_vocab(FX.documents(spark, sf), "text")
 
 
 def _encoded(spark, sf, vocab=None):
