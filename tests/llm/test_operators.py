@@ -135,12 +135,14 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(op3_kd_search, "SHARD_ROWS", 40)
     monkeypatch.setattr(op3_kd_search, "BLOCK_QUERIES", 4)
     data = vectors(1)
-    quantised = {i: tuple(math.floor(64 * x) for x in v) for i, v in data if i is not None and usable(v)}
+    # Rows that share an id are rows of their own, as queries and as candidates.
+    quantised = [(i, tuple(math.floor(64 * x) for x in v)) for i, v in data if i is not None and usable(v)]
     want = []
-    for q, u in quantised.items():
+    for n, (q, u) in enumerate(quantised):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in quantised.items() if i != q and len(u) == len(v))[:20]
+            best = sorted((-sum(a * b for a, b in zip(u, v)), i) for m, (i, v) in enumerate(quantised) if m != n and len(u) == len(v))[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sum(q == 20 for q, *_ in want) == 40 and (20, 20) in {(q, i) for q, _, i, _ in want}
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in op3_kd_search.top_k(vec_frame(spark, data), F.col("id") % 20 == 0).collect()]
     assert sorted(got) == sorted(want)
     assert op3_kd_search.top_k(vec_frame(spark, []), F.col("id") % 20 == 0).count() == 0
@@ -154,14 +156,18 @@ def test_kd_tree_bounds_and_search(big):
     if big:
         vecs = vecs * (1 << 22)
     ids = rng.permutation(700)
-    tree = op3_kd_search.Tree.build(ids, vecs)
+    rows = ids + 5000
+    tree = op3_kd_search.Tree.build(ids, rows, vecs)
     queries = vecs[:30]
-    for q, own, bound in zip(queries, ids[:30].tolist(), tree.bounds(queries)):
+    for q, bound in zip(queries, tree.bounds(queries)):
         scores = tree.vecs @ q
         assert all(scores[tree.start[n]: tree.end[n]].max() <= bound[n] for n in range(len(tree.start)))
-        want = sorted(((int(s), -int(i)) for s, i in zip(scores, tree.ids) if i != own), reverse=True)[:20]
-        assert tree.search(q, own, bound, 20, None) == want
-        assert tree.search(q, own, bound, 20, want[-1][0]) == want
+    want = []
+    for n, (q, own) in enumerate(zip(queries, ids[:30].tolist())):
+        want.append(sorted(((int(s), -int(i)) for s, i in zip(tree.vecs @ q, tree.ids) if i != own), reverse=True)[:20])
+    for least in (np.full(30, op3_kd_search.LOWEST), np.array([w[-1][0] for w in want])):
+        of, got, score = tree.search(queries, rows[:30], 20, least)
+        assert [[(int(s), -int(i)) for o, i, s in zip(of, got, score) if o == n] for n in range(30)] == want
 
 
 def test_embedding_components(spark, monkeypatch):
