@@ -124,7 +124,8 @@ def resolver(window: int):
 
 def _hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
+    # Without a seed (the scans), no Python frame per word.
+    return np.fromiter(map(h, words) if seed == 0 else (h(w, seed) for w in words), np.uint64, len(words))
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -155,9 +156,9 @@ def remove_repeats(df: DataFrame, window: int = 13, gram: int = 4, id_col: str =
         for batch in batches:
             for part in slices(batch, 1):
                 size, removed, kept = [], [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for text, runs in zip(part.column(1).to_pylist(), merged(part.column(2))):
                     words, at, rest = (text or "").encode().split(), 0, []
-                    for lo, hi in merged(found):
+                    for lo, hi in runs:
                         rest += words[at:lo]
                         at = hi
                     rest += words[at:]

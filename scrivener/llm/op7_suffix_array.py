@@ -1,7 +1,8 @@
 """Suffix-array dedup: bytes of passages that an earlier document holds too.
 
-A shard's segments (see ``repeats``) are laid end to end and their suffixes
-are sorted in two stages.  Suffixes smaller than their successors (the one
+A shard's segments (see ``repeats``) are laid end to end and the suffixes that
+start a window of their segment are sorted in two stages (a segment's last
+``window`` - 1 bytes start none).  Suffixes smaller than their successors (the one
 that starts a byte later) are sorted directly by their first ``window`` bytes.
 All others are induced: buckets of equal first bytes are scanned in order, and
 each suffix met puts its predecessor, if that is larger than it, at the next
@@ -28,32 +29,46 @@ from scrivener.llm.common import slices
 from scrivener.llm.repeats import LAST, gram_hashes, keyed, merged, repeated_spans
 
 
-def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Start places of all suffixes of ``text`` (bytes), in order of their first
-    ``depth`` bytes at least; further ties are in any order."""
+    ``depth`` bytes at least; further ties are in any order.  With ``wanted`` (a
+    flag per place) of those suffixes only, and of those they are induced from."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     # A suffix is smaller than its successor if the next differing byte is larger.
     change = np.flatnonzero(text[1:] != text[:-1])
-    run = np.searchsorted(change, np.arange(n))
+    run = np.cumsum(np.append(False, text[1:] != text[:-1]))
     known = run < len(change)
     smaller = np.zeros(n, bool)
     at = change[run[known]]
     smaller[known] = text[at + 1] > text[at]
-    direct = np.flatnonzero(smaller)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:
+        # A suffix that is induced needs its successor, and so on up to one that is sorted (or the last one).
+        ends = np.flatnonzero(smaller | (np.arange(n) == n - 1))
+        last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        upto = ends[np.searchsorted(ends, last)]
+        depths = np.zeros(n + 1, np.int64)
+        np.add.at(depths, last, 1)
+        np.add.at(depths, upto + 1, -1)
+        wanted = wanted | (np.cumsum(depths[:n]) > 0)
+    direct = np.flatnonzero(smaller & wanted)
+    larger = wanted & ~smaller
     keys = prefix_keys(text, direct, depth)
-    direct = direct[np.lexsort(keys[::-1])]
+    direct = direct[_sorted(keys)]
     bounds = np.searchsorted(text[direct], np.arange(257))
 
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[text[n - 1]].append(np.array([n - 1]))  # it ends first, so it comes first in its bucket
+    if wanted[n - 1]:
+        induced[text[n - 1]].append(np.array([n - 1]))  # it ends first, so it comes first in its bucket
     out: list[np.ndarray] = []
 
     def put(met: np.ndarray, byte: int) -> np.ndarray:
         """Place the predecessors of suffixes in order; returns those of this bucket."""
         before = met[met > 0] - 1
-        before = before[~smaller[before]]
+        before = before[larger[before]]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -76,7 +91,24 @@ def two_stage_order(text: np.ndarray, depth: int) -> np.ndarray:
         if len(some):
             out.append(some)
             put(some, byte)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sorted(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by all keys: by the first, then ties alone by the next ones."""
+    order = np.argsort(keys[0], kind="stable")
+    new = np.append(True, np.diff(keys[0][order]) != 0)
+    for key in keys[1:]:
+        # Groups of more than one row that are equal so far.
+        tied = ~(new & np.append(new[1:], True))
+        if not tied.any():
+            break
+        some, group = order[tied], np.cumsum(new)[tied]
+        value = key[some]
+        by = np.lexsort((value, group))
+        order[tied], value = some[by], value[by]
+        new[tied] |= np.append(True, value[1:] != value[:-1])
+    return order
 
 
 def prefix_keys(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -115,13 +147,15 @@ def resolver(window: int):
         text = np.frombuffer(b"\0".join(body) + b"\0", np.uint8)
         lens = np.fromiter(map(len, body), np.int64, len(body))
         begin = np.cumsum(lens + 1) - lens - 1
-        order = two_stage_order(text, window)
-        run = np.cumsum(common_prefixes(text, order, window) < window) - 1
-        # Places where a whole window lies in one segment, with the segment's id.
+        # Places where a whole window lies in one segment: only their suffixes are of use.
         at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wanted = np.zeros(len(text), bool)
+        wanted[at] = True
+        order = two_stage_order(text, window, wanted)
+        run = np.cumsum(common_prefixes(text, order, window) < window) - 1
         of = np.empty(len(text), np.int64)
         of[order] = run
-        least = np.full(run[-1] + 1, LAST)
+        least = np.full(run[-1] + 1 if len(run) else 0, LAST)
         np.minimum.at(least, of[at], np.repeat(first, n))
         return least[of[at]]
 
@@ -160,8 +194,8 @@ def remove_repeats(df: DataFrame, window: int = 50, gram: int = 16, id_col: str
         for batch in batches:
             for part in slices(batch, 1):
                 size, removed, n, kept, as_text = [], [], [], [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    data, runs, at, rest = (text or "").encode(), merged(found), 0, []
+                for text, runs in zip(part.column(1).to_pylist(), merged(part.column(2))):
+                    data, at, rest = (text or "").encode(), 0, []
                     for lo, hi in runs:
                         rest.append(data[at:lo])
                         at = hi

@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,13 +168,16 @@ def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                row, body = [], []
-                for text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                found = part.column(1)
+                row = dict(zip((f.name for f in found.type.value_type), found.flatten().flatten()))
+                lo = np.asarray(row["start"]).astype(np.int64)
+                hi = (lo + np.asarray(row["n"]) + window - 1).tolist()
+                lo, ends, at, body = lo.tolist(), np.cumsum(_lengths(found)).tolist(), 0, []
+                for text, end in zip(part.column(0).to_pylist(), ends):
                     cut = pieces(text or "")
-                    row += found
-                    body += [cut(w["start"], w["start"] + w["n"] + window - 1) for w in found]
-                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in row], pa.int64()), pa.array([w["same"] for w in row], pa.int64()), pa.array([w["n"] for w in row], pa.int32()),
-                                                  pa.array([w["first"] for w in row], pa.int64()), pa.array([w["crowded"] for w in row], pa.bool_()), pa.array(body, pa.binary())],
+                    body += [cut(a, b) for a, b in zip(lo[at:end], hi[at:end])]
+                    at = end
+                yield pa.RecordBatch.from_arrays([row["anchor"], row["same"], row["n"].cast(pa.int32()), row["first"], row["crowded"], pa.array(body, pa.binary())],
                                                  ["anchor", "same", "n", "first", "crowded", "body"])
 
     joined = docs.join(wanted, ["ord", "tag"]).select("text", "wanted")
@@ -262,13 +266,28 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     return spans
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted maximal ranges; ranges that touch are one."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-        if out and lo <= out[-1][1]:
-            if hi > out[-1][1]:
-                out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+
+
+def merged(spans: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Per row the sorted maximal ranges of its list of (lo, hi), none for a
+    null; ranges that touch are one."""
+    n = _lengths(spans)
+    flat = dict(zip((f.name for f in spans.type.value_type), spans.flatten().flatten()))
+    lo, hi = (np.asarray(flat[c]).astype(np.int64) for c in ("lo", "hi"))
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(n))]
+    if len(lo) == 0:
+        return out
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((lo, of))
+    of, lo, hi = of[order], lo[order], hi[order]
+    # The furthest end so far in the row; rows are set apart by more than any end.
+    apart = of * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + apart) - apart
+    new = np.append(True, (of[1:] != of[:-1]) | (lo[1:] > reach[:-1]))
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(lo)) - 1
+    for i, a, b in zip(of[begin].tolist(), lo[begin].tolist(), reach[end].tolist()):
+        out[i].append((a, b))
     return out

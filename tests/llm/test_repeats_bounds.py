@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_repeats import brute, frame, rows
 
@@ -45,6 +46,35 @@ def test_texts_longer_than_a_block_equal_brute_force(spark, block):
     data = [(i, t) for i, t in rows(3) if i not in (301, None)]  # one row an id
     docs = repeats.keyed(frame(spark, data), "doc_id", "text")
     spans = repeats.repeated_spans(docs, bytes7._symbols, bytes7._pieces, bytes7.resolver(50), bytes7._windows(50), 50, 16, block=block)
-    got = {r.ord: {p for lo, hi in repeats.merged(r.spans) for p in range(lo, hi)} for r in spans.collect()}
+    got = {r.ord: {p for s in r.spans for p in range(s.lo, s.hi)} for r in spans.collect()}
     gone = brute([(i, (t or "").encode()) for i, t in data], 50)
     assert got == {i: g for (i, _), g in zip(data, gone) if g}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merged_ranges_are_maximal_runs(seed):
+    rng = random.Random(seed)
+    spans = lambda: [{"lo": lo, "hi": lo + rng.randrange(1, 9)} for lo in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+    data = [None, [], [{"lo": 0, "hi": 90}, {"lo": 3, "hi": 5}, {"lo": 6, "hi": 7}, {"lo": 90, "hi": 91}]] + [spans() for _ in range(40)]
+    column = pa.array(data, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    for part, rows_of in ((column, data), (column.slice(2, 17), data[2:19])):
+        for runs, found in zip(repeats.merged(part), rows_of, strict=True):
+            held = sorted({p for s in found or () for p in range(s["lo"], s["hi"])})
+            assert [p for lo, hi in runs for p in range(lo, hi)] == held
+            assert all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_order_of_wanted_suffixes_only(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(0, [2, 3, 256][seed % 3], 900).astype(np.uint8)
+    text[300:420] = 1
+    wanted = np.zeros(900, bool)
+    for a in rng.integers(0, 890, 12):
+        wanted[a: a + 10] = True
+    order = bytes7.two_stage_order(text, 50, wanted)
+    raw = text.tobytes()
+    cut = [raw[i: i + 50] for i in order.tolist()]
+    assert cut == sorted(cut) and len(set(order.tolist())) == len(order)
+    assert set(np.flatnonzero(wanted).tolist()) <= set(order.tolist())
+    assert bytes7.two_stage_order(text, 50, np.zeros(900, bool)).size == 0
