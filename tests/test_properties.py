@@ -77,6 +77,17 @@ def test_stream_equals_batch(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    """A table may be one file or a folder of files; the stream takes all of them."""
+    import __spark_entry__ as E
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    q = E.queries()
+    a, b = q["stream_equals_batch"](spark, str(tmp_path)), q["correct_lines"](spark, str(tmp_path))
+    assert a.count() > 40 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_model_backend_with_stub(spark):
     from pyspark import cloudpickle
 
