@@ -218,15 +218,16 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> tup
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], row: Column, text_col: str = "text") -> DataFrame:
-    """(row, lang_pred, score) of every row; ``row`` is what to carry along."""
+    """(row, lang_pred, score) of every row; ``row`` is what to carry along.
+    Only the text crosses to Python; ``row`` stays where it is."""
     labels, proto = model
     shipped = df.sparkSession.sparkContext.broadcast((labels, proto))
-    src = df.select(F.col(text_col).alias("text"), row.alias("row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, protos = shipped.value
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
+        for texts in batches:
+            langs, scores = [], []
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 1 << 19):
                 vecs = _unit(text_vectors(part.column(0).to_pylist()))
                 lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 if names:
@@ -235,9 +236,15 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], row: Column, tex
                     best, seen = cos.argmax(axis=1), vecs.any(axis=1)
                     lang = [names[b] if s else "und" for b, s in zip(best, seen)]
                     score = np.where(seen, np.clip(cos[np.arange(len(best)), best], 0.0, 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
-
-    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+                langs += lang
+                scores.append(score)
+            scores = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), scores], ["lang_pred", "score"])
+
+    # Not deterministic, as far as the planner goes: a filter on the result must not run it again.
+    found = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    out = df.select(row.alias("row"), found(F.col(text_col)).alias("__found"))
+    return out.select("row", "__found.lang_pred", "__found.score")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
