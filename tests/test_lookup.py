@@ -70,3 +70,31 @@ def test_texts_without_words_encode_to_nothing(spark, frame):
     vocab = spark.createDataFrame([("teh", 1), ("cat", 2)], "word string, id int")
     ids = [r.ids for r in TK.encode(frame, vocab, key_cols=("id",)).collect()]
     assert ids == [[1, 2, 1, 0], [1], [1, 2], [], [], [], [1], [0, 0]]
+
+
+def test_a_large_table_is_looked_up_at_its_head_and_joined_for_the_rest(spark, frame):
+    """Neither all tokens are shuffled nor repeated or null keys lost."""
+    lines = materialize(FX.typo_lines(spark, SMALL))
+    vocab = materialize(TK.build_vocab(lines, "text"))
+    rows = materialize(lines.unionByName(lines.limit(30)).unionByName(lines.limit(5).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("zzz unseen Word"))))
+    small, large = TK.encode(rows, vocab), TK.encode(rows, vocab, max_bytes=20_000)
+    assert large.schema["ids"].dataType == small.schema["ids"].dataType
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    ids = materialize(small)
+    one, two = TK.decode(ids, vocab), TK.decode(ids, vocab, max_bytes=20_000)
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    text = plan(large)
+    assert "Generate explode(__lack" in text and "posexplode" not in text
+
+
+@pytest.mark.parametrize("max_bytes", [0, 3_000, 60_000])
+@pytest.mark.parametrize("words_only", [False, True])
+def test_frequent_words_are_rewritten_in_place_and_rare_ones_by_a_join(spark, frame, max_bytes, words_only):
+    lines = FX.typo_lines(spark, SMALL).select("lang", F.col("typo_text").alias("text")).unionByName(frame.select("lang", "text"))
+    lines = materialize(lines.withColumn("__row", F.monotonically_increasing_id()))
+    picks = LX.train_corrections(lines).select("lang", "word", "cand").unionByName(spark.createDataFrame([("en", "dog", None), (None, "cat", "x")], "lang string, word string, cand string"))
+    picks = materialize(picks)
+    args = dict(key_cols=("__row",), by=("lang",), typo="word", fixed="cand", unique_keys=True, words_only=words_only)
+    whole, cut = apply_dictionary_join(lines, picks, **args), apply_dictionary_join(lines, picks, max_bytes=max_bytes, **args)
+    assert cut.count() == lines.count()
+    assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
