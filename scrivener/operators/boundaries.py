@@ -14,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.operators.joins import materialize
-from scrivener.operators.ngram import line_words
+from scrivener.operators.counts import pair_counts, pair_parts, word_counts
+from scrivener.operators.joins import bounded_broadcast, materialize, row_count_at_most
+from scrivener.operators.ngram import spaced_words
+
+# Up to so many words or pairs are broadcast.
+FEW_ROWS = 100_000
 
 
 def neighbours(df: DataFrame, text_col: str = "text", by=("lang",)) -> DataFrame:
     """(by..., u, v, n): distinct pairs of neighbouring words and how often they stand so."""
-    ws = df.select(*by, line_words(F.col(text_col)).alias("ws")).where(F.size("ws") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.struct(F.get("ws", i - 1).alias("u"), F.get("ws", i).alias("v")))
-    return ws.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.u", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    return pair_counts(df, spaced_words(F.col(text_col)), by, None, ("u", "v", "n"))
 
 
 def _cuts(strings: DataFrame, lexicon: DataFrame, by) -> DataFrame:
@@ -44,11 +46,18 @@ def split_merge_candidates(df: DataFrame, lexicon: DataFrame, text_col: str = "t
     seen: how often its words are neighbours in ``reference`` (0 without one, and
     for a merge)."""
     lex = materialize(lexicon.select(*by, "word", "freq"))
-    pairs = materialize(neighbours(df, text_col, by))
-    words = df.select(*by, F.explode(line_words(F.col(text_col))).alias("s")).distinct()
+    words = word_counts(df, spaced_words(F.col(text_col)), by).select(*by, F.col("word").alias("s"))
     unknown = materialize(words.join(lex.select(*by, F.col("word").alias("s")), [*by, "s"], "left_anti"))
-    lacks = lambda side: unknown.select(*by, F.col("s").alias(side), F.lit(True).alias(f"no_{side}"))
-    odd = pairs.join(lacks("u"), [*by, "u"], "left").join(lacks("v"), [*by, "v"], "left").where("no_u or no_v")
+    # Few unknown words are looked for where the pairs are counted; else the distinct pairs meet them.
+    few = row_count_at_most(unknown, FEW_ROWS)
+    pairs = pair_parts(df, spaced_words(F.col(text_col)), by, None, ("u", "v", "n")).select(*by, "u", "v")
+    pairs = pairs if few else materialize(pairs.distinct())
+
+    def lacks(side: str) -> DataFrame:
+        one = unknown.select(*by, F.col("s").alias(side), F.lit(True).alias(f"no_{side}"))
+        return F.broadcast(one) if few else one
+
+    odd = pairs.join(lacks("u"), [*by, "u"], "left").join(lacks("v"), [*by, "v"], "left").where("no_u or no_v").select(*by, "u", "v").distinct()
     odd = materialize(odd.select(*by, F.concat_ws(" ", "u", "v").alias("typed"), F.concat("u", "v").alias("s"), F.char_length("u").alias("was")))
     strings = materialize(unknown.union(odd.select(*by, "s")).distinct())
     cuts = materialize(_cuts(strings, lex, by))
@@ -61,7 +70,11 @@ def split_merge_candidates(df: DataFrame, lexicon: DataFrame, text_col: str = "t
     every = split.union(shift).union(merge)
     if reference is None:
         return every.select(*by, "typed", "kind", "cand", "freq", F.lit(0).cast("long").alias("seen"))
-    known = neighbours(reference, ref_col or text_col, by).select(*by, F.col("u").alias("a"), F.col("v").alias("b"), F.col("n").alias("seen"))
+    # Of the reference's pairs only those that a candidate is made of are summed.
+    every = materialize(every)
+    asked = bounded_broadcast(materialize(every.select(*by, "a", "b").where("a is not null").distinct()), FEW_ROWS)
+    parts = pair_parts(reference, spaced_words(F.col(ref_col or text_col)), by, None, ("a", "b", "n"))
+    known = parts.join(asked, [*by, "a", "b"], "left_semi").groupBy(*by, "a", "b").agg(F.sum("n").alias("seen"))
     return every.join(known, [*by, "a", "b"], "left").select(*by, "typed", "kind", "cand", "freq", F.coalesce("seen", F.lit(0)).cast("long").alias("seen"))
 
 

@@ -108,3 +108,19 @@ def test_templates_of_a_tree(spark):
     got = {r.template: (r.n_parts, r.n) for r in TP.learned_templates(df, TP.url_parts(F.col("url")), most=3).collect()}
     assert got == {"*/user/*/edit": (4, 20), "*/user/*/view": (4, 20), "h1.org/about": (2, 3), "h2.org/about": (2, 1), "": (1, 1), "h3.org/a/b/c/d/e/*/*": (8, 2)}
     assert TP.learned_templates(df.limit(0), TP.url_parts(F.col("url"))).count() == 0
+
+
+def test_many_unknown_words_give_the_same_candidates(spark, monkeypatch):
+    from scrivener.operators import boundaries as B
+    from scrivener.operators.lexicon import build_lexicon
+
+    clean = spark.createDataFrame([("en", "in the house of the king"), ("en", "a lot of"), (None, "in the")], "lang string, text string")
+    moved = spark.createDataFrame([("en", "inthe hou se ofthe king"), ("en", "al ot of"), ("en", "inthe house"), (None, "inthe")], "lang string, text string")
+
+    def rows():
+        return sorted(map(tuple, B.split_merge_candidates(moved, build_lexicon(clean, "text"), reference=clean).collect()))
+
+    few = rows()
+    assert ("en", "inthe", "split", "in the", 1, 1) in few and ("en", "al ot", "shift", "a lot", 1, 1) in few and ("en", "hou se", "merge", "house", 1, 0) in few
+    monkeypatch.setattr(B, "FEW_ROWS", 0)
+    assert rows() == few
