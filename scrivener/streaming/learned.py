@@ -130,7 +130,9 @@ def learn_files(spark: SparkSession, source: str, schema, prepare, text_col: str
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    query = start_learned_stream(prepare(reader.parquet(source)), f"{base}/counts", f"{base}/checkpoint", text_col, by, merge_every)
+    # A batch of few files is few tasks: its rows are dealt to all before they are cut.
+    rows = reader.parquet(source).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    query = start_learned_stream(prepare(rows), f"{base}/counts", f"{base}/checkpoint", text_col, by, merge_every)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
