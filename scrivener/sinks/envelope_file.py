@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from scrivener.operators.generate import _package_by_value
+from scrivener.operators.joins import materialize
 from scrivener.sources.tables import read_text_lines
 
 FORMAT = "json_envelope_file"
@@ -125,7 +126,9 @@ def write_envelope(df: DataFrame, path: str, model: str, temperature: float, max
     settings = json.dumps({"model": model, "temperature": float(temperature), "max_tokens": int(max_tokens)})
     with _package_by_value():
         df.sparkSession.dataSource.register(EnvelopeFile)
-        writer = df.orderBy(*order).select(value).write.format(FORMAT).mode("overwrite" if overwrite else "append")
+        # Stored once: the range sort reads its input twice, first for the ranges.
+        records = materialize(df.select(*order, value))
+        writer = records.orderBy(*order).select("value").write.format(FORMAT).mode("overwrite" if overwrite else "append")
         writer.option("path", path).option("head", '{"results":[\n').option("foot", "\n]," + settings[1:] + "\n").save()
 
 
