@@ -19,11 +19,14 @@ md5 and length.  An empty table gives an empty file set.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,18 +34,97 @@ from pyspark.sql.window import Window
 
 from scrivener.llm.common import partitions, released_shuffles, slices
 from scrivener.llm.tokenizer_files import parsed, ship
-from scrivener.llm.units import Memo, units
+from scrivener.llm.units import Memo
 
-_MEMO: dict[int, Memo] = {}
+#: The steps before the merges for which ``pieces`` are known.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: All but the characters that NFC leaves alone beside each other and that have one lower-case character at most: visible ASCII,
+#: Latin letters up to U+017E without the dotted capital I, and common punctuation.
+_OTHER = re.compile("[^\n!-~\u00a1\u00ab\u00b7\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u2010-\u2027]")
+_LOWER = "a-z\u00df-\u00f6\u00f8-\u017e"
+#: Of lower-cased characters that are none of the others: what the merges see as one word.  Line feeds stand between units.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\n{_LOWER}0-9]+|\n")
 
+_MEMO: dict[int, tuple] = {}
 
-def _memo(shipped) -> Memo:
+
+def _memo(shipped) -> tuple:
+    """(units -> pieces, memo of the ids of pieces)."""
     key = hash(shipped.value)
     if key not in _MEMO:
-        _MEMO[key] = Memo(unit_encoder(parsed(shipped)), len, 96 << 20)
+        tok = parsed(shipped)
+        split = pieces(tok)
+        memo = Memo(unit_encoder(tok) if split is None else piece_encoder(tok), len, 128 << 20)
+        _MEMO[key] = split or (lambda found: re.findall(r"[^\n]+|\n", found)), memo
     return _MEMO[key]
 
 
+def pieces(tok):
+    """A function text of units (without ASCII white space), a line feed after
+    each -> their pieces and the line feeds: the ids of a unit are those of its pieces in
+    order, each encoded alone.  A unit of known characters is lower-cased and cut
+    as the library does it, so that units that differ in case and punctuation
+    share their pieces; any other, and one that holds an added token, is one
+    piece as it stands.  None for a tokenizer that works in another way."""
+    steps, added = json.loads(tok.to_str()), list(tok.get_added_tokens_decoder().values())
+    inside = [t.content for t in added]
+    if steps["normalizer"] != _NORMALIZER or steps["pre_tokenizer"] != _PRE_TOKENIZER:
+        return None
+    # An added token that a single piece could hold would be found in the piece, though not in a unit with capitals.
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) or len(_PIECE.findall(t.content.lower())) < 2 for t in added):
+        return None
+
+    def odd(text: str) -> bool:
+        return _OTHER.search(text) is not None or any(t in text for t in inside)
+
+    def split(found: str) -> list[str]:
+        if not odd(found):
+            return _PIECE.findall(found.lower())
+        out: list[str] = []
+        for u in found.split("\n")[:-1]:
+            out += (u, "\n") if odd(u) else _PIECE.findall(u.lower() + "\n")
+        return out
+
+    return split
+
+
+def piece_encoder(tok, block: int = 1024):
+    """A function list of pieces (see ``pieces``) -> their ids as bytes.  Pieces
+    that the merges see as one word are encoded ``block`` at a time with spaces
+    between them and told apart by the library's word numbers, others alone."""
+
+    def encode(found):
+        own: dict[str, bytes] = {}
+        words = [u for u in found if _PIECE.fullmatch(u) and not _OTHER.search(u)]
+        for a in range(0, len(words), block):
+            part = words[a: a + block]
+            e = tok.encode(" ".join(part), add_special_tokens=False)
+            blob = np.array(e.ids, "<i4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            own.update(zip(part, [blob[s:t] for s, t in zip(cuts, cuts[1:])]))
+        rest = [u for u in found if u not in own]
+        own.update(zip(rest, [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(rest, add_special_tokens=False)] if rest else []))
+        return [own[u] for u in found]
+
+    return encode
+
+
+def _ids(found: str, split, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units laid end to end, where each unit's begin and the last one's end)."""
+    parts = split(found)
+    blobs = [b"" if p == "\n" else b for p, b in zip(parts, map(memo.known.get, parts))]
+    new = [i for i, b in enumerate(blobs) if b is None]
+    if new:
+        get = memo.lookup([[parts[i] for i in new]])
+        for i in new:
+            blobs[i] = get(parts[i])
+    ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)))[[i for i, p in enumerate(parts) if p == "\n"]] // 4
+    return np.frombuffer(b"".join(blobs), "<i4"), np.append(0, ends)
+
+
 def unit_encoder(tok, block: int = 1024):
     """A function list of white-space units -> their ids as bytes.
 
@@ -80,21 +162,28 @@ def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFr
     """(id, before, n_tokens, ids array<int>) of (id, text): ``before`` counts the
     ids of the documents before it in its partition."""
     shipped = ship(df.sparkSession, tokenizer_path)
-    end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, before = _memo(shipped), 0
+        (split, memo), before = _memo(shipped), 0
         for batch in batches:
-            for part in slices(batch, 1):
-                lists = [units(t) for t in part.column(1).to_pylist()]
-                get = memo.lookup(lists)
-                blobs = [b"".join(map(get, xs)) + end for xs in lists]
-                n = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + offsets[:-1].astype(np.int64)), pa.array(n),
-                                                  pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "before", "n_tokens", "ids"])
-                before += int(n.sum())
+            for part in slices(batch, 1, 1 << 23):
+                # Units are cut at ASCII white space; each different one of the slice is looked up once.
+                lists = pc.ascii_split_whitespace(part.column(1))
+                units, last = lists.values.dictionary_encode(), np.asarray(lists.offsets).astype(np.int64)
+                found = pc.binary_join(pa.ListArray.from_arrays([0, len(units.dictionary)], units.dictionary), "\n")[0].as_py()
+                pool, begin = _ids(found + "\n" if len(units.dictionary) else "", split, memo)
+                at = np.asarray(units.indices)
+                if end_id is not None:
+                    at = np.insert(at, last[1:], len(begin) - 1)
+                    last = last + np.arange(len(last))
+                    pool, begin = np.append(pool, np.int32(end_id)), np.append(begin, len(pool) + 1)
+                size = np.diff(begin)[at]
+                ends = np.append(0, np.cumsum(size))
+                values = pool[np.repeat(begin[at] - ends[:-1], size) + np.arange(ends[-1])]
+                offsets = ends[last]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)),
+                                                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))], ["id", "before", "n_tokens", "ids"])
+                before += int(offsets[-1])
 
     id_type = df.schema["id"].dataType.simpleString()
     return df.select("id", "text").mapInArrow(run, f"id {id_type}, before long, n_tokens long, ids array<int>")
