@@ -56,8 +56,7 @@ def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = No
         wanted = wanted | (np.cumsum(depths[:n]) > 0)
     direct = np.flatnonzero(smaller & wanted)
     larger = wanted & ~smaller
-    keys = prefix_keys(text, direct, depth)
-    direct = direct[_sorted(keys)]
+    direct = direct[_sorted(eights(text, depth), direct, depth)]
     bounds = np.searchsorted(text[direct], np.arange(257))
 
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -94,50 +93,54 @@ def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = No
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _sorted(keys: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by all keys: by the first, then ties alone by the next ones."""
-    order = np.argsort(keys[0], kind="stable")
-    new = np.append(True, np.diff(keys[0][order]) != 0)
-    for key in keys[1:]:
-        # Groups of more than one row that are equal so far.
-        tied = ~(new & np.append(new[1:], True))
-        if not tied.any():
+def _sorted(eight: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The order of places by their first ``depth`` bytes: by the first eight, then ties alone by the next ones."""
+    key = eight_at(eight, at, 0, depth)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    # Places in the order whose group of equals so far has more than one, and their groups.
+    left = np.flatnonzero(~(new & np.append(new[1:], True)))
+    group = np.cumsum(new)[left]
+    for k in range(8, depth, 8):
+        if not len(left):
             break
-        some, group = order[tied], np.cumsum(new)[tied]
-        value = key[some]
+        some = order[left]
+        value = eight_at(eight, at[some], k, depth)
         by = np.lexsort((value, group))
-        order[tied], value = some[by], value[by]
-        new[tied] |= np.append(True, value[1:] != value[:-1])
+        order[left], value = some[by], value[by]
+        new = np.append(True, (value[1:] != value[:-1]) | (group[1:] != group[:-1]))
+        tied = ~(new & np.append(new[1:], True))
+        left, group = left[tied], np.cumsum(new)[tied]
     return order
 
 
-def prefix_keys(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
-    """The first ``depth`` bytes from each place, eight to a number (zeros past the end)."""
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    eight = np.zeros(len(text) + depth, np.uint64)
-    for k in range(8):
-        eight = (eight << np.uint64(8)) | padded[k: k + len(eight)]
-    keys = []
-    for k in range(0, depth, 8):
-        key = eight[at + k]
-        if depth - k < 8:
-            key &= ~np.uint64((1 << (8 * (8 - depth + k))) - 1)
-        keys.append(key)
-    return keys
+def eights(text: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each place up to ``depth`` past the end as a number (zeros past the end)."""
+    key = np.concatenate([text, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
+    for size in (1, 2, 4):
+        key = (key[:-size] << np.uint64(8 * size)) | key[size:]
+    return key[: len(text) + depth]
+
+
+def eight_at(eight: np.ndarray, at: np.ndarray, k: int, depth: int) -> np.ndarray:
+    """Bytes ``k`` to ``k`` + 7 from each place, those from ``depth`` on as zeros."""
+    key = eight[at + k]
+    return key & ~np.uint64((1 << (8 * (8 - depth + k))) - 1) if depth - k < 8 else key
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that each suffix in order has in common with the one before (0 for
     the first), up to ``depth``."""
-    out = np.zeros(len(order), np.int64)
-    equal = np.ones(max(0, len(order) - 1), bool)
-    for k, key in zip(range(0, depth, 8), prefix_keys(text, order, depth)):
-        differ = key[1:] ^ key[:-1]
-        lead = np.full(len(differ), 8)
-        for byte in range(8):
-            lead = np.where(differ >> np.uint64(8 * byte) != 0, 7 - byte, lead)
-        out[1:] += np.where(equal, np.minimum(lead, depth - k), 0)
-        equal &= differ == 0
+    out, eight = np.zeros(len(order), np.int64), eights(text, depth)
+    live = np.arange(1, len(order))  # those that are equal to the one before so far
+    for k in range(0, depth, 8):
+        differ = eight[order[live] + k] ^ eight[order[live - 1] + k]
+        lead = np.zeros(len(differ), np.int64)
+        for byte in range(1, 9):
+            lead += differ < np.uint64(1 << (64 - 8 * byte)) if byte < 8 else differ == 0
+        out[live] += np.minimum(lead, depth - k)
+        live = live[differ == 0]
     return out
 
 

@@ -44,10 +44,12 @@ from scrivener.llm.common import drop, slices, store
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LAST = (1 << 63) - 1
 #: Symbols per work block of a task and bytes per shard.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 #: A segment's place is packed as first window * PLACE + number of windows (fewer than PLACE).
 PLACE = 256
 SHARD_BYTES = 2 << 20
+#: Crowded anchors that are broadcast at most.
+MOST_CROWDED = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -161,8 +163,8 @@ def keyed(df: DataFrame, id_col: str, text_col: str, row: Column | None = None)
 
 
 def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> DataFrame:
-    """The content of segments: ``wanted`` holds (ord, tag, list of (start, n,
-    anchor, same, first, crowded)).  Crowded segments become one row per
+    """The content of segments: ``wanted`` holds (ord, tag, list of (place,
+    anchor, same, first, last, crowded)).  Crowded segments become one row per
     window, with the 128-bit hash of the window for shard and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,18 +172,18 @@ def _cut(wanted: DataFrame, docs: DataFrame, pieces: Callable, window: int) -> D
             for part in slices(batch, 0):
                 found = part.column(1)
                 row = dict(zip((f.name for f in found.type.value_type), found.flatten().flatten()))
-                lo = np.asarray(row["start"]).astype(np.int64)
-                hi = (lo + np.asarray(row["n"]) + window - 1).tolist()
+                lo, n = np.divmod(np.asarray(row["place"]).astype(np.int64), PLACE)
+                hi = (lo + n + window - 1).tolist()
                 lo, ends, at, body = lo.tolist(), np.cumsum(_lengths(found)).tolist(), 0, []
                 for text, end in zip(part.column(0).to_pylist(), ends):
                     cut = pieces(text or "")
                     body += [cut(a, b) for a, b in zip(lo[at:end], hi[at:end])]
                     at = end
-                yield pa.RecordBatch.from_arrays([row["anchor"], row["same"], row["n"].cast(pa.int32()), row["first"], row["crowded"], pa.array(body, pa.binary())],
-                                                 ["anchor", "same", "n", "first", "crowded", "body"])
+                yield pa.RecordBatch.from_arrays([row["anchor"], row["same"], pa.array(n, pa.int32()), row["first"], row["last"], row["crowded"], pa.array(body, pa.binary())],
+                                                 ["anchor", "same", "n", "first", "last", "crowded", "body"])
 
     joined = docs.join(wanted, ["ord", "tag"]).select("text", "wanted")
-    return joined.mapInArrow(run, "anchor long, same long, n int, first long, crowded boolean, body binary")
+    return joined.mapInArrow(run, "anchor long, same long, n int, first long, last long, crowded boolean, body binary")
 
 
 Resolve = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
@@ -199,7 +201,7 @@ def _runs(n: np.ndarray, least: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), entry)
 
 
-_RUNS = "anchor long, same long, runs array<struct<lo: long, hi: long, least: long>>"
+_RUNS = "anchor long, same long, last long, runs array<struct<lo: long, hi: long, least: long>>"
 
 
 def _resolve(cut: DataFrame, resolve: Resolve, shards: int) -> DataFrame:
@@ -208,7 +210,7 @@ def _resolve(cut: DataFrame, resolve: Resolve, shards: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         n, first = np.asarray(t["n"]).astype(np.int64), np.asarray(t["first"]).astype(np.int64)
         least = resolve(t["body"].to_pylist(), n, first)
-        return pa.table({"anchor": t["anchor"], "same": t["same"], "runs": _runs(n, least)})
+        return pa.table({"anchor": t["anchor"], "same": t["same"], "last": t["last"], "runs": _runs(n, least)})
 
     keyed_by = cut.where("NOT crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     return keyed_by.groupBy("shard").applyInArrow(run, _RUNS)
@@ -223,12 +225,13 @@ def _resolve_crowded(cut: DataFrame, windows: Callable) -> DataFrame:
                 one, two = windows(b.column(3)[k].as_py(), b.column(2)[k].as_py())
                 m = len(one)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int64)),
-                                                  pa.array(one), pa.array(two), pa.array([b.column(4)[k].as_py()] * m, pa.int64())], ["anchor", "same", "at", "one", "two", "first"])
+                                                  pa.array(one), pa.array(two), pa.array([b.column(4)[k].as_py()] * m, pa.int64()), pa.array([b.column(5)[k].as_py()] * m, pa.int64())],
+                                                 ["anchor", "same", "at", "one", "two", "first", "last"])
 
-    each = cut.where("crowded").select("anchor", "same", "n", "body", "first").mapInArrow(run, "anchor long, same long, at long, one long, two long, first long")
+    each = cut.where("crowded").select("anchor", "same", "n", "body", "first", "last").mapInArrow(run, "anchor long, same long, at long, one long, two long, first long, last long")
     least = each.groupBy("one", "two").agg(F.min("first").alias("least"))
     back = each.join(least, ["one", "two"]).groupBy("anchor", "same")  # a segment's own windows
-    return back.agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"), "least"))).alias("runs"))
+    return back.agg(F.max("last").alias("last"), F.sort_array(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"), "least"))).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, windows: Callable, window: int, gram: int,
@@ -239,26 +242,27 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     cut into pieces."""
     shared = _scan(docs, symbols, window, gram, False, block).groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
     shared = store(shared.where("a < b").select("anchor"))
-    places = store(_scan(docs, symbols, window, gram, True, block).join(shared, "anchor"))
+    places = store(_scan(docs, symbols, window, gram, True, block).join(shared.hint("shuffle_hash"), "anchor"))  # one row an anchor, so what is hashed has no large groups
     drop(shared)
-    groups = store(places.groupBy("anchor", "same").agg(F.min(F.struct("ord", "tag", "place")).alias("rep"), F.max("ord").alias("last")))
-    many = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd)
-    several = groups.join(many, "anchor", "left").select("anchor", "same", "rep", F.col("kinds").isNotNull().alias("crowded"))
-    wanted = several.groupBy(F.col("rep.ord").alias("ord"), F.col("rep.tag").alias("tag")).agg(F.collect_list(F.struct(
-        F.floor(F.col("rep.place") / PLACE).alias("start"), (F.col("rep.place") % PLACE).alias("n"), "anchor", "same", F.col("rep.ord").alias("first"), "crowded")).alias("wanted"))
+    # Any one of the places serves for the content: all three values are those of one row.
+    rep = [F.first(c).alias(f"rep_{c}") for c in ("ord", "tag", "place")]
+    groups = store(places.groupBy("anchor", "same").agg(*rep, F.min("ord").alias("first"), F.max("ord").alias("last")))
+    many = store(groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd))
+    # At most one anchor for every ``crowd`` rows, broadcast but for a table of very many.
+    few = F.broadcast(many) if many.count() <= MOST_CROWDED else many
+    several = groups.join(few, "anchor", "left").withColumn("crowded", F.col("kinds").isNotNull())
+    content = F.struct(F.col("rep_place").alias("place"), "anchor", "same", "first", "last", "crowded")
+    wanted = several.groupBy(F.col("rep_ord").alias("ord"), F.col("rep_tag").alias("tag")).agg(F.collect_list(content).alias("wanted"))
     cut = store(_cut(wanted, docs, pieces, window))
+    drop(groups, many)
     size = cut.agg(F.sum(F.octet_length("body")).alias("s"), F.max("crowded").alias("c")).first()
     resolved = _resolve(cut, resolve, max(1, (size["s"] or 0) // SHARD_BYTES))
     if size["c"]:
         resolved = resolved.union(_resolve_crowded(cut, windows))
-    resolved = store(resolved)
-    drop(cut)
-    known = groups.select("anchor", "same", "last").join(resolved, ["anchor", "same"])
     # Groups without a document that comes after the first holder of one of their windows remove nothing.
-    useful = F.exists("runs", lambda r: r["least"] < F.col("last"))
-    known = store(known.where(useful).drop("last"))
-    drop(groups, resolved)
-    back = places.join(known, ["anchor", "same"])
+    known = store(resolved.where(F.exists("runs", lambda r: r["least"] < F.col("last"))).drop("last"))
+    drop(cut)
+    back = places.join(known.hint("shuffle_hash"), ["anchor", "same"])
     hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter("runs", lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
     spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a row's own

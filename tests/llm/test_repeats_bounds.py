@@ -78,3 +78,24 @@ def test_order_of_wanted_suffixes_only(seed):
     assert cut == sorted(cut) and len(set(order.tolist())) == len(order)
     assert set(np.flatnonzero(wanted).tolist()) <= set(order.tolist())
     assert bytes7.two_stage_order(text, 50, np.zeros(900, bool)).size == 0
+
+
+def test_steps_without_sorts_or_a_second_shuffle_of_all_contents(spark, monkeypatch):
+    """Places meet the shared anchors, and the runs their places, by hash; contents are
+    grouped by hash; a content's last holder comes with it, not by a join."""
+    plans, keep = [], repeats.store
+
+    def store(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df)
+
+    monkeypatch.setattr(repeats, "store", store)
+    data = [(i, f"{i} an own beginning, then a passage of fifty bytes and more that is shared") for i in range(5)]
+    docs = repeats.keyed(frame(spark, data), "doc_id", "text")
+    spans = repeats.repeated_spans(docs, bytes7._symbols, bytes7._pieces, bytes7.resolver(50), bytes7._windows(50), 50, 16)
+    assert sorted(r.ord for r in spans.collect()) == [1, 2, 3, 4]
+    by = {tuple(c): p for c, p in plans}
+    assert "ShuffledHashJoin" in by["anchor", "same", "ord", "tag", "place"] and "SortMergeJoin" not in by["anchor", "same", "ord", "tag", "place"]
+    assert "ShuffledHashJoin" in by["ord", "tag", "spans"]
+    assert not any("SortAggregate" in p for c, p in plans if "rep_place" in c) and any("rep_place" in c for c, _ in plans)
+    assert not any("Join" in p for c, p in plans if c == ["anchor", "same", "runs"])
