@@ -29,10 +29,11 @@ from scrivener.llm.common import slices
 from scrivener.llm.repeats import LAST, gram_hashes, keyed, merged, repeated_spans
 
 
-def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = None, eight: np.ndarray | None = None) -> np.ndarray:
     """Start places of all suffixes of ``text`` (bytes), in order of their first
     ``depth`` bytes at least; further ties are in any order.  With ``wanted`` (a
-    flag per place) of those suffixes only, and of those they are induced from."""
+    flag per place) of those suffixes only, and of those they are induced from.
+    ``eight``: the ``eights`` of the text, unless they are to be made."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -56,7 +57,7 @@ def two_stage_order(text: np.ndarray, depth: int, wanted: np.ndarray | None = No
         wanted = wanted | (np.cumsum(depths[:n]) > 0)
     direct = np.flatnonzero(smaller & wanted)
     larger = wanted & ~smaller
-    direct = direct[_sorted(eights(text, depth), direct, depth)]
+    direct = direct[_sorted(eights(text, depth) if eight is None else eight, direct, depth)]
     bounds = np.searchsorted(text[direct], np.arange(257))
 
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -129,10 +130,10 @@ def eight_at(eight: np.ndarray, at: np.ndarray, k: int, depth: int) -> np.ndarra
     return key & ~np.uint64((1 << (8 * (8 - depth + k))) - 1) if depth - k < 8 else key
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, eight: np.ndarray | None = None) -> np.ndarray:
     """Bytes that each suffix in order has in common with the one before (0 for
     the first), up to ``depth``."""
-    out, eight = np.zeros(len(order), np.int64), eights(text, depth)
+    out, eight = np.zeros(len(order), np.int64), eights(text, depth) if eight is None else eight
     live = np.arange(1, len(order))  # those that are equal to the one before so far
     for k in range(0, depth, 8):
         differ = eight[order[live] + k] ^ eight[order[live - 1] + k]
@@ -154,8 +155,9 @@ def resolver(window: int):
         at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         wanted = np.zeros(len(text), bool)
         wanted[at] = True
-        order = two_stage_order(text, window, wanted)
-        run = np.cumsum(common_prefixes(text, order, window) < window) - 1
+        eight = eights(text, window)
+        order = two_stage_order(text, window, wanted, eight)
+        run = np.cumsum(common_prefixes(text, order, window, eight) < window) - 1
         of = np.empty(len(text), np.int64)
         of[order] = run
         least = np.full(run[-1] + 1 if len(run) else 0, LAST)

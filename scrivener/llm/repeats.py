@@ -9,9 +9,10 @@ Windows that are equal must meet without moving the texts:
    so equal windows have equal anchors.  Consecutive windows of one anchor
    form a *segment* (at most as many windows as a window has grams, so its
    first and last window together hold all of its symbols).
-2. Anchors seen in one document only cannot repeat.  (anchor, smallest id,
-   largest id) is aggregated with map-side combine; the segments of the others
-   are stored with a hash of their content, document and place, no text.
+2. Anchors seen in one document only cannot repeat.  Every segment is dealt by
+   its anchor once, as a hash of its content, document and place, no text; the
+   smallest and largest id of each anchor come from that one shuffle, and the
+   segments of anchors in more than one document are stored.
 3. Segments are grouped by anchor and content: a group is resolved once, by
    the smallest id in it.  One copy of each is cut from its text and sent to a
    shard by its anchor.
@@ -87,7 +88,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if d == 0 else (np.minimum(x[:-d], x[d:]) if len(x) > d else x[:0])
 
 
-def segments(parts: list[np.ndarray], window: int, gram: int, content: bool) -> tuple[np.ndarray, ...]:
+def segments(parts: list[np.ndarray], window: int, gram: int, content: bool = True) -> tuple[np.ndarray, ...]:
     """(part, first window, windows, anchor, content hash) of each segment."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.concatenate(parts).astype(np.uint64)
@@ -116,8 +117,8 @@ def segments(parts: list[np.ndarray], window: int, gram: int, content: bool) ->
 Symbols = Callable[[str], np.ndarray]
 
 
-def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: bool, block: int = _BLOCK) -> DataFrame:
-    """(anchor, ord) of all segments, or all about their places."""
+def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, block: int = _BLOCK) -> DataFrame:
+    """All segments: anchor, content hash, document and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,15 +140,12 @@ def _scan(docs: DataFrame, symbols: Symbols, window: int, gram: int, places: boo
                     yield out(parts, owner, at, ords, tags)
 
     def out(parts, owner, at, ords, tags) -> pa.RecordBatch:
-        of, first, count, anchor, same = segments(parts, window, gram, places)
+        of, first, count, anchor, same = segments(parts, window, gram)
         own = np.asarray(owner)[of]
-        if not places:
-            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ords[own])], ["anchor", "ord"])
         place = (first + np.asarray(at)[of]) * PLACE + count
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), pa.array(ords[own]), pa.array(tags[own]), pa.array(place)], ["anchor", "same", "ord", "tag", "place"])
 
-    ddl = "anchor long, same long, ord long, tag long, place long" if places else "anchor long, ord long"
-    return docs.select("ord", "tag", "text").mapInArrow(run, ddl)
+    return docs.select("ord", "tag", "text").mapInArrow(run, "anchor long, same long, ord long, tag long, place long")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
@@ -235,15 +233,16 @@ def _resolve_crowded(cut: DataFrame, windows: Callable) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve: Resolve, windows: Callable, window: int, gram: int,
-                   crowd: int = 20_000, block: int = _BLOCK) -> DataFrame:
+                   crowd: int = 20_000, block: int = _BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(ord, tag, spans): per document of ``docs`` (from ``keyed``) the symbol
     ranges (lo, hi) of its repeated windows, in no order.  Documents without any
     are absent.  ``block``: symbols per work block of a task; longer texts are
-    cut into pieces."""
-    shared = _scan(docs, symbols, window, gram, False, block).groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
-    shared = store(shared.where("a < b").select("anchor"))
-    places = store(_scan(docs, symbols, window, gram, True, block).join(shared.hint("shuffle_hash"), "anchor"))  # one row an anchor, so what is hashed has no large groups
-    drop(shared)
+    cut into pieces.  ``shard_bytes``: content of a shard, about."""
+    every = _scan(docs, symbols, window, gram, block).repartition("anchor")
+    # ``read`` takes in the other columns: with the same columns on both sides of the join, both read one shuffle of one scan.
+    ends = every.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.bit_xor(F.expr("same ^ tag ^ place")).alias("read"))
+    shared = ends.where("a < b AND read IS NOT NULL").select("anchor")
+    places = store(every.join(shared.hint("shuffle_hash"), "anchor"))  # one row an anchor, so what is hashed has no large groups
     # Any one of the places serves for the content: all three values are those of one row.
     rep = [F.first(c).alias(f"rep_{c}") for c in ("ord", "tag", "place")]
     groups = store(places.groupBy("anchor", "same").agg(*rep, F.min("ord").alias("first"), F.max("ord").alias("last")))
@@ -252,11 +251,13 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     few = F.broadcast(many) if many.count() <= MOST_CROWDED else many
     several = groups.join(few, "anchor", "left").withColumn("crowded", F.col("kinds").isNotNull())
     content = F.struct(F.col("rep_place").alias("place"), "anchor", "same", "first", "last", "crowded")
-    wanted = several.groupBy(F.col("rep_ord").alias("ord"), F.col("rep_tag").alias("tag")).agg(F.collect_list(content).alias("wanted"))
+    # A document's segments are in as many partitions as it has anchors: they are dealt by document as they are, not as lists of one.
+    wanted = several.select(F.col("rep_ord").alias("ord"), F.col("rep_tag").alias("tag"), content.alias("one")).repartition("ord", "tag")
+    wanted = wanted.groupBy("ord", "tag").agg(F.collect_list("one").alias("wanted"))
     cut = store(_cut(wanted, docs, pieces, window))
     drop(groups, many)
     size = cut.agg(F.sum(F.octet_length("body")).alias("s"), F.max("crowded").alias("c")).first()
-    resolved = _resolve(cut, resolve, max(1, (size["s"] or 0) // SHARD_BYTES))
+    resolved = _resolve(cut, resolve, max(1, (size["s"] or 0) // shard_bytes))
     if size["c"]:
         resolved = resolved.union(_resolve_crowded(cut, windows))
     # Groups without a document that comes after the first holder of one of their windows remove nothing.
@@ -265,7 +266,7 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, pieces: Callable, resolve:
     back = places.join(known.hint("shuffle_hash"), ["anchor", "same"])
     hits = back.select("ord", "tag", F.floor(F.col("place") / PLACE).alias("start"), F.explode(F.filter("runs", lambda r: r["least"] < F.col("ord"))).alias("r"))
     hits = hits.select("ord", "tag", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (window - 1)).alias("hi"))
-    spans = store(hits.groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a row's own
+    spans = store(hits.repartition("ord", "tag").groupBy("ord", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))  # a row's own
     drop(places, known)
     return spans
 
