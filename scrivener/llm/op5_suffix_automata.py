@@ -1,7 +1,7 @@
 """Substring dedup by suffix automata of reference shards.
 
 Reference shards are the segments of shared passages (see ``repeats``), dealt
-by anchor, a few MB each.  A shard's words become a generalised suffix
+by anchor, a quarter MB each.  A shard's words become a generalised suffix
 automaton whose states carry the smallest document id among the places they
 stand for.  The shard's passages then stream through it: the automaton's state
 and match length after each word are the matching statistics, and where the
@@ -33,6 +33,10 @@ from scrivener.llm.common import slices
 from scrivener.llm.repeats import LAST, gram_hashes, keyed, merged, repeated_spans
 
 
+#: Bytes per shard: an automaton's edges take some hundred times its words, and are met at random.
+SHARD_BYTES = 1 << 18
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton of word lists; ``least`` of a state is the
     smallest owner of the words it stands for."""
@@ -42,28 +46,26 @@ class SuffixAutomaton:
         self.link, self.length, self.least = [-1], [0], [LAST]
 
     def add(self, words: list, owner: int) -> None:
+        nxt, link, length, least = self.next, self.link, self.length, self.least
         last = 0
         for w in words:
-            last = self._extend(last, w)
-            if owner < self.least[last]:
-                self.least[last] = owner
-
-    def _extend(self, last: int, w) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        q = nxt[last].get(w)
-        if q is not None:  # another list has these words already
-            return q if length[q] == length[last] + 1 else self._split(last, w, q)
-        cur = self._state({}, length[last] + 1)
-        p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._split(p, w, q)
-        return cur
+            q = nxt[last].get(w)
+            if q is not None:  # another list has these words already
+                last = q if length[q] == length[last] + 1 else self._split(last, w, q)
+            else:
+                cur, p = self._state({}, length[last] + 1), last
+                while p >= 0:
+                    edges = nxt[p]
+                    q = edges.get(w)
+                    if q is not None:
+                        break
+                    edges[w] = cur
+                    p = link[p]
+                if q is not None:
+                    link[cur] = q if length[q] == length[p] + 1 else self._split(p, w, q)
+                last = cur
+            if owner < least[last]:
+                least[last] = owner
 
     def _state(self, edges: dict, length: int) -> int:
         self.next.append(edges)
@@ -82,27 +84,41 @@ class SuffixAutomaton:
         return clone
 
     def finish(self) -> None:
-        """Hand the smallest owners down to all suffixes, longest state first."""
-        for s in np.argsort(np.asarray(self.length), kind="stable")[:0:-1].tolist():
-            up = self.link[s]
-            if self.least[s] < self.least[up]:
-                self.least[up] = self.least[s]
-
-    def stream(self, words: list, window: int) -> Iterator[int | None]:
+        """Hand the smallest owners down to all suffixes, longest states first."""
+        length, link, least = np.asarray(self.length), np.asarray(self.link), np.asarray(self.least)
+        order = np.argsort(length, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(length[order])) + 1)[:0:-1]:
+            np.minimum.at(least, link[some], least[some])
+        self.least = least.tolist()
+
+    def shortest(self, window: int) -> list[int]:
+        """Per state the state of its last ``window`` words, itself if they are fewer."""
+        length, link = np.asarray(self.length), np.asarray(self.link)
+        up = np.where((link >= 0) & (length[link] >= window), link, np.arange(len(link)))
+        while True:
+            further = up[up]
+            if (further == up).all():
+                return up.tolist()
+            up = further
+
+    def stream(self, words: list, window: int, shortest: list[int] | None = None) -> list[int | None]:
         """After each word: the smallest owner of the last ``window`` words, if
-        they match at all."""
+        they match at all; ``shortest`` of the window, unless it is to be made."""
+        nxt, link, length, least = self.next, self.link, self.length, self.least
+        top = self.shortest(window) if shortest is None else shortest
         state = size = 0
+        out = []
         for w in words:
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
-                size += 1
-            while state and self.length[self.link[state]] >= window:
-                state = self.link[state]
-            size = min(size, self.length[state])
-            yield self.least[state] if size >= window else None
+            to = nxt[state].get(w)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = nxt[state].get(w)
+            if to is not None:
+                state = top[to]
+                size = min(size + 1, length[state])
+            out.append(least[state] if size >= window else None)
+        return out
 
 
 def resolver(window: int):
@@ -114,9 +130,9 @@ def resolver(window: int):
         for words, owner in zip(lists, first.tolist()):
             automaton.add(words, owner)
         automaton.finish()
-        out: list[int] = []
+        shortest, out = automaton.shortest(window), []
         for words in lists:
-            out += [least for least in list(automaton.stream(words, window))[window - 1:]]
+            out += automaton.stream(words, window, shortest)[window - 1:]
         return np.array(out, np.int64)
 
     return resolve
@@ -149,7 +165,7 @@ def _windows(window: int):
 def remove_repeats(df: DataFrame, window: int = 13, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", crowd: int = 20_000) -> DataFrame:
     """(id, n_words, n_removed, kept: the words that stay, joined by one space)."""
     docs = keyed(df, id_col, text_col)
-    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _windows(window), window, gram, crowd)
+    spans = repeated_spans(docs, _symbols, _pieces, resolver(window), _windows(window), window, gram, crowd, shard_bytes=SHARD_BYTES)
     joined = docs.join(spans, ["ord", "tag"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
