@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import drop, store
+from scrivener.llm.common import drop, spread, store
 
 
 def _digest(df: DataFrame):
@@ -33,10 +33,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(spread(least, 2 * mark[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = store(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_star = large.join(spread(lowest, 2 * mark[0]), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = store(small_star.union(lowest.select("u", F.col("m").alias("v"))).distinct())
         drop(now, large)
         now, before, mark = after, mark, _digest(after)

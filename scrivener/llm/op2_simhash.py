@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import drop, row_tag, slices, store
+from scrivener.llm.common import drop, row_tag, slices, spread, store
 from scrivener.llm.components import components
 
 SEED = 42
@@ -160,17 +160,18 @@ def links(classes: DataFrame, max_distance: int, segments: int = 16, crowd: int
         return home.select("fp", F.explode(_ball(F.col("home"), radius, seg)).alias("cell"))
 
     crowded = store(cells(far, segments).groupBy("cell").count().where(F.col("count") > crowd).select("cell"))
-    calm = cells(far, segments).join(crowded, "cell", "left_anti")
+    few = spread(crowded, crowded.count())
+    calm = cells(far, segments).join(few, "cell", "left_anti")
     left = calm if near == far else cells(near, segments)
     a, b = left.select(F.col("fp").alias("a"), "cell"), calm.select(F.col("fp").alias("b"), "cell")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
     order = F.col("a") < F.col("b") if near == far else F.col("a") != F.col("b")
-    pairs = a.join(b, "cell").where(order & close).select("a", "b")
+    pairs = a.join(spread(b), "cell").where(order & close).select("a", "b")
 
-    members = cells(far, segments).join(crowded, "cell", "left_semi").select("fp").distinct()
+    members = cells(far, segments).join(few, "cell", "left_semi").select("fp").distinct()
     fine = cells(far, 64, members)
     heads = cells(near, 64, members).groupBy("cell").agg(F.min("fp").alias("a"))
-    stars = fine.join(heads, "cell").where("fp <> a").select("a", F.col("fp").alias("b"))
+    stars = fine.join(spread(heads), "cell").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -178,7 +179,7 @@ def _rooted(docs: DataFrame, max_distance: int, segments: int, crowd: int) -> Da
     """(fp, first: smallest id of the fingerprint, root: of its component), stored."""
     classes = store(docs.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(classes, max_distance, segments, crowd))
-    out = store(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    out = store(classes.join(spread(roots, roots.count()), classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     drop(classes, roots)
     return out
 
@@ -188,8 +189,9 @@ def simhash_components(df: DataFrame, shingle: int = 3, max_distance: int = 2, i
     """(id, fingerprint as 16 hex digits, component_id) of every row."""
     docs = store(fingerprints(df, shingle, id_col, text_col))
     rooted = _rooted(docs, max_distance, segments, crowd)
+    n = rooted.count()
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    out = docs.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
+    out = docs.join(spread(rooted.join(spread(smallest, n), "root").select("fp", "component_id"), n), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -202,7 +204,7 @@ def keep_one(df: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str
     docs = store(fingerprints(df, shingle, id_col, text_col, tag))
     rooted = _rooted(docs, max_distance, segments, crowd)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
-    kept = docs.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("one")).select("one.id", "one.tag")
+    kept = docs.join(spread(rooted.select("fp", "root"), rooted.count()), "fp").groupBy("root").agg(F.min(order).alias("one")).select("one.id", "one.tag")
     kept = kept.select(F.col("id").alias("__kept_id"), F.col("tag").alias("__kept_tag"))
     tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"), tag.alias("__tag"))
     same = (F.col("__tag") == F.col("__kept_tag")) & F.col("__id").eqNullSafe(F.col("__kept_id"))
